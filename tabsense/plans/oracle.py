@@ -77,7 +77,7 @@ def dominant_sql(src: str, table: str) -> str:
     return "(" + " + ".join(parts) + ")"
 
 
-def health_sql(src: str, table: str) -> str:
+def health_sql(src: str, table: str, outer: str | None = None) -> str:
     """null %, duplicate %, dominant % and the score, as one row."""
     k = len(cols(table))
     return f"""
@@ -91,6 +91,38 @@ parts AS (
          CAST({dominant_sql(src, table)} AS BIGINT) AS dominant_columns
   FROM base, d
 )
+SELECT {outer or "*"} FROM (
 SELECT null_cell_pct, duplicate_row_pct, dominant_pct, dominant_columns,
        round(greatest(0.0, least(100.0, 100.0 - (null_cell_pct * 0.5 + duplicate_row_pct * 0.3 + dominant_pct * 0.2))), 2) AS health_score
-FROM parts"""
+FROM parts) h"""
+
+
+def is_id_name(name: str) -> bool:
+    low = name.lower()
+    return low in ("id", "uuid", "index") or low.endswith("_id") or low.endswith(" id")
+
+
+def rules_sql(src: str, table: str, outer: str = "SELECT *") -> str:
+    """(position, column, zero_variance, id_named, unique_text, rule, reason)."""
+    parts = []
+    for i, (c, t) in enumerate(cols(table)):
+        qc = q(c)
+        is_text = "TRUE" if t == C else "FALSE"
+        is_id = "TRUE" if is_id_name(c) else "FALSE"
+        parts.append(f"""
+SELECT CAST({i} AS INTEGER) AS position, '{c}' AS "column",
+  n > 0 AND card <= 1 AS zero_variance,
+  n > 0 AND {is_id} AND dn > n * 0.5 AS id_named,
+  n > 0 AND {is_text} AND dn = n AS unique_text
+FROM (SELECT count(*) AS n, count(DISTINCT {qc}) AS dn,
+             count(DISTINCT {qc}) + max(CASE WHEN {qc} IS NULL THEN 1 ELSE 0 END) AS card FROM {src})""")
+    body = union_all(parts)
+    return f"""
+, flags AS ({body})
+{outer} FROM (SELECT position, "column", zero_variance, id_named, unique_text,
+  CASE WHEN zero_variance THEN 'zero_variance' WHEN id_named THEN 'id_named'
+       WHEN unique_text THEN 'unique_text' END AS rule,
+  CASE WHEN zero_variance THEN 'Zero-variance (All values are identical or completely missing).'
+       WHEN id_named THEN 'Detected as a primary key/ID by name (''' || "column" || ''').'
+       WHEN unique_text THEN '100% unique string values (Likely a primary key or arbitrary identifier).' END AS reason
+FROM flags) r"""
