@@ -46,4 +46,4 @@ def r6sql(expr: str) -> str:
 
 
 # import the registration modules (they populate QUERIES / ORACLE)
-from . import q_profile  # noqa: E402,F401
+from . import q_profile, q_clean  # noqa: E402,F401
