@@ -18,6 +18,8 @@ from ..config import keep
 from ..functions.text import normalize_text
 from ..functions.types import (DATETIME, NUMERIC, col, logical_types,
                                normalize_missing, numeric_columns, text_columns)
+from ..functions.windows import numeric_key as _numeric_key
+from ..functions.windows import with_buckets as _with_buckets
 from .profile import frequency_table, modes, quantile_expr
 
 # Thresholds and decision-log texts of the cleaning rules.
@@ -255,47 +257,6 @@ def impute(df: DataFrame, order_by=None, quantiles: str = "exact") -> tuple[Data
 # ---------------------------------------------------------------------------
 # A14 scalable forward/backward fill
 
-def _with_buckets(df: DataFrame, key: Column, tb: Column, cuts: list[float]) -> DataFrame:
-    """Add ``_b``: a bucket id monotone in (key, tiebreak).
-
-    ``cuts`` are sorted quantile cut points of the key (with repeats). The
-    interval index comes from ``Bucketizer`` (binary search on the JVM). A key
-    value repeated m >= 2 times among the cut points holds about m/n of the
-    rows; its rows are split into m buckets by ranges of the 64-bit tiebreak
-    hash, so even one key holding a third of all rows spreads over many tasks."""
-    from pyspark.ml.feature import Bucketizer
-
-    uniq: list[list] = []
-    for b in cuts:
-        if not uniq or uniq[-1][0] != b:
-            uniq.append([b, 1])
-        else:
-            uniq[-1][1] += 1
-    # layout: bucket 0 = key < u_1; per cut point j: (m_j buckets for key == u_j if hot), then one
-    # bucket for the rest of [u_j, u_j+1)
-    base_eq, base_gt, nxt = [0], [0], 1
-    for _, m in uniq:
-        base_eq.append(nxt if m >= 2 else -1)
-        nxt += m if m >= 2 else 0
-        base_gt.append(nxt)
-        nxt += 1
-    splits = [float("-inf")] + [u for u, _ in uniq] + [float("inf")]
-    d = df.withColumn("_k", key).withColumn("_tb", tb)
-    d = Bucketizer(splits=splits, inputCol="_k", outputCol="_i", handleInvalid="keep").transform(
-        d.withColumn("_k", F.coalesce(F.col("_k"), F.lit(float("nan")))))
-    idx = F.col("_i").cast("int")
-    arr = lambda xs, t: F.array(*[F.lit(x).cast(t) for x in xs])
-    cut_at = F.element_at(arr([0.0] + [u for u, _ in uniq], "double"), idx + 1)
-    m_at = F.element_at(arr([0] + [m for _, m in uniq], "int"), idx + 1)
-    sub = F.least(F.floor((F.col("_tb").cast("double") + 2.0 ** 63) / (F.lit(2.0 ** 64) / m_at)),
-                  m_at - 1).cast("int")
-    b = (F.when(F.isnan("_k") | (idx > len(uniq)), F.lit(nxt))
-         .when((idx > 0) & (m_at >= 2) & (F.col("_k") == cut_at),
-               F.element_at(arr(base_eq, "int"), idx + 1) + sub)
-         .otherwise(F.element_at(arr(base_gt, "int"), idx + 1)))
-    return d.withColumn("_b", b.cast("int")).drop("_k", "_i")
-
-
 def fill_forward_backward(df: DataFrame, columns: list[str], order_by: list[str] | str,
                           buckets: int | None = None, method: str = "partitioned") -> DataFrame:
     """Forward fill, then backward fill, of ``columns`` in ``order_by`` order.
@@ -353,23 +314,6 @@ def fill_forward_backward(df: DataFrame, columns: list[str], order_by: list[str]
     return j.select(*out)
 
 
-def _numeric_key(df: DataFrame, name: str) -> Column | None:
-    """Order-preserving double of a numeric / date / timestamp key (no time zone
-    involved), used only to cut the key range into buckets."""
-    dt = df.schema[name].dataType
-    x = col(name)
-    if isinstance(dt, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)").cast("double")
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(x).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(x).cast("double")
-    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
-                       T.DoubleType, T.DecimalType)):
-        return x.cast("double")
-    return None
-
-
 def _desc(order: list[str]) -> list[Column]:
     return [col(k).desc_nulls_first() for k in order] + [F.col("_tb").desc()]
 
