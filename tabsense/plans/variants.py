@@ -42,6 +42,13 @@ VARIANTS: dict[str, str] = {
         "SELECT doc_id, toxic AS label, "
         "CASE WHEN doc_id % 4 = 0 THEN 1 - toxic ELSE toxic END AS prediction, "
         "CAST(doc_id % 100 AS DOUBLE) / 100.0 AS score FROM labels"),
+    "rule_predictions": (
+        "SELECT 0 AS model_no, 'Flip every 4th' AS model, doc_id, toxic AS label, "
+        "CASE WHEN doc_id % 4 = 0 THEN 1 - toxic ELSE toxic END AS prediction FROM labels "
+        "UNION ALL SELECT 1, 'Quality as toxic', doc_id, toxic, quality FROM labels "
+        "UNION ALL SELECT 2, 'Always zero', doc_id, toxic, 0 FROM labels "
+        "UNION ALL SELECT 3, 'Exact', doc_id, toxic, toxic FROM labels "
+        "UNION ALL SELECT 4, 'Exact copy', doc_id, toxic, toxic FROM labels"),
     "predictions_reg": (
         "SELECT o_orderkey, o_totalprice AS label, o_totalprice * 0.9 + 1000 AS prediction "
         "FROM orders"),
