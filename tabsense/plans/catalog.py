@@ -46,4 +46,4 @@ def r6sql(expr: str) -> str:
 
 
 # import the registration modules (they populate QUERIES / ORACLE)
-from . import q_profile, q_clean, q_features, q_charts, q_query, q_ml  # noqa: E402,F401
+from . import q_profile, q_clean, q_features, q_charts, q_query, q_ml, q_report  # noqa: E402,F401
