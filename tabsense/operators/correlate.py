@@ -11,41 +11,58 @@ STRONG_LIMIT = 0.3     # fixed values: |r| threshold and number of pairs reporte
 STRONG_TOP = 10
 
 
-def _pair_r(x, y):
-    """Pearson r over rows where both are non-null; NULL for a constant side
-    (``try_divide`` keeps ANSI mode from raising on a zero deviation)."""
-    both = x.isNotNull() & y.isNotNull()
-    xm, ym = F.when(both, x), F.when(both, y)
-    den = F.stddev_pop(xm) * F.stddev_pop(ym)
-    return F.try_divide(F.covar_pop(xm, ym), F.when(den > 0, den))
-
-
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """C1 (long form): (col1, col2, r) for every ordered pair of numeric columns,
-    diagonal included (1.0, or NULL for a constant column). Fewer than two
-    numeric columns -> empty frame with the same schema.
+    diagonal included (1.0, or NULL for a constant column), pairwise-complete.
+    Fewer than two numeric columns -> empty frame with the same schema.
 
-    The k(k+1)/2 distinct pairs are computed in one global aggregate (partial
-    aggregation per task, no shuffle of the data) and mirrored afterwards."""
+    Two global aggregates (partial aggregation per task, no shuffle of the data):
+    pass 1 gives per-column non-null count, mean and population std; pass 2
+    sums centred products. For a pair of columns without NULLs one SUM per pair
+    suffices (r = sum(dx*dy) / (n*sd_x*sd_y)); a pair touching a column with
+    NULLs uses masked sums over the rows where both are present. Centring at the
+    mean keeps the sums numerically stable; a zero deviation gives NULL."""
     df = normalize_missing(df)
     cols = numeric_columns(df) if columns is None else list(columns)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], MATRIX_SCHEMA)
     xs = [col(c).cast("double") for c in cols]
-    aggs, pairs = [], []
+    st = df.agg(F.count(F.lit(1)).alias("rows"),
+                *[F.struct(F.count(x), F.avg(x), F.stddev_pop(x)).alias(f"s{i}") for i, x in enumerate(xs)]).first()
+    rows = st["rows"]
+    n = [st[f"s{i}"][0] for i in range(len(cols))]
+    mean = [st[f"s{i}"][1] for i in range(len(cols))]
+    sd = [st[f"s{i}"][2] for i in range(len(cols))]
+    dx = [(x - F.lit(mean[i])) if mean[i] is not None else F.lit(None).cast("double")
+          for i, x in enumerate(xs)]
+    aggs, exprs = [], {}
     for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            aggs.append(_pair_r(xs[i], xs[j]).alias(f"r{i}_{j}"))
-            pairs.append((i, j))
+        for j in range(i + 1, len(cols)):
+            if n[i] == rows and n[j] == rows:
+                aggs.append(F.sum(dx[i] * dx[j]).alias(f"p{i}_{j}"))
+                den = rows * (sd[i] or 0.0) * (sd[j] or 0.0)
+                exprs[(i, j)] = (F.col(f"p{i}_{j}") / F.lit(den)) if den > 0 else F.lit(None).cast("double")
+            else:
+                both = xs[i].isNotNull() & xs[j].isNotNull()
+                a, b = F.when(both, dx[i]), F.when(both, dx[j])
+                aggs.append(F.struct(F.count(a), F.sum(a), F.sum(b), F.sum(a * a), F.sum(b * b),
+                                     F.sum(a * b)).alias(f"p{i}_{j}"))
+                m = F.col(f"p{i}_{j}")
+                k = m["col1"].cast("double")
+                cov = m["col6"] / k - (m["col2"] / k) * (m["col3"] / k)
+                vx = m["col4"] / k - (m["col2"] / k) * (m["col2"] / k)
+                vy = m["col5"] / k - (m["col3"] / k) * (m["col3"] / k)
+                exprs[(i, j)] = F.when((k > 0) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
     wide = df.agg(*aggs)
     entries = []
-    for i, j in pairs:
-        r = F.col(f"r{i}_{j}")
-        if i == j:
-            r = F.when(r.isNotNull(), F.lit(1.0))
-        entries.append(F.struct(F.lit(cols[i]).alias("col1"), F.lit(cols[j]).alias("col2"), r.alias("r")))
-        if i != j:
-            entries.append(F.struct(F.lit(cols[j]).alias("col1"), F.lit(cols[i]).alias("col2"), r.alias("r")))
+    for i in range(len(cols)):
+        for j in range(len(cols)):
+            if i == j:
+                r = F.lit(1.0 if sd[i] else None).cast("double")
+            else:
+                r = exprs[(min(i, j), max(i, j))]
+            entries.append(F.struct(F.lit(cols[i]).alias("col1"), F.lit(cols[j]).alias("col2"),
+                                    r.cast("double").alias("r")))
     return wide.select(F.inline(F.array(*entries)))
 
 

@@ -74,8 +74,8 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
     f1c = F.when(F.col("support") + F.col("predicted") > 0,
                  2.0 * F.col("tp") / (F.col("support") + F.col("predicted"))).otherwise(0.0)
     out = cls.groupBy(*g).agg(
-        (F.sum("tp") / F.sum("support")).cast("double").alias("accuracy"),
-        (F.sum(f1c * F.col("support")) / F.sum("support")).cast("double").alias("f1"),
+        F.try_divide(F.sum("tp").cast("double"), F.sum("support")).alias("accuracy"),
+        F.try_divide(F.sum(f1c * F.col("support")), F.sum("support")).cast("double").alias("f1"),
         F.sum(F.when(F.col("support") > 0, 1).otherwise(0)).alias("_k"))
     if score is None:
         return out.drop("_k").withColumn("roc_auc", F.lit(None).cast("double"))
@@ -106,8 +106,8 @@ def roc_auc(pred: DataFrame, label: str, score: str, by: list[str] | None = None
         F.sum(F.when(col(label) != F.col("_pos"), 1).otherwise(0)).alias("_nc"))
     cum = running_sum(per, "_nc", "_s", by or None, out="_cn")
     return cum.groupBy(*g).agg(
-        (F.sum(F.col("_pc") * (F.col("_cn") - F.col("_nc") + F.col("_nc") / 2.0))
-         / (F.sum("_pc") * F.sum("_nc"))).cast("double").alias("roc_auc"))
+        F.try_divide(F.sum(F.col("_pc") * (F.col("_cn") - F.col("_nc") + F.col("_nc") / 2.0)),
+                     (F.sum("_pc") * F.sum("_nc")).cast("double")).cast("double").alias("roc_auc"))
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -116,7 +116,8 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
     e = col(prediction).cast("double") - col(label).cast("double")
     return pred.groupBy(*g).agg(
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-        (1.0 - F.sum(e * e) / (F.var_pop(col(label).cast("double")) * F.count(col(label)))).alias("r2"))
+        (1.0 - F.try_divide(F.sum(e * e), F.var_pop(col(label).cast("double")) * F.count(col(label))))
+        .alias("r2"))
 
 
 # M10 --------------------------------------------------------------------------

@@ -381,3 +381,20 @@ def null_matrix(df: DataFrame, order_by: str, buckets: int = 20) -> DataFrame:
     return agg.select("bucket", F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("null_count"))
         for i, c in enumerate(cols)])), "n_rows")
+
+
+def profile_schema_count_distinct(df: DataFrame) -> DataFrame:
+    """P1 through per-column ``count_distinct`` aggregates (the plan the
+    frequency table replaces; kept for the benchmark comparison). Spark expands
+    every row once per distinct aggregate."""
+    kinds = logical_types(df)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(df.columns):
+        aggs += [F.count_if(col(c).isNull()).alias(f"z{i}"), F.count_distinct(col(c)).alias(f"d{i}")]
+    wide = df.agg(*aggs)
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(kinds[c]).alias("dtype"),
+                 F.col(f"z{i}").alias("null_count"),
+                 F.when(F.col("n") == 0, 0.0).otherwise(F.col(f"z{i}") * 100.0 / F.col("n")).alias("null_percentage"),
+                 (F.col(f"d{i}") + F.when(F.col(f"z{i}") > 0, 1).otherwise(0)).alias("cardinality"))
+        for i, c in enumerate(df.columns)])))
