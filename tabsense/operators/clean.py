@@ -18,6 +18,7 @@ from ..config import keep
 from ..functions.text import normalize_text
 from ..functions.types import (DATETIME, NUMERIC, col, logical_types,
                                normalize_missing, numeric_columns, text_columns)
+from ..functions.quantiles import exact_quantiles
 from ..functions.windows import numeric_key as _numeric_key
 from ..functions.windows import with_buckets as _with_buckets
 from .profile import frequency_table, modes, quantile_expr
@@ -77,27 +78,28 @@ def detect_dates(df: DataFrame, columns: list[str] | None = None) -> dict[str, s
     """A2/A3 fit: for each text column that looks like dates, the first format in
     DATE_FORMATS that parses *every* non-null value (None: stays text).
 
-    One aggregate over all candidate columns and formats."""
+    A cheap first aggregate counts date-like values per column; only columns
+    with a hit get the (costlier) parse counts in a second aggregate."""
     columns = text_columns(df) if columns is None else columns
     if not columns:
         return {}
+    h = df.agg(*[F.count_if(col(c).rlike(DATE_HINT)).alias(f"h{i}") for i, c in enumerate(columns)]).first()
+    hinted = [c for i, c in enumerate(columns) if h[f"h{i}"] > 0]
+    out = {c: None for c in columns}
+    if not hinted:
+        return out
     aggs = []
-    for i, c in enumerate(columns):
+    for i, c in enumerate(hinted):
         x = col(c)
-        aggs.append(F.count_if(x.rlike(DATE_HINT)).alias(f"h{i}"))
         aggs.append(F.count(x).alias(f"n{i}"))
         for j, fmt in enumerate(DATE_FORMATS):
             aggs.append(F.count(F.try_to_timestamp(x, F.lit(fmt))).alias(f"p{i}_{j}"))
     r = df.agg(*aggs).first()
-    out = {}
-    for i, c in enumerate(columns):
-        fmt = None
-        if r[f"h{i}"] > 0:
-            for j, f in enumerate(DATE_FORMATS):
-                if r[f"p{i}_{j}"] == r[f"n{i}"]:
-                    fmt = f
-                    break
-        out[c] = fmt
+    for i, c in enumerate(hinted):
+        for j, f in enumerate(DATE_FORMATS):
+            if r[f"p{i}_{j}"] == r[f"n{i}"]:
+                out[c] = f
+                break
     return out
 
 
@@ -188,7 +190,7 @@ class ImputePlan:
 
 
 def fit_impute(df: DataFrame, order_by: str | list[str] | None = None,
-               quantiles: str = "exact") -> ImputePlan:
+               quantiles: str = "auto") -> ImputePlan:
     """A7-A10/A14 fit: one aggregate (rows, nulls, g1, median, mean per column),
     plus a frequency table for the modes of text columns that have nulls."""
     order = [order_by] if isinstance(order_by, str) else order_by
@@ -199,9 +201,19 @@ def fit_impute(df: DataFrame, order_by: str | list[str] | None = None,
         aggs.append(F.count_if(x.isNull()).alias(f"z{i}"))
         if kinds[c] == NUMERIC:
             d = x.cast("double")
-            aggs += [F.skewness(d).alias(f"g{i}"), F.avg(d).alias(f"m{i}"),
-                     quantile_expr(d, [0.5], quantiles)[0].alias(f"q{i}")]
-    r = df.agg(*aggs).first()
+            aggs += [F.skewness(d).alias(f"g{i}"), F.avg(d).alias(f"m{i}")]
+    r = df.agg(*aggs).first().asDict()
+    # medians only where they are used: numeric columns with nulls (below the drop
+    # threshold) whose skewness is large or undefined
+    need_median = [
+        (i, c) for i, c in enumerate(df.columns)
+        if kinds[c] == NUMERIC and r[f"z{i}"] and r["rows"]
+        and r[f"z{i}"] / r["rows"] * 100 <= MISSING_DROP_PCT
+        and (r[f"g{i}"] is None or abs(r[f"g{i}"]) > SKEW_LIMIT)]
+    if need_median:
+        med = exact_quantiles(df, {c: col(c) for _, c in need_median}, [0.5], quantiles)
+        for i, c in need_median:
+            r[f"q{i}"] = med[c][0]
     rows = r["rows"]
     plan = ImputePlan(order_by=order)
     need_mode = []
@@ -249,7 +261,7 @@ def fit_impute(df: DataFrame, order_by: str | list[str] | None = None,
     return plan
 
 
-def impute(df: DataFrame, order_by=None, quantiles: str = "exact") -> tuple[DataFrame, dict]:
+def impute(df: DataFrame, order_by=None, quantiles: str = "auto") -> tuple[DataFrame, dict]:
     plan = fit_impute(df, order_by, quantiles)
     return plan.transform(df), plan.log
 
@@ -352,7 +364,7 @@ class WinsorPlan:
         return spark.createDataFrame(rows, "column string, clipped boolean, lower double, upper double")
 
 
-def fit_winsorize(df: DataFrame, quantiles: str = "exact", range_match: str = "substring",
+def fit_winsorize(df: DataFrame, quantiles: str = "auto", range_match: str = "substring",
                   columns: list[str] | None = None) -> WinsorPlan:
     """A11/A12 fit: quartiles of every numeric column (after the non-negative
     clip for range-named columns) in one aggregate."""
@@ -360,16 +372,16 @@ def fit_winsorize(df: DataFrame, quantiles: str = "exact", range_match: str = "s
     plan = WinsorPlan()
     if not nums:
         return plan
-    aggs = []
-    for i, c in enumerate(nums):
+    exprs = {}
+    for c in nums:
         x = col(c).cast("double")
         if range_rule_applies(c, range_match):
             plan.clip.append(c)
             x = F.when(x < 0, F.lit(0.0)).otherwise(x)
-        aggs.append(quantile_expr(x, [0.25, 0.75], quantiles).alias(f"q{i}"))
-    r = df.agg(*aggs).first()
-    for i, c in enumerate(nums):
-        qs = r[f"q{i}"]
+        exprs[c] = x
+    got = exact_quantiles(df, exprs, [0.25, 0.75], quantiles)
+    for c in nums:
+        qs = got[c]
         if qs is None or qs[0] is None:
             plan.bounds[c] = (None, None)
             continue
@@ -379,12 +391,12 @@ def fit_winsorize(df: DataFrame, quantiles: str = "exact", range_match: str = "s
     return plan
 
 
-def winsorize(df: DataFrame, quantiles: str = "exact", range_match: str = "substring",
+def winsorize(df: DataFrame, quantiles: str = "auto", range_match: str = "substring",
               columns: list[str] | None = None) -> DataFrame:
     return fit_winsorize(df, quantiles, range_match, columns).transform(df)
 
 
-def outlier_bounds(df: DataFrame, quantiles: str = "exact", range_match: str = "substring") -> DataFrame:
+def outlier_bounds(df: DataFrame, quantiles: str = "auto", range_match: str = "substring") -> DataFrame:
     """(column, clipped, lower, upper) of the IQR rule, as a lazy frame."""
     nums = numeric_columns(df)
     parts = []
@@ -425,7 +437,7 @@ class CleanResult:
         return spark.createDataFrame(rows, "phase string, column_action string, justification string")
 
 
-def clean(df: DataFrame, order_by=None, null_text: str = "keep", quantiles: str = "exact",
+def clean(df: DataFrame, order_by=None, null_text: str = "keep", quantiles: str = "auto",
           range_match: str = "substring") -> CleanResult:
     """Names -> dates/text -> duplicates -> missing values -> ranges/outliers."""
     step = standardize_columns(normalize_missing(df))
