@@ -134,23 +134,27 @@ def leaderboard(metrics: DataFrame, task: str, model_order: list[str] | None = N
 
 
 # M2-M6, M11 -------------------------------------------------------------------
+FEATURES, LABEL = "_features", "_label"     # private names: never collide with user columns
+
+
 def _models(task: str, binary: bool):
+    io = {"featuresCol": FEATURES, "labelCol": LABEL}
     if task == "classification":
-        gbt = GBTClassifier(seed=SEED)
-        svc = LinearSVC(maxIter=100)
+        gbt = GBTClassifier(seed=SEED, **io)
+        svc = LinearSVC(maxIter=100, **io)
         return [
-            ("Random Forest", RandomForestClassifier(numTrees=N_TREES, seed=SEED)),
-            ("Gradient-Boosted Trees", gbt if binary else OneVsRest(classifier=gbt)),
-            ("Decision Tree", DecisionTreeClassifier(seed=SEED)),
-            ("Logistic Regression", LogisticRegression(maxIter=LOGREG_MAX_ITER)),
-            ("Linear SVC", svc if binary else OneVsRest(classifier=svc)),
+            ("Random Forest", RandomForestClassifier(numTrees=N_TREES, seed=SEED, **io)),
+            ("Gradient-Boosted Trees", gbt if binary else OneVsRest(classifier=gbt, **io)),
+            ("Decision Tree", DecisionTreeClassifier(seed=SEED, **io)),
+            ("Logistic Regression", LogisticRegression(maxIter=LOGREG_MAX_ITER, **io)),
+            ("Linear SVC", svc if binary else OneVsRest(classifier=svc, **io)),
         ]
     return [
-        ("Random Forest", RandomForestRegressor(numTrees=N_TREES, seed=SEED)),
-        ("Gradient-Boosted Trees", GBTRegressor(seed=SEED)),
-        ("Decision Tree", DecisionTreeRegressor(seed=SEED)),
-        ("Linear Regression", LinearRegression()),
-        ("Huber Regression", LinearRegression(loss="huber")),
+        ("Random Forest", RandomForestRegressor(numTrees=N_TREES, seed=SEED, **io)),
+        ("Gradient-Boosted Trees", GBTRegressor(seed=SEED, **io)),
+        ("Decision Tree", DecisionTreeRegressor(seed=SEED, **io)),
+        ("Linear Regression", LinearRegression(**io)),
+        ("Huber Regression", LinearRegression(loss="huber", **io)),
     ]
 
 
@@ -189,9 +193,9 @@ def sweep(df: DataFrame, target: str, task: str | None = None) -> SweepResult:
     spark = df.sparkSession
     task = task or task_table(df, [target]).first()["task"]
     data, feats = prepare_xy(df, target)
-    assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="error")
+    assembler = VectorAssembler(inputCols=feats, outputCol=FEATURES, handleInvalid="error")
     if task == "classification":
-        idx = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc")
+        idx = StringIndexer(inputCol=target, outputCol=LABEL, stringOrderType="alphabetAsc")
         prep = Pipeline(stages=[idx, assembler]).fit(data)
         binary = len(prep.stages[0].labels) == 2
     else:
@@ -201,8 +205,8 @@ def sweep(df: DataFrame, target: str, task: str | None = None) -> SweepResult:
     h = F.pmod(F.xxhash64(*[col(c) for c in data.columns], F.lit(SEED)), F.lit(100))
     ready = prep.transform(data.withColumn("_h", h))
     if task != "classification":
-        ready = ready.withColumn("label", col(target).cast("double"))
-    ready = ready.select("features", "label", "_h")
+        ready = ready.withColumn(LABEL, col(target).cast("double"))
+    ready = ready.select(FEATURES, LABEL, "_h")
     train = keep(ready.where(F.col("_h") < TRAIN_PCT).drop("_h"))
     test = keep(ready.where(F.col("_h") >= TRAIN_PCT).drop("_h"))
     rows, errors, fitted = [], {}, {}
@@ -215,16 +219,16 @@ def sweep(df: DataFrame, target: str, task: str | None = None) -> SweepResult:
             if task == "classification":
                 if binary and "rawPrediction" in pred.columns:
                     pred = pred.withColumn("_score", vector_to_array("rawPrediction")[1])
-                    m = classification_metrics(pred, "label", "prediction", "_score").first()
+                    m = classification_metrics(pred, LABEL, "prediction", "_score").first()
                 else:
-                    m = classification_metrics(pred, "label", "prediction").first()
+                    m = classification_metrics(pred, LABEL, "prediction").first()
                 rows.append((i, name, float(m["accuracy"]), float(m["f1"]),
                              None if m["roc_auc"] is None else float(m["roc_auc"]), None, None, None, None))
                 val = float(m["f1"])
                 if val > best_val:
                     best, best_val = name, val
             else:
-                m = regression_metrics(pred).first()
+                m = regression_metrics(pred, LABEL, "prediction").first()
                 rows.append((i, name, None, None, None, float(m["rmse"]), float(m["mae"]),
                              float(m["r2"]), None))
                 val = float(m["rmse"])
