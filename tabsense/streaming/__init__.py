@@ -1,0 +1,36 @@
+"""Applying fitted plans to streaming DataFrames.
+
+The reference has no streaming. What carries over is the transform half of
+each fit/transform step: a plan fitted on a bounded table is a pure projection
+(names, date casts, text normalisation, imputation constants, winsor bounds,
+one-hot, z-score) and can be applied to a ``readStream`` frame unchanged.
+Forward/backward fill and label-code joins need the whole ordered table and
+are batch-only.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..functions.types import normalize_missing
+from ..operators import clean as CL
+from ..operators import features as FT
+
+
+def apply_clean(stream: DataFrame, fitted: CL.CleanResult, null_text: str = "keep") -> DataFrame:
+    """Apply a batch-fitted cleaning result to a stream (no dedup, no fill)."""
+    if fitted.impute.ffill:
+        raise ValueError("forward/backward fill needs the whole ordered table; not streamable")
+    s = CL.standardize_columns(normalize_missing(stream))
+    s = CL.cast_dates(s, fitted.date_formats)
+    s = CL.clean_text(s, [c for c, t in s.dtypes if t == "string"], null_text=null_text)
+    s = fitted.impute.transform(s)
+    return fitted.winsor.transform(s)
+
+
+def apply_features(stream: DataFrame, plan: FT.TransformPlan) -> DataFrame:
+    if plan.labels.vocab:
+        raise ValueError("label codes join a vocabulary table; apply them in batch")
+    out = FT.datetime_parts(stream, [c for c in plan.datetime_cols if c in stream.columns])
+    out = plan.onehot.transform(out)
+    out = FT.bool_to_int(out, [c for c in plan.bools if c in out.columns])
+    return plan.scale.transform(out)
