@@ -11,6 +11,9 @@ aggregate) or ``mode`` (an unbounded per-group hash map).
 """
 from __future__ import annotations
 
+import contextlib
+import io
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,23 +24,67 @@ from ..functions.types import (CATEGORICAL, NUMERIC, col, logical_types,
 VF_SCHEMA = "position int, column string, value string, cnt bigint"
 
 
-def frequency_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def frequency_table(df: DataFrame, columns: list[str] | None = None,
+                    layout: str = "auto") -> DataFrame:
     """(position, column, value, cnt) for every distinct value of every column.
 
     NULL is kept as its own value row so that cardinality-with-null and null
-    counts come from the same table."""
+    counts come from the same table. Rows are grouped on a typed key
+    (integral value, fractional value, text) so that numbers are not formatted
+    before the shuffle; values become strings only on the aggregated result.
+    -0.0 and 0.0 are one value (Spark normalises floating grouping keys).
+
+    ``layout="columns"``: one aggregate per column, unioned — each reads only
+    its column from columnar storage (same bytes as one scan in total) and
+    partially aggregates it; fastest when the input is a scan.
+    ``layout="explode"``: one pass that emits (column, value) pairs per row —
+    for inputs whose plan has a shuffle, which the union would recompute once
+    per column. ``"auto"`` picks by the input plan."""
     names = list(df.columns)
     wanted = names if columns is None else list(columns)
     if not wanted:
         return df.sparkSession.createDataFrame([], VF_SCHEMA)
-    entries = [
-        F.struct(F.lit(names.index(c)).alias("position"), F.lit(c).alias("column"),
-                 value_key(df, c).alias("value"))
-        for c in wanted
-    ]
-    return (df.select(F.inline(F.array(*entries)))
-            .groupBy("position", "column", "value")
-            .agg(F.count(F.lit(1)).alias("cnt")))
+    if layout == "auto":
+        layout = "explode" if _has_shuffle(df) else "columns"
+    null_l, null_d, null_s = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
+
+    def key(c):
+        dt = df.schema[c].dataType
+        x = col(c)
+        if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            return x.cast("bigint"), null_d, null_s
+        if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
+            return null_l, x.cast("double"), null_s
+        return null_l, null_d, value_key(df, c)
+
+    if layout == "columns":
+        parts = []
+        for c in wanted:
+            l, d, s_ = key(c)
+            parts.append(df.groupBy(l.alias("l"), d.alias("d"), s_.alias("s"))
+                         .agg(F.count(F.lit(1)).alias("cnt"))
+                         .select(F.lit(names.index(c)).alias("p"), "l", "d", "s", "cnt"))
+        counted = parts[0]
+        for part in parts[1:]:
+            counted = counted.unionByName(part)
+    else:
+        entries = [F.struct(F.lit(names.index(c)).alias("p"), *[e.alias(n) for e, n in zip(key(c), "lds")])
+                   for c in wanted]
+        counted = (df.select(F.inline(F.array(*entries)))
+                   .groupBy("p", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt")))
+    name_of = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("p") + 1)
+    value = F.coalesce(F.col("l").cast("string"), F.col("d").cast("string"), F.col("s"))
+    return counted.select(F.col("p").cast("int").alias("position"), name_of.alias("column"),
+                          value.alias("value"), "cnt")
+
+
+def _has_shuffle(df: DataFrame) -> bool:
+    """True when the physical plan of ``df`` contains an exchange (planning only,
+    no job runs)."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return "Exchange" in buf.getvalue()
 
 
 def _column_meta(df: DataFrame) -> DataFrame:
