@@ -8,6 +8,7 @@ bucketed running sum, RMSE/MAE/R^2 in one aggregate.
 """
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
@@ -188,7 +189,7 @@ class SweepResult:
     models: dict = field(default_factory=dict)
 
 
-def sweep(df: DataFrame, target: str, task: str | None = None) -> SweepResult:
+def sweep(df: DataFrame, target: str, task: str | None = None, parallelism: int = 5) -> SweepResult:
     """Train the five models of the task on the 80 % side, score the 20 % side."""
     spark = df.sparkSession
     task = task or task_table(df, [target]).first()["task"]
@@ -209,10 +210,10 @@ def sweep(df: DataFrame, target: str, task: str | None = None) -> SweepResult:
     ready = ready.select(FEATURES, LABEL, "_h")
     train = keep(ready.where(F.col("_h") < TRAIN_PCT).drop("_h"))
     test = keep(ready.where(F.col("_h") >= TRAIN_PCT).drop("_h"))
-    rows, errors, fitted = [], {}, {}
-    best, best_val = "", (-1.0 if task == "classification" else float("inf"))
-    metric_name = "F1-Score" if task == "classification" else "RMSE"
-    for i, (name, est) in enumerate(_models(task, binary)):
+    models = _models(task, binary)
+
+    def fit_one(item):
+        i, (name, est) = item
         try:
             model = est.fit(train)
             pred = model.transform(test)
@@ -222,22 +223,33 @@ def sweep(df: DataFrame, target: str, task: str | None = None) -> SweepResult:
                     m = classification_metrics(pred, LABEL, "prediction", "_score").first()
                 else:
                     m = classification_metrics(pred, LABEL, "prediction").first()
-                rows.append((i, name, float(m["accuracy"]), float(m["f1"]),
-                             None if m["roc_auc"] is None else float(m["roc_auc"]), None, None, None, None))
-                val = float(m["f1"])
-                if val > best_val:
-                    best, best_val = name, val
+                row = (i, name, float(m["accuracy"]), float(m["f1"]),
+                       None if m["roc_auc"] is None else float(m["roc_auc"]), None, None, None, None)
             else:
                 m = regression_metrics(pred, LABEL, "prediction").first()
-                rows.append((i, name, None, None, None, float(m["rmse"]), float(m["mae"]),
-                             float(m["r2"]), None))
-                val = float(m["rmse"])
-                if val < best_val:
-                    best, best_val = name, val
-            fitted[name] = model
+                row = (i, name, None, None, None, float(m["rmse"]), float(m["mae"]), float(m["r2"]), None)
+            return row, model, None
         except Exception as e:  # one model failing skips that model; the error is recorded
-            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
-            rows.append((i, name, None, None, None, None, None, None, errors[name]))
+            err = f"{type(e).__name__}: {str(e)[:200]}"
+            return (i, name, None, None, None, None, None, None, err), None, err
+
+    # the fits are independent Spark jobs; running them concurrently keeps the
+    # executors busy when one fit alone cannot (as Spark ML tuning's parallelism)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        results = list(pool.map(fit_one, enumerate(models)))
+    rows, errors, fitted = [], {}, {}
+    best, best_val = "", (-1.0 if task == "classification" else float("inf"))
+    metric_name = "F1-Score" if task == "classification" else "RMSE"
+    for row, model, err in results:        # model order: strict improvement, first wins ties
+        rows.append(row)
+        name = row[1]
+        if err:
+            errors[name] = err
+            continue
+        fitted[name] = model
+        val = row[3] if task == "classification" else row[5]
+        if (task == "classification" and val > best_val) or (task != "classification" and val < best_val):
+            best, best_val = name, val
     train.unpersist()
     test.unpersist()
     board = spark.createDataFrame(rows, "model_no int, model string, accuracy double, f1 double, "
