@@ -240,9 +240,9 @@ def modes(df: DataFrame, columns: list[str] | None = None,
 def class_balance(df: DataFrame, column: str) -> DataFrame:
     """(value, cnt, share) of a column's non-null values."""
     vf = frequency_table(df, [column]).where(F.col("value").isNotNull())
-    w = Window.partitionBy("position")
-    return vf.select(F.col("value").alias(column), "cnt",
-                     (F.col("cnt") / F.sum("cnt").over(w)).cast("double").alias("share"))
+    total = df.agg(F.count(col(column)).alias("n")).first()["n"]   # one global aggregate
+    share = (F.col("cnt") / F.lit(float(total))) if total else F.lit(None)
+    return vf.select(F.col("value").alias(column), "cnt", share.cast("double").alias("share"))
 
 
 # ---------------------------------------------------------------------------
