@@ -1,10 +1,16 @@
 """Exact linear-interpolated quantiles with bounded memory.
 
-``percentile`` is exact but keeps a value -> count map that is merged in one
-task for a global aggregate: memory grows with the column's distinct count.
-``exact_quantiles`` keeps it only where the approximate distinct count is
-small (the map size is then bounded) and otherwise runs an exact distributed
-selection:
+``percentile`` is exact but, as a global aggregate, ships one value -> count
+map per input partition to a single final task: with P partitions and d
+distinct values the merge is O(P * d) work in one task. ``exact_quantiles``
+(method "auto") never does that:
+
+* columns whose approximate distinct count is at most ``gather_max`` are
+  counted per value by a distributed aggregate (``groupBy(value).count()``:
+  partial aggregation, shuffle by value; a hot value is one row) and only the
+  (value, count) table — bounded by ``gather_max`` rows per column — is read
+  to get the order statistics;
+* other columns run an exact distributed selection:
 
 1. a quantile sketch restricted to the current value bracket proposes a
    narrower bracket around the wanted ranks;
@@ -25,13 +31,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXACT_MAP_MAX = 1_000_000
 COLLECT_MAX = 200_000
 ACCURACY = 10_000
+FIRST_ACCURACY = 1_000
 
 
 def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
-                    method: str = "auto", exact_map_max: int = EXACT_MAP_MAX,
+                    method: str = "auto",
                     collect_max: int = COLLECT_MAX, accuracy: int = ACCURACY) -> dict[str, list]:
     """{name: [quantile per prob]} (None for an all-null column)."""
     names = list(exprs)
@@ -45,20 +51,75 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
     if method == "exact":
         r = df.agg(*[F.percentile(xs[k], arr).alias(f"q{i}") for i, k in enumerate(names)]).first()
         return {k: _floats(r[f"q{i}"], len(probs)) for i, k in enumerate(names)}
-    st = df.agg(*[F.struct(F.count(xs[k]), F.approx_count_distinct(xs[k])).alias(f"s{i}")
-                  for i, k in enumerate(names)]).first()
+    first = FIRST_ACCURACY            # a coarse first sketch is cheap and brackets ~n / 250 rows
+    eps = 2.0 / first
+    sk = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
+    # pass 1: non-null count and a first sketch bracket for every target
+    st = df.agg(*[F.struct(F.count(xs[k]),
+                           F.percentile_approx(xs[k], F.array(*[F.lit(q) for q in sk]), first))
+                  .alias(f"s{i}") for i, k in enumerate(names)]).first()
     counts = {k: st[f"s{i}"][0] for i, k in enumerate(names)}
-    small = [k for i, k in enumerate(names) if st[f"s{i}"][1] <= exact_map_max]
-    big = [k for k in names if k not in small]
-    out: dict[str, list] = {}
-    if small:
-        r = df.agg(*[F.percentile(xs[k], arr).alias(f"q{i}") for i, k in enumerate(small)]).first()
-        out.update({k: _floats(r[f"q{i}"], len(probs)) for i, k in enumerate(small)})
-    if big:
-        out.update(_select(df, xs, big, counts, probs, collect_max, accuracy))
+    targets = []
+    for i, k in enumerate(names):
+        n = counts[k]
+        if not n:
+            continue
+        sketch = dict(zip(sk, [float(v) for v in st[f"s{i}"][1]]))
+        for pi, p in enumerate(probs):
+            h = (n - 1) * p
+            k0 = int(math.floor(h))
+            targets.append({"k": k, "pi": pi, "k0": k0, "k1": min(k0 + 1, n - 1), "frac": h - k0,
+                            "lo": sketch[min(1.0, max(0.0, p - eps))],
+                            "hi": sketch[min(1.0, max(0.0, p + eps))]})
+    # brackets hold ~4n/first rows (fewer distinct values; a hot value is one row)
+    direct = [t for t in targets if counts[t["k"]] * 4 * eps <= collect_max]
+    # pass 2: rows below each bracket (one aggregate for all targets) and the
+    # (value, count) pairs inside each bracket (one scan emitting only in-bracket
+    # values, grouped by target and value)
+    got: dict[tuple, list] = {}
+    if direct:
+        below = df.agg(*[F.count_if(xs[t["k"]] < F.lit(t["lo"])).alias(f"b{j}")
+                         for j, t in enumerate(direct)]).first()
+        entries = [F.when((xs[t["k"]] >= F.lit(t["lo"])) & (xs[t["k"]] <= F.lit(t["hi"])),
+                          F.struct(F.lit(j).alias("j"), xs[t["k"]].alias("v")))
+                   for j, t in enumerate(direct)]
+        rows = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+                .groupBy(F.col("e.j").alias("j"), F.col("e.v").alias("v")).count().collect())
+        for j in range(len(direct)):
+            got[("b", j)] = [(None, below[f"b{j}"])]
+        for row in rows:                 # bounded: ~collect_max (value, count) rows per target
+            got.setdefault(("g", row["j"]), []).append((row["v"], row["count"]))
+    out: dict[str, list] = {k: [None] * len(probs) for k in names}
+    retry = [t for t in targets if t not in direct]
+    for j, t in enumerate(direct):
+        below = got.get(("b", j), [(None, 0)])[0][1]
+        vals = sorted(got.get(("g", j), []))
+        inside = sum(c for _, c in vals)
+        if below <= t["k0"] and below + inside - 1 >= t["k1"]:
+            v0, v1 = _at(vals, t["k0"] - below), _at(vals, t["k1"] - below)
+            out[t["k"]][t["pi"]] = v0 + t["frac"] * (v1 - v0)
+        else:                            # the sketch missed (or n is huge): narrow exactly
+            retry.append(t)
+    if retry:
+        res = _select(df, xs, sorted({t["k"] for t in retry}), counts, probs, collect_max, accuracy)
+        for t in retry:
+            out[t["k"]][t["pi"]] = res[t["k"]][t["pi"]]
     return {k: out[k] for k in names}
 
 
+def _stats(vals, n, probs):
+    res = []
+    for p in probs:
+        if not n:
+            res.append(None)
+            continue
+        h = (n - 1) * p
+        k0 = int(math.floor(h))
+        v0, v1 = _at(vals, k0), _at(vals, min(k0 + 1, n - 1))
+        res.append(v0 + (h - k0) * (v1 - v0))
+    return res
+
+
 def _floats(v, n):
     return [None] * n if v is None else [None if x is None else float(x) for x in v]
 

@@ -149,14 +149,27 @@ def clean_text(df: DataFrame, columns: list[str] | None = None,
 # ---------------------------------------------------------------------------
 # A6 duplicates
 
+def _dedup(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(persisted grouped frame, deduplicated rows, rows removed).
+
+    One aggregate over all columns with a per-group row count (partial
+    aggregation collapses copies of a hot row inside each map task); the
+    persisted result gives both counts and the deduplicated rows, so the input
+    is read once."""
+    norm = normalize_missing(df)
+    if not norm.columns:
+        return norm, norm, 0
+    n = "__tabsense_copies"
+    grouped = keep(norm.groupBy(*[col(c) for c in norm.columns]).agg(F.count(F.lit(1)).alias(n)))
+    r = grouped.agg(F.sum(n).alias("before"), F.count(F.lit(1)).alias("after")).first()
+    return grouped, grouped.drop(n), (r["before"] or 0) - r["after"]
+
+
 def remove_duplicates(df: DataFrame) -> tuple[DataFrame, int]:
     """Drop identical rows (NaN and NULL are one missing value). Returns the
-    deduplicated (persisted) frame and the number of rows removed."""
-    norm = normalize_missing(df)
-    before = norm.count()
-    dedup = keep(norm.dropDuplicates())
-    after = dedup.count()
-    return dedup, before - after
+    deduplicated frame (backed by a persisted aggregate) and the rows removed."""
+    _, dedup, removed = _dedup(df)
+    return dedup, removed
 
 
 # ---------------------------------------------------------------------------
@@ -426,6 +439,12 @@ class CleanResult:
     date_formats: dict[str, str | None]
     impute: ImputePlan
     winsor: WinsorPlan
+    cached: DataFrame | None = None
+
+    def release(self) -> None:
+        """Unpersist the deduplicated frame the cleaned plan reads from."""
+        if self.cached is not None:
+            self.cached.unpersist()
 
     def decisions(self, spark) -> DataFrame:
         """(phase, column_action, justification)."""
@@ -450,12 +469,12 @@ def clean(df: DataFrame, order_by=None, null_text: str = "keep", quantiles: str
     formats = detect_dates(step)
     step = cast_dates(step, formats)
     step = clean_text(step, [c for c in text_columns(step)], null_text=null_text)
-    step, removed = remove_duplicates(step)
+    cached, step, removed = _dedup(step)
     iplan = fit_impute(step, order, quantiles)
     step = iplan.transform(step)
     wplan = fit_winsorize(step, quantiles, range_match)
     step = wplan.transform(step)
-    return CleanResult(step, dict(iplan.log), removed, formats, iplan, wplan)
+    return CleanResult(step, dict(iplan.log), removed, formats, iplan, wplan, cached)
 
 
 def impute_decisions(df: DataFrame, order_by=None) -> DataFrame:

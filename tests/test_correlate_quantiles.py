@@ -32,5 +32,5 @@ def test_selection_equals_percentile(spark):
     df = spark.createDataFrame(vals, "v double").repartition(6)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     exact = exact_quantiles(df, {"v": F.col("v")}, probs, "exact")
-    sel = exact_quantiles(df, {"v": F.col("v")}, probs, "auto", exact_map_max=0, collect_max=50, accuracy=100)
+    sel = exact_quantiles(df, {"v": F.col("v")}, probs, "auto", collect_max=50, accuracy=100)
     assert exact == sel
