@@ -39,6 +39,7 @@ def queries(s, d):
         "schema_profile": lambda: P.profile_schema(li()),
         "profile_count_distinct": lambda: P.profile_schema_count_distinct(li()),
         "health_score": lambda: P.health_components(li()),
+        "winsorize_auto": lambda: CL.winsorize(li()),
         "winsorize_exact": lambda: CL.winsorize(li(), quantiles="exact"),
         "winsorize_approx": lambda: CL.winsorize(li(), quantiles="approx"),
         "clean_lineitem": lambda: CL.clean(li()).df,

@@ -20,8 +20,11 @@ STRIP_PATTERN = f"^{WS_CLASS}+|{WS_CLASS}+$"
 
 
 def strip_ws(c: Column) -> Column:
-    """Remove leading/trailing whitespace (Unicode, as Python's strip)."""
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    """Remove leading/trailing whitespace (Unicode, as Python's strip).
+
+    ``btrim`` with an explicit character set: same result as the regex
+    ``STRIP_PATTERN`` and several times faster (no regex engine per value)."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def normalize_text(c: Column) -> Column:
