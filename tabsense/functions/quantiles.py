@@ -198,3 +198,47 @@ def _at(vals, rank):
         if rank < seen:
             return float(v)
     raise RuntimeError("rank outside the gathered bracket")
+
+
+def grouped_quantiles(df: DataFrame, groups: list[str], value: Column, probs: list[float],
+                      names: list[str] | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``value`` per group, as a lazy frame
+    (group columns, one column per prob, and ``n``).
+
+    Fully distributed: per-(group, value) counts (partial aggregation; copies of
+    a hot value collapse map-side), a running count over values per group
+    computed per value-range bucket (``running_sum``; a group with many
+    distinct values spreads over many tasks), then only the rows whose count
+    range covers a wanted rank are kept and combined per group."""
+    from .windows import running_sum
+
+    names = names or [f"q{i}" for i in range(len(probs))]
+    g = [F.col(c) for c in groups]
+    vc = (df.where(value.isNotNull()).groupBy(*g, value.cast("double").alias("_v"))
+          .agg(F.count(F.lit(1)).alias("_c")))
+    n = vc.groupBy(*g).agg(F.sum("_c").alias("_n"))
+    cum = running_sum(vc, "_c", "_v", groups or None, out="_cum")
+    j = cum.join(n, groups, "left") if groups else cum.select("*", F.lit(None).alias("_n_")).drop("_n_")
+    if not groups:
+        total = n.first()
+        j = cum.withColumn("_n", F.lit(total["_n"] if total else 0))
+    ranks, outs = [], []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        k0 = F.floor(h)
+        k1 = F.least(k0 + 1, F.col("_n") - 1)
+        lo = F.col("_cum") - F.col("_c")                 # rank of the first copy of this value
+        covers = lambda k: (lo <= k) & (k < F.col("_cum"))
+        ranks += [F.when(covers(k0), F.col("_v")).alias(f"_a{i}"), F.when(covers(k1), F.col("_v")).alias(f"_b{i}"),
+                  (h - k0).alias(f"_f{i}")]
+    picked = j.select(*g, "_n", *ranks)
+    keep_row = None
+    for i in range(len(probs)):
+        c = F.col(f"_a{i}").isNotNull() | F.col(f"_b{i}").isNotNull()
+        keep_row = c if keep_row is None else (keep_row | c)
+    agg = picked.where(keep_row).groupBy(*g).agg(
+        F.max("_n").alias("n"),
+        *[x for i in range(len(probs)) for x in (F.min(f"_a{i}").alias(f"_a{i}"), F.min(f"_b{i}").alias(f"_b{i}"),
+                                                 F.max(f"_f{i}").alias(f"_f{i}"))])
+    return agg.select(*g, *[(F.col(f"_a{i}") + F.col(f"_f{i}") * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(names[i])
+                            for i in range(len(probs))], "n")

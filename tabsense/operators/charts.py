@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.types import NUMERIC, col, logical_types, normalize_missing
+from ..functions.quantiles import grouped_quantiles
 from ..functions.windows import running_sum
 
 BINS = 20              # fixed values: histogram/violin bins, IQR whisker factor
@@ -153,10 +154,9 @@ def box(df: DataFrame, y: str, group: str | None = None) -> DataFrame:
     box), outlier count and n, per group."""
     g = _groups(group)
     v = col(y).cast("double")
-    qs = df.where(v.isNotNull()).groupBy(*g).agg(
-        F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    qs = qs.select(*g, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                   F.col("_q")[2].alias("q3"))
+    # exact per-group quartiles, fully distributed (no per-group value map merge)
+    qs = grouped_quantiles(df, [group] if group else [], v, [0.25, 0.5, 0.75],
+                           ["q1", "median", "q3"]).drop("n")
     if group:
         j = df.where(v.isNotNull()).join(qs, group)
     else:

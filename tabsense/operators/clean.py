@@ -410,22 +410,8 @@ def winsorize(df: DataFrame, quantiles: str = "auto", range_match: str = "substr
 
 
 def outlier_bounds(df: DataFrame, quantiles: str = "auto", range_match: str = "substring") -> DataFrame:
-    """(column, clipped, lower, upper) of the IQR rule, as a lazy frame."""
-    nums = numeric_columns(df)
-    parts = []
-    for c in nums:
-        x = col(c).cast("double")
-        clip = range_rule_applies(c, range_match)
-        if clip:
-            x = F.when(x < 0, F.lit(0.0)).otherwise(x)
-        qq = df.agg(quantile_expr(x, [0.25, 0.75], quantiles).alias("q"))
-        parts.append(qq.select(F.lit(c).alias("column"), F.lit(clip).alias("clipped"),
-                               (F.col("q")[0] - IQR_K * (F.col("q")[1] - F.col("q")[0])).alias("lower"),
-                               (F.col("q")[1] + IQR_K * (F.col("q")[1] - F.col("q")[0])).alias("upper")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(column, clipped, lower, upper) of the IQR rule (the fitted bounds as a frame)."""
+    return fit_winsorize(df, quantiles, range_match).bounds_frame(df.sparkSession)
 
 
 # ---------------------------------------------------------------------------

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.types import (CATEGORICAL, NUMERIC, col, logical_types,
                                normalize_missing, numeric_columns, value_key)
 
@@ -249,16 +250,22 @@ def class_balance(df: DataFrame, column: str) -> DataFrame:
 # numeric and categorical statistics
 
 def numeric_stats(df: DataFrame, columns: list[str] | None = None,
-                  quantiles: str = "exact") -> DataFrame:
+                  quantiles: str = "auto") -> DataFrame:
     """One row per numeric column: count, mean, median, std (sample), min, max,
-    skewness (bias-corrected G1), null_count, unique_values, q25, q75.
+    skewness (bias-corrected G1), null_count, q25, q75.
 
-    All columns are computed in one global aggregate (partial aggregation per
-    task, so there is no shuffle of the data); results are unpivoted."""
+    Moments of all columns come from one global aggregate (partial aggregation
+    per task, no shuffle of the data). Quartiles: ``"auto"`` computes them
+    exactly up front with the two-pass selection of ``exact_quantiles`` and
+    attaches them as literals; ``"exact"`` uses Spark's ``percentile`` inside
+    the aggregate; ``"approx"`` the sketch."""
     df = normalize_missing(df)
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return df.sparkSession.createDataFrame([], NUMERIC_STATS_SCHEMA)
+    pre = None
+    if quantiles == "auto":
+        pre = exact_quantiles(df, {c: col(c) for c in columns}, [0.25, 0.5, 0.75], "auto")
     aggs = []
     for i, c in enumerate(columns):
         x = col(c).cast("double")
@@ -268,7 +275,8 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None,
             F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
             F.skewness(x).alias(f"g1{i}"),
             F.count(F.lit(1)).alias(f"rows{i}"),
-            quantile_expr(x, [0.25, 0.5, 0.75], quantiles).alias(f"q{i}"),
+            (F.array(*[F.lit(v).cast("double") for v in pre[c]]) if pre is not None
+             else quantile_expr(x, [0.25, 0.5, 0.75], quantiles)).alias(f"q{i}"),
         ]
     wide = df.agg(*aggs)
     rows = []
@@ -308,7 +316,7 @@ def quantile_expr(x: Column, probs: list[float], method: str = "exact",
     return F.percentile(x, arr)
 
 
-def distribution_stats(df: DataFrame, column: str, quantiles: str = "exact") -> DataFrame:
+def distribution_stats(df: DataFrame, column: str, quantiles: str = "auto") -> DataFrame:
     """P8 for one numeric column, with unique_values, values rounded to 4."""
     s = numeric_stats(df, [column], quantiles)
     u = frequency_table(df, [column]).agg(F.count("value").alias("unique_values"))
@@ -372,7 +380,7 @@ def column_stats(df: DataFrame) -> DataFrame:
                        F.col("distinct_nonnull").alias("unique_count"))
 
 
-def describe_columns(df: DataFrame, quantiles: str = "exact") -> DataFrame:
+def describe_columns(df: DataFrame, quantiles: str = "auto") -> DataFrame:
     """One sentence per column from its statistics.
 
     numeric: mean/median/std/range/n to 2 decimals; categorical: distinct count,

@@ -14,6 +14,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import grouped_quantiles
 from ..functions.types import CATEGORICAL, NUMERIC, col, logical_types
 
 # Aggregate names accepted in a spec and what they compute.
@@ -57,6 +58,32 @@ def _check_cols(df: DataFrame, names: list[str]) -> None:
         raise QueryError(f"unknown columns {missing}")
 
 
+def _grouped(df: DataFrame, keys: list[tuple[str, Column]], spec: QuerySpec) -> DataFrame:
+    """Group-by aggregate over (output name, key expression) pairs. Medians are
+    computed exactly and fully distributed by ``grouped_quantiles`` (no
+    per-group value map merged in one task) and joined to the other aggregates
+    on the group keys (NULL-safe)."""
+    items = [list(i) for i in (spec.aggregations or [["*", "count", "count"]])]
+    medians = [i for i in items if i[1] == "median"]
+    if not medians:
+        return df.groupBy(*[e.alias(n) for n, e in keys]).agg(*_aggs(spec, df))
+    tmp = [f"_g{i}" for i in range(len(keys))]
+    keyed = df.select("*", *[e.alias(t) for (_, e), t in zip(keys, tmp)])
+    others = [i for i in items if i[1] != "median"]
+    out = keyed.groupBy(*tmp).agg(*(_aggs(QuerySpec(aggregations=others), keyed) if others
+                                     else [F.count(F.lit(1)).alias("_n")]))
+    for item in medians:
+        c = item[0]
+        _check_cols(df, [c])
+        name = item[2] if len(item) > 2 else f"median_{c}"
+        med = (grouped_quantiles(keyed, tmp, col(c), [0.5], [name]).drop("n")
+               .select(*[F.col(t).alias(t + "_m") for t in tmp], name))
+        out = out.join(med, [F.col(t).eqNullSafe(F.col(t + "_m")) for t in tmp], "left") \
+                 .drop(*[t + "_m" for t in tmp])
+    names = [i[2] if len(i) > 2 else f"{i[1]}_{i[0]}" for i in items]
+    return out.select(*[F.col(t).alias(n) for (n, _), t in zip(keys, tmp)], *[F.col(n) for n in names])
+
+
 def _aggs(spec: QuerySpec, df: DataFrame) -> list[Column]:
     out = []
     for item in spec.aggregations or [["*", "count", "count"]]:
@@ -106,8 +133,8 @@ def _build(df: DataFrame, spec: QuerySpec) -> DataFrame:
         if unit not in RESAMPLE_UNITS:
             raise QueryError(f"unknown resample unit {unit}")
         _check_cols(out, [r["time"]])
-        keys = [F.date_trunc(unit, col(r["time"])).alias(r["time"])] + [col(g) for g in (spec.group_by or [])]
-        out = out.groupBy(*keys).agg(*_aggs(spec, out))
+        keys = [(r["time"], F.date_trunc(unit, col(r["time"])))] + [(g, col(g)) for g in (spec.group_by or [])]
+        out = _grouped(out, keys, spec)
     elif spec.pivot:
         p = spec.pivot
         _check_cols(out, [p["column"]] + list(spec.group_by or []))
@@ -116,7 +143,7 @@ def _build(df: DataFrame, spec: QuerySpec) -> DataFrame:
         out = g.agg(*_aggs(spec, out))
     elif spec.group_by is not None or spec.aggregations:
         _check_cols(out, list(spec.group_by or []))
-        out = out.groupBy(*[col(c) for c in spec.group_by or []]).agg(*_aggs(spec, out))
+        out = _grouped(out, [(c, col(c)) for c in spec.group_by or []], spec)
     if spec.select:
         out = out.select(*[col(c) if c in out.columns else F.expr(c) for c in spec.select])
     if spec.order_by:
