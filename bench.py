@@ -20,6 +20,7 @@ from tabsense.operators import correlate as CR  # noqa: E402
 from tabsense.operators import features as FT  # noqa: E402
 from tabsense.operators import ml as ML  # noqa: E402
 from tabsense.operators import profile as P  # noqa: E402
+from tabsense.plans.automatic import run_pipeline  # noqa: E402
 from tabsense.plans.variants import table  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -48,6 +49,7 @@ def queries(s, d):
         "correlation_matrix": lambda: CR.correlation_matrix(li()),
         "ffill_single_task": lambda: CL.fill_forward_backward(ev(), ["ts", "value"], "event_id", method="window"),
         "ffill_partitioned": lambda: CL.fill_forward_backward(ev(), ["ts", "value"], "event_id"),
+        "auto_run_events": lambda: run_pipeline(ev(), order_by="event_id").transformed,
         "ml_regression": lambda: ML.sweep(table(s, d, "part"), "p_retailprice", task="regression").leaderboard,
         "ml_classification": lambda: ML.sweep(FT.transform(table(s, d, "labels").drop("doc_id"), target="toxic"),
                                               "toxic").leaderboard,

@@ -10,6 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import keep
 
 from ..functions.types import CATEGORICAL, NUMERIC, normalize_missing
 from ..operators import clean as CL
@@ -38,6 +41,13 @@ class PipelineResult:
     cleaning: CL.CleanResult
     audit_rows: list[tuple] = field(default_factory=list)
     ml: ML.SweepResult | None = None
+    cached: list = field(default_factory=list)
+
+    def release(self) -> None:
+        """Unpersist the frames cached during the run (frequency table, dedup)."""
+        for c in self.cached:
+            c.unpersist()
+        self.cleaning.release()
 
     @property
     def spark(self) -> SparkSession:
@@ -86,21 +96,31 @@ class PipelineResult:
 def run_pipeline(df: DataFrame, target: str | None = None, order_by=None, source: str = "table",
                  null_text: str = "keep", quantiles: str = "exact") -> PipelineResult:
     audit = []
-    rows = df.count()
+    df = normalize_missing(df)
+    # one frequency table of the raw input feeds the filter, the health score,
+    # the profile and the target choice; the filter only drops columns, so the
+    # filtered table is a subset of it (positions renumbered)
+    vf_raw = keep(P.frequency_table(df))
+    raw_summary = P.column_summary(df, vf_raw)
+    raw_rows = raw_summary.collect()                      # one row per column
+    rows = raw_rows[0]["n_rows"] if raw_rows else 0
     audit.append((1, "Data Received", f"'{source}' received (Spark DataFrame)", OK))
     audit.append((2, "Format Parsing", f"Table read ({rows} rows × {len(df.columns)} cols)", OK))
-    df = normalize_missing(df)
-    ff = SL.fit_feature_filter(df)
+    ff = SL.fit_feature_filter(df, raw_summary)
     # an explicit order key is kept for ordering even when it looks like an ID
     for k in ([order_by] if isinstance(order_by, str) else list(order_by or [])):
         ff.drops.pop(k, None)
     filtered = ff.transform(df)
+    kept = {c: i for i, c in enumerate(filtered.columns)}
+    renumber = F.create_map(*[x for c, i in kept.items() for x in (F.lit(c), F.lit(i))]) if kept else None
+    vf = (vf_raw.where(F.col("column").isin(list(kept)))
+          .withColumn("position", renumber[F.col("column")].cast("int"))) if kept else vf_raw.limit(0)
     audit.append((3, "Primary Key & Zero-Variance Filter",
                   f"{len(ff.drops)} uninformative column(s) removed (ID fields, zero-variance)", OK))
-    health = P.health_components(filtered).first()["health_score"]
+    health = P.health_components(filtered, vf).first()["health_score"]
     audit.append((4, "Dataset Health Scoring", f"Health score computed: {health}/100", OK))
-    summary = P.column_summary(filtered).collect()       # one row per column
-    profile = P.profile_schema(filtered)
+    summary = P.column_summary(filtered, vf).collect()   # one row per column
+    profile = P.profile_schema(filtered, vf)
     audit.append((5, "Schema Inference",
                   f"Column types, null %, and cardinality computed for {len(summary)} features", OK))
     tgt = target or TG.suggest_target(filtered.columns)
@@ -146,4 +166,4 @@ def run_pipeline(df: DataFrame, target: str | None = None, order_by=None, source
     audit.append((15, "Dataset Ready for ML",
                    f"Final transformed dataset: {clean_rows} rows × {len(transformed.columns)} features", OK))
     return PipelineResult(df, filtered, clean_df, transformed, dict(ff.drops), float(health), profile,
-                          P.profile_schema(clean_df), context, cres, audit)
+                          P.profile_schema(clean_df), context, cres, audit, cached=[vf_raw])
