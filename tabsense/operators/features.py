@@ -45,11 +45,12 @@ class OneHot:
         return df.select(*out)
 
 
-def fit_one_hot(df: DataFrame, columns: list[str]) -> OneHot:
+def fit_one_hot(df: DataFrame, columns: list[str], vf: DataFrame | None = None) -> OneHot:
     """Vocabularies from one frequency-table job (each at most ONE_HOT_MAX values)."""
     if not columns:
         return OneHot()
-    vf = frequency_table(df, columns).where(F.col("value").isNotNull())
+    vf = frequency_table(df, columns) if vf is None else vf.where(F.col("column").isin(columns))
+    vf = vf.where(F.col("value").isNotNull())
     rows = vf.select("column", "value").collect()   # <= 10 values per column by construction
     vocab = {c: [] for c in columns}
     for r in rows:
@@ -183,7 +184,7 @@ class TransformPlan:
 
 
 def fit_transform_plan(df: DataFrame, profile_rows: list | None = None,
-                       target: str | None = None) -> TransformPlan:
+                       target: str | None = None, vf: DataFrame | None = None) -> TransformPlan:
     """T1-T5 from the profile of ``df``: datetime -> parts; categorical with
     cardinality <= 10 -> one-hot, above -> label codes; boolean -> 0/1;
     schema-numeric columns -> z-score (derived columns are not scaled).
@@ -200,7 +201,7 @@ def fit_transform_plan(df: DataFrame, profile_rows: list | None = None,
     bools = [c for c in df.columns if info[c]["dtype"] == BOOLEAN and c != target]
     nums = [c for c in df.columns if info[c]["dtype"] == NUMERIC and c != target]
     return TransformPlan(
-        dts, fit_one_hot(df, oh),
+        dts, fit_one_hot(df, oh, vf),
         fit_label_encoder(df, lab, {c: info[c]["cardinality"] for c in lab}),
         bools, fit_zscore(df, nums), target)
 

@@ -146,8 +146,11 @@ def run_pipeline(df: DataFrame, target: str | None = None, order_by=None, source
                    f"{len(imputed)} column(s) imputed (Mean/Median/Mode), {len(dropped)} column(s) dropped (>30% missing)", OK))
     audit.append((11, "Outlier Winsorization (IQR)",
                    "IQR-based clipping applied on all numeric columns; domain-specific ranges enforced (age, salary, price, amount)", OK))
-    clean_df = cres.df
-    clean_summary = P.column_summary(clean_df).collect()
+    # the cleaned frame feeds the re-profile, every transform fit and the output:
+    # persist it once (its plan holds the dedup and, with an order key, the fill)
+    clean_df = keep(cres.df)
+    vf_clean = keep(P.frequency_table(clean_df, layout="columns"))
+    clean_summary = P.column_summary(clean_df, vf_clean).collect()
     clean_rows = clean_summary[0]["n_rows"] if clean_summary else 0
     audit.append((12, "Post-Cleaning Schema Re-inference",
                   f"Updated schema inferred on cleaned dataset ({clean_rows} rows × {len(clean_df.columns)} cols)", OK))
@@ -157,7 +160,8 @@ def run_pipeline(df: DataFrame, target: str | None = None, order_by=None, source
     if true_target in clean_df.columns:
         context["target_variable"] = true_target
     plan = FT.fit_transform_plan(clean_df, clean_summary,
-                                 target=true_target if true_target in clean_df.columns else None)
+                                 target=true_target if true_target in clean_df.columns else None,
+                                 vf=vf_clean)
     transformed = plan.transform(clean_df)
     n_cat = sum(1 for r in clean_summary if r["dtype"] == CATEGORICAL)
     n_num = sum(1 for r in clean_summary if r["dtype"] == NUMERIC and r["column"] != true_target)
@@ -166,4 +170,5 @@ def run_pipeline(df: DataFrame, target: str | None = None, order_by=None, source
     audit.append((15, "Dataset Ready for ML",
                    f"Final transformed dataset: {clean_rows} rows × {len(transformed.columns)} features", OK))
     return PipelineResult(df, filtered, clean_df, transformed, dict(ff.drops), float(health), profile,
-                          P.profile_schema(clean_df), context, cres, audit, cached=[vf_raw])
+                          P.profile_schema(clean_df, vf_clean), context, cres, audit,
+                          cached=[vf_raw, vf_clean, clean_df])
