@@ -34,3 +34,31 @@ def test_selection_equals_percentile(spark):
     exact = exact_quantiles(df, {"v": F.col("v")}, probs, "exact")
     sel = exact_quantiles(df, {"v": F.col("v")}, probs, "auto", collect_max=50, accuracy=100)
     assert exact == sel
+
+
+def test_grouped_quantiles_hot_group(spark):
+    from tabsense.functions.quantiles import grouped_quantiles
+    rnd = random.Random(11)
+    rows = [("hot" if i % 3 == 0 else f"g{i % 7}", float(rnd.randint(0, 400)) if i % 5 else None)
+            for i in range(6000)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))]
+           for r in grouped_quantiles(df, ["g"], F.col("v"), probs).collect()}
+    want = {r["g"]: [r[f"p{i}"] for i in range(len(probs))]
+            for r in df.groupBy("g").agg(*[F.percentile("v", p).alias(f"p{i}") for i, p in enumerate(probs)]).collect()}
+    assert set(got) == set(want)
+    for g in want:
+        assert got[g] == pytest.approx(want[g], abs=1e-9)
+
+
+def test_query_median_matches_percentile(spark):
+    from tabsense.operators.query import run_query
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    got = {r["l_returnflag"]: (r["m"], r["n"]) for r in run_query(df, {
+        "group_by": ["l_returnflag"], "aggregations": [["l_extendedprice", "median", "m"], ["*", "count", "n"]]}).collect()}
+    want = {r["l_returnflag"]: (r["m"], r["n"]) for r in df.groupBy("l_returnflag").agg(
+        F.percentile("l_extendedprice", 0.5).alias("m"), F.count("*").alias("n")).collect()}
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k][0] == pytest.approx(want[k][0]) and got[k][1] == want[k][1]
