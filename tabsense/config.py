@@ -58,3 +58,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Persist a frame that several fit jobs read (recomputable from lineage)."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+AGG_CHUNK = 256   # aggregate expressions per job: keeps generated code and plans small
+
+
+def agg_row(df: DataFrame, exprs: list) -> dict:
+    """Evaluate many named aggregate expressions as global aggregates and return
+    one merged dict. Wide frames are split into several jobs of at most
+    ``AGG_CHUNK`` expressions, so a 1,000-column table never builds one giant
+    aggregate (slow planning, code too large to compile)."""
+    out: dict = {}
+    for i in range(0, len(exprs), AGG_CHUNK):
+        row = df.agg(*exprs[i:i + AGG_CHUNK]).first()
+        out.update(row.asDict(recursive=False) if row is not None else {})
+    return out

@@ -31,9 +31,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import agg_row
+
 COLLECT_MAX = 200_000
 ACCURACY = 10_000
 FIRST_ACCURACY = 1_000
+WIDE = 32          # above this many columns the passes run on the long form (column, value)
 
 
 def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
@@ -46,18 +49,20 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
     xs = {k: exprs[k].cast("double") for k in names}
     arr = F.array(*[F.lit(float(p)) for p in probs])
     if method == "approx":
-        r = df.agg(*[F.percentile_approx(xs[k], arr, accuracy).alias(f"q{i}") for i, k in enumerate(names)]).first()
+        r = agg_row(df, [F.percentile_approx(xs[k], arr, accuracy).alias(f"q{i}") for i, k in enumerate(names)])
         return {k: _floats(r[f"q{i}"], len(probs)) for i, k in enumerate(names)}
     if method == "exact":
-        r = df.agg(*[F.percentile(xs[k], arr).alias(f"q{i}") for i, k in enumerate(names)]).first()
+        r = agg_row(df, [F.percentile(xs[k], arr).alias(f"q{i}") for i, k in enumerate(names)])
         return {k: _floats(r[f"q{i}"], len(probs)) for i, k in enumerate(names)}
+    if len(names) > WIDE:
+        return _long_form(df, xs, names, probs, collect_max, accuracy)
     first = FIRST_ACCURACY            # a coarse first sketch is cheap and brackets ~n / 250 rows
     eps = 2.0 / first
     sk = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
     # pass 1: non-null count and a first sketch bracket for every target
-    st = df.agg(*[F.struct(F.count(xs[k]),
-                           F.percentile_approx(xs[k], F.array(*[F.lit(q) for q in sk]), first))
-                  .alias(f"s{i}") for i, k in enumerate(names)]).first()
+    st = agg_row(df, [F.struct(F.count(xs[k]),
+                               F.percentile_approx(xs[k], F.array(*[F.lit(q) for q in sk]), first))
+                      .alias(f"s{i}") for i, k in enumerate(names)])
     counts = {k: st[f"s{i}"][0] for i, k in enumerate(names)}
     targets = []
     for i, k in enumerate(names):
@@ -78,8 +83,8 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
     # values, grouped by target and value)
     got: dict[tuple, list] = {}
     if direct:
-        below = df.agg(*[F.count_if(xs[t["k"]] < F.lit(t["lo"])).alias(f"b{j}")
-                         for j, t in enumerate(direct)]).first()
+        below = agg_row(df, [F.count_if(xs[t["k"]] < F.lit(t["lo"])).alias(f"b{j}")
+                             for j, t in enumerate(direct)])
         entries = [F.when((xs[t["k"]] >= F.lit(t["lo"])) & (xs[t["k"]] <= F.lit(t["hi"])),
                           F.struct(F.lit(j).alias("j"), xs[t["k"]].alias("v")))
                    for j, t in enumerate(direct)]
@@ -107,6 +112,66 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
     return {k: out[k] for k in names}
 
 
+def _long_form(df, xs, names, probs, collect_max, accuracy):
+    """The same two passes for wide inputs, on the long form: each row emits
+    (column index, value) entries and every aggregate is grouped by the column
+    index, so the number of expressions does not grow with the width. Brackets
+    per column are looked up from small literal maps keyed by column index."""
+    first = FIRST_ACCURACY
+    eps = 2.0 / first
+    sk = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("p"), xs[k].alias("v"))
+                                        for i, k in enumerate(names)]))).where(F.col("v").isNotNull())
+    st = {r["p"]: r for r in long.groupBy("p").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("v", F.array(*[F.lit(q) for q in sk]), first).alias("s")).collect()}
+    counts = {k: (st[i]["n"] if i in st else 0) for i, k in enumerate(names)}
+    targets = {}
+    for i, k in enumerate(names):
+        n = counts[k]
+        if not n:
+            continue
+        sketch = dict(zip(sk, [float(v) for v in st[i]["s"]]))
+        for pi, p in enumerate(probs):
+            h = (n - 1) * p
+            k0 = int(math.floor(h))
+            targets[(i, pi)] = {"k": k, "pi": pi, "k0": k0, "k1": min(k0 + 1, n - 1), "frac": h - k0,
+                                "lo": sketch[min(1.0, max(0.0, p - eps))],
+                                "hi": sketch[min(1.0, max(0.0, p + eps))]}
+    direct = {key: t for key, t in targets.items() if counts[t["k"]] * 4 * eps <= collect_max}
+    out: dict[str, list] = {k: [None] * len(probs) for k in names}
+    retry = [t for key, t in targets.items() if key not in direct]
+    if direct:
+        def bound(which, pi):
+            m = F.create_map(*[x for (i, q), t in direct.items() if q == pi
+                               for x in (F.lit(i), F.lit(t[which]))])
+            return m[F.col("p")]
+        below = {r["p"]: r for r in long.groupBy("p").agg(
+            *[F.count_if(F.col("v") < bound("lo", pi)).alias(f"b{pi}") for pi in range(len(probs))]).collect()}
+        inside = [F.when((F.col("v") >= bound("lo", pi)) & (F.col("v") <= bound("hi", pi)),
+                         F.struct(F.lit(pi).alias("q"), F.col("v").alias("v")))
+                  for pi in range(len(probs))]
+        rows = (long.select("p", F.explode(F.filter(F.array(*inside), lambda e: e.isNotNull())).alias("e"))
+                .groupBy("p", F.col("e.q").alias("q"), F.col("e.v").alias("v")).count().collect())
+        got: dict[tuple, list] = {}
+        for r in rows:
+            got.setdefault((r["p"], r["q"]), []).append((r["v"], r["count"]))
+        for (i, pi), t in direct.items():
+            b = below[i][f"b{pi}"] if i in below else 0
+            vals = sorted(got.get((i, pi), []))
+            inn = sum(c for _, c in vals)
+            if b <= t["k0"] and b + inn - 1 >= t["k1"]:
+                v0, v1 = _at(vals, t["k0"] - b), _at(vals, t["k1"] - b)
+                out[t["k"]][pi] = v0 + t["frac"] * (v1 - v0)
+            else:
+                retry.append(t)
+    if retry:
+        res = _select(df, xs, sorted({t["k"] for t in retry}), counts, probs, collect_max, accuracy)
+        for t in retry:
+            out[t["k"]][t["pi"]] = res[t["k"]][t["pi"]]
+    return {k: out[k] for k in names}
+
+
 def _stats(vals, n, probs):
     res = []
     for p in probs:

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import keep
+from ..config import agg_row, keep
 from ..functions.text import normalize_text
 from ..functions.types import (DATETIME, NUMERIC, col, logical_types,
                                normalize_missing, numeric_columns, text_columns)
+from ..functions.moments import column_moments
 from ..functions.quantiles import exact_quantiles
 from ..functions.windows import numeric_key as _numeric_key
 from ..functions.windows import with_buckets as _with_buckets
@@ -83,7 +84,7 @@ def detect_dates(df: DataFrame, columns: list[str] | None = None) -> dict[str, s
     columns = text_columns(df) if columns is None else columns
     if not columns:
         return {}
-    h = df.agg(*[F.count_if(col(c).rlike(DATE_HINT)).alias(f"h{i}") for i, c in enumerate(columns)]).first()
+    h = agg_row(df, [F.count_if(col(c).rlike(DATE_HINT)).alias(f"h{i}") for i, c in enumerate(columns)])
     hinted = [c for i, c in enumerate(columns) if h[f"h{i}"] > 0]
     out = {c: None for c in columns}
     if not hinted:
@@ -94,7 +95,7 @@ def detect_dates(df: DataFrame, columns: list[str] | None = None) -> dict[str, s
         aggs.append(F.count(x).alias(f"n{i}"))
         for j, fmt in enumerate(DATE_FORMATS):
             aggs.append(F.count(F.try_to_timestamp(x, F.lit(fmt))).alias(f"p{i}_{j}"))
-    r = df.agg(*aggs).first()
+    r = agg_row(df, aggs)
     for i, c in enumerate(hinted):
         for j, f in enumerate(DATE_FORMATS):
             if r[f"p{i}_{j}"] == r[f"n{i}"]:
@@ -208,14 +209,12 @@ def fit_impute(df: DataFrame, order_by: str | list[str] | None = None,
     plus a frequency table for the modes of text columns that have nulls."""
     order = [order_by] if isinstance(order_by, str) else order_by
     kinds = logical_types(df)
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    mom = column_moments(df)          # nulls, mean, skewness of every column (one job)
+    r = {"rows": next(iter(mom.values()))["rows"] if mom else 0}
     for i, c in enumerate(df.columns):
-        x = col(c)
-        aggs.append(F.count_if(x.isNull()).alias(f"z{i}"))
-        if kinds[c] == NUMERIC:
-            d = x.cast("double")
-            aggs += [F.skewness(d).alias(f"g{i}"), F.avg(d).alias(f"m{i}")]
-    r = df.agg(*aggs).first().asDict()
+        r[f"z{i}"] = mom[c]["nulls"]
+        r[f"g{i}"] = mom[c]["g1"] if kinds[c] == NUMERIC else None
+        r[f"m{i}"] = mom[c]["mean"] if kinds[c] == NUMERIC else None
     # medians only where they are used: numeric columns with nulls (below the drop
     # threshold) whose skewness is large or undefined
     need_median = [

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import agg_row
+from ..functions.moments import column_moments
 from ..functions.types import col, normalize_missing, numeric_columns
 
 MATRIX_SCHEMA = "col1 string, col2 string, r double"
@@ -11,7 +13,11 @@ STRONG_LIMIT = 0.3     # fixed values: |r| threshold and number of pairs reporte
 STRONG_TOP = 10
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+WIDE_COLUMNS = 40     # above this many numeric columns the matrix is computed as a Gramian
+
+
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None,
+                       wide_columns: int = WIDE_COLUMNS) -> DataFrame:
     """C1 (long form): (col1, col2, r) for every ordered pair of numeric columns,
     diagonal included (1.0, or NULL for a constant column), pairwise-complete.
     Fewer than two numeric columns -> empty frame with the same schema.
@@ -27,14 +33,15 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], MATRIX_SCHEMA)
     xs = [col(c).cast("double") for c in cols]
-    st = df.agg(F.count(F.lit(1)).alias("rows"),
-                *[F.struct(F.count(x), F.avg(x), F.stddev_pop(x)).alias(f"s{i}") for i, x in enumerate(xs)]).first()
-    rows = st["rows"]
-    n = [st[f"s{i}"][0] for i in range(len(cols))]
-    mean = [st[f"s{i}"][1] for i in range(len(cols))]
-    sd = [st[f"s{i}"][2] for i in range(len(cols))]
+    mom = column_moments(df, cols)
+    rows = mom[cols[0]]["rows"]
+    n = [mom[c]["n"] for c in cols]
+    mean = [mom[c]["mean"] for c in cols]
+    sd = [mom[c]["std_pop"] for c in cols]
     dx = [(x - F.lit(mean[i])) if mean[i] is not None else F.lit(None).cast("double")
           for i, x in enumerate(xs)]
+    if len(cols) > wide_columns:
+        return _wide_matrix(df, cols, xs, dx, rows, n, sd)
     aggs, exprs = [], {}
     for i in range(len(cols)):
         for j in range(i + 1, len(cols)):
@@ -66,6 +73,48 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     return wide.select(F.inline(F.array(*entries)))
 
 
+def _wide_matrix(df, cols, xs, dx, rows, n, sd):
+    """Wide inputs: null-free columns, centred at their means, go through Spark
+    ML's ``Correlation`` (a distributed Gramian, k x k result); pairs touching
+    a column with NULLs use masked sums in aggregates of bounded width. The
+    k x k result is small and is returned as a long frame."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    k = len(cols)
+    r: dict[tuple[int, int], float | None] = {}
+    full = [i for i in range(k) if n[i] == rows and sd[i]]
+    if len(full) >= 2:
+        centred = df.select(*[dx[i].alias(f"_c{i}") for i in full])
+        vec = VectorAssembler(inputCols=[f"_c{i}" for i in full], outputCol="_v").transform(centred)
+        m = Correlation.corr(vec.select("_v"), "_v").first()[0].toArray()
+        for a, i in enumerate(full):
+            for b, j in enumerate(full):
+                v = float(m[a, b])
+                r[(i, j)] = None if v != v else v
+    masked = [(i, j) for i in range(k) for j in range(i + 1, k) if (i, j) not in r and sd[i] and sd[j]]
+    exprs = []
+    for i, j in masked:
+        both = xs[i].isNotNull() & xs[j].isNotNull()
+        a, b = F.when(both, dx[i]), F.when(both, dx[j])
+        exprs.append(F.struct(F.count(a), F.sum(a), F.sum(b), F.sum(a * a), F.sum(b * b),
+                              F.sum(a * b)).alias(f"p{i}_{j}"))
+    got = agg_row(df, exprs) if exprs else {}
+    for i, j in masked:
+        c, sa, sb, saa, sbb, sab = got[f"p{i}_{j}"]
+        if not c:
+            continue
+        cov = sab / c - (sa / c) * (sb / c)
+        vx, vy = saa / c - (sa / c) ** 2, sbb / c - (sb / c) ** 2
+        r[(i, j)] = r[(j, i)] = (cov / (vx * vy) ** 0.5) if vx > 0 and vy > 0 else None
+    out = []
+    for i in range(k):
+        for j in range(k):
+            v = (1.0 if sd[i] else None) if i == j else r.get((i, j), r.get((j, i)))
+            out.append((cols[i], cols[j], v))
+    return df.sparkSession.createDataFrame(out, MATRIX_SCHEMA)
+
+
 def strong_pairs(df: DataFrame, columns: list[str] | None = None,
                  matrix: DataFrame | None = None) -> DataFrame:
     """Pairs i < j (column order) with |round(r, 3)| > 0.3, strongest first,

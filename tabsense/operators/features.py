@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import cut_lineage
+from ..functions.moments import column_moments
 from ..functions.types import (BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, col,
                                logical_types)
 from .profile import column_summary, frequency_table
 
 ONE_HOT_MAX = 10           # fixed value: one-hot up to this cardinality, label codes above
 VOCAB_BROADCAST_MAX = 1_000_000   # vocabularies up to this size are ranked in one task and broadcast
+LOCAL_VOCAB_MAX = 100_000         # vocabularies up to this size are fitted on the driver
+MAP_VOCAB_MAX = 64                # ... and up to this size applied as a literal map lookup
 
 
 # T1 ---------------------------------------------------------------------------
@@ -93,25 +96,55 @@ def label_vocabulary(df: DataFrame, column: str, size: int | None = None) -> Dat
 class LabelEncoder:
     vocab: dict[str, DataFrame] = field(default_factory=dict)
     sizes: dict[str, int] = field(default_factory=dict)
+    maps: dict[str, list[str]] = field(default_factory=dict)   # tiny vocabularies, sorted
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df
+        """Tiny vocabularies (<= MAP_VOCAB_MAX values) are a literal map lookup
+        in the projection; others are joined (broadcast when their size is
+        known to be <= VOCAB_BROADCAST_MAX), all joins first and one final
+        projection."""
+        if not self.vocab and not self.maps:
+            return df
+        key = {c: f"_lv{i}" for i, c in enumerate(list(self.vocab) + list(self.maps))}
+        text = lambda c: F.coalesce(col(c).cast("string"), F.lit("nan"))
+        out = df.select("*", *[text(c).alias(key[c]) for c in self.vocab])
         for c, v in self.vocab.items():
-            key = f"_lv_{c}"
-            right = v.select(F.col("value").alias(key), F.col("code").alias(f"_lc_{c}"))
+            right = v.select(F.col("value").alias(key[c]), F.col("code").alias(f"_lc_{key[c]}"))
             if self.sizes.get(c, VOCAB_BROADCAST_MAX + 1) <= VOCAB_BROADCAST_MAX:
                 right = F.broadcast(right)
-            out = (out.withColumn(key, F.coalesce(col(c).cast("string"), F.lit("nan")))
-                   .join(right, key, "left"))
-            out = out.select(*[F.col(f"_lc_{c}").alias(c) if x == c else col(x)
-                               for x in df.columns])
-            df = out
-        return out
+            out = out.join(right, key[c], "left")
+        codes = {c: F.col(f"_lc_{key[c]}") for c in self.vocab}
+        for c, values in self.maps.items():
+            m = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
+            codes[c] = m[text(c)]
+        return out.select(*[codes[c].cast("int").alias(c) if c in codes else col(c) for c in df.columns])
 
 
 def fit_label_encoder(df: DataFrame, columns: list[str], sizes: dict[str, int] | None = None) -> LabelEncoder:
-    sizes = sizes or {}
-    return LabelEncoder({c: label_vocabulary(df, c, sizes.get(c)) for c in columns}, dict(sizes))
+    """Vocabularies of known size <= LOCAL_VOCAB_MAX are read in one
+    frequency-table job (bounded: at most that many values per column), ranked
+    on the driver and kept as small tables (broadcast at transform time, never
+    recomputed from the input). Larger ones use the distributed ranking."""
+    sizes = dict(sizes or {})
+    small = [c for c in columns if sizes.get(c, LOCAL_VOCAB_MAX + 1) <= LOCAL_VOCAB_MAX]
+    vocab: dict[str, DataFrame] = {}
+    maps: dict[str, list[str]] = {}
+    if small:
+        spark = df.sparkSession
+        found: dict[str, set] = {c: set() for c in small}
+        for r in frequency_table(df, small).select("column", "value").collect():
+            found[r["column"]].add("nan" if r["value"] is None else r["value"])
+        for c in small:
+            values = sorted(found[c])
+            if len(values) <= MAP_VOCAB_MAX:
+                maps[c] = values
+            else:
+                vocab[c] = spark.createDataFrame([(v, i) for i, v in enumerate(values)],
+                                                 "value string, code int")
+    for c in columns:
+        if c not in vocab and c not in maps:
+            vocab[c] = label_vocabulary(df, c, sizes.get(c))
+    return LabelEncoder(vocab, sizes, maps)
 
 
 def label_encode(df: DataFrame, columns: list[str], sizes: dict[str, int] | None = None) -> DataFrame:
@@ -154,9 +187,8 @@ def fit_zscore(df: DataFrame, columns: list[str]) -> ZScore:
     """Mean and population std of every column in one aggregate."""
     if not columns:
         return ZScore()
-    r = df.agg(*[F.struct(F.avg(col(c).cast("double")), F.stddev_pop(col(c).cast("double"))).alias(f"s{i}")
-                 for i, c in enumerate(columns)]).first()
-    return ZScore({c: (r[f"s{i}"][0], r[f"s{i}"][1]) for i, c in enumerate(columns)})
+    mom = column_moments(df, columns)
+    return ZScore({c: (mom[c]["mean"], mom[c]["std_pop"]) for c in columns})
 
 
 def zscore(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.moments import moments_frame
 from ..functions.quantiles import exact_quantiles
 from ..functions.types import (CATEGORICAL, NUMERIC, col, logical_types,
                                normalize_missing, numeric_columns, value_key)
 
 VF_SCHEMA = "position int, column string, value string, cnt bigint"
+COLUMN_LAYOUT_MAX = 64
 
 
 def frequency_table(df: DataFrame, columns: list[str] | None = None,
@@ -46,7 +48,9 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None,
     if not wanted:
         return df.sparkSession.createDataFrame([], VF_SCHEMA)
     if layout == "auto":
-        layout = "explode" if _has_shuffle(df) else "columns"
+        # the union of per-column aggregates is best for a scan of a moderate
+        # number of columns; wide inputs or inputs with a shuffle use one pass
+        layout = "explode" if (len(wanted) > COLUMN_LAYOUT_MAX or _has_shuffle(df)) else "columns"
     null_l, null_d, null_s = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
 
     def key(c):
@@ -254,47 +258,26 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None,
     """One row per numeric column: count, mean, median, std (sample), min, max,
     skewness (bias-corrected G1), null_count, q25, q75.
 
-    Moments of all columns come from one global aggregate (partial aggregation
-    per task, no shuffle of the data). Quartiles: ``"auto"`` computes them
-    exactly up front with the two-pass selection of ``exact_quantiles`` and
-    attaches them as literals; ``"exact"`` uses Spark's ``percentile`` inside
-    the aggregate; ``"approx"`` the sketch."""
+    Moments come from ``moments_frame`` (one aggregate; long form for wide
+    frames). Quartiles are computed up front (``"auto"``: exact two-pass
+    selection; ``"exact"``: Spark ``percentile``; ``"approx"``: sketch) and
+    attached by column name."""
     df = normalize_missing(df)
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return df.sparkSession.createDataFrame([], NUMERIC_STATS_SCHEMA)
-    pre = None
-    if quantiles == "auto":
-        pre = exact_quantiles(df, {c: col(c) for c in columns}, [0.25, 0.5, 0.75], "auto")
-    aggs = []
-    for i, c in enumerate(columns):
-        x = col(c).cast("double")
-        aggs += [
-            F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
-            F.stddev_samp(x).alias(f"sd{i}"), F.var_pop(x).alias(f"vp{i}"),
-            F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-            F.skewness(x).alias(f"g1{i}"),
-            F.count(F.lit(1)).alias(f"rows{i}"),
-            (F.array(*[F.lit(v).cast("double") for v in pre[c]]) if pre is not None
-             else quantile_expr(x, [0.25, 0.5, 0.75], quantiles)).alias(f"q{i}"),
-        ]
-    wide = df.agg(*aggs)
-    rows = []
-    for i, c in enumerate(columns):
-        n = F.col(f"n{i}").cast("double")
-        g1 = F.col(f"g1{i}")
-        big_g1 = (F.when(F.col(f"n{i}") < 3, F.lit(None).cast("double"))
-                  .when(F.col(f"vp{i}") == 0, F.lit(0.0))
-                  .otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2)))
-        rows.append(F.struct(
-            F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
-            F.col(f"mean{i}").alias("mean"), F.col(f"q{i}")[1].alias("median"),
-            F.col(f"sd{i}").alias("std"), F.col(f"min{i}").alias("min"),
-            F.col(f"max{i}").alias("max"), big_g1.alias("skewness"),
-            (F.col(f"rows{i}") - F.col(f"n{i}")).alias("null_count"),
-            F.col(f"q{i}")[0].alias("q25"), F.col(f"q{i}")[2].alias("q75"),
-        ))
-    return wide.select(F.inline(F.array(*rows)))
+    qs = exact_quantiles(df, {c: col(c) for c in columns}, [0.25, 0.5, 0.75], quantiles)
+    qmap = F.create_map(*[x for c in columns for x in (
+        F.lit(c), F.array(*[F.lit(v).cast("double") for v in qs[c]]))])
+    m = moments_frame(df, columns)
+    n = F.col("n").cast("double")
+    big_g1 = (F.when(F.col("n") < 3, F.lit(None).cast("double"))
+              .when(F.col("var_pop") == 0, F.lit(0.0))
+              .otherwise(F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)))
+    q = qmap[F.col("column")]
+    return m.select("column", F.col("n").alias("count"), "mean", q[1].alias("median"),
+                    F.col("std_samp").alias("std"), "min", "max", big_g1.alias("skewness"),
+                    (F.col("rows") - F.col("n")).alias("null_count"), q[0].alias("q25"), q[2].alias("q75"))
 
 
 NUMERIC_STATS_SCHEMA = ("column string, count bigint, mean double, median double, std double, "

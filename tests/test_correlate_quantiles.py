@@ -62,3 +62,29 @@ def test_query_median_matches_percentile(spark):
     assert set(got) == set(want)
     for k in want:
         assert got[k][0] == pytest.approx(want[k][0]) and got[k][1] == want[k][1]
+
+
+def test_wide_correlation_path_matches(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn(
+        "l_tax", F.when(F.col("l_orderkey") % 7 == 0, None).otherwise(F.col("l_tax"))).withColumn("k", F.lit(1.0))
+    narrow = {(r["col1"], r["col2"]): r["r"] for r in CR.correlation_matrix(df).collect()}
+    wide = {(r["col1"], r["col2"]): r["r"] for r in CR.correlation_matrix(df, wide_columns=2).collect()}
+    assert set(narrow) == set(wide)
+    for key, v in narrow.items():
+        assert (v is None and wide[key] is None) or wide[key] == pytest.approx(v, abs=1e-9)
+
+
+def test_long_form_quantiles_match(spark):
+    import tabsense.functions.quantiles as Q
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    ex = {c: F.col(c) for c, t in df.dtypes if t in ("bigint", "int", "double")}
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    want = Q.exact_quantiles(df, ex, probs, "exact")
+    old = Q.WIDE
+    try:
+        Q.WIDE = 2
+        got = Q.exact_quantiles(df, ex, probs, "auto")
+    finally:
+        Q.WIDE = old
+    for k in ex:
+        assert got[k] == pytest.approx(want[k], abs=1e-9)
