@@ -22,14 +22,22 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
             T.DecimalType)
 
 
-def _aggs(v, z):
-    return [F.count(v).alias("n"), F.count(F.lit(1)).alias("rows"), F.count_if(z).alias("nulls"),
-            F.avg(v).alias("mean"), F.var_pop(v).alias("var_pop"), F.stddev_pop(v).alias("std_pop"),
-            F.stddev_samp(v).alias("std_samp"), F.skewness(v).alias("g1"),
-            F.min(v).alias("min"), F.max(v).alias("max")]
+ALL = ("n", "rows", "nulls", "mean", "var_pop", "std_pop", "std_samp", "g1", "min", "max")
 
 
-def moments_frame(df: DataFrame, columns: list[str] | None = None, wide: int = WIDE) -> DataFrame:
+def _aggs(v, z, want=ALL):
+    """Only the statistics asked for are computed (skewness and the deviations
+    carry several buffers each); the others are typed NULL literals."""
+    make = {"n": lambda: F.count(v), "rows": lambda: F.count(F.lit(1)), "nulls": lambda: F.count_if(z),
+            "mean": lambda: F.avg(v), "var_pop": lambda: F.var_pop(v), "std_pop": lambda: F.stddev_pop(v),
+            "std_samp": lambda: F.stddev_samp(v), "g1": lambda: F.skewness(v),
+            "min": lambda: F.min(v), "max": lambda: F.max(v)}
+    null = {"n": "bigint", "rows": "bigint", "nulls": "bigint"}
+    return [(make[k]() if k in want else F.lit(None).cast(null.get(k, "double"))).alias(k) for k in ALL]
+
+
+def moments_frame(df: DataFrame, columns: list[str] | None = None, wide: int = WIDE,
+                  want=ALL) -> DataFrame:
     """One row per column (lazy). Non-numeric columns get only n/rows/nulls."""
     names = list(df.columns)
     columns = names if columns is None else list(columns)
@@ -40,7 +48,7 @@ def moments_frame(df: DataFrame, columns: list[str] | None = None, wide: int = W
         return col(c).cast("double") if isinstance(df.schema[c].dataType, _NUMERIC) else F.lit(None).cast("double")
 
     if len(columns) <= wide:
-        wide_row = df.agg(*[F.struct(*_aggs(value(c), col(c).isNull())).alias(f"m{i}")
+        wide_row = df.agg(*[F.struct(*_aggs(value(c), col(c).isNull(), want)).alias(f"m{i}")
                             for i, c in enumerate(columns)])
         return wide_row.select(F.inline(F.array(*[
             F.struct(F.lit(names.index(c)).alias("position"), F.lit(c).alias("column"), F.col(f"m{i}.*"))
@@ -48,12 +56,13 @@ def moments_frame(df: DataFrame, columns: list[str] | None = None, wide: int = W
     entries = F.array(*[F.struct(F.lit(names.index(c)).alias("p"), value(c).alias("v"),
                                  col(c).isNull().alias("z")) for c in columns])
     long = df.select(F.inline(entries))
-    g = long.groupBy("p").agg(*_aggs(F.col("v"), F.col("z")))
+    g = long.groupBy("p").agg(*_aggs(F.col("v"), F.col("z"), want))
     name_of = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("p") + 1)
     return g.select(F.col("p").cast("int").alias("position"), name_of.alias("column"),
                     *[c for c in g.columns if c != "p"])
 
 
-def column_moments(df: DataFrame, columns: list[str] | None = None, wide: int = WIDE) -> dict[str, dict]:
+def column_moments(df: DataFrame, columns: list[str] | None = None, wide: int = WIDE,
+                   want=ALL) -> dict[str, dict]:
     """{column: moments} — one small row per column reaches the driver."""
-    return {r["column"]: r.asDict() for r in moments_frame(df, columns, wide).collect()}
+    return {r["column"]: r.asDict() for r in moments_frame(df, columns, wide, want).collect()}

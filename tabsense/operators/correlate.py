@@ -33,7 +33,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None,
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], MATRIX_SCHEMA)
     xs = [col(c).cast("double") for c in cols]
-    mom = column_moments(df, cols)
+    mom = column_moments(df, cols, want=("n", "rows", "mean", "std_pop"))
     rows = mom[cols[0]]["rows"]
     n = [mom[c]["n"] for c in cols]
     mean = [mom[c]["mean"] for c in cols]

@@ -187,7 +187,7 @@ def fit_zscore(df: DataFrame, columns: list[str]) -> ZScore:
     """Mean and population std of every column in one aggregate."""
     if not columns:
         return ZScore()
-    mom = column_moments(df, columns)
+    mom = column_moments(df, columns, want=("mean", "std_pop"))
     return ZScore({c: (mom[c]["mean"], mom[c]["std_pop"]) for c in columns})
 
 

@@ -269,7 +269,7 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None,
     qs = exact_quantiles(df, {c: col(c) for c in columns}, [0.25, 0.5, 0.75], quantiles)
     qmap = F.create_map(*[x for c in columns for x in (
         F.lit(c), F.array(*[F.lit(v).cast("double") for v in qs[c]]))])
-    m = moments_frame(df, columns)
+    m = moments_frame(df, columns, want=("n", "rows", "mean", "var_pop", "std_samp", "g1", "min", "max"))
     n = F.col("n").cast("double")
     big_g1 = (F.when(F.col("n") < 3, F.lit(None).cast("double"))
               .when(F.col("var_pop") == 0, F.lit(0.0))
