@@ -69,9 +69,25 @@ def numeric_key(df: DataFrame, name: str) -> Column | None:
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                        T.DoubleType, T.DecimalType)):
         return x.cast("double")
+    if isinstance(dt, T.StringType):
+        return text_prefix_key(x)
     return None
 
 
+def text_prefix_key(x: Column) -> Column:
+    """Monotone (non-decreasing) number of a string in Spark's binary string
+    order: its first 6 UTF-8 bytes read as a big-endian integer. Strings that
+    share the prefix tie, so it may only place buckets whose ties stay together
+    (``exact_key(...)`` is False for it)."""
+    hexed = F.rpad(F.hex(F.substring(F.encode(x, "UTF-8"), 1, 6)), 12, "0")
+    return F.conv(hexed, 16, 10).cast("double")
+
+
+def exact_key(df: DataFrame, name: str) -> bool:
+    """Whether ``numeric_key`` is one-to-one (equal numbers mean equal keys)."""
+    return not isinstance(df.schema[name].dataType, T.StringType)
+
+
 
 
 def cut_points(df: DataFrame, key: Column, n: int) -> list[float]:

@@ -20,6 +20,7 @@ from ..functions.types import (DATETIME, NUMERIC, col, logical_types,
                                normalize_missing, numeric_columns, text_columns)
 from ..functions.moments import column_moments
 from ..functions.quantiles import exact_quantiles
+from ..functions.windows import exact_key as _exact_key
 from ..functions.windows import numeric_key as _numeric_key
 from ..functions.windows import with_buckets as _with_buckets
 from .profile import frequency_table, modes, quantile_expr
@@ -305,15 +306,20 @@ def fill_forward_backward(df: DataFrame, columns: list[str], order_by: list[str]
     spark = df.sparkSession
     n = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
     key = _numeric_key(df, order[0])
-    cut = []
+    cut, tb_for_buckets = [], None
     if key is not None:
         probs = [i / n for i in range(1, n)]
         got = df.agg(F.percentile_approx(key, F.array(*[F.lit(p) for p in probs]), 10000)
                      .alias("b")).first()["b"]
         cut = sorted(float(b) for b in (got or []) if b is not None)
+        if not _exact_key(df, order[0]):
+            # a prefix key: rows with equal numbers may differ, so never split a tie
+            cut = sorted(set(cut))
+            tb_for_buckets = F.lit(0).cast("long")
     else:
         key = F.lit(0.0)
-    d = _with_buckets(df, key, tb, cut)
+    d = _with_buckets(df, key, tb if tb_for_buckets is None else tb_for_buckets, cut)
+    d = d.withColumn("_tb", tb)
     ord_struct = F.struct(*[col(k) for k in order], F.col("_tb"))
     summ = d.groupBy("_b").agg(
         *[F.max_by(col(c), F.when(col(c).isNotNull(), ord_struct)).alias(f"l{i}") for i, c in enumerate(columns)],

@@ -66,3 +66,14 @@ def test_stream_apply_matches_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.table("tabsense_stream_check")
     assert got.exceptAll(fitted.df).count() == 0 and got.count() == fitted.df.count()
+
+
+def test_area_running_total_text_x(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(f"stage-{i % 23:02d}", c, float(i)) for i, c in
+                                zip(range(400), ["a", "b"] * 200)], "x string, c string, y double")
+    got = CH.area(df, "x", "y", "c")
+    w = Window.partitionBy("c").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
+    want = CH.bar(df, "x", "y", "c").withColumn("cumulative", F.sum("sum_y").over(w))
+    assert rows(got, "x", "c", "cumulative") == rows(want, "x", "c", "cumulative")

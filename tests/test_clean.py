@@ -100,3 +100,14 @@ def test_clean_properties(spark):
     assert out.where(F.col("value").isNull()).count() == 0
     for c, (lo, hi) in res.winsor.bounds.items():
         assert out.where((F.col(c) < lo) | (F.col(c) > hi)).count() == 0
+
+
+def test_partitioned_fill_text_order_key(spark):
+    # text keys sharing long prefixes, a hot key, nulls in the key and the values
+    keys = [f"key-{i % 37:03d}-{i:05d}" if i % 4 else "key-hot" for i in range(800)] + [None]
+    data = [(k, None if i % 3 else float(i)) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(5)
+    a = CL.fill_forward_backward(df, ["v"], "k", method="window")
+    for b in (None, 6):
+        p = CL.fill_forward_backward(df, ["v"], "k", buckets=b)
+        assert a.exceptAll(p).count() == 0 and p.exceptAll(a).count() == 0
