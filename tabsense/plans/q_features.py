@@ -88,3 +88,10 @@ def _strong_sql(src, columns):
 
 register("strong_correlations", _strong_sql("part", ["p_partkey", "p_size", "p_retailprice"]))(
     lambda s, d: CR.strong_pairs(table(s, d, "part")))
+
+# T3 at a vocabulary size above the broadcast bound: distributed ranking
+# (range partition, per-partition offsets, checkpoint) and a shuffle join
+register("label_encode_distributed", (
+    "SELECT p_partkey, p_name, p_brand, CAST(dense_rank() OVER (ORDER BY coalesce(p_type, 'nan')) - 1 AS INTEGER) "
+    "AS p_type, p_size, p_retailprice FROM part"))(
+    lambda s, d: FT.label_encode(table(s, d, "part"), ["p_type"], sizes={"p_type": FT.VOCAB_BROADCAST_MAX + 1}))
