@@ -143,9 +143,10 @@ def _long_form(df, xs, names, probs, collect_max, accuracy):
     retry = [t for key, t in targets.items() if key not in direct]
     if direct:
         def bound(which, pi):
-            m = F.create_map(*[x for (i, q), t in direct.items() if q == pi
-                               for x in (F.lit(i), F.lit(t[which]))])
-            return m[F.col("p")]
+            # positional array literal: O(1) lookup by column index (a literal
+            # map would be a linear scan per row)
+            vals = [direct[(i, pi)][which] if (i, pi) in direct else None for i in range(len(names))]
+            return F.element_at(F.array(*[F.lit(v).cast("double") for v in vals]), F.col("p") + 1)
         below = {r["p"]: r for r in long.groupBy("p").agg(
             *[F.count_if(F.col("v") < bound("lo", pi)).alias(f"b{pi}") for pi in range(len(probs))]).collect()}
         inside = [F.when((F.col("v") >= bound("lo", pi)) & (F.col("v") <= bound("hi", pi)),

@@ -112,9 +112,10 @@ def run_pipeline(df: DataFrame, target: str | None = None, order_by=None, source
         ff.drops.pop(k, None)
     filtered = ff.transform(df)
     kept = {c: i for i, c in enumerate(filtered.columns)}
-    renumber = F.create_map(*[x for c, i in kept.items() for x in (F.lit(c), F.lit(i))]) if kept else None
-    vf = (vf_raw.where(F.col("column").isin(list(kept)))
-          .withColumn("position", renumber[F.col("column")].cast("int"))) if kept else vf_raw.limit(0)
+    # old position -> new position by array index (O(1) per row)
+    new_pos = F.array(*[F.lit(kept.get(c, -1)) for c in df.columns])
+    vf = (vf_raw.withColumn("position", F.element_at(new_pos, F.col("position") + 1).cast("int"))
+          .where(F.col("position") >= 0)) if kept else vf_raw.limit(0)
     audit.append((3, "Primary Key & Zero-Variance Filter",
                   f"{len(ff.drops)} uninformative column(s) removed (ID fields, zero-variance)", OK))
     health = P.health_components(filtered, vf).first()["health_score"]
