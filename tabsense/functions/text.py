@@ -11,19 +11,12 @@ from pyspark.sql import functions as F
 WHITESPACE = "".join(ch for ch in map(chr, range(sys.maxunicode + 1)) if ch.isspace())
 
 
-def _class(chars: str) -> str:
-    return "[" + "".join(f"\\x{{{ord(ch):X}}}" for ch in chars) + "]"
-
-
-WS_CLASS = _class(WHITESPACE)
-STRIP_PATTERN = f"^{WS_CLASS}+|{WS_CLASS}+$"
-
 
 def strip_ws(c: Column) -> Column:
     """Remove leading/trailing whitespace (Unicode, as Python's strip).
 
-    ``btrim`` with an explicit character set: same result as the regex
-    ``STRIP_PATTERN`` and several times faster (no regex engine per value)."""
+    ``btrim`` with an explicit character set: the same result as a regular
+    expression over that set, several times faster (no regex per value)."""
     return F.btrim(c, F.lit(WHITESPACE))
 
 

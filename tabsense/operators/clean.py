@@ -23,7 +23,7 @@ from ..functions.quantiles import exact_quantiles
 from ..functions.windows import exact_key as _exact_key
 from ..functions.windows import numeric_key as _numeric_key
 from ..functions.windows import with_buckets as _with_buckets
-from .profile import frequency_table, modes, quantile_expr
+from .profile import modes
 
 # Thresholds and decision-log texts of the cleaning rules.
 DATE_HINT = r"^\d{4}-\d{2}-\d{2}|^\d{2}/\d{2}/\d{4}"

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import cut_lineage
 from ..functions.moments import column_moments

@@ -20,7 +20,6 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import keep
 from ..functions.types import BOOLEAN, NUMERIC, col, logical_types

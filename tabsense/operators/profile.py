@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.moments import moments_frame
 from ..functions.quantiles import exact_quantiles
-from ..functions.types import (CATEGORICAL, NUMERIC, col, logical_types,
+from ..functions.types import (NUMERIC, col, logical_types,
                                normalize_missing, numeric_columns, value_key)
 
 VF_SCHEMA = "position int, column string, value string, cnt bigint"
@@ -285,20 +285,6 @@ NUMERIC_STATS_SCHEMA = ("column string, count bigint, mean double, median double
                         "q25 double, q75 double")
 
 
-def quantile_expr(x: Column, probs: list[float], method: str = "exact",
-                  accuracy: int = 10000) -> Column:
-    """Linear-interpolated exact quantiles, or the approximate sketch.
-
-    ``percentile`` keeps a value->count map per group (memory grows with the
-    number of distinct values); ``percentile_approx`` is a fixed-size sketch.
-    ``distribution_stats(..., quantiles="approx")`` is the choice for very
-    high-cardinality doubles at scale."""
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if method == "approx":
-        return F.percentile_approx(x, arr, accuracy).cast("array<double>")
-    return F.percentile(x, arr)
-
-
 def distribution_stats(df: DataFrame, column: str, quantiles: str = "auto") -> DataFrame:
     """P8 for one numeric column, with unique_values, values rounded to 4."""
     s = numeric_stats(df, [column], quantiles)

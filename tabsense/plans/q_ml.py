@@ -1,8 +1,6 @@
 """Registered queries: model sweep, metrics, leaderboard."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import features as FT
 from ..operators import ml as ML
 from .catalog import r6, r6sql, register, with_

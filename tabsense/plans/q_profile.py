@@ -1,8 +1,6 @@
 """Registered queries: profiling, health, previews."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import profile as P
 from . import oracle as O
 from .catalog import r6, register, with_
