@@ -336,13 +336,9 @@ def column_stats(df: DataFrame) -> DataFrame:
     nums = [c for c in df.columns if kinds[c] == NUMERIC]
     summ = column_summary(df)
     if nums:
-        wide = df.agg(*[F.struct(F.lit(c).alias("column"),
-                                 F.min(col(c)).cast("double").alias("min"),
-                                 F.max(col(c)).cast("double").alias("max"),
-                                 F.round(F.avg(col(c)), 2).alias("mean")).alias(f"s{i}")
-                        for i, c in enumerate(nums)])
-        num = wide.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(nums))])))
-        summ = summ.join(F.broadcast(num), "column", "left")
+        num = moments_frame(df, nums, want=("mean", "min", "max")).select(
+            "column", "min", "max", F.round("mean", 2).alias("mean"))
+        summ = summ.join(F.broadcast(num), "column", "left")      # one row per column
     else:
         summ = summ.select("*", *[F.lit(None).cast("double").alias(c) for c in ("min", "max", "mean")])
     return summ.select("column", "dtype", "min", "max", "mean",

@@ -138,9 +138,19 @@ def _build(df: DataFrame, spec: QuerySpec) -> DataFrame:
     elif spec.pivot:
         p = spec.pivot
         _check_cols(out, [p["column"]] + list(spec.group_by or []))
-        g = out.groupBy(*[col(c) for c in spec.group_by or []])
-        g = g.pivot(p["column"], p.get("values")) if p.get("values") is not None else g.pivot(p["column"])
-        out = g.agg(*_aggs(spec, out))
+        items = spec.aggregations or [["*", "count", "count"]]
+        if any(i[1] == "median" for i in items):
+            # exact distributed aggregation per (groups, pivot value) first, then a
+            # pivot of that small result (one row per cell)
+            cells = _grouped(out, [(c, col(c)) for c in list(spec.group_by or []) + [p["column"]]], spec)
+            names = [i[2] if len(i) > 2 else f"{i[1]}_{i[0]}" for i in items]
+            g = cells.groupBy(*[col(c) for c in spec.group_by or []])
+            g = g.pivot(p["column"], p.get("values")) if p.get("values") is not None else g.pivot(p["column"])
+            out = g.agg(*[F.first(n).alias(n) for n in names])
+        else:
+            g = out.groupBy(*[col(c) for c in spec.group_by or []])
+            g = g.pivot(p["column"], p.get("values")) if p.get("values") is not None else g.pivot(p["column"])
+            out = g.agg(*_aggs(spec, out))
     elif spec.group_by is not None or spec.aggregations:
         _check_cols(out, list(spec.group_by or []))
         out = _grouped(out, [(c, col(c)) for c in spec.group_by or []], spec)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import agg_row
 from ..functions.types import col
 
 # Candidate delimiters in preference order, NA tokens, sniff size.
@@ -60,12 +61,12 @@ def infer_types(df: DataFrame, na_tokens=NA_TOKENS) -> DataFrame:
     int (bigint), double, boolean, text that every non-null value fits."""
     cleaned = df.select(*[F.when(col(c).isin(list(na_tokens)), F.lit(None)).otherwise(col(c)).alias(c)
                           for c in df.columns])
-    stats = cleaned.agg(*[x for i, c in enumerate(cleaned.columns) for x in (
+    stats = agg_row(cleaned, [x for i, c in enumerate(cleaned.columns) for x in (
         F.count(col(c)).alias(f"n{i}"),
         F.count_if(col(c).rlike(INT_PATTERN) & F.expr(f"try_cast(`{c}` AS BIGINT)").isNotNull()).alias(f"i{i}"),
         F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{i}"),
         F.count_if(col(c).isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"b{i}"),
-        F.count(F.lit(1)).alias(f"r{i}"))]).first()
+        F.count(F.lit(1)).alias(f"r{i}"))])
     out = []
     for i, c in enumerate(cleaned.columns):
         n, rows = stats[f"n{i}"], stats[f"r{i}"]
