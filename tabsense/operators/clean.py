@@ -20,6 +20,7 @@ from ..functions.types import (DATETIME, NUMERIC, col, logical_types,
                                normalize_missing, numeric_columns, text_columns)
 from ..functions.moments import column_moments
 from ..functions.quantiles import exact_quantiles
+from ..functions.rows import duplicate_split
 from ..functions.windows import exact_key as _exact_key
 from ..functions.windows import numeric_key as _numeric_key
 from ..functions.windows import with_buckets as _with_buckets
@@ -161,8 +162,15 @@ def _dedup(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     norm = normalize_missing(df)
     if not norm.columns:
         return norm, norm, 0
+    cols = [col(c) for c in norm.columns]
+    rows, singles, candidates = duplicate_split(norm)
+    if singles is not None:
+        # only rows sharing a content hash are grouped; the others pass through
+        merged = singles.unionByName(candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).drop("_n"))
+        dedup = keep(merged)
+        return dedup, dedup, rows - dedup.count()
     n = "__tabsense_copies"
-    grouped = keep(norm.groupBy(*[col(c) for c in norm.columns]).agg(F.count(F.lit(1)).alias(n)))
+    grouped = keep(norm.groupBy(*cols).agg(F.count(F.lit(1)).alias(n)))
     r = grouped.agg(F.sum(n).alias("before"), F.count(F.lit(1)).alias("after")).first()
     return grouped, grouped.drop(n), (r["before"] or 0) - r["after"]
 

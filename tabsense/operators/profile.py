@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.moments import moments_frame
 from ..functions.quantiles import exact_quantiles
+from ..functions.rows import duplicate_split
 from ..functions.types import (NUMERIC, col, logical_types,
                                normalize_missing, numeric_columns, value_key)
 
@@ -149,7 +150,15 @@ def distinct_row_count(df: DataFrame) -> DataFrame:
     if not norm.columns:
         return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
             "n_rows", F.when(F.col("n_rows") > 0, 1).otherwise(0).cast("bigint").alias("n_distinct"))
-    groups = norm.groupBy(*[col(c) for c in norm.columns]).agg(F.count(F.lit(1)).alias("cnt"))
+    cols = [col(c) for c in norm.columns]
+    rows, singles, candidates = duplicate_split(norm)
+    if singles is not None:
+        # rows with a unique content hash are distinct; only the others are grouped
+        a = singles.agg(F.count(F.lit(1)).alias("d"))
+        b = candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)).alias("d"))
+        return a.unionByName(b).agg(F.lit(rows).cast("bigint").alias("n_rows"),
+                                    F.sum("d").cast("bigint").alias("n_distinct"))
+    groups = norm.groupBy(*cols).agg(F.count(F.lit(1)).alias("cnt"))
     return groups.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("n_rows"),
                       F.count(F.lit(1)).alias("n_distinct"))
 

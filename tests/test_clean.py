@@ -111,3 +111,20 @@ def test_partitioned_fill_text_order_key(spark):
     for b in (None, 6):
         p = CL.fill_forward_backward(df, ["v"], "k", buckets=b)
         assert a.exceptAll(p).count() == 0 and p.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_dedup_hash_split_and_fallback(spark, limit, monkeypatch):
+    import tabsense.functions.rows as R
+    from tabsense.operators import profile as P
+    if limit is not None:
+        monkeypatch.setattr(R, "HASH_BROADCAST_MAX", limit)
+    data = [(i % 50, None if i % 7 == 0 else float(i % 3), "x" if i % 2 else None) for i in range(400)]
+    data += [(1, -0.0, "z"), (1, 0.0, "z"), (2, float("nan"), None), (2, None, None)]
+    df = spark.createDataFrame(data, "a int, b double, s string").repartition(4)
+    dedup, removed = CL.remove_duplicates(df)
+    want = CL.normalize_missing(df).dropDuplicates()
+    assert dedup.exceptAll(want).count() == 0 and want.exceptAll(dedup).count() == 0
+    assert removed == df.count() - want.count()
+    d = P.distinct_row_count(df).first()
+    assert d["n_rows"] == df.count() and d["n_distinct"] == want.count()
