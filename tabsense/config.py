@@ -73,3 +73,12 @@ def agg_row(df: DataFrame, exprs: list) -> dict:
         row = df.agg(*exprs[i:i + AGG_CHUNK]).first()
         out.update(row.asDict(recursive=False) if row is not None else {})
     return out
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Round-robin redistribution only for an under-partitioned input (fewer
+    partitions than the cluster's default parallelism, e.g. one small file),
+    before it is cached and read by several fit jobs. Large inputs already have
+    many partitions and are left as they are (no extra shuffle)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df

@@ -30,14 +30,21 @@ def row_hash(df: DataFrame) -> Column:
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             x = F.when(x == 0, F.lit(0.0).cast(f.dataType)).otherwise(x)
         parts.append(x)
-    # a per-column null marker keeps (NULL, 1) and (1, NULL) apart in the hash
-    marks = F.concat_ws("", *[F.when(col(f.name).isNull(), F.lit("1")).otherwise(F.lit("0"))
-                              for f in df.schema.fields])
-    return F.xxhash64(*parts, marks)
+    # null-position bitmasks (62 columns per long) keep (NULL, 1) and (1, NULL)
+    # apart: xxhash64 itself skips NULL inputs
+    names = [f.name for f in df.schema.fields]
+    masks = []
+    for start in range(0, len(names), 62):
+        m = F.lit(0).cast("bigint")
+        for i, n in enumerate(names[start:start + 62]):
+            m = m + F.when(col(n).isNull(), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        masks.append(m)
+    return F.xxhash64(*parts, *masks)
 
 
 def duplicate_split(df: DataFrame, limit: int | None = None):
-    """(rows, singles, candidates) or (rows, None, None) above the bound.
+    """(rows, candidate_rows, singles, candidates); singles/candidates are None
+    above the bound.
 
     ``singles`` are rows without any duplicate; ``candidates`` are the rows whose
     hash repeats (they may or may not be duplicates)."""
@@ -45,15 +52,16 @@ def duplicate_split(df: DataFrame, limit: int | None = None):
     hashed = df.withColumn(HASH, row_hash(df))
     per_hash = hashed.groupBy(HASH).agg(F.count(F.lit(1)).alias("_n"))
     st = per_hash.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-                      F.count_if(F.col("_n") > 1).alias("repeated")).first()
-    rows, repeated = st["rows"], st["repeated"]
+                      F.count_if(F.col("_n") > 1).alias("repeated"),
+                      F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("cand")).first()
+    rows, repeated, cand = st["rows"], st["repeated"], st["cand"]
     if repeated == 0:
-        return rows, df, df.limit(0)
+        return rows, 0, df, None
     if repeated > limit:
-        return rows, None, None
+        return rows, cand, None, None
     spark = df.sparkSession
     hashes = [r[0] for r in per_hash.where(F.col("_n") > 1).select(HASH).collect()]   # <= limit values
     rep = F.broadcast(spark.createDataFrame([(h,) for h in hashes], f"{HASH} bigint"))
     singles = hashed.join(rep, HASH, "left_anti").drop(HASH)
     candidates = hashed.join(rep, HASH, "left_semi").drop(HASH)
-    return rows, singles, candidates
+    return rows, cand, singles, candidates

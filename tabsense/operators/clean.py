@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import agg_row, keep
+from ..config import agg_row, balanced, keep
 from ..functions.text import normalize_text
 from ..functions.types import (DATETIME, NUMERIC, col, logical_types,
                                normalize_missing, numeric_columns, text_columns)
@@ -163,11 +163,12 @@ def _dedup(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     if not norm.columns:
         return norm, norm, 0
     cols = [col(c) for c in norm.columns]
-    rows, singles, candidates = duplicate_split(norm)
+    rows, cand, singles, candidates = duplicate_split(norm)
     if singles is not None:
         # only rows sharing a content hash are grouped; the others pass through
-        merged = singles.unionByName(candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).drop("_n"))
-        dedup = keep(merged)
+        merged = singles if candidates is None else singles.unionByName(
+            candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).drop("_n"))
+        dedup = keep(balanced(merged))
         return dedup, dedup, rows - dedup.count()
     n = "__tabsense_copies"
     grouped = keep(norm.groupBy(*cols).agg(F.count(F.lit(1)).alias(n)))

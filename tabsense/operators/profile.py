@@ -151,13 +151,17 @@ def distinct_row_count(df: DataFrame) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
             "n_rows", F.when(F.col("n_rows") > 0, 1).otherwise(0).cast("bigint").alias("n_distinct"))
     cols = [col(c) for c in norm.columns]
-    rows, singles, candidates = duplicate_split(norm)
+    rows, cand, singles, candidates = duplicate_split(norm)
     if singles is not None:
-        # rows with a unique content hash are distinct; only the others are grouped
-        a = singles.agg(F.count(F.lit(1)).alias("d"))
-        b = candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)).alias("d"))
-        return a.unionByName(b).agg(F.lit(rows).cast("bigint").alias("n_rows"),
-                                    F.sum("d").cast("bigint").alias("n_distinct"))
+        # rows with a unique content hash are distinct (rows - cand of them);
+        # only the candidate rows are grouped
+        if candidates is None:
+            distinct_cand = norm.limit(0).agg(F.count(F.lit(1)).alias("d"))
+        else:
+            distinct_cand = (candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+                             .agg(F.count(F.lit(1)).alias("d")))
+        return distinct_cand.select(F.lit(rows).cast("bigint").alias("n_rows"),
+                                    (F.lit(rows - cand) + F.col("d")).cast("bigint").alias("n_distinct"))
     groups = norm.groupBy(*cols).agg(F.count(F.lit(1)).alias("cnt"))
     return groups.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("n_rows"),
                       F.count(F.lit(1)).alias("n_distinct"))
