@@ -100,7 +100,7 @@ def run_pipeline(df: DataFrame, target: str | None = None, order_by=None, source
     # one frequency table of the raw input feeds the filter, the health score,
     # the profile and the target choice; the filter only drops columns, so the
     # filtered table is a subset of it (positions renumbered)
-    vf_raw = keep(P.frequency_table(df))
+    vf_raw = keep(P.frequency_table(df, text="hash"))
     raw_summary = P.column_summary(df, vf_raw)
     raw_rows = raw_summary.collect()                      # one row per column
     rows = raw_rows[0]["n_rows"] if raw_rows else 0
@@ -150,7 +150,7 @@ def run_pipeline(df: DataFrame, target: str | None = None, order_by=None, source
     # the cleaned frame feeds the re-profile, every transform fit and the output:
     # persist it once (its plan holds the dedup and, with an order key, the fill)
     clean_df = keep(cres.df)
-    vf_clean = keep(P.frequency_table(clean_df, layout="columns"))
+    vf_clean = keep(P.frequency_table(clean_df, layout="columns", text="hash"))
     clean_summary = P.column_summary(clean_df, vf_clean).collect()
     clean_rows = clean_summary[0]["n_rows"] if clean_summary else 0
     audit.append((12, "Post-Cleaning Schema Re-inference",
@@ -161,8 +161,7 @@ def run_pipeline(df: DataFrame, target: str | None = None, order_by=None, source
     if true_target in clean_df.columns:
         context["target_variable"] = true_target
     plan = FT.fit_transform_plan(clean_df, clean_summary,
-                                 target=true_target if true_target in clean_df.columns else None,
-                                 vf=vf_clean)
+                                 target=true_target if true_target in clean_df.columns else None)
     transformed = plan.transform(clean_df)
     n_cat = sum(1 for r in clean_summary if r["dtype"] == CATEGORICAL)
     n_num = sum(1 for r in clean_summary if r["dtype"] == NUMERIC and r["column"] != true_target)
