@@ -402,7 +402,7 @@ def describe_columns(df: DataFrame, quantiles: str = "auto") -> DataFrame:
     return out
 
 
-def null_matrix(df: DataFrame, order_by: str, buckets: int = 20) -> DataFrame:
+def null_matrix(df: DataFrame, order_by: str, buckets: int = 20, wide: int = 32) -> DataFrame:
     """Nulls per (row bucket, column), for a missing-value heat map.
 
     Buckets are equal-width ranges of the order key (row position when the key
@@ -418,6 +418,12 @@ def null_matrix(df: DataFrame, order_by: str, buckets: int = 20) -> DataFrame:
     width = (hi - lo + 1.0) / buckets
     bucket = F.least(F.floor((key - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
     cols = [c for c in df.columns if c != order_by]
+    if len(cols) > wide:
+        # long form: a fixed aggregate grouped by (bucket, column) for wide frames
+        long = df.select(bucket.alias("bucket"), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), col(c).isNull().cast("int").alias("z")) for c in cols])))
+        return long.groupBy("bucket", "column").agg(F.sum("z").cast("bigint").alias("null_count"),
+                                                    F.count(F.lit(1)).alias("n_rows"))
     agg = df.groupBy(bucket.alias("bucket")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)])

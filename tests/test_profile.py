@@ -95,3 +95,16 @@ def test_null_matrix_sums(spark):
     m = P.null_matrix(df, "id", 5)
     assert sum(r["null_count"] for r in m.collect()) == 10
     assert sum(r["n_rows"] for r in m.collect()) == 30
+
+
+def test_wide_and_long_forms_agree(spark):
+    from tabsense.functions.moments import column_moments
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn(
+        "value", F.when(F.col("event_id") % 4 == 0, None).otherwise(F.col("value")))
+    a, b = column_moments(df), column_moments(df, wide=0)
+    for c in a:
+        for k, v in a[c].items():
+            assert (v is None and b[c][k] is None) or b[c][k] == pytest.approx(v, rel=1e-9, abs=1e-12)
+    m1 = rows(P.null_matrix(df, "event_id", 7))
+    m2 = rows(P.null_matrix(df, "event_id", 7, wide=0))
+    assert m1 == m2
