@@ -16,8 +16,8 @@ from ..sources import csv as CSV
 from ..sources.sinks import write_table
 from . import oracle as O
 from .automatic import run_pipeline
-from .catalog import r6, register, with_
-from .q_clean import norm_sql
+from .catalog import r6, r6sql, register, with_
+from .q_clean import _CLAMP, _g1_sql, norm_sql
 from .variants import table
 
 
@@ -32,7 +32,9 @@ def _csv_auto(s, d):
     return CSV.read_csv_auto(s, path)
 
 
-register("csv_auto")(_csv_auto)
+register("csv_auto",
+         "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, "
+         "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') AS o_orderdate, o_orderpriority FROM orders")(_csv_auto)
 
 
 def _type_sql(src):
@@ -57,10 +59,27 @@ register("type_inference", _type_sql("orders_text"))(
 def _sink(s, d):
     path = scratch(s, "clean")
     write_table(CL.clean(table(s, d, "customer_nulls")).df, path)
-    return s.read.parquet(path)
-
-
-register("sink_roundtrip")(_sink)
+    return r6(s.read.parquet(path))
+
+
+_CN3 = ("c_custkey", "c_nationkey", "c_acctbal")
+_SINK_SQL = (
+    with_("customer_nulls")
+    + f", t1 AS (SELECT c_custkey, {norm_sql('c_name')} AS c_name, c_nationkey, c_acctbal, "
+      f"{norm_sql('c_mktsegment')} AS c_mktsegment FROM customer_nulls), "
+    + "t2 AS (SELECT DISTINCT * FROM t1), "
+    + f"st AS (SELECT avg(c_acctbal) AS m, median(c_acctbal) AS med, CASE WHEN var_pop(c_acctbal) = 0 THEN NULL "
+      f"ELSE {_g1_sql('c_acctbal', 't2')} END AS g1 FROM t2), "
+    + "md AS (SELECT c_mktsegment AS mode FROM t2 WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment "
+      "ORDER BY count(*) DESC, c_mktsegment LIMIT 1), "
+    + "t3 AS (SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, CAST(c_nationkey AS DOUBLE) AS c_nationkey, "
+      "coalesce(c_acctbal, CASE WHEN g1 IS NULL OR abs(g1) > 0.5 THEN med ELSE m END) AS c_acctbal, "
+      "coalesce(c_mktsegment, (SELECT mode FROM md)) AS c_mktsegment FROM t2, st), "
+    + "qq AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.75) AS b_{c}"
+                                   for c in _CN3) + " FROM t3) "
+    + "SELECT " + ", ".join(r6sql(_CLAMP.format(c=c)) + f" AS {c}" for c in _CN3)
+    + ", c_name, c_mktsegment FROM t3, qq")
+register("sink_roundtrip", _SINK_SQL)(_sink)
 
 # R1/R2 ------------------------------------------------------------------------
 _CN = O.cols("customer_nulls")
