@@ -133,4 +133,45 @@ def _run_audit(s, d):
     return res.audit()
 
 
-register("run_audit")(_run_audit)
+register("run_audit", None)(_run_audit)
+
+
+# E1 oracle: the audit rows recomputed from the data (counts, health score,
+# duplicates, imputation decisions); the step texts are fixed values.
+def _audit_sql():
+    src = "events_nulls"
+    hs = "(" + with_(src) + O.health_sql(src, src, outer="health_score") + ")"
+    normed = (f"SELECT DISTINCT event_id, ts, user_id, {norm_sql('event_type')}, value, {norm_sql('props')} "
+              f"FROM events_nulls")
+    n = "(SELECT count(*) FROM events_nulls)"
+    clean_rows = f"(SELECT count(*) FROM ({normed}))"
+    dups = f"({n} - {clean_rows})"
+    imputed = ("(SELECT CAST((count(*) - count(ts) > 0 AND (count(*) - count(ts)) * 100.0 / count(*) <= 30) AS INTEGER)"
+               " + CAST((count(*) - count(value) > 0 AND (count(*) - count(value)) * 100.0 / count(*) <= 30) AS INTEGER)"
+               " FROM events_nulls)")
+    dropped = ("(SELECT CAST((count(*) - count(ts)) * 100.0 / count(*) > 30 AS INTEGER)"
+               " + CAST((count(*) - count(value)) * 100.0 / count(*) > 30 AS INTEGER) FROM events_nulls)")
+    v = lambda e: f"CAST({e} AS VARCHAR)"
+    rows = [
+        (1, "Data Received", "'''events_nulls'' received (Spark DataFrame)'"),
+        (2, "Format Parsing", f"'Table read (' || {v(n)} || ' rows × 6 cols)'"),
+        (3, "Primary Key & Zero-Variance Filter", "'0 uninformative column(s) removed (ID fields, zero-variance)'"),
+        (4, "Dataset Health Scoring", f"'Health score computed: ' || {v(hs)} || '/100'"),
+        (5, "Schema Inference", "'Column types, null %, and cardinality computed for 6 features'"),
+        (6, "Domain Context Identification", "'Industry: ''General Business'', Target: ''props'' — via Heuristic Fallback'"),
+        (7, "Column Name Standardization", "'All column names lowercased, spaces → underscores, special chars removed'"),
+        (8, "Data Type Fixing & Text Cleaning", "'String columns stripped, lowercased; date patterns auto-converted to datetime'"),
+        (9, "Duplicate Row Removal", f"{v(dups)} || ' duplicate row(s) detected and removed'"),
+        (10, "Missing Value Imputation", f"{v(imputed)} || ' column(s) imputed (Mean/Median/Mode), ' || {v(dropped)} || ' column(s) dropped (>30% missing)'"),
+        (11, "Outlier Winsorization (IQR)", "'IQR-based clipping applied on all numeric columns; domain-specific ranges enforced (age, salary, price, amount)'"),
+        (12, "Post-Cleaning Schema Re-inference", f"'Updated schema inferred on cleaned dataset (' || {v(clean_rows)} || ' rows × 6 cols)'"),
+        (13, "Categorical Encoding (One-Hot / Label)", "'2 categorical column(s) encoded'"),
+        (14, "Numeric Feature Scaling", "'3 numeric column(s) standardized (Z-score)'"),
+        (15, "Dataset Ready for ML", f"'Final transformed dataset: ' || {v(clean_rows)} || ' rows × 11 features'"),
+    ]
+    return with_(src) + " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS step_no, '{step}' AS step, {detail} AS detail, 'Success' AS status"
+        for i, step, detail in rows)
+
+
+register("run_audit", _audit_sql())(_run_audit)
