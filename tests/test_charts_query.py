@@ -77,3 +77,13 @@ def test_area_running_total_text_x(spark):
     w = Window.partitionBy("c").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
     want = CH.bar(df, "x", "y", "c").withColumn("cumulative", F.sum("sum_y").over(w))
     assert rows(got, "x", "c", "cumulative") == rows(want, "x", "c", "cumulative")
+
+
+@pytest.mark.parametrize("kind", list(CH.CHART_TYPES) + ["unknown_type"])
+def test_every_chart_type_runs(spark, kind):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(
+        "l_returnflag", "l_quantity", "l_extendedprice", "l_linestatus", "l_discount")
+    spec = CH.resolve_chart(df, kind, x="l_returnflag", y="l_quantity", color="l_linestatus",
+                            z="l_discount", path=["l_returnflag", "l_linestatus"])
+    out = CH.chart_data(df, spec)
+    assert out.count() > 0
