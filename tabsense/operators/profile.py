@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions.moments import moments_frame
 from ..functions.quantiles import exact_quantiles
 from ..functions.rows import duplicate_split
+from ..functions.texttop import mean_length, top_text
 from ..functions.types import (NUMERIC, col, logical_types,
                                normalize_missing, numeric_columns, value_key)
 
@@ -230,28 +231,78 @@ def health_label(score: Column) -> Column:
 # ---------------------------------------------------------------------------
 # value counts, top-k, mode, class balance
 
+LONG_TEXT = 64     # mean characters above which top-k/mode of a text column go by hash
+
+
+def _long_text_columns(df: DataFrame, columns: list[str], text: str) -> list[str]:
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    if text == "value" or not texts:
+        return []
+    if text == "hash":
+        return texts
+    lengths = mean_length(df, texts)                        # one small aggregate
+    return [c for c in texts if lengths[c] > LONG_TEXT]
+
+
+def _text_tops(df: DataFrame, columns: list[str], k: int) -> tuple[DataFrame | None, list[str]]:
+    """(column, rank, value, cnt) of long-text columns computed by hash, plus the
+    columns that fell back to grouping by value."""
+    names = list(df.columns)
+    rows, fallback = [], []
+    for c in columns:
+        got = top_text(df, c, k)
+        if got is None:
+            fallback.append(c)
+            continue
+        rows += [(names.index(c), c, i + 1, v, n) for i, (v, n) in enumerate(got)]
+    frame = df.sparkSession.createDataFrame(rows, "position int, column string, rank int, value string, cnt bigint")
+    return frame, fallback
+
+
 def top_values(df: DataFrame, k: int | None = 8, columns: list[str] | None = None,
-               vf: DataFrame | None = None) -> DataFrame:
+               vf: DataFrame | None = None, text: str = "auto") -> DataFrame:
     """(column, rank, value, cnt): most frequent non-null values per column.
 
     Ties are broken by the value (ascending) so the result is reproducible.
     The window runs over the frequency table partitioned by column; ``k`` is the
     reported size (a top-k report), not a cap on the work."""
+    columns = list(df.columns) if columns is None else list(columns)
+    hashed_tops = None
+    if vf is None and k is not None:
+        # long texts: exact top-k by hash, the texts themselves are not shuffled
+        longs = _long_text_columns(df, columns, text)
+        if longs:
+            hashed_tops, back = _text_tops(df, longs, k)
+            columns = [c for c in columns if c not in longs or c in back]
+    if vf is None and not columns:
+        return hashed_tops.select("column", "rank", "value", "cnt")
     vf = frequency_table(df, columns) if vf is None else vf
     w = Window.partitionBy("position").orderBy(F.col("cnt").desc(), F.col("value").asc())
     ranked = vf.where(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(w))
     if k is not None:
         ranked = ranked.where(F.col("rank") <= k)
-    return ranked.select("column", F.col("rank").cast("int").alias("rank"), "value", "cnt")
+    out = ranked.select("column", F.col("rank").cast("int").alias("rank"), "value", "cnt")
+    if hashed_tops is not None:
+        out = out.unionByName(hashed_tops.select("column", "rank", "value", "cnt"))
+    return out
 
 
 def modes(df: DataFrame, columns: list[str] | None = None,
-          vf: DataFrame | None = None) -> DataFrame:
+          vf: DataFrame | None = None, text: str = "auto") -> DataFrame:
     """(column, mode, mode_count): most frequent non-null value, smallest on a tie.
 
     "Smallest" follows the column's own ordering (numbers numerically, text by
     code point), as pandas' sorted mode does."""
-    columns = list(df.columns) if columns is None else columns
+    columns = list(df.columns) if columns is None else list(columns)
+    hashed = None
+    if vf is None:
+        longs = _long_text_columns(df, columns, text)
+        if longs:
+            tops, back = _text_tops(df, longs, 1)
+            hashed = tops.select("column", F.col("value").alias("mode"), F.col("cnt").alias("mode_count"))
+            columns = [c for c in columns if c not in longs or c in back]
+            if not columns:
+                return hashed
     vf = frequency_table(df, columns) if vf is None else vf
     kinds = logical_types(df)
     # order key that sorts like the original type
@@ -260,9 +311,10 @@ def modes(df: DataFrame, columns: list[str] | None = None,
                        F.col("value").cast("double"))
     w = Window.partitionBy("position").orderBy(F.col("cnt").desc(), order_num.asc_nulls_last(),
                                                F.col("value").asc())
-    return (vf.where(F.col("value").isNotNull())
-            .withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-            .select("column", F.col("value").alias("mode"), F.col("cnt").alias("mode_count")))
+    out = (vf.where(F.col("value").isNotNull())
+           .withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
+           .select("column", F.col("value").alias("mode"), F.col("cnt").alias("mode_count")))
+    return out if hashed is None else out.unionByName(hashed)
 
 
 def class_balance(df: DataFrame, column: str) -> DataFrame:

@@ -111,3 +111,23 @@ def test_wide_and_long_forms_agree(spark):
     m1 = rows(P.null_matrix(df, "event_id", 7))
     m2 = rows(P.null_matrix(df, "event_id", 7, wide=0))
     assert m1 == m2
+
+
+@pytest.mark.parametrize("table_name,column", [("documents", "text"), ("customer", "c_name"),
+                                               ("conversations", "text"), ("pages", "html")])
+def test_text_topk_by_hash_matches_values(spark, table_name, column):
+    df = spark.read.parquet(f"/root/testdata/sf0.01/{table_name}.parquet")
+    for k in (1, 3, 15):
+        a = rows(P.top_values(df, k, [column], text="hash"), "rank", "value", "cnt")
+        b = rows(P.top_values(df, k, [column], text="value"), "rank", "value", "cnt")
+        assert a == b
+    assert rows(P.modes(df, [column], text="hash")) == rows(P.modes(df, [column], text="value"))
+
+
+def test_text_topk_ties_above_one(spark):
+    import tabsense.functions.texttop as TT
+    data = [("x" * 70 + str(i % 9),) for i in range(90)] + [("y" * 70,)] * 20 + [(None,)] * 3
+    df = spark.createDataFrame(data, "s string")
+    for k in (1, 2, 5, 12):
+        assert rows(P.top_values(df, k, ["s"], text="hash")) == rows(P.top_values(df, k, ["s"], text="value"))
+    assert TT.top_text(df, "s", 3) is not None
