@@ -197,3 +197,7 @@ register("filter_unique_text", _rules_sql("customer", '"column", unique_text'))(
     _rules_query("customer", '"column", unique_text'))
 register("drop_log", _rules_sql("events_dups", 'position, "column", rule, reason') + " WHERE rule IS NOT NULL")(
     lambda s, d: S.drop_log(table(s, d, "events_dups")))
+
+# P9 on long texts: exact top-k by hash (texts are not shuffled)
+register("value_counts_topk_text", _topk_sql("documents", ["text"], 5))(
+    lambda s, d: P.top_values(table(s, d, "documents"), 5, ["text"]))
