@@ -22,17 +22,18 @@ HASH_BROADCAST_MAX = 2_000_000     # repeated hashes (8 bytes each) that may be
 HASH = "__tabsense_row_hash"
 
 
-def row_hash(df: DataFrame) -> Column:
-    """Content hash of a row; -0.0 hashed as 0.0 (they group together)."""
+def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """Content hash of a row (of ``columns``); -0.0 hashed as 0.0 (they group together)."""
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     parts = []
-    for f in df.schema.fields:
+    for f in fields:
         x = col(f.name)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             x = F.when(x == 0, F.lit(0.0).cast(f.dataType)).otherwise(x)
         parts.append(x)
     # null-position bitmasks (62 columns per long) keep (NULL, 1) and (1, NULL)
     # apart: xxhash64 itself skips NULL inputs
-    names = [f.name for f in df.schema.fields]
+    names = [f.name for f in fields]
     masks = []
     for start in range(0, len(names), 62):
         m = F.lit(0).cast("bigint")
@@ -42,14 +43,14 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*parts, *masks)
 
 
-def duplicate_split(df: DataFrame, limit: int | None = None):
+def duplicate_split(df: DataFrame, limit: int | None = None, columns: list[str] | None = None):
     """(rows, candidate_rows, singles, candidates); singles/candidates are None
     above the bound.
 
     ``singles`` are rows without any duplicate; ``candidates`` are the rows whose
     hash repeats (they may or may not be duplicates)."""
     limit = HASH_BROADCAST_MAX if limit is None else limit
-    hashed = df.withColumn(HASH, row_hash(df))
+    hashed = df.withColumn(HASH, row_hash(df, columns))
     per_hash = hashed.groupBy(HASH).agg(F.count(F.lit(1)).alias("_n"))
     st = per_hash.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
                       F.count_if(F.col("_n") > 1).alias("repeated"),

@@ -24,7 +24,9 @@ from ..functions.rows import duplicate_split
 from ..functions.windows import exact_key as _exact_key
 from ..functions.windows import numeric_key as _numeric_key
 from ..functions.windows import with_buckets as _with_buckets
-from .profile import modes
+from .profile import _has_shuffle, modes
+
+ROW_ID = "__tabsense_row"
 
 # Thresholds and decision-log texts of the cleaning rules.
 DATE_HINT = r"^\d{4}-\d{2}-\d{2}|^\d{2}/\d{2}/\d{4}"
@@ -152,7 +154,7 @@ def clean_text(df: DataFrame, columns: list[str] | None = None,
 # ---------------------------------------------------------------------------
 # A6 duplicates
 
-def _dedup(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+def _dedup(df: DataFrame, row_id: str | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(persisted grouped frame, deduplicated rows, rows removed).
 
     One aggregate over all columns with a per-group row count (partial
@@ -160,18 +162,21 @@ def _dedup(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     persisted result gives both counts and the deduplicated rows, so the input
     is read once."""
     norm = normalize_missing(df)
-    if not norm.columns:
+    data = [c for c in norm.columns if c != row_id]
+    if not data:
         return norm, norm, 0
-    cols = [col(c) for c in norm.columns]
-    rows, cand, singles, candidates = duplicate_split(norm)
+    cols = [col(c) for c in data]
+    # with a row-order column, a duplicate group keeps its first row's position
+    first = [F.min(col(row_id)).alias(row_id)] if row_id else []
+    rows, cand, singles, candidates = duplicate_split(norm, columns=data)
     if singles is not None:
         # only rows sharing a content hash are grouped; the others pass through
         merged = singles if candidates is None else singles.unionByName(
-            candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).drop("_n"))
+            candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"), *first).drop("_n"))
         dedup = keep(balanced(merged))
         return dedup, dedup, rows - dedup.count()
     n = "__tabsense_copies"
-    grouped = keep(norm.groupBy(*cols).agg(F.count(F.lit(1)).alias(n)))
+    grouped = keep(norm.groupBy(*cols).agg(F.count(F.lit(1)).alias(n), *first))
     r = grouped.agg(F.sum(n).alias("before"), F.count(F.lit(1)).alias("after")).first()
     return grouped, grouped.drop(n), (r["before"] or 0) - r["after"]
 
@@ -469,9 +474,21 @@ def clean(df: DataFrame, order_by=None, null_text: str = "keep", quantiles: str
     formats = detect_dates(step)
     step = cast_dates(step, formats)
     step = clean_text(step, [c for c in text_columns(step)], null_text=null_text)
-    cached, step, removed = _dedup(step)
-    iplan = fit_impute(step, order, quantiles)
+    row_id = None
+    if order is None and any(logical_types(step)[c] == DATETIME for c in step.columns) \
+            and not _has_shuffle(step):
+        # no order key given: the scan order of a shuffle-free input is the row
+        # order (the id is a deterministic function of partition and position,
+        # so a retried task recomputes the same ids); duplicates keep their
+        # first position
+        row_id = ROW_ID
+        step = step.withColumn(row_id, F.monotonically_increasing_id())
+        order = [row_id]
+    cached, step, removed = _dedup(step, row_id)
+    iplan = fit_impute(step.drop(row_id) if row_id else step, order, quantiles)
     step = iplan.transform(step)
+    if row_id:
+        step = step.drop(row_id)
     wplan = fit_winsorize(step, quantiles, range_match)
     step = wplan.transform(step)
     return CleanResult(step, dict(iplan.log), removed, formats, iplan, wplan, cached)

@@ -128,3 +128,17 @@ def test_dedup_hash_split_and_fallback(spark, limit, monkeypatch):
     assert removed == df.count() - want.count()
     d = P.distinct_row_count(df).first()
     assert d["n_rows"] == df.count() and d["n_distinct"] == want.count()
+
+
+def test_fill_without_order_key_uses_scan_order(spark, tmp_path):
+    import datetime as dt
+    data = [(i, None if i % 5 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(days=i), float(i % 7))
+            for i in range(300)]
+    src = spark.createDataFrame(data, "i int, ts timestamp, v double").coalesce(1)
+    src.write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    implicit = CL.clean(df)
+    explicit = CL.clean(df, order_by="i")
+    assert implicit.impute.methods["ts"] == "ffill_bfill"
+    assert "__tabsense_row" not in implicit.df.columns
+    assert rows(implicit.df) == rows(explicit.df)
