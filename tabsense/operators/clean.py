@@ -326,8 +326,9 @@ def fill_forward_backward(df: DataFrame, columns: list[str], order_by: list[str]
         got = df.agg(F.percentile_approx(key, F.array(*[F.lit(p) for p in probs]), 10000)
                      .alias("b")).first()["b"]
         cut = sorted(float(b) for b in (got or []) if b is not None)
-        if not _exact_key(df, order[0]):
-            # a prefix key: rows with equal numbers may differ, so never split a tie
+        if not _exact_key(df, order[0]) or len(order) > 1:
+            # a prefix key, or further order keys after the first: rows with equal
+            # numbers are still ordered by something else, so never split a tie by hash
             cut = sorted(set(cut))
             tb_for_buckets = F.lit(0).cast("long")
     else:

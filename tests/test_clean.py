@@ -142,3 +142,12 @@ def test_fill_without_order_key_uses_scan_order(spark, tmp_path):
     assert implicit.impute.methods["ts"] == "ffill_bfill"
     assert "__tabsense_row" not in implicit.df.columns
     assert rows(implicit.df) == rows(explicit.df)
+
+
+def test_partitioned_fill_two_order_keys_with_hot_first_key(spark):
+    # the first key is hot (half the rows share k1 = 5); order within it is by k2
+    data = [(5 if i % 2 else i, (i * 37) % 1000, None if i % 3 else float(i)) for i in range(1200)]
+    df = spark.createDataFrame(data, "k1 int, k2 int, v double").repartition(6)
+    a = CL.fill_forward_backward(df, ["v"], ["k1", "k2"], method="window")
+    p = CL.fill_forward_backward(df, ["v"], ["k1", "k2"], buckets=12)
+    assert a.exceptAll(p).count() == 0 and p.exceptAll(a).count() == 0
