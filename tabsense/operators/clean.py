@@ -220,8 +220,10 @@ class ImputePlan:
 
 def fit_impute(df: DataFrame, order_by: str | list[str] | None = None,
                quantiles: str = "auto") -> ImputePlan:
-    """A7-A10/A14 fit: one aggregate (rows, nulls, g1, median, mean per column),
-    plus a frequency table for the modes of text columns that have nulls."""
+    """A7-A10/A14 fit: one moments job (rows, nulls, mean, g1 of every column;
+    long form for wide frames), exact medians only for the skewed numeric
+    columns that have nulls (two-pass selection), and the modes of text columns
+    that have nulls."""
     order = [order_by] if isinstance(order_by, str) else order_by
     kinds = logical_types(df)
     mom = column_moments(df, want=("rows", "nulls", "mean", "g1"))   # one job, all columns
@@ -399,8 +401,9 @@ class WinsorPlan:
 
 def fit_winsorize(df: DataFrame, quantiles: str = "auto", range_match: str = "substring",
                   columns: list[str] | None = None) -> WinsorPlan:
-    """A11/A12 fit: quartiles of every numeric column (after the non-negative
-    clip for range-named columns) in one aggregate."""
+    """A11/A12 fit: exact quartiles of every numeric column (after the
+    non-negative clip for range-named columns), all columns together in the
+    two passes of ``exact_quantiles``."""
     nums = numeric_columns(df) if columns is None else columns
     plan = WinsorPlan()
     if not nums:
