@@ -49,3 +49,15 @@ def test_pipeline_result_write(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out" / part)).count() >= 0
     assert spark.read.parquet(str(tmp_path / "out" / "clean")).count() == res.clean.count()
     res.release()
+
+
+def test_sweep_audit_rows_appended_once(spark):
+    from tabsense import run_pipeline
+    r = run_pipeline(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"), source="orders")
+    res = r.add_sweep()
+    r.add_sweep()
+    steps = [x["step"] for x in r.audit().orderBy("step_no").collect()]
+    assert steps[15:] == ["Train/Test Split", "Algorithm Sweep", "Best Model Selection",
+                          "Feature Importance Extraction"]
+    assert res.task == "classification" and 0.0 <= res.best_metric_value <= 1.0
+    r.release()
