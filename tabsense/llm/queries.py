@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, pages  # noqa: F401
 from .bpe import round_trip
+from .lm import score
 from .packing import pack
 from .quality import quality
 from .warc import pages_to_warc
@@ -38,3 +39,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_to_warc(pages(spark, sf_dir)).drop("url")
+
+
+@query
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(documents(spark, sf_dir))
