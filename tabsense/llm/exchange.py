@@ -116,8 +116,9 @@ def buckets_for(chunks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
 
 
 def ask(chunks: DataFrame, keys: Callable[..., Keys], columns: int, buckets: int,
-        extra: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Totals of every key's values over all chunks.
+        extra: str | None = None, largest: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Totals of every key's values over all chunks (of the columns in ``largest``:
+    the largest value).
 
     ``keys(blob)`` (or ``keys(blob, extra)`` with the named column) gives a chunk's
     keys by kind. Returns answers (chunk, answers: array of (kind, bucket, blob)) and
@@ -146,7 +147,10 @@ def ask(chunks: DataFrame, keys: Callable[..., Keys], columns: int, buckets: int
         sums = np.zeros((len(found), columns), np.int64)
         values = np.concatenate([unpack_values(v, columns) for v in rows["counts"]])
         for c in range(columns):
-            sums[:, c] = np.bincount(place, values[:, c], len(found)).astype(np.int64)
+            if c in largest:
+                np.maximum.at(sums[:, c], place, values[:, c])
+            else:
+                np.add.at(sums[:, c], place, values[:, c])
         out, at = [], 0
         for chunk, part in zip(rows["chunk"], parts, strict=True):
             out.append((chunk, pack_values(sums[place[at:at + len(part)]])))
@@ -157,7 +161,7 @@ def ask(chunks: DataFrame, keys: Callable[..., Keys], columns: int, buckets: int
         got.insert(0, "kind", rows["kind"].iloc[0])
         got["n_keys"] = int((sums[:, 0] > 0).sum())
         for c in range(columns):
-            got[f"s{c}"] = int(sums[:, c].sum())
+            got[f"s{c}"] = 0 if c in largest else int(sums[:, c].sum())
         return got
 
     sums = ", ".join(f"s{c} long" for c in range(columns))

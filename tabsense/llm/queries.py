@@ -10,6 +10,7 @@ from .bpe import round_trip
 from .lm import score
 from .packing import pack
 from .quality import quality
+from .suffix import dedup
 from .warc import pages_to_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(documents(spark, sf_dir)).drop("kept")
