@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, pages  # noqa: F401
 from .bpe import round_trip
 from .lm import score
+from .minhash import near_duplicates
 from .packing import pack
 from .quality import quality
+from .spotsigs import with_edits
 from .suffix import dedup
+from .urls import judge
 from .warc import pages_to_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +53,18 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir)).drop("kept")
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(pages(spark, sf_dir)).drop("trust", "distrust")
+
+
+@query
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_edits(documents(spark, sf_dir))
+
+
+@query
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), size=2, percent=80)
