@@ -13,6 +13,7 @@ from .packing import pack
 from .quality import quality
 from .spotsigs import with_edits
 from .suffix import dedup
+from .toxicity import scored
 from .urls import judge
 from .warc import pages_to_warc
 
@@ -68,3 +69,8 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=2, percent=80)
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
