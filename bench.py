@@ -18,7 +18,7 @@ from tabsense.config import get_session  # noqa: E402
 from tabsense.operators import clean as CL  # noqa: E402
 from tabsense.operators import correlate as CR  # noqa: E402
 from tabsense.operators import features as FT  # noqa: E402
-from tabsense.operators import ml as ML  # noqa: E402
+from tabsense.plans import q_ml  # noqa: E402
 from tabsense.operators import profile as P  # noqa: E402
 from tabsense.plans.automatic import run_pipeline  # noqa: E402
 from tabsense.plans.variants import table  # noqa: E402
@@ -40,8 +40,7 @@ def queries(s, d):
         "schema_profile": lambda: P.profile_schema(li()),
         "profile_count_distinct": lambda: P.profile_schema_count_distinct(li()),
         "health_score": lambda: P.health_components(li()),
-        "winsorize_auto": lambda: CL.winsorize(li()),
-        "winsorize_exact": lambda: CL.winsorize(li(), quantiles="exact"),
+        "winsorize": lambda: CL.winsorize(li()),
         "winsorize_approx": lambda: CL.winsorize(li(), quantiles="approx"),
         "clean_lineitem": lambda: CL.clean(li()).df,
         "clean_orders": lambda: CL.clean(od()).df,
@@ -50,9 +49,8 @@ def queries(s, d):
         "ffill_single_task": lambda: CL.fill_forward_backward(ev(), ["ts", "value"], "event_id", method="window"),
         "ffill_partitioned": lambda: CL.fill_forward_backward(ev(), ["ts", "value"], "event_id"),
         "auto_run_events": lambda: run_pipeline(ev(), order_by="event_id").transformed,
-        "ml_regression": lambda: ML.sweep(table(s, d, "part"), "p_retailprice", task="regression").leaderboard,
-        "ml_classification": lambda: ML.sweep(FT.transform(table(s, d, "labels").drop("doc_id"), target="toxic"),
-                                              "toxic").leaderboard,
+        "ml_regression": lambda: q_ml._reg_sweep(s, d).leaderboard,
+        "ml_classification": lambda: q_ml._cls_sweep(s, d).leaderboard,
     }
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..config import cut_lineage
 from ..functions.moments import column_moments
 from ..functions.types import (BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, col,
-                               logical_types)
+                               logical_types, normalize_missing)
 from .profile import column_summary, frequency_table
 
+SIDE = "__tabsense_side"     # hidden column of the train/test split (see ml.with_side)
 ONE_HOT_MAX = 10           # fixed value: one-hot up to this cardinality, label codes above
 VOCAB_BROADCAST_MAX = 1_000_000   # vocabularies up to this size are ranked in one task and broadcast
 LOCAL_VOCAB_MAX = 100_000         # vocabularies up to this size are fitted on the driver
@@ -41,9 +42,15 @@ class OneHot:
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = [col(c) for c in df.columns if c not in self.vocab]
+        used = {c.lower() for c in df.columns if c not in self.vocab}
         for c, values in self.vocab.items():
             for v in values[1:]:
-                out.append(F.coalesce(col(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}"))
+                # Spark does not tell names apart by case: a second one gets _2, _3...
+                name, k = f"{c}_{v}", 2
+                while name.lower() in used:
+                    name, k = f"{c}_{v}_{k}", k + 1
+                used.add(name.lower())
+                out.append(F.coalesce(col(c) == F.lit(v), F.lit(False)).alias(name))
         return df.select(*out)
 
 
@@ -186,7 +193,7 @@ def fit_zscore(df: DataFrame, columns: list[str]) -> ZScore:
     """Mean and population std of every column in one aggregate."""
     if not columns:
         return ZScore()
-    mom = column_moments(df, columns, want=("mean", "std_pop"))
+    mom = column_moments(normalize_missing(df), columns, want=("mean", "std_pop"))
     return ZScore({c: (mom[c]["mean"], mom[c]["std_pop"]) for c in columns})
 
 
@@ -225,12 +232,13 @@ def fit_transform_plan(df: DataFrame, profile_rows: list | None = None,
     if profile_rows is None:
         profile_rows = column_summary(df).collect()       # one row per column
     info = {r["column"]: r for r in profile_rows}
-    dts = [c for c in df.columns if info[c]["dtype"] == DATETIME and c != target]
-    cats = [c for c in df.columns if info[c]["dtype"] == CATEGORICAL]
+    names = [c for c in df.columns if c != SIDE]          # the split's column passes through
+    dts = [c for c in names if info[c]["dtype"] == DATETIME and c != target]
+    cats = [c for c in names if info[c]["dtype"] == CATEGORICAL]
     oh = [c for c in cats if info[c]["cardinality"] <= ONE_HOT_MAX and c != target]
     lab = [c for c in cats if c not in oh]
-    bools = [c for c in df.columns if info[c]["dtype"] == BOOLEAN and c != target]
-    nums = [c for c in df.columns if info[c]["dtype"] == NUMERIC and c != target]
+    bools = [c for c in names if info[c]["dtype"] == BOOLEAN and c != target]
+    nums = [c for c in names if info[c]["dtype"] == NUMERIC and c != target]
     return TransformPlan(
         dts, fit_one_hot(df, oh, vf),
         fit_label_encoder(df, lab, {c: info[c]["cardinality"] for c in lab}),

@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import keep
-from ..functions.types import BOOLEAN, NUMERIC, col, logical_types
+from ..functions.types import BOOLEAN, NUMERIC, col, logical_types, normalize_missing
 from ..functions.windows import running_sum
+from .features import SIDE
 from .target import task_table
 
 SEED = 42               # fixed values: split seed / share, forest size, iterations
@@ -31,29 +32,57 @@ TRAIN_PCT = 80
 N_TREES = 100
 LOGREG_MAX_ITER = 1000
 TOP_FEATURES = 10
+# chosen for a distributed fit: each level of a tree and each boosting round is a pass
+# over the data, so depth 6 instead of unlimited and 20 rounds instead of 100
+TREE_DEPTH = 6
+BOOST_ROUNDS = 20
 
 
 # F7, M1 -----------------------------------------------------------------------
 def prepare_xy(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
     """Rows with a target; features = numeric and boolean columns but the target."""
     kinds = logical_types(df)
-    feats = [c for c in df.columns if c != target and kinds[c] in (NUMERIC, BOOLEAN)]
+    feats = [c for c in df.columns if c not in (target, SIDE) and kinds[c] in (NUMERIC, BOOLEAN)]
     return df.na.drop(subset=[target]), feats
 
 
+COPY_BLOCK = 10_000           # identical rows are numbered in blocks of so many
+
+
+def with_side(df: DataFrame, seed: int = SEED, train_pct: int = TRAIN_PCT) -> DataFrame:
+    """Adds the hidden column SIDE. A row's side comes from the md5 of its content
+    and of its number among identical rows, so it is the same under any
+    partitioning or retry, and copies are split like other rows. Take it before
+    anything is fitted (scaling, encoding), as fitted values may differ in their
+    last digits between runs; ``transform`` carries the column along.
+
+    Identical rows are interchangeable: they are counted (copies collapse inside
+    each map task) and dealt out again in blocks, so a hot row spreads over tasks."""
+    cols = [col(c) for c in df.columns]
+    text = F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("\u0000")) for c in cols])
+    n, block = "__tabsense_n", "__tabsense_block"
+    rows = df.groupBy(*cols).agg(F.count(F.lit(1)).alias(n))
+    last = F.floor((F.col(n) - 1) / COPY_BLOCK)
+    blocks = rows.withColumn(block, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    many = blocks.where(F.col(n) > COPY_BLOCK).repartition(block, *cols)
+    spread = blocks.where(F.col(n) <= COPY_BLOCK).unionByName(many)
+    start = F.col(block) * COPY_BLOCK
+    dealt = spread.withColumn("__tabsense_copy", F.explode(F.sequence(
+        start, F.least(F.col(n), start + COPY_BLOCK) - 1)))
+    digest = F.md5(F.concat_ws("\u0001", text, F.col("__tabsense_copy").cast("string"),
+                               F.lit(str(seed))))
+    side = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100 < train_pct
+    return dealt.select(*cols, side.alias(SIDE))
+
+
 def split(df: DataFrame, seed: int = SEED, train_pct: int = TRAIN_PCT) -> tuple[DataFrame, DataFrame]:
-    """Content-hash 80/20 split: a row's side depends only on its values, so the
-    split is the same under any partitioning or task retry, and identical rows
-    land on the same side (no duplicate leakage into the test set)."""
-    h = F.pmod(F.xxhash64(*[col(c) for c in df.columns], F.lit(seed)), F.lit(100))
-    tagged = df.withColumn("_split", h)
-    return (tagged.where(F.col("_split") < train_pct).drop("_split"),
-            tagged.where(F.col("_split") >= train_pct).drop("_split"))
+    """80/20 split by ``with_side`` (or by the SIDE column that ``df`` brings along)."""
+    tagged = df if SIDE in df.columns else with_side(df, seed, train_pct)
+    return tagged.where(F.col(SIDE)).drop(SIDE), tagged.where(~F.col(SIDE)).drop(SIDE)
 
 
 def split_sizes(df: DataFrame, seed: int = SEED) -> DataFrame:
-    h = F.pmod(F.xxhash64(*[col(c) for c in df.columns], F.lit(seed)), F.lit(100))
-    return df.groupBy(F.when(h < TRAIN_PCT, "train").otherwise("test").alias("side")).agg(
+    return with_side(df, seed).groupBy(F.when(F.col(SIDE), "train").otherwise("test").alias("side")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -140,24 +169,38 @@ FEATURES, LABEL = "_features", "_label"     # private names: never collide with
 def _models(task: str, binary: bool):
     io = {"featuresCol": FEATURES, "labelCol": LABEL}
     if task == "classification":
-        gbt = GBTClassifier(seed=SEED, **io)
+        gbt = GBTClassifier(seed=SEED, maxIter=BOOST_ROUNDS, **io)
         svc = LinearSVC(maxIter=100, **io)
         return [
-            ("Random Forest", RandomForestClassifier(numTrees=N_TREES, seed=SEED, **io)),
+            ("Random Forest", RandomForestClassifier(numTrees=N_TREES, maxDepth=TREE_DEPTH, seed=SEED, **io)),
             ("Gradient-Boosted Trees", gbt if binary else OneVsRest(classifier=gbt, **io)),
-            ("Decision Tree", DecisionTreeClassifier(seed=SEED, **io)),
+            ("Decision Tree", DecisionTreeClassifier(maxDepth=TREE_DEPTH, seed=SEED, **io)),
             ("Logistic Regression", LogisticRegression(maxIter=LOGREG_MAX_ITER, **io)),
             ("Linear SVC", svc if binary else OneVsRest(classifier=svc, **io)),
         ]
     return [
-        ("Random Forest", RandomForestRegressor(numTrees=N_TREES, seed=SEED, **io)),
-        ("Gradient-Boosted Trees", GBTRegressor(seed=SEED, **io)),
-        ("Decision Tree", DecisionTreeRegressor(seed=SEED, **io)),
+        ("Random Forest", RandomForestRegressor(numTrees=N_TREES, maxDepth=TREE_DEPTH, seed=SEED, **io)),
+        ("Gradient-Boosted Trees", GBTRegressor(seed=SEED, maxIter=BOOST_ROUNDS, **io)),
+        ("Decision Tree", DecisionTreeRegressor(maxDepth=TREE_DEPTH, seed=SEED, **io)),
         ("Linear Regression", LinearRegression(**io)),
         ("Huber Regression", LinearRegression(loss="huber", **io)),
     ]
 
 
+def linear_fit(df: DataFrame, target: str, feature: str) -> DataFrame:
+    """The sweep's linear regression on one feature over all rows: intercept, slope,
+    |coefficient| as importance, and the fit's RMSE, MAE and R2."""
+    data = normalize_missing(df).select(col(feature).cast("double").alias("x"),
+                                        col(target).cast("double").alias(LABEL)).na.drop()
+    ready = VectorAssembler(inputCols=["x"], outputCol=FEATURES).transform(data)
+    model = dict(_models("regression", False))["Linear Regression"].fit(ready)
+    metrics = regression_metrics(model.transform(ready), LABEL, "prediction")
+    (_, importance), = importances(model, [feature])
+    return metrics.select(F.lit(float(model.intercept)).alias("intercept"),
+                          F.lit(float(model.coefficients[0])).alias("slope"),
+                          F.lit(importance).alias("importance"), "rmse", "mae", "r2")
+
+
 def importances(model, features: list[str]) -> list[tuple[str, float]]:
     """Tree importances, or |coefficients| (first class row); top 10."""
     m = model
@@ -192,7 +235,21 @@ def sweep(df: DataFrame, target: str, task: str | None = None, parallelism: int
     """Train the five models of the task on the 80 % side, score the 20 % side."""
     spark = df.sparkSession
     task = task or task_table(df, [target]).first()["task"]
-    data, feats = prepare_xy(df, target)
+    data, feats = prepare_xy(normalize_missing(df), target)
+    if SIDE not in data.columns:
+        data = with_side(data)
+    # a missing feature is its training mean, and a flag says so: all five models accept it
+    means = data.where(F.col(SIDE)).agg(*[F.avg(col(c).cast("double")).alias(f"m{i}")
+                                          for i, c in enumerate(feats)],
+                                        *[F.count_if(col(c).isNull()).alias(f"z{i}")
+                                          for i, c in enumerate(feats)]).first() if feats else None
+    holes = data.agg(*[F.count_if(col(c).isNull()).alias(f"z{i}")
+                       for i, c in enumerate(feats)]).first() if feats else None
+    gaps = [c for i, c in enumerate(feats) if holes[i]]
+    data = data.withColumns({f"{c}_missing": col(c).isNull().cast("int") for c in gaps})
+    data = data.withColumns({c: F.coalesce(col(c).cast("double"), F.lit(means[f"m{i}"] or 0.0))
+                             for i, c in enumerate(feats) if c in gaps})
+    feats += [f"{c}_missing" for c in gaps]
     assembler = VectorAssembler(inputCols=feats, outputCol=FEATURES, handleInvalid="error")
     if task == "classification":
         idx = StringIndexer(inputCol=target, outputCol=LABEL, stringOrderType="alphabetAsc")
@@ -201,14 +258,15 @@ def sweep(df: DataFrame, target: str, task: str | None = None, parallelism: int
     else:
         prep = Pipeline(stages=[assembler]).fit(data)
         binary = False
-    # the split hash is taken over the original columns, before assembling
-    h = F.pmod(F.xxhash64(*[col(c) for c in data.columns], F.lit(SEED)), F.lit(100))
-    ready = prep.transform(data.withColumn("_h", h))
+    ready = prep.transform(data)
     if task != "classification":
         ready = ready.withColumn(LABEL, col(target).cast("double"))
-    ready = ready.select(FEATURES, LABEL, "_h")
-    train = keep(ready.where(F.col("_h") < TRAIN_PCT).drop("_h"))
-    test = keep(ready.where(F.col("_h") >= TRAIN_PCT).drop("_h"))
+    train, test = (keep(side) for side in split(ready.select(FEATURES, LABEL, SIDE)))
+    sizes = [side.agg(F.count(F.lit(1)), F.count_distinct(LABEL)).first() for side in (train, test)]
+    if not sizes[0][0] or not sizes[1][0]:
+        raise ValueError(f"a side of the split is empty: {sizes[0][0]} training, {sizes[1][0]} test rows")
+    if task == "classification" and sizes[0][1] < len(prep.stages[0].labels):
+        raise ValueError("the training side lacks a class")
     models = _models(task, binary)
 
     def fit_one(item):
@@ -218,7 +276,9 @@ def sweep(df: DataFrame, target: str, task: str | None = None, parallelism: int
             pred = model.transform(test)
             if task == "classification":
                 if binary and "rawPrediction" in pred.columns:
-                    pred = pred.withColumn("_score", vector_to_array("rawPrediction")[1])
+                    # read several times (confusion table, scores): computed once
+                    pred = keep(pred.select(LABEL, "prediction",
+                                            vector_to_array("rawPrediction")[1].alias("_score")))
                     m = classification_metrics(pred, LABEL, "prediction", "_score").first()
                 else:
                     m = classification_metrics(pred, LABEL, "prediction").first()
@@ -236,24 +296,17 @@ def sweep(df: DataFrame, target: str, task: str | None = None, parallelism: int
     # executors busy when one fit alone cannot (as Spark ML tuning's parallelism)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         results = list(pool.map(fit_one, enumerate(models)))
-    rows, errors, fitted = [], {}, {}
-    best, best_val = "", (-1.0 if task == "classification" else float("inf"))
-    metric_name = "F1-Score" if task == "classification" else "RMSE"
-    for row, model, err in results:        # model order: strict improvement, first wins ties
-        rows.append(row)
-        name = row[1]
-        if err:
-            errors[name] = err
-            continue
-        fitted[name] = model
-        val = row[3] if task == "classification" else row[5]
-        if (task == "classification" and val > best_val) or (task != "classification" and val < best_val):
-            best, best_val = name, val
+    metric, metric_name = ("f1", "F1-Score") if task == "classification" else ("rmse", "RMSE")
+    errors = {row[1]: err for row, _, err in results if err}
+    fitted = {row[1]: model for row, model, err in results if not err}
     train.unpersist()
     test.unpersist()
-    board = spark.createDataFrame(rows, "model_no int, model string, accuracy double, f1 double, "
-                                        "roc_auc double, rmse double, mae double, r2 double, error string")
+    board = spark.createDataFrame([row for row, _, _ in results],
+                                  "model_no int, model string, accuracy double, f1 double, "
+                                  "roc_auc double, rmse double, mae double, r2 double, error string")
     board = leaderboard(board, task)
+    first = board.where("rank = 1").first()
+    best, best_val = (first["model"], first[metric]) if fitted else ("", None)
     imp = importances(fitted[best], feats) if best else []
     imp_df = spark.createDataFrame([(r + 1, f, v) for r, (f, v) in enumerate(imp)],
                                    "rank int, feature string, importance double")
