@@ -1,291 +1,159 @@
 """Exact linear-interpolated quantiles with bounded memory.
 
 ``percentile`` is exact but, as a global aggregate, ships one value -> count
-map per input partition to a single final task: with P partitions and d
-distinct values the merge is O(P * d) work in one task. ``exact_quantiles``
-(method "auto") never does that:
-
-* columns whose approximate distinct count is at most ``gather_max`` are
-  counted per value by a distributed aggregate (``groupBy(value).count()``:
-  partial aggregation, shuffle by value; a hot value is one row) and only the
-  (value, count) table — bounded by ``gather_max`` rows per column — is read
-  to get the order statistics;
-* other columns run an exact distributed selection:
-
-1. a quantile sketch restricted to the current value bracket proposes a
-   narrower bracket around the wanted ranks;
-2. exact counts (values below / inside the bracket) verify it — a proposal that
-   misses the ranks is widened and retried, so sketch error never reaches the
-   result;
-3. once a bracket holds few distinct values, its (value, count) pairs are
-   gathered (bounded by ``collect_max`` per target) and the order statistics
-   are read off the cumulative counts.
-
-Every pass is one global aggregate over all columns and targets at once; ties
-(a value holding a third of the rows) cost one (value, count) row.
+map per input partition to a single final task. ``exact_quantiles`` selects the
+wanted order statistics instead: a bracket of values around each is cut into
+``BINS`` bins, one distributed aggregate counts the values per bin (partial
+aggregation per task, at most BINS rows per bracket, column and task), and the bin
+that holds the rank becomes the next bracket, with the smallest and largest value
+found in it. A bracket whose ends are equal is the answer; every pass divides the
+others by up to BINS, so a column of 10^11 distinct values takes about four. No
+sketch, no retry, no gathering of values; a value holding a third of the rows is
+one row of a bin. The same plan serves every size and width.
 """
 from __future__ import annotations
 
 import math
+import sys
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import agg_row
+from ..config import agg_row, keep
+from .types import col
 
-COLLECT_MAX = 200_000
-ACCURACY = 10_000
-FIRST_ACCURACY = 1_000
-WIDE = 32          # above this many columns the passes run on the long form (column, value)
+ACCURACY = 10_000     # of the sketch that method="approx" reads
+BINS = 4096
+MAX_DOUBLE = sys.float_info.max
 
 
 def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
-                    method: str = "auto",
-                    collect_max: int = COLLECT_MAX, accuracy: int = ACCURACY) -> dict[str, list]:
-    """{name: [quantile per prob]} (None for an all-null column)."""
+                    method: str = "auto", bins: int = BINS) -> dict[str, list]:
+    """{name: [quantile per prob]} (None for a column without values). NaN counts
+    as missing. ``method="approx"`` reads one sketch instead."""
     names = list(exprs)
     if not names:
         return {}
-    xs = {k: exprs[k].cast("double") for k in names}
-    arr = F.array(*[F.lit(float(p)) for p in probs])
+    xs = {k: F.nanvl(exprs[k].cast("double"), F.lit(None).cast("double")) for k in names}
     if method == "approx":
-        r = agg_row(df, [F.percentile_approx(xs[k], arr, accuracy).alias(f"q{i}") for i, k in enumerate(names)])
-        return {k: _floats(r[f"q{i}"], len(probs)) for i, k in enumerate(names)}
-    if method == "exact":
-        r = agg_row(df, [F.percentile(xs[k], arr).alias(f"q{i}") for i, k in enumerate(names)])
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        r = agg_row(df, [F.percentile_approx(xs[k], arr, ACCURACY).alias(f"q{i}")
+                         for i, k in enumerate(names)])
         return {k: _floats(r[f"q{i}"], len(probs)) for i, k in enumerate(names)}
-    if len(names) > WIDE:
-        return _long_form(df, xs, names, probs, collect_max, accuracy)
-    first = FIRST_ACCURACY            # a coarse first sketch is cheap and brackets ~n / 250 rows
-    eps = 2.0 / first
-    sk = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
-    # pass 1: non-null count and a first sketch bracket for every target
-    st = agg_row(df, [F.struct(F.count(xs[k]),
-                               F.percentile_approx(xs[k], F.array(*[F.lit(q) for q in sk]), first))
-                      .alias(f"s{i}") for i, k in enumerate(names)])
-    counts = {k: st[f"s{i}"][0] for i, k in enumerate(names)}
-    targets = []
-    for i, k in enumerate(names):
-        n = counts[k]
-        if not n:
-            continue
-        sketch = dict(zip(sk, [float(v) for v in st[f"s{i}"][1]]))
-        for pi, p in enumerate(probs):
-            h = (n - 1) * p
-            k0 = int(math.floor(h))
-            targets.append({"k": k, "pi": pi, "k0": k0, "k1": min(k0 + 1, n - 1), "frac": h - k0,
-                            "lo": sketch[min(1.0, max(0.0, p - eps))],
-                            "hi": sketch[min(1.0, max(0.0, p + eps))]})
-    # brackets hold ~4n/first rows (fewer distinct values; a hot value is one row)
-    direct = [t for t in targets if counts[t["k"]] * 4 * eps <= collect_max]
-    # pass 2: rows below each bracket (one aggregate for all targets) and the
-    # (value, count) pairs inside each bracket (one scan emitting only in-bracket
-    # values, grouped by target and value)
-    got: dict[tuple, list] = {}
-    if direct:
-        below = agg_row(df, [F.count_if(xs[t["k"]] < F.lit(t["lo"])).alias(f"b{j}")
-                             for j, t in enumerate(direct)])
-        entries = [F.when((xs[t["k"]] >= F.lit(t["lo"])) & (xs[t["k"]] <= F.lit(t["hi"])),
-                          F.struct(F.lit(j).alias("j"), xs[t["k"]].alias("v")))
-                   for j, t in enumerate(direct)]
-        rows = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-                .groupBy(F.col("e.j").alias("j"), F.col("e.v").alias("v")).count().collect())
-        for j in range(len(direct)):
-            got[("b", j)] = [(None, below[f"b{j}"])]
-        for row in rows:                 # bounded: ~collect_max (value, count) rows per target
-            got.setdefault(("g", row["j"]), []).append((row["v"], row["count"]))
-    out: dict[str, list] = {k: [None] * len(probs) for k in names}
-    retry = [t for t in targets if t not in direct]
-    for j, t in enumerate(direct):
-        below = got.get(("b", j), [(None, 0)])[0][1]
-        vals = sorted(got.get(("g", j), []))
-        inside = sum(c for _, c in vals)
-        if below <= t["k0"] and below + inside - 1 >= t["k1"]:
-            v0, v1 = _at(vals, t["k0"] - below), _at(vals, t["k1"] - below)
-            out[t["k"]][t["pi"]] = v0 + t["frac"] * (v1 - v0)
-        else:                            # the sketch missed (or n is huge): narrow exactly
-            retry.append(t)
-    if retry:
-        res = _select(df, xs, sorted({t["k"] for t in retry}), counts, probs, collect_max, accuracy)
-        for t in retry:
-            out[t["k"]][t["pi"]] = res[t["k"]][t["pi"]]
-    return {k: out[k] for k in names}
-
-
-def _long_form(df, xs, names, probs, collect_max, accuracy):
-    """The same two passes for wide inputs, on the long form: each row emits
-    (column index, value) entries and every aggregate is grouped by the column
-    index, so the number of expressions does not grow with the width. Brackets
-    per column are looked up from small literal maps keyed by column index."""
-    first = FIRST_ACCURACY
-    eps = 2.0 / first
-    sk = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
     long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("p"), xs[k].alias("v"))
                                         for i, k in enumerate(names)]))).where(F.col("v").isNotNull())
-    st = {r["p"]: r for r in long.groupBy("p").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", F.array(*[F.lit(q) for q in sk]), first).alias("s")).collect()}
-    counts = {k: (st[i]["n"] if i in st else 0) for i, k in enumerate(names)}
-    targets = {}
-    for i, k in enumerate(names):
-        n = counts[k]
-        if not n:
-            continue
-        sketch = dict(zip(sk, [float(v) for v in st[i]["s"]]))
-        for pi, p in enumerate(probs):
-            h = (n - 1) * p
-            k0 = int(math.floor(h))
-            targets[(i, pi)] = {"k": k, "pi": pi, "k0": k0, "k1": min(k0 + 1, n - 1), "frac": h - k0,
-                                "lo": sketch[min(1.0, max(0.0, p - eps))],
-                                "hi": sketch[min(1.0, max(0.0, p + eps))]}
-    direct = {key: t for key, t in targets.items() if counts[t["k"]] * 4 * eps <= collect_max}
+    # -0.0 and 0.0 are one value
+    long = long.withColumn("v", F.col("v") + F.lit(0.0))
+    base = {r["p"]: r for r in long.groupBy("p").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    brackets: dict[tuple[int, int], _Bracket] = {}       # (column, rank) -> where it lies
+    for i, r in base.items():
+        for p in probs:
+            k0 = math.floor((r["n"] - 1) * p)
+            for k in (k0, min(k0 + 1, r["n"] - 1)):
+                brackets[i, k] = _Bracket(k, r["lo"], r["hi"])
+    while todo := {key: t for key, t in brackets.items() if t.lo != t.hi}:
+        _narrow(long, todo, len(names), bins)
     out: dict[str, list] = {k: [None] * len(probs) for k in names}
-    retry = [t for key, t in targets.items() if key not in direct]
-    if direct:
-        def bound(which, pi):
-            # positional array literal: O(1) lookup by column index (a literal
-            # map would be a linear scan per row)
-            vals = [direct[(i, pi)][which] if (i, pi) in direct else None for i in range(len(names))]
-            return F.element_at(F.array(*[F.lit(v).cast("double") for v in vals]), F.col("p") + 1)
-        below = {r["p"]: r for r in long.groupBy("p").agg(
-            *[F.count_if(F.col("v") < bound("lo", pi)).alias(f"b{pi}") for pi in range(len(probs))]).collect()}
-        inside = [F.when((F.col("v") >= bound("lo", pi)) & (F.col("v") <= bound("hi", pi)),
-                         F.struct(F.lit(pi).alias("q"), F.col("v").alias("v")))
-                  for pi in range(len(probs))]
-        rows = (long.select("p", F.explode(F.filter(F.array(*inside), lambda e: e.isNotNull())).alias("e"))
-                .groupBy("p", F.col("e.q").alias("q"), F.col("e.v").alias("v")).count().collect())
-        got: dict[tuple, list] = {}
-        for r in rows:
-            got.setdefault((r["p"], r["q"]), []).append((r["v"], r["count"]))
-        for (i, pi), t in direct.items():
-            b = below[i][f"b{pi}"] if i in below else 0
-            vals = sorted(got.get((i, pi), []))
-            inn = sum(c for _, c in vals)
-            if b <= t["k0"] and b + inn - 1 >= t["k1"]:
-                v0, v1 = _at(vals, t["k0"] - b), _at(vals, t["k1"] - b)
-                out[t["k"]][pi] = v0 + t["frac"] * (v1 - v0)
-            else:
-                retry.append(t)
-    if retry:
-        res = _select(df, xs, sorted({t["k"] for t in retry}), counts, probs, collect_max, accuracy)
-        for t in retry:
-            out[t["k"]][t["pi"]] = res[t["k"]][t["pi"]]
-    return {k: out[k] for k in names}
+    for i, r in base.items():
+        for j, p in enumerate(probs):
+            h = (r["n"] - 1) * p
+            k0 = math.floor(h)
+            v0, v1 = brackets[i, k0].lo, brackets[i, min(k0 + 1, r["n"] - 1)].lo
+            out[names[i]][j] = v0 if v0 == v1 else v0 + (h - k0) * (v1 - v0)
+    return out
+
+
+@dataclass
+class _Bracket:
+    """The values lo..hi hold the wanted order statistic, at ``rank`` among them."""
+
+    rank: int
+    lo: float
+    hi: float
+
+
+def _narrow(long: DataFrame, todo: dict[tuple[int, int], _Bracket], width: int, bins: int) -> None:
+    """One pass over the values: count those inside each bracket per bin and keep
+    the bin that holds the rank. Brackets of one column sit in slots, so that the
+    plan's size follows the number of slots; their bounds are looked up by column."""
+    slots: dict[int, list[tuple[int, _Bracket]]] = {}
+    for (i, _), t in todo.items():
+        slots.setdefault(i, []).append(t)
+    deep = max(len(ts) for ts in slots.values())
+
+    def bound(slot: int, what) -> Column:
+        row = [float(what(slots[i][slot])) if len(slots.get(i, [])) > slot else None
+               for i in range(width)]
+        return F.element_at(F.array(*[F.lit(x).cast("double") for x in row]), F.col("p") + 1)
 
-
-def _stats(vals, n, probs):
-    res = []
-    for p in probs:
-        if not n:
-            res.append(None)
-            continue
-        h = (n - 1) * p
-        k0 = int(math.floor(h))
-        v0, v1 = _at(vals, k0), _at(vals, min(k0 + 1, n - 1))
-        res.append(v0 + (h - k0) * (v1 - v0))
-    return res
+    entries = []
+    for slot in range(deep):
+        lo, hi = (bound(slot, lambda t: t.lo), bound(slot, lambda t: t.hi))
+        # infinite bounds have bins of their own; halves keep the range finite
+        low = bound(slot, lambda t: max(t.lo, -MAX_DOUBLE) / 2)
+        span = bound(slot, lambda t: min(t.hi, MAX_DOUBLE) / 2 - max(t.lo, -MAX_DOUBLE) / 2)
+        inner = F.when(span > 0, F.least(F.floor((F.col("v") / 2 - low) / span * bins),
+                                         F.lit(bins - 1))).otherwise(F.when(
+                                             F.col("v") > lo, bins - 1).otherwise(0))
+        at = F.when(F.col("v") == float("inf"), bins).when(F.col("v") == float("-inf"), -1) \
+            .otherwise(inner).cast("int")
+        entries.append(F.when((F.col("v") >= lo) & (F.col("v") <= hi),
+                              F.struct(F.lit(slot).alias("s"), at.alias("b"))))
+    cells = long.select("p", "v", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+                        .alias("e")).groupBy("p", F.col("e.s").alias("s"), F.col("e.b").alias("b")) \
+        .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # at most ``bins`` + 2 rows per (column, slot)
+    up = Window.partitionBy("p", "s").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.withColumn("upto", F.sum("c").over(up))
+    wanted = F.element_at(F.array(*[F.array(*[
+        F.lit(slots[i][s].rank if len(slots.get(i, [])) > s else -1).cast("bigint")
+        for s in range(deep)]) for i in range(width)]), F.col("p") + 1)[F.col("s")]
+    found = ranked.where((F.col("upto") - F.col("c") <= wanted) & (wanted < F.col("upto")))
+    for r in found.collect():                              # one row per bracket
+        t = slots[r["p"]][r["s"]]
+        t.rank -= r["upto"] - r["c"]
+        t.lo, t.hi = r["lo"], r["hi"]
 
 
 def _floats(v, n):
     return [None] * n if v is None else [None if x is None else float(x) for x in v]
 
 
-def _select(df, xs, names, counts, probs, collect_max, accuracy):
-    targets = []
-    for k in names:
-        n = counts[k]
-        for pi, p in enumerate(probs):
-            if not n:
-                targets.append({"k": k, "pi": pi, "none": True})
-                continue
-            h = (n - 1) * p
-            k0 = int(math.floor(h))
-            targets.append({"k": k, "pi": pi, "none": False, "k0": k0, "k1": min(k0 + 1, n - 1),
-                            "frac": h - k0, "lo": float("-inf"), "hi": float("inf"),
-                            "below": 0, "inside": n, "distinct": None, "slack": 2.0})
-    live = [t for t in targets if not t["none"]]
-    for _ in range(12):
-        active = [t for t in live if t["distinct"] is None or t["distinct"] > collect_max]
-        if not active:
-            break
-        # 1. propose narrower brackets from a sketch inside the current bracket
-        aggs = []
-        for j, t in enumerate(active):
-            x = xs[t["k"]]
-            inb = (x >= F.lit(t["lo"])) & (x <= F.lit(t["hi"]))
-            span = max(t["inside"] - 1, 1)
-            eps = t["slack"] / accuracy
-            plo = min(1.0, max(0.0, (t["k0"] - t["below"]) / span - eps))
-            phi = min(1.0, max(0.0, (t["k1"] - t["below"]) / span + eps))
-            aggs.append(F.percentile_approx(F.when(inb, x), F.array(F.lit(plo), F.lit(phi)), accuracy).alias(f"s{j}"))
-        r = df.agg(*aggs).first()
-        props = [(float(r[f"s{j}"][0]), float(r[f"s{j}"][1])) for j in range(len(active))]
-        # 2. verify with exact counts
-        aggs = []
-        for j, (t, (a, b)) in enumerate(zip(active, props)):
-            x = xs[t["k"]]
-            inb = (x >= F.lit(a)) & (x <= F.lit(b))
-            aggs += [F.count_if(x < F.lit(a)).alias(f"b{j}"), F.count_if(inb).alias(f"i{j}"),
-                     F.approx_count_distinct(F.when(inb, x)).alias(f"d{j}")]
-        r = df.agg(*aggs).first()
-        for j, (t, (a, b)) in enumerate(zip(active, props)):
-            below, inside, distinct = r[f"b{j}"], r[f"i{j}"], r[f"d{j}"]
-            if below <= t["k0"] and below + inside - 1 >= t["k1"]:
-                t.update(lo=a, hi=b, below=below, inside=inside, distinct=distinct)
-            else:
-                t["slack"] *= 4.0            # the sketch missed: retry with a wider bracket
-                if t["distinct"] is None:
-                    t["distinct"] = COLLECT_MAX + 1
-    # 3. gather (value, count) inside each final bracket in one job
-    entries = []
-    for j, t in enumerate(live):
-        x = xs[t["k"]]
-        entries.append(F.when((x >= F.lit(t["lo"])) & (x <= F.lit(t["hi"])),
-                              F.struct(F.lit(j).alias("t"), x.alias("v"))))
-    res = {k: [None] * len(probs) for k in names}
-    if entries:
-        got = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-               .groupBy(F.col("e.t").alias("t"), F.col("e.v").alias("v")).count().collect())
-        per = {}
-        for row in got:
-            per.setdefault(row["t"], []).append((row["v"], row["count"]))
-        for j, t in enumerate(live):
-            vals = sorted(per.get(j, []))
-            v0 = _at(vals, t["k0"] - t["below"])
-            v1 = _at(vals, t["k1"] - t["below"])
-            res[t["k"]][t["pi"]] = v0 + t["frac"] * (v1 - v0)
-    return res
-
-
-def _at(vals, rank):
-    seen = 0
-    for v, c in vals:
-        seen += c
-        if rank < seen:
-            return float(v)
-    raise RuntimeError("rank outside the gathered bracket")
+def value_counts(df: DataFrame, groups: list[str], value: Column) -> DataFrame:
+    """(groups, _v, _c): how often each non-missing value occurs per group. Copies
+    of a hot value collapse map-side; the table is kept, as several steps read it."""
+    value = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    return keep(df.where(value.isNotNull()).groupBy(*[col(c) for c in groups], value.alias("_v"))
+                .agg(F.count(F.lit(1)).alias("_c")))
 
 
 def grouped_quantiles(df: DataFrame, groups: list[str], value: Column, probs: list[float],
                       names: list[str] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per group, as a lazy frame
-    (group columns, one column per prob, and ``n``).
+    (group columns, one column per prob, and ``n``)."""
+    return quantiles_of_counts(value_counts(df, groups, value), groups, probs, names)
+
 
-    Fully distributed: per-(group, value) counts (partial aggregation; copies of
-    a hot value collapse map-side), a running count over values per group
-    computed per value-range bucket (``running_sum``; a group with many
-    distinct values spreads over many tasks), then only the rows whose count
-    range covers a wanted rank are kept and combined per group."""
+def quantiles_of_counts(vc: DataFrame, groups: list[str], probs: list[float],
+                        names: list[str] | None = None) -> DataFrame:
+    """The same from ``value_counts``: a running count over values per group is
+    computed per value-range bucket (``running_sum``; a group with many distinct
+    values spreads over many tasks), then only the rows whose count range covers a
+    wanted rank are kept and combined per group."""
     from .windows import running_sum
 
     names = names or [f"q{i}" for i in range(len(probs))]
-    g = [F.col(c) for c in groups]
-    vc = (df.where(value.isNotNull()).groupBy(*g, value.cast("double").alias("_v"))
-          .agg(F.count(F.lit(1)).alias("_c")))
+    g = [col(c) for c in groups]
     n = vc.groupBy(*g).agg(F.sum("_c").alias("_n"))
     cum = running_sum(vc, "_c", "_v", groups or None, out="_cum")
-    j = cum.join(n, groups, "left") if groups else cum.select("*", F.lit(None).alias("_n_")).drop("_n_")
-    if not groups:
+    if groups:
+        # null-safe: the NULL group has quantiles like any other
+        other = n.select(*[col(c).alias(f"_r{i}") for i, c in enumerate(groups)], "_n")
+        j = cum.join(other, [col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(groups)],
+                     "left").drop(*[f"_r{i}" for i in range(len(groups))])
+    else:
         total = n.first()
         j = cum.withColumn("_n", F.lit(total["_n"] if total else 0))
     ranks, outs = [], []

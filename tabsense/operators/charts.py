@@ -9,19 +9,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import NUMERIC, col, logical_types, normalize_missing
-from ..functions.quantiles import grouped_quantiles
-from ..functions.windows import running_sum
+from ..functions.quantiles import quantiles_of_counts, value_counts
+from ..config import cut_lineage
+from ..functions.windows import global_rank, running_sum
 
 BINS = 20              # fixed values: histogram/violin bins, IQR whisker factor
 WHISKER = 1.5
 CHART_TYPES = ("bar", "histogram", "line", "scatter", "box", "violin", "pie", "area",
                "treemap", "funnel", "sunburst", "heatmap", "scatter_3d", "line_3d",
                "surface_3d", "bar_3d")
-FUNNEL_MAX_STAGES = 100_000
 
 
 @dataclass
@@ -152,23 +152,22 @@ def histogram(df: DataFrame, x: str, y: str | None = None, color: str | None = N
 def box(df: DataFrame, y: str, group: str | None = None) -> DataFrame:
     """q1, median, q3 (linear), whiskers (furthest values within 1.5 IQR of the
     box), outlier count and n, per group."""
-    g = _groups(group)
-    v = col(y).cast("double")
-    # exact per-group quartiles, fully distributed (no per-group value map merge)
-    qs = grouped_quantiles(df, [group] if group else [], v, [0.25, 0.5, 0.75],
-                           ["q1", "median", "q3"]).drop("n")
+    counts = value_counts(df, [group] if group else [], col(y))
+    qs = quantiles_of_counts(counts, [group] if group else [], [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     if group:
-        j = df.where(v.isNotNull()).join(qs, group)
+        # null-safe: the NULL group has a box like any other
+        other = qs.drop("n").withColumnRenamed(group, "_group")
+        j = counts.join(other, col(group).eqNullSafe(F.col("_group"))).drop("_group")
     else:
-        j = _attach(df.where(v.isNotNull()), qs)
+        j = _attach(counts, qs.drop("n"))
     lo = F.col("q1") - WHISKER * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + WHISKER * (F.col("q3") - F.col("q1"))
-    vv = col(y).cast("double")
-    return j.groupBy(*g, "q1", "median", "q3").agg(
-        F.min(F.when(vv >= lo, vv)).alias("lower_whisker"),
-        F.max(F.when(vv <= hi, vv)).alias("upper_whisker"),
-        F.count_if((vv < lo) | (vv > hi)).alias("n_outliers"),
-        F.count(F.lit(1)).alias("n"))
+    v = F.col("_v")
+    return j.groupBy(*_groups(group), "q1", "median", "q3").agg(
+        F.min(F.when(v >= lo, v)).alias("lower_whisker"),
+        F.max(F.when(v <= hi, v)).alias("upper_whisker"),
+        F.sum(F.when((v < lo) | (v > hi), F.col("_c")).otherwise(0)).alias("n_outliers"),
+        F.sum("_c").alias("n"))
 
 
 def _attach(big: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -191,7 +190,11 @@ def violin(df: DataFrame, y: str, group: str | None = None, bins: int = BINS) ->
     g = _groups(group)
     cnt = df.where(col(y).isNotNull()).groupBy(*g, xb.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
     stats = box(df, y, group)
-    j = cnt.join(stats, group) if group else _attach(cnt, stats)
+    if group:
+        other = stats.withColumnRenamed(group, "_group")
+        j = cnt.join(other, col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    else:
+        j = _attach(cnt, stats)
     dens = F.col("cnt") / (F.col("n") * F.lit(width if width else 1.0))
     return j.select(*g, "bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_start"), "cnt",
                     dens.alias("density"), "q1", "median", "q3", "lower_whisker", "upper_whisker")
@@ -254,18 +257,17 @@ def treemap(df: DataFrame, path: list[str], y: str | None = None) -> DataFrame:
 
 def funnel(df: DataFrame, x: str, y: str | None = None) -> DataFrame:
     """Stages by value (largest first), with the share of the first stage and
-    of the previous stage. The stage table is checked to be small before the
-    ordered window runs."""
+    of the previous stage. Ranks come from ranges of (value, stage), and each stage
+    meets the one before by its rank, so any number of stages works."""
     name = f"sum_{y}" if y else "count"
     g = df.groupBy(col(x)).agg(_agg(y).alias(name))
-    n = g.count()
-    if n > FUNNEL_MAX_STAGES:
-        raise ValueError(f"funnel has {n} stages (> {FUNNEL_MAX_STAGES}); use a bar chart")
-    w = Window.orderBy(F.col(name).desc(), col(x).asc())
-    return g.select(col(x), F.col(name), F.row_number().over(w).alias("stage"),
-                    (F.col(name) / F.first(F.col(name)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                    .cast("double").alias("pct_of_first"),
-                    (F.col(name) / F.lag(F.col(name)).over(w)).cast("double").alias("pct_of_previous"))
+    ranked = cut_lineage(global_rank(g, [F.col(name).desc(), col(x).asc()], "stage"))
+    top = ranked.agg(F.max(F.when(F.col("stage") == 1, F.col(name))).alias("v")).first()["v"]
+    before = ranked.select((F.col("stage") + 1).alias("stage"), F.col(name).alias("_before"))
+    return ranked.join(before, "stage", "left").select(
+        col(x), F.col(name), F.col("stage").cast("int").alias("stage"),
+        F.try_divide(F.col(name), F.lit(top)).cast("double").alias("pct_of_first"),
+        F.try_divide(F.col(name), F.col("_before")).cast("double").alias("pct_of_previous"))
 
 
 # H13 --------------------------------------------------------------------------

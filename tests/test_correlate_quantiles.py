@@ -31,9 +31,20 @@ def test_selection_equals_percentile(spark):
     vals += [(None,)] * 10
     df = spark.createDataFrame(vals, "v double").repartition(6)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    exact = exact_quantiles(df, {"v": F.col("v")}, probs, "exact")
-    sel = exact_quantiles(df, {"v": F.col("v")}, probs, "auto", collect_max=50, accuracy=100)
-    assert exact == sel
+    want = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]))).first()[0]
+    for bins in (2, 3, 4096):
+        assert exact_quantiles(df, {"v": F.col("v")}, probs, bins=bins)["v"] == pytest.approx(want, abs=1e-12)
+
+
+def test_selection_of_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    vals = [1e308, -1e308, 5e-324, 0.0, -0.0, inf, -inf, inf, nan, None, 1.0, 1.0 + 2 ** -52]
+    df = spark.createDataFrame([(v, nan) for v in vals], "v double, w double").repartition(3)
+    real = sorted(v for v in vals if v is not None and v == v)
+    probs = [k / 9 for k in range(10)]
+    got = exact_quantiles(df, {"v": F.col("v"), "w": F.col("w")}, probs, bins=4)
+    assert got["w"] == [None] * 10
+    assert all(g == pytest.approx(w) for g, w in zip(got["v"], real, strict=True))
 
 
 def test_grouped_quantiles_hot_group(spark):
@@ -74,17 +85,24 @@ def test_wide_correlation_path_matches(spark):
         assert (v is None and wide[key] is None) or wide[key] == pytest.approx(v, abs=1e-9)
 
 
-def test_long_form_quantiles_match(spark):
-    import tabsense.functions.quantiles as Q
+def test_quantiles_of_many_columns(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     ex = {c: F.col(c) for c, t in df.dtypes if t in ("bigint", "int", "double")}
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    want = Q.exact_quantiles(df, ex, probs, "exact")
-    old = Q.WIDE
-    try:
-        Q.WIDE = 2
-        got = Q.exact_quantiles(df, ex, probs, "auto")
-    finally:
-        Q.WIDE = old
-    for k in ex:
-        assert got[k] == pytest.approx(want[k], abs=1e-9)
+    got = exact_quantiles(df, ex, probs)
+    for k, e in ex.items():
+        want = df.agg(F.percentile(e, F.array(*[F.lit(p) for p in probs]))).first()[0]
+        assert got[k] == pytest.approx(want, abs=1e-9)
+
+
+def test_two_hundred_columns_with_nulls(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 200)) + rng.normal(size=(150, 1))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(200)])
+    want = pdf.corr()
+    got = CR.correlation_matrix(spark.createDataFrame(pdf)).collect()
+    assert len(got) == 200 * 200
+    assert all(r["r"] == pytest.approx(want.loc[r["col1"], r["col2"]], abs=1e-9) for r in got)
