@@ -73,7 +73,7 @@ def normalize_missing(df: DataFrame, exclude_nested: bool = False) -> DataFrame:
     df = flat(df, exclude_nested)
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = col(f.name)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             out.append(F.nanvl(c, F.lit(None).cast(f.dataType)).alias(f.name))
         elif isinstance(f.dataType, T.DecimalType):

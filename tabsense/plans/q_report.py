@@ -37,6 +37,24 @@ register("csv_auto",
          "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') AS o_orderdate, o_orderpriority FROM orders")(_csv_auto)
 
 
+# the same file on: fractional ISO times become timestamps
+register("csv_date_cast", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, "
+                          "o_orderpriority FROM orders")(
+    lambda s, d: (lambda df: CL.cast_dates(df, CL.detect_dates(df)))(_csv_auto(s, d)))
+
+
+def _csv_quoted(s, d):
+    """Whole texts with quotes, delimiters and line ends inside fields."""
+    path = scratch(s, "documents-csv")
+    (table(s, d, "documents").select("doc_id", "text", "lang").write.option("header", True)
+     .option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return CSV.read_csv_auto(s, path, delimiter=",")
+
+
+register("csv_quoted", "SELECT doc_id, text, lang FROM documents")(_csv_quoted)
+
+
 def _type_sql(src):
     na = ", ".join("'" + t.replace("'", "''") + "'" for t in CSV.NA_TOKENS)
     parts = []
@@ -133,7 +151,7 @@ def _run_audit(s, d):
     return res.audit()
 
 
-register("run_audit", None)(_run_audit)
+
 
 
 # E1 oracle: the audit rows recomputed from the data (counts, health score,

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import agg_row
 from ..functions.types import col
@@ -22,6 +23,8 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 SNIFF_CHARS = 2048
 INT_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
+FLOAT_PATTERN = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+EXTRA = "__tabsense_extra"
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 
@@ -50,10 +53,21 @@ def _count_outside_quotes(line: str, d: str) -> int:
 
 
 def read_head(spark: SparkSession, path: str, chars: int = SNIFF_CHARS) -> str:
-    """First ``chars`` characters of the file (a few lines read by Spark)."""
-    rows = spark.read.text(path).limit(200).collect()
-    text = "\n".join(r[0] for r in rows)
-    return text[:chars]
+    """First ``chars`` characters of the file (every line has one with its end, so as
+    many lines are enough)."""
+    rows = spark.read.text(path).limit(chars).collect()
+    return "\n".join(r[0] for r in rows)[:chars]
+
+
+def _line_facts(spark: SparkSession, path: str, sep: str) -> dict:
+    """One pass over the lines: whether a quoted field runs over a line end, and the
+    smallest and largest number of delimiters outside quotes."""
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    hits = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
+    r = spark.read.text(path).where(F.trim("value") != "").agg(
+        F.coalesce(F.max((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2),
+                   F.lit(0)).alias("odd"), F.min(hits).alias("least"), F.max(hits).alias("most")).first()
+    return r.asDict()
 
 
 def infer_types(df: DataFrame, na_tokens=NA_TOKENS) -> DataFrame:
@@ -63,8 +77,8 @@ def infer_types(df: DataFrame, na_tokens=NA_TOKENS) -> DataFrame:
                           for c in df.columns])
     stats = agg_row(cleaned, [x for i, c in enumerate(cleaned.columns) for x in (
         F.count(col(c)).alias(f"n{i}"),
-        F.count_if(col(c).rlike(INT_PATTERN) & F.expr(f"try_cast(`{c}` AS BIGINT)").isNotNull()).alias(f"i{i}"),
-        F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{i}"),
+        F.count_if(col(c).rlike(INT_PATTERN) & col(c).try_cast("bigint").isNotNull()).alias(f"i{i}"),
+        F.count_if(col(c).rlike(FLOAT_PATTERN) & col(c).try_cast("double").isNotNull()).alias(f"d{i}"),
         F.count_if(col(c).isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"b{i}"),
         F.count(F.lit(1)).alias(f"r{i}"))])
     out = []
@@ -74,10 +88,9 @@ def infer_types(df: DataFrame, na_tokens=NA_TOKENS) -> DataFrame:
         if n == 0:
             out.append(x.cast("double").alias(c))
         elif stats[f"i{i}"] == n:
-            out.append((F.expr(f"try_cast(`{c}` AS BIGINT)") if n == rows
-                        else F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(c))
+            out.append(x.try_cast("bigint" if n == rows else "double").alias(c))
         elif stats[f"d{i}"] == n:
-            out.append(F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c))
+            out.append(x.try_cast("double").alias(c))
         elif stats[f"b{i}"] == n and n == rows:
             out.append(x.isin(*TRUE_TOKENS).alias(c))
         else:
@@ -95,9 +108,26 @@ def inferred_types(df: DataFrame) -> DataFrame:
 def read_csv_auto(spark: SparkSession, path: str, delimiter: str | None = None,
                   infer: bool = True) -> DataFrame:
     """Detect the delimiter, read with a header as UTF-8 text (bad bytes become
-    U+FFFD), then infer types."""
+    U+FFFD), then infer types.
+
+    One pass over the whole file checks what the head suggested: a delimiter that
+    some line does not have where others have it is an error only if no line fits;
+    quoted fields that run over line ends switch to multi-line reading (which cannot
+    split a file). Short rows are filled with NULL; rows with more fields than the
+    header raise, as their number and values would otherwise be lost."""
     sep = delimiter or sniff_delimiter(read_head(spark, path))
-    raw = (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8")
-           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-           .option("nullValue", "\u0000").option("emptyValue", "").csv(path))
+    facts = _line_facts(spark, path, sep)
+    reader = (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8")
+              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+              .option("multiLine", bool(facts["odd"]))
+              .option("nullValue", "\u0000").option("emptyValue", ""))
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, EXTRA]])
+    raw = reader.schema(schema).csv(path)
+    # without an odd quote, no row can have more fields than a line has delimiters
+    if facts["odd"] or (facts["most"] or 0) >= len(names):
+        long_rows = raw.where(col(EXTRA).isNotNull()).count()
+        if long_rows:
+            raise ValueError(f"{long_rows} rows of {path} have more than {len(names)} fields")
+    raw = raw.drop(EXTRA)
     return infer_types(raw) if infer else raw

@@ -4,11 +4,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.types import col
+from ..functions.types import col, normalize_missing
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
+    """A flat table with one kind of missing value (NaN becomes NULL)."""
+    return normalize_missing(spark.read.format(fmt).load(path))
 
 
 def preview(df: DataFrame, n: int = 50, order_by: list[str] | str | None = None,
