@@ -35,14 +35,17 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) fall back to a fresh scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``. Where it is unset, a local
+    session (one machine, as in tests) gets a fresh scratch folder; on a cluster that
+    would be a folder of the driver alone, so it is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tabsense-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
@@ -74,11 +77,3 @@ def agg_row(df: DataFrame, exprs: list) -> dict:
         out.update(row.asDict(recursive=False) if row is not None else {})
     return out
 
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Round-robin redistribution only for an under-partitioned input (fewer
-    partitions than the cluster's default parallelism, e.g. one small file),
-    before it is cached and read by several fit jobs. Large inputs already have
-    many partitions and are left as they are (no extra shuffle)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df

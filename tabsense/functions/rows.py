@@ -1,15 +1,4 @@
-"""Whole-row duplicate detection that shuffles 8-byte hashes, not rows.
-
-Equal rows have equal 64-bit content hashes, so a row whose hash occurs once
-has no duplicate. One aggregation over the hashes (partial aggregation; a hot
-row collapses map-side) tells how many hashes repeat. Only rows whose hash
-repeats can be duplicates; when the set of repeated hashes is small enough to
-broadcast (a proven bound: its exact size was just counted), a broadcast
-semi/anti join separates them without shuffling the data and the exact
-full-row grouping runs on the candidates only. Hash collisions are resolved by
-that exact grouping, so results are exact. Above the bound the caller groups
-all rows.
-"""
+"""Content hashes of whole rows."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -18,12 +7,11 @@ from pyspark.sql import types as T
 
 from .types import col
 
-HASH_BROADCAST_MAX = 2_000_000     # repeated hashes (8 bytes each) that may be broadcast
-HASH = "__tabsense_row_hash"
-
 
-def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """Content hash of a row (of ``columns``); -0.0 hashed as 0.0 (they group together)."""
+def row_hash(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """Two independent 64-bit content hashes of a row (of ``columns``); -0.0 is
+    hashed as 0.0 (they group together). Of n distinct rows, n*n/2**129 pairs are
+    expected to agree in both."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     parts = []
     for f in fields:
@@ -40,29 +28,4 @@ def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
         for i, n in enumerate(names[start:start + 62]):
             m = m + F.when(col(n).isNull(), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         masks.append(m)
-    return F.xxhash64(*parts, *masks)
-
-
-def duplicate_split(df: DataFrame, limit: int | None = None, columns: list[str] | None = None):
-    """(rows, candidate_rows, singles, candidates); singles/candidates are None
-    above the bound.
-
-    ``singles`` are rows without any duplicate; ``candidates`` are the rows whose
-    hash repeats (they may or may not be duplicates)."""
-    limit = HASH_BROADCAST_MAX if limit is None else limit
-    hashed = df.withColumn(HASH, row_hash(df, columns))
-    per_hash = hashed.groupBy(HASH).agg(F.count(F.lit(1)).alias("_n"))
-    st = per_hash.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-                      F.count_if(F.col("_n") > 1).alias("repeated"),
-                      F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("cand")).first()
-    rows, repeated, cand = st["rows"], st["repeated"], st["cand"]
-    if repeated == 0:
-        return rows, 0, df, None
-    if repeated > limit:
-        return rows, cand, None, None
-    spark = df.sparkSession
-    hashes = [r[0] for r in per_hash.where(F.col("_n") > 1).select(HASH).collect()]   # <= limit values
-    rep = F.broadcast(spark.createDataFrame([(h,) for h in hashes], f"{HASH} bigint"))
-    singles = hashed.join(rep, HASH, "left_anti").drop(HASH)
-    candidates = hashed.join(rep, HASH, "left_semi").drop(HASH)
-    return rows, cand, singles, candidates
+    return [F.xxhash64(*parts, *masks), F.xxhash64(F.lit("second"), *parts, *masks)]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import cut_lineage
 from .types import col
 
 
@@ -69,25 +70,27 @@ def numeric_key(df: DataFrame, name: str) -> Column | None:
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                        T.DoubleType, T.DecimalType)):
         return x.cast("double")
-    if isinstance(dt, T.StringType):
-        return text_prefix_key(x)
     return None
 
 
-def text_prefix_key(x: Column) -> Column:
-    """Monotone (non-decreasing) number of a string in Spark's binary string
-    order: its first 6 UTF-8 bytes read as a big-endian integer. Strings that
-    share the prefix tie, so it may only place buckets whose ties stay together
-    (``exact_key(...)`` is False for it)."""
-    hexed = F.rpad(F.hex(F.substring(F.encode(x, "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(hexed, 16, 10).cast("double")
-
-
-def exact_key(df: DataFrame, name: str) -> bool:
-    """Whether ``numeric_key`` is one-to-one (equal numbers mean equal keys)."""
-    return not isinstance(df.schema[name].dataType, T.StringType)
+def in_ranges(df: DataFrame, order: list[Column], out: str = "_b") -> DataFrame:
+    """Rows dealt to ranges of the whole order key (any type), ``out`` being the
+    range's number. Which row went where is decided by sampling, so the result is
+    a checkpointed table: every later read sees the same ranges."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut_lineage(df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id()))
 
 
+def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Adds the row number (from 1) in ``order``: local row numbers per range plus
+    the rows of the ranges before (one row per range)."""
+    d = in_ranges(df, order)
+    before = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    return d.join(F.broadcast(before), "_b").withColumn(out, F.col("_before") + local) \
+        .drop("_b", "_before")
 
 
 def cut_points(df: DataFrame, key: Column, n: int) -> list[float]:
@@ -110,13 +113,12 @@ def running_sum(df: DataFrame, value: str, order: str, partition: list[str] | No
     key = numeric_key(df, order)
     w_local = (Window.partitionBy(*[col(p) for p in partition], "_b").orderBy(col(order))
                .rangeBetween(Window.unboundedPreceding, 0))
-    if key is None:   # text order key: ordinary window per partition
-        w = Window.partitionBy(*[col(p) for p in partition]).orderBy(col(order)).rangeBetween(
-            Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(col(value)).over(w))
-    n = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
-    # ties must stay in one bucket for a RANGE frame: split only by key, never by hash
-    d = with_buckets(df, key, F.lit(0).cast("long"), sorted(set(cut_points(df, key, n))))
+    if key is None:   # text and other order keys: ranges of the key itself (ties stay together)
+        d = in_ranges(df, [col(order).asc()])
+    else:
+        n = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
+        # ties must stay in one bucket for a RANGE frame: split only by key, never by hash
+        d = with_buckets(df, key, F.lit(0).cast("long"), sorted(set(cut_points(df, key, n))))
     tot = d.groupBy(*[col(p) for p in partition], "_b").agg(F.sum(col(value)).alias("_t"))
     wc = Window.partitionBy(*[col(p) for p in partition]).orderBy("_b").rowsBetween(
         Window.unboundedPreceding, -1)

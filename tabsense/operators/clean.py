@@ -14,24 +14,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import agg_row, balanced, keep
+from ..config import agg_row, keep
 from ..functions.text import normalize_text
 from ..functions.types import (DATETIME, NUMERIC, col, logical_types,
                                normalize_missing, numeric_columns, text_columns)
 from ..functions.moments import column_moments
 from ..functions.quantiles import exact_quantiles
-from ..functions.rows import duplicate_split
-from ..functions.windows import exact_key as _exact_key
-from ..functions.windows import numeric_key as _numeric_key
-from ..functions.windows import with_buckets as _with_buckets
-from .profile import _has_shuffle, modes
-
-ROW_ID = "__tabsense_row"
+from ..functions.windows import in_ranges
+from .profile import modes
 
 # Thresholds and decision-log texts of the cleaning rules.
 DATE_HINT = r"^\d{4}-\d{2}-\d{2}|^\d{2}/\d{2}/\d{4}"
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
-                "MM/dd/yyyy", "dd/MM/yyyy")
+                "MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss.SSS",
+                "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss.SSSSSS",
+                "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 MISSING_DROP_PCT = 30.0
 SKEW_LIMIT = 0.5
 RANGE_WORDS = ("age", "salary", "price", "amount")
@@ -109,22 +106,15 @@ def detect_dates(df: DataFrame, columns: list[str] | None = None) -> dict[str, s
 
 
 def date_hint_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, hint_rows, nonnull, format) — the date-detection evidence as a frame."""
+    """(column, hint_rows, nonnull, format): the date-detection evidence as a frame;
+    the format is the one ``detect_dates`` (and so ``clean``) chooses."""
     columns = text_columns(df) if columns is None else columns
-    parts = []
-    for c in columns:
-        x = col(c)
-        fmt = F.lit(None).cast("string")
-        for f in reversed(DATE_FORMATS):
-            fmt = F.when(F.count(F.try_to_timestamp(x, F.lit(f))) == F.count(x), F.lit(f)).otherwise(fmt)
-        parts.append(df.agg(F.lit(c).alias("column"), F.count_if(x.rlike(DATE_HINT)).alias("hint_rows"),
-                            F.count(x).alias("nonnull"), fmt.alias("fmt"))
-                     .select("column", "hint_rows", "nonnull",
-                             F.when(F.col("hint_rows") > 0, F.col("fmt")).alias("format")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    formats = detect_dates(df, columns)
+    r = agg_row(df, [x for i, c in enumerate(columns) for x in (
+        F.count_if(col(c).rlike(DATE_HINT)).alias(f"h{i}"), F.count(col(c)).alias(f"n{i}"))])
+    return df.sparkSession.createDataFrame(
+        [(c, r[f"h{i}"], r[f"n{i}"], formats[c]) for i, c in enumerate(columns)],
+        "column string, hint_rows bigint, nonnull bigint, format string")
 
 
 def cast_dates(df: DataFrame, formats: dict[str, str | None]) -> DataFrame:
@@ -154,7 +144,7 @@ def clean_text(df: DataFrame, columns: list[str] | None = None,
 # ---------------------------------------------------------------------------
 # A6 duplicates
 
-def _dedup(df: DataFrame, row_id: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+def _dedup(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(persisted grouped frame, deduplicated rows, rows removed).
 
     One aggregate over all columns with a per-group row count (partial
@@ -162,21 +152,10 @@ def _dedup(df: DataFrame, row_id: str | None = None) -> tuple[DataFrame, DataFra
     persisted result gives both counts and the deduplicated rows, so the input
     is read once."""
     norm = normalize_missing(df)
-    data = [c for c in norm.columns if c != row_id]
-    if not data:
+    if not norm.columns:
         return norm, norm, 0
-    cols = [col(c) for c in data]
-    # with a row-order column, a duplicate group keeps its first row's position
-    first = [F.min(col(row_id)).alias(row_id)] if row_id else []
-    rows, cand, singles, candidates = duplicate_split(norm, columns=data)
-    if singles is not None:
-        # only rows sharing a content hash are grouped; the others pass through
-        merged = singles if candidates is None else singles.unionByName(
-            candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"), *first).drop("_n"))
-        dedup = keep(balanced(merged))
-        return dedup, dedup, rows - dedup.count()
     n = "__tabsense_copies"
-    grouped = keep(norm.groupBy(*cols).agg(F.count(F.lit(1)).alias(n), *first))
+    grouped = keep(norm.groupBy(*[col(c) for c in norm.columns]).agg(F.count(F.lit(1)).alias(n)))
     r = grouped.agg(F.sum(n).alias("before"), F.count(F.lit(1)).alias("after")).first()
     return grouped, grouped.drop(n), (r["before"] or 0) - r["after"]
 
@@ -208,7 +187,7 @@ class ImputePlan:
                 continue
             x = col(c)
             if c in self.as_double:
-                x = x.cast("double")
+                x = F.nanvl(x.cast("double"), F.lit(None).cast("double"))   # NaN is missing
             if c in self.fill:
                 x = F.coalesce(x, F.lit(self.fill[c]))
             out.append(x.alias(c))
@@ -225,6 +204,7 @@ def fit_impute(df: DataFrame, order_by: str | list[str] | None = None,
     columns that have nulls (two-pass selection), and the modes of text columns
     that have nulls."""
     order = [order_by] if isinstance(order_by, str) else order_by
+    df = normalize_missing(df)
     kinds = logical_types(df)
     mom = column_moments(df, want=("rows", "nulls", "mean", "g1"))   # one job, all columns
     r = {"rows": next(iter(mom.values()))["rows"] if mom else 0}
@@ -299,15 +279,15 @@ def impute(df: DataFrame, order_by=None, quantiles: str = "auto") -> tuple[DataF
 # A14 scalable forward/backward fill
 
 def fill_forward_backward(df: DataFrame, columns: list[str], order_by: list[str] | str,
-                          buckets: int | None = None, method: str = "partitioned") -> DataFrame:
+                          method: str = "partitioned") -> DataFrame:
     """Forward fill, then backward fill, of ``columns`` in ``order_by`` order.
 
     ``method="window"``: one global window (all rows in one task; the test
-    oracle). ``method="partitioned"`` (default): rows are cut into range
-    buckets of the order key (quantile cut points; hot key values split by a
-    row hash), each bucket reports its last/first non-null values (one row per
-    bucket), a carry-in per bucket is computed over those few rows and
-    broadcast, and the fill runs as running windows *within* each bucket."""
+    oracle). ``method="partitioned"`` (default): rows are dealt to ranges of all
+    order keys and a row hash (a hot key value is split by the keys and the hash
+    behind it), each range reports its last/first non-null values (one row per
+    range), a carry-in per range is computed over those few rows and broadcast,
+    and the fill runs as running windows *within* each range."""
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     if not columns:
         return df
@@ -319,29 +299,13 @@ def fill_forward_backward(df: DataFrame, columns: list[str], order_by: list[str]
         wb = Window.orderBy(*[o for o in _desc(order)]).rowsBetween(Window.unboundedPreceding, 0)
         return d.select(*[F.coalesce(F.last(col(c), True).over(wf), F.last(col(c), True).over(wb)).alias(c)
                           if c in columns else col(c) for c in df.columns])
-    spark = df.sparkSession
-    n = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
-    key = _numeric_key(df, order[0])
-    cut, tb_for_buckets = [], None
-    if key is not None:
-        probs = [i / n for i in range(1, n)]
-        got = df.agg(F.percentile_approx(key, F.array(*[F.lit(p) for p in probs]), 10000)
-                     .alias("b")).first()["b"]
-        cut = sorted(float(b) for b in (got or []) if b is not None)
-        if not _exact_key(df, order[0]) or len(order) > 1:
-            # a prefix key, or further order keys after the first: rows with equal
-            # numbers are still ordered by something else, so never split a tie by hash
-            cut = sorted(set(cut))
-            tb_for_buckets = F.lit(0).cast("long")
-    else:
-        key = F.lit(0.0)
-    d = _with_buckets(df, key, tb if tb_for_buckets is None else tb_for_buckets, cut)
-    d = d.withColumn("_tb", tb)
-    ord_struct = F.struct(*[col(k) for k in order], F.col("_tb"))
+    d = in_ranges(df.withColumn("_tb", tb), ordering)
+    # NULL keys come last in the fill's order, but first in a struct's
+    ord_struct = F.struct(*[x for k in order for x in (col(k).isNull(), col(k))], F.col("_tb"))
     summ = d.groupBy("_b").agg(
         *[F.max_by(col(c), F.when(col(c).isNotNull(), ord_struct)).alias(f"l{i}") for i, c in enumerate(columns)],
         *[F.min_by(col(c), F.when(col(c).isNotNull(), ord_struct)).alias(f"f{i}") for i, c in enumerate(columns)])
-    # carry-in over the per-bucket summary: at most n + (hot splits) + 2 rows
+    # carry-in over the per-range summary: one row per range
     wprev = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wnext = Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
     carry = summ.select("_b", *[F.last(f"l{i}", True).over(wprev).alias(f"cf{i}") for i in range(len(columns))],
@@ -385,7 +349,7 @@ class WinsorPlan:
             if c not in self.bounds:
                 out.append(col(c))
                 continue
-            x = col(c).cast("double")
+            x = F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))
             if c in self.clip:
                 x = F.when(x < 0, F.lit(0.0)).otherwise(x)
             lo, hi = self.bounds[c]
@@ -478,21 +442,10 @@ def clean(df: DataFrame, order_by=None, null_text: str = "keep", quantiles: str
     formats = detect_dates(step)
     step = cast_dates(step, formats)
     step = clean_text(step, [c for c in text_columns(step)], null_text=null_text)
-    row_id = None
-    if order is None and any(logical_types(step)[c] == DATETIME for c in step.columns) \
-            and not _has_shuffle(step):
-        # no order key given: the scan order of a shuffle-free input is the row
-        # order (the id is a deterministic function of partition and position,
-        # so a retried task recomputes the same ids); duplicates keep their
-        # first position
-        row_id = ROW_ID
-        step = step.withColumn(row_id, F.monotonically_increasing_id())
-        order = [row_id]
-    cached, step, removed = _dedup(step, row_id)
-    iplan = fit_impute(step.drop(row_id) if row_id else step, order, quantiles)
+    # without an order key datetime gaps stay (and are logged): a frame has no row order
+    cached, step, removed = _dedup(step)
+    iplan = fit_impute(step, order, quantiles)
     step = iplan.transform(step)
-    if row_id:
-        step = step.drop(row_id)
     wplan = fit_winsorize(step, quantiles, range_match)
     step = wplan.transform(step)
     return CleanResult(step, dict(iplan.log), removed, formats, iplan, wplan, cached)

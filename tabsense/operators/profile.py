@@ -11,26 +11,23 @@ aggregate) or ``mode`` (an unbounded per-group hash map).
 """
 from __future__ import annotations
 
-import contextlib
-import io
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.moments import moments_frame
 from ..functions.quantiles import exact_quantiles
-from ..functions.rows import duplicate_split
+from ..functions.rows import row_hash
 from ..functions.texttop import mean_length, top_text
+from ..functions.windows import global_rank
 from ..functions.types import (NUMERIC, col, logical_types,
                                normalize_missing, numeric_columns, value_key)
 
 VF_SCHEMA = "position int, column string, value string, cnt bigint"
-COLUMN_LAYOUT_MAX = 64
 
 
 def frequency_table(df: DataFrame, columns: list[str] | None = None,
-                    layout: str = "auto", text: str = "value") -> DataFrame:
+                    text: str = "value") -> DataFrame:
     """(position, column, value, cnt) for every distinct value of every column.
 
     NULL is kept as its own value row so that cardinality-with-null and null
@@ -39,12 +36,8 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None,
     before the shuffle; values become strings only on the aggregated result.
     -0.0 and 0.0 are one value (Spark normalises floating grouping keys).
 
-    ``layout="columns"``: one aggregate per column, unioned — each reads only
-    its column from columnar storage (same bytes as one scan in total) and
-    partially aggregates it; fastest when the input is a scan.
-    ``layout="explode"``: one pass that emits (column, value) pairs per row —
-    for inputs whose plan has a shuffle, which the union would recompute once
-    per column. ``"auto"`` picks by the input plan.
+    One pass emits (column, value) pairs per row, so the input is read and parsed
+    once whatever it is (a scan, a CSV file, a plan with shuffles).
 
     ``text="hash"`` (for consumers that need counts only: cardinality, nulls,
     dominance) groups text values by a 96-bit hash pair (xxhash64 + murmur3)
@@ -55,10 +48,6 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None,
     wanted = names if columns is None else list(columns)
     if not wanted:
         return df.sparkSession.createDataFrame([], VF_SCHEMA)
-    if layout == "auto":
-        # the union of per-column aggregates is best for a scan of a moderate
-        # number of columns; wide inputs or inputs with a shuffle use one pass
-        layout = "explode" if (len(wanted) > COLUMN_LAYOUT_MAX or _has_shuffle(df)) else "columns"
     null_l, null_d, null_s = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
 
     def key(c):
@@ -73,36 +62,16 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None,
                     null_s)
         return null_l, null_d, value_key(df, c)
 
-    if layout == "columns":
-        parts = []
-        for c in wanted:
-            l, d, s_ = key(c)
-            parts.append(df.groupBy(l.alias("l"), d.alias("d"), s_.alias("s"))
-                         .agg(F.count(F.lit(1)).alias("cnt"))
-                         .select(F.lit(names.index(c)).alias("p"), "l", "d", "s", "cnt"))
-        counted = parts[0]
-        for part in parts[1:]:
-            counted = counted.unionByName(part)
-    else:
-        entries = [F.struct(F.lit(names.index(c)).alias("p"), *[e.alias(n) for e, n in zip(key(c), "lds")])
-                   for c in wanted]
-        counted = (df.select(F.inline(F.array(*entries)))
-                   .groupBy("p", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt")))
+    entries = [F.struct(F.lit(names.index(c)).alias("p"), *[e.alias(n) for e, n in zip(key(c), "lds")])
+               for c in wanted]
+    counted = (df.select(F.inline(F.array(*entries)))
+               .groupBy("p", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt")))
     name_of = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("p") + 1)
     value = F.coalesce(F.col("l").cast("string"), F.col("d").cast("string"), F.col("s"))
     return counted.select(F.col("p").cast("int").alias("position"), name_of.alias("column"),
                           value.alias("value"), "cnt")
 
 
-def _has_shuffle(df: DataFrame) -> bool:
-    """True when the physical plan of ``df`` contains an exchange (planning only,
-    no job runs)."""
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain()
-    return "Exchange" in buf.getvalue()
-
-
 def _column_meta(df: DataFrame) -> DataFrame:
     kinds = logical_types(df)
     rows = [(i, c, kinds[c]) for i, c in enumerate(df.columns)]
@@ -115,7 +84,9 @@ def column_summary(df: DataFrame, vf: DataFrame | None = None) -> DataFrame:
     Output has one row per column (bounded by the column count), so it is safe
     to broadcast and to collect. Only counts are needed, so text values are
     grouped by hash (``frequency_table(text="hash")``)."""
-    vf = frequency_table(df, text="hash") if vf is None else vf
+    if vf is None:
+        df = normalize_missing(df, exclude_nested=False)
+        vf = frequency_table(df, text="hash")
     stats = vf.groupBy("position").agg(
         F.sum("cnt").alias("n_rows"),
         F.sum(F.when(F.col("value").isNull(), F.col("cnt")).otherwise(0)).alias("null_count"),
@@ -155,25 +126,15 @@ def shape(df: DataFrame) -> DataFrame:
 def distinct_row_count(df: DataFrame) -> DataFrame:
     """(n_rows, n_distinct) with NULLs equal, after NaN -> NULL.
 
-    One aggregate on all columns; partial aggregation collapses copies of a hot
-    row inside each map task before the shuffle."""
+    One aggregate over two 64-bit content hashes per row: rows themselves are not
+    shuffled, copies of a hot row collapse inside each map task."""
     norm = normalize_missing(df)
     if not norm.columns:
         return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
             "n_rows", F.when(F.col("n_rows") > 0, 1).otherwise(0).cast("bigint").alias("n_distinct"))
-    cols = [col(c) for c in norm.columns]
-    rows, cand, singles, candidates = duplicate_split(norm)
-    if singles is not None:
-        # rows with a unique content hash are distinct (rows - cand of them);
-        # only the candidate rows are grouped
-        if candidates is None:
-            distinct_cand = norm.limit(0).agg(F.count(F.lit(1)).alias("d"))
-        else:
-            distinct_cand = (candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-                             .agg(F.count(F.lit(1)).alias("d")))
-        return distinct_cand.select(F.lit(rows).cast("bigint").alias("n_rows"),
-                                    (F.lit(rows - cand) + F.col("d")).cast("bigint").alias("n_distinct"))
-    groups = norm.groupBy(*cols).agg(F.count(F.lit(1)).alias("cnt"))
+    h1, h2 = row_hash(norm)
+    groups = norm.select(h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2") \
+        .agg(F.count(F.lit(1)).alias("cnt"))
     return groups.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("n_rows"),
                       F.count(F.lit(1)).alias("n_distinct"))
 
@@ -277,10 +238,16 @@ def top_values(df: DataFrame, k: int | None = 8, columns: list[str] | None = Non
     if vf is None and not columns:
         return hashed_tops.select("column", "rank", "value", "cnt")
     vf = frequency_table(df, columns) if vf is None else vf
+    if k is None:
+        # every value is wanted: ranked over ranges of (column, count, value)
+        order = [F.col("position").asc(), F.col("cnt").desc(), F.col("value").asc()]
+        ranked = global_rank(vf.where(F.col("value").isNotNull()), order, "r")
+        first = ranked.groupBy("position").agg(F.min("r").alias("first"))   # one row per column
+        return ranked.join(F.broadcast(first), "position").select(
+            "column", (F.col("r") - F.col("first") + 1).cast("int").alias("rank"), "value", "cnt")
     w = Window.partitionBy("position").orderBy(F.col("cnt").desc(), F.col("value").asc())
     ranked = vf.where(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(w))
-    if k is not None:
-        ranked = ranked.where(F.col("rank") <= k)
+    ranked = ranked.where(F.col("rank") <= k)
     out = ranked.select("column", F.col("rank").cast("int").alias("rank"), "value", "cnt")
     if hashed_tops is not None:
         out = out.unionByName(hashed_tops.select("column", "rank", "value", "cnt"))
@@ -394,8 +361,9 @@ def categorical_stats(df: DataFrame, columns: list[str] | None = None,
         return df.sparkSession.createDataFrame(
             [], "column string, count bigint, unique_values bigint, null_count bigint, "
                 "mode string, mode_count bigint")
-    vf = frequency_table(df, columns) if vf is None else vf
-    s = column_summary(df, vf).where(F.col("column").isin(columns))
+    # counts need hashes only; modes fetch the text of the most frequent hash
+    s = column_summary(df, frequency_table(df, columns, text="hash") if vf is None else vf) \
+        .where(F.col("column").isin(columns))
     m = modes(df, columns, vf)
     return (s.join(F.broadcast(m), "column", "left")
             .select("column", (F.col("n_rows") - F.col("null_count")).alias("count"),

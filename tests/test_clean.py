@@ -108,17 +108,12 @@ def test_partitioned_fill_text_order_key(spark):
     data = [(k, None if i % 3 else float(i)) for i, k in enumerate(keys)]
     df = spark.createDataFrame(data, "k string, v double").repartition(5)
     a = CL.fill_forward_backward(df, ["v"], "k", method="window")
-    for b in (None, 6):
-        p = CL.fill_forward_backward(df, ["v"], "k", buckets=b)
-        assert a.exceptAll(p).count() == 0 and p.exceptAll(a).count() == 0
+    p = CL.fill_forward_backward(df, ["v"], "k")
+    assert a.exceptAll(p).count() == 0 and p.exceptAll(a).count() == 0
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_dedup_hash_split_and_fallback(spark, limit, monkeypatch):
-    import tabsense.functions.rows as R
+def test_dedup_and_distinct_rows(spark):
     from tabsense.operators import profile as P
-    if limit is not None:
-        monkeypatch.setattr(R, "HASH_BROADCAST_MAX", limit)
     data = [(i % 50, None if i % 7 == 0 else float(i % 3), "x" if i % 2 else None) for i in range(400)]
     data += [(1, -0.0, "z"), (1, 0.0, "z"), (2, float("nan"), None), (2, None, None)]
     df = spark.createDataFrame(data, "a int, b double, s string").repartition(4)
@@ -130,18 +125,31 @@ def test_dedup_hash_split_and_fallback(spark, limit, monkeypatch):
     assert d["n_rows"] == df.count() and d["n_distinct"] == want.count()
 
 
-def test_fill_without_order_key_uses_scan_order(spark, tmp_path):
+def test_datetime_gaps_stay_without_order_key(spark, tmp_path):
     import datetime as dt
     data = [(i, None if i % 5 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(days=i), float(i % 7))
             for i in range(300)]
-    src = spark.createDataFrame(data, "i int, ts timestamp, v double").coalesce(1)
-    src.write.parquet(str(tmp_path / "p"))
-    df = spark.read.parquet(str(tmp_path / "p"))
-    implicit = CL.clean(df)
-    explicit = CL.clean(df, order_by="i")
-    assert implicit.impute.methods["ts"] == "ffill_bfill"
-    assert "__tabsense_row" not in implicit.df.columns
-    assert rows(implicit.df) == rows(explicit.df)
+    src = spark.createDataFrame(data, "i int, ts timestamp, StockExchange double")
+    src.coalesce(1).write.parquet(str(tmp_path / "p"))
+    for df in (spark.read.parquet(str(tmp_path / "p")), src.repartition(7)):
+        got = CL.clean(df)
+        assert got.impute.methods["ts"] == "none" and "ts" in got.log
+        assert got.df.where("ts is null").count() == 60
+    filled = [rows(CL.clean(src.repartition(n), order_by="i").df) for n in (1, 7)]
+    assert filled[0] == filled[1] and not any(r[1] is None for r in filled[0])
+
+
+def test_nan_is_missing(spark):
+    from tabsense.operators import features as FT
+    from tabsense.operators import profile as P
+    nan = float("nan")
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0, nan, 30.0)], "v double")
+    assert P.profile_schema(df).first()["null_count"] == 1
+    mean, sd = next(iter(vars(FT.fit_zscore(df, ["v"])).values()))["v"]
+    assert mean == 8.0 and sd == pytest.approx(11.045361)
+    done, log = CL.impute(df)
+    assert "v" in log and done.where("isnan(v) or v is null").count() == 0
+    assert CL.fit_winsorize(df).bounds["v"] == (-1.0, 7.0)
 
 
 def test_partitioned_fill_two_order_keys_with_hot_first_key(spark):
@@ -149,5 +157,5 @@ def test_partitioned_fill_two_order_keys_with_hot_first_key(spark):
     data = [(5 if i % 2 else i, (i * 37) % 1000, None if i % 3 else float(i)) for i in range(1200)]
     df = spark.createDataFrame(data, "k1 int, k2 int, v double").repartition(6)
     a = CL.fill_forward_backward(df, ["v"], ["k1", "k2"], method="window")
-    p = CL.fill_forward_backward(df, ["v"], ["k1", "k2"], buckets=12)
+    p = CL.fill_forward_backward(df, ["v"], ["k1", "k2"])
     assert a.exceptAll(p).count() == 0 and p.exceptAll(a).count() == 0
