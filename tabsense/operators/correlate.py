@@ -1,10 +1,11 @@
 """Correlation (C1-C2): pairwise-complete Pearson matrix in one aggregate."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import agg_row
 from ..functions.moments import column_moments
 from ..functions.types import col, normalize_missing, numeric_columns
 
@@ -41,7 +42,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None,
     dx = [(x - F.lit(mean[i])) if mean[i] is not None else F.lit(None).cast("double")
           for i, x in enumerate(xs)]
     if len(cols) > wide_columns:
-        return _wide_matrix(df, cols, xs, dx, rows, n, sd)
+        return _wide_matrix(df, cols, xs, dx, sd)
     aggs, exprs = [], {}
     for i in range(len(cols)):
         for j in range(i + 1, len(cols)):
@@ -73,44 +74,41 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None,
     return wide.select(F.inline(F.array(*entries)))
 
 
-def _wide_matrix(df, cols, xs, dx, rows, n, sd):
-    """Wide inputs: null-free columns, centred at their means, go through Spark
-    ML's ``Correlation`` (a distributed Gramian, k x k result); pairs touching
-    a column with NULLs use masked sums in aggregates of bounded width. The
-    k x k result is small and is returned as a long frame."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
+def _wide_matrix(df, cols, xs, dx, sd):
+    """Wide inputs in one scan: with x the centred values (0 where missing) and m the
+    mask of present ones, the pairwise-complete sums of every pair are entries of
+    the four products m'm, x'm, (x*x)'m and x'x. Each task adds up its batches (4 k*k
+    numbers), and the rows of the products are summed across tasks. The k x k result
+    is the feature itself and is returned as a long frame."""
     k = len(cols)
-    r: dict[tuple[int, int], float | None] = {}
-    full = [i for i in range(k) if n[i] == rows and sd[i]]
-    if len(full) >= 2:
-        centred = df.select(*[dx[i].alias(f"_c{i}") for i in full])
-        vec = VectorAssembler(inputCols=[f"_c{i}" for i in full], outputCol="_v").transform(centred)
-        m = Correlation.corr(vec.select("_v"), "_v").first()[0].toArray()
-        for a, i in enumerate(full):
-            for b, j in enumerate(full):
-                v = float(m[a, b])
-                r[(i, j)] = None if v != v else v
-    masked = [(i, j) for i in range(k) for j in range(i + 1, k) if (i, j) not in r and sd[i] and sd[j]]
-    exprs = []
-    for i, j in masked:
-        both = xs[i].isNotNull() & xs[j].isNotNull()
-        a, b = F.when(both, dx[i]), F.when(both, dx[j])
-        exprs.append(F.struct(F.count(a), F.sum(a), F.sum(b), F.sum(a * a), F.sum(b * b),
-                              F.sum(a * b)).alias(f"p{i}_{j}"))
-    got = agg_row(df, exprs) if exprs else {}
-    for i, j in masked:
-        c, sa, sb, saa, sbb, sab = got[f"p{i}_{j}"]
-        if not c:
-            continue
-        cov = sab / c - (sa / c) * (sb / c)
-        vx, vy = saa / c - (sa / c) ** 2, sbb / c - (sb / c) ** 2
-        r[(i, j)] = r[(j, i)] = (cov / (vx * vy) ** 0.5) if vx > 0 and vy > 0 else None
+
+    def products(batches):
+        total = np.zeros((4, k, k))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns])
+            m = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        at = np.arange(4 * k)
+        yield pa.record_batch([pa.array(at), pa.array(list(total.reshape(4 * k, k)),
+                                                      pa.list_(pa.float64()))], ["i", "row"])
+
+    sums = (df.select(*[d.alias(f"_c{i}") for i, d in enumerate(dx)])
+            .mapInArrow(products, "i long, row array<double>")
+            .select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")))
+    total = np.zeros((4 * k, k))
+    for r in sums.collect():                       # 4 k*k numbers
+        total[r["i"], r["j"]] = r["v"]
+    n, s, ss, p = total.reshape(4, k, k)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = p / n - (s / n) * (s.T / n)
+        vx = ss / n - (s / n) ** 2
+        r = cov / np.sqrt(vx * vx.T)
     out = []
     for i in range(k):
         for j in range(k):
-            v = (1.0 if sd[i] else None) if i == j else r.get((i, j), r.get((j, i)))
+            good = sd[i] and sd[j] and n[i, j] and vx[i, j] > 0 and vx[j, i] > 0
+            v = (1.0 if sd[i] else None) if i == j else (float(r[i, j]) if good else None)
             out.append((cols[i], cols[j], v))
     return df.sparkSession.createDataFrame(out, MATRIX_SCHEMA)
 
