@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import grouped_quantiles
-from ..functions.types import CATEGORICAL, NUMERIC, col, logical_types
+from ..functions.types import CATEGORICAL, NUMERIC, col, logical_types, normalize_missing
 
 # Aggregate names accepted in a spec and what they compute.
 AGGREGATES = {
@@ -125,7 +125,10 @@ def _build(df: DataFrame, spec: QuerySpec) -> DataFrame:
     if spec.melt:
         m = spec.melt
         _check_cols(out, list(m.get("ids", [])) + list(m["values"]))
-        out = out.unpivot([col(c) for c in m.get("ids", [])], [col(c) for c in m["values"]],
+        # values of different kinds meet as text
+        mixed = len({logical_types(out)[c] for c in m["values"]}) > 1
+        values = [(col(c).cast("string") if mixed else col(c)).alias(c) for c in m["values"]]
+        out = out.unpivot([col(c) for c in m.get("ids", [])], values,
                           m.get("var_name", "variable"), m.get("value_name", "value"))
     if spec.resample:
         r = spec.resample
@@ -134,7 +137,8 @@ def _build(df: DataFrame, spec: QuerySpec) -> DataFrame:
             raise QueryError(f"unknown resample unit {unit}")
         _check_cols(out, [r["time"]])
         keys = [(r["time"], F.date_trunc(unit, col(r["time"])))] + [(g, col(g)) for g in (spec.group_by or [])]
-        out = _grouped(out, keys, spec)
+        grouped = _grouped(out, keys, spec)
+        out = grouped if spec.group_by else _with_empty_periods(grouped, r["time"], unit, spec)
     elif spec.pivot:
         p = spec.pivot
         _check_cols(out, [p["column"]] + list(spec.group_by or []))
@@ -144,12 +148,11 @@ def _build(df: DataFrame, spec: QuerySpec) -> DataFrame:
             # pivot of that small result (one row per cell)
             cells = _grouped(out, [(c, col(c)) for c in list(spec.group_by or []) + [p["column"]]], spec)
             names = [i[2] if len(i) > 2 else f"{i[1]}_{i[0]}" for i in items]
-            g = cells.groupBy(*[col(c) for c in spec.group_by or []])
-            g = g.pivot(p["column"], p.get("values")) if p.get("values") is not None else g.pivot(p["column"])
+            values = _pivot_values(cells, p)
+            g = cells.groupBy(*[col(c) for c in spec.group_by or []]).pivot(p["column"], values)
             out = g.agg(*[F.first(n).alias(n) for n in names])
         else:
-            g = out.groupBy(*[col(c) for c in spec.group_by or []])
-            g = g.pivot(p["column"], p.get("values")) if p.get("values") is not None else g.pivot(p["column"])
+            g = out.groupBy(*[col(c) for c in spec.group_by or []]).pivot(p["column"], _pivot_values(out, p))
             out = g.agg(*_aggs(spec, out))
     elif spec.group_by is not None or spec.aggregations:
         _check_cols(out, list(spec.group_by or []))
@@ -168,6 +171,30 @@ def _build(df: DataFrame, spec: QuerySpec) -> DataFrame:
     return out
 
 
+def _pivot_values(df: DataFrame, p: dict) -> list:
+    """The pivot's columns: as given, or every value found (one distributed distinct;
+    each value is a column of the result)."""
+    if p.get("values") is not None:
+        return list(p["values"])
+    c = col(p["column"])
+    return [r[0] for r in df.select(c).where(c.isNotNull()).distinct().orderBy(c).collect()]
+
+
+def _with_empty_periods(grouped: DataFrame, time: str, unit: str, spec: QuerySpec) -> DataFrame:
+    """Periods between the first and the last without rows: counts and sums are 0
+    there, other aggregates NULL."""
+    grouped = grouped.where(col(time).isNotNull())
+    step = F.expr("INTERVAL 3 MONTH" if unit == "quarter" else f"INTERVAL 1 {unit.upper()}")
+    spine = grouped.agg(F.min(col(time)).alias("a"), F.max(col(time)).alias("b")) \
+        .where(F.col("a").isNotNull()).select(F.explode(F.sequence("a", "b", step)).alias("_period"))
+    full = spine.join(grouped, F.col("_period") == col(time), "left")
+    zero = {i[2] if len(i) > 2 else ("count" if i[0] == "*" and len(i) < 2 else f"{i[1]}_{i[0]}")
+            for i in (spec.aggregations or [["*", "count", "count"]]) if i[1] in ("sum", "count", "nunique")}
+    return full.select(*[F.col("_period").alias(c) if c == time else
+                         F.coalesce(col(c), F.lit(0).cast(t)).alias(c) if c in zero else col(c)
+                         for c, t in grouped.dtypes])
+
+
 def run_sql(df: DataFrame, text: str) -> DataFrame:
     """Q7: a SELECT over the table, written with ``{df}`` as the table name.
 
@@ -181,18 +208,14 @@ def suggested_questions(target: str) -> list[str]:
     return [f"Show distribution of {target}.", f"How does {target} vary across different groups?"]
 
 
-def suggested_groups(df: DataFrame, target: str, max_groups: int = 20,
-                     summary_rows: list | None = None) -> DataFrame:
-    """Q8 "target across groups": for each categorical column with at most
-    ``max_groups`` values, (group_column, group_value, n, mean_target) for a
-    numeric target or (group_column, group_value, target_value, n) counts."""
-    from .profile import column_summary
+def suggested_groups(df: DataFrame, target: str, columns: list[str] | None = None) -> DataFrame:
+    """Q8 "target across groups": for each categorical column (or each of
+    ``columns``), (group_column, group_value, n, mean_target) for a numeric target or
+    (group_column, group_value, target_value, n) counts."""
+    df = normalize_missing(df)
     kinds = logical_types(df)
-    if summary_rows is None:
-        summary_rows = column_summary(df).collect()
-    groups = [r["column"] for r in summary_rows
-              if r["column"] != target and kinds[r["column"]] == CATEGORICAL
-              and r["cardinality"] <= max_groups]
+    groups = [c for c in (df.columns if columns is None else columns)
+              if c != target and (columns is not None or kinds[c] == CATEGORICAL)]
     numeric = kinds[target] == NUMERIC
     if not groups:
         return df.sparkSession.createDataFrame(

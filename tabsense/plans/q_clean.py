@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE
 from ..operators import clean as CL
+from ..operators import features as FT
 from ..operators import profile as P
 from . import oracle as O
 from .catalog import r6, r6sql, register, with_
@@ -34,7 +35,10 @@ register("standardize_names",
 # A2/A3 ------------------------------------------------------------------------
 _FMT = {"yyyy-MM-dd": "%Y-%m-%d", "yyyy-MM-dd HH:mm:ss": "%Y-%m-%d %H:%M:%S",
         "yyyy-MM-dd'T'HH:mm:ss": "%Y-%m-%dT%H:%M:%S", "MM/dd/yyyy": "%m/%d/%Y",
-        "dd/MM/yyyy": "%d/%m/%Y"}
+        "dd/MM/yyyy": "%d/%m/%Y", "yyyy-MM-dd HH:mm:ss.SSS": "%Y-%m-%d %H:%M:%S.%g",
+        "yyyy-MM-dd'T'HH:mm:ss.SSS": "%Y-%m-%dT%H:%M:%S.%g",
+        "yyyy-MM-dd HH:mm:ss.SSSSSS": "%Y-%m-%d %H:%M:%S.%f",
+        "yyyy-MM-dd'T'HH:mm:ss.SSSSSS": "%Y-%m-%dT%H:%M:%S.%f"}
 
 
 def _date_detect_sql(src):
@@ -42,7 +46,7 @@ def _date_detect_sql(src):
     for c, _ in O.cols(src):
         qc = O.q(c)
         fmt = "CAST(NULL AS VARCHAR)"
-        for sf in reversed(CL.DATE_FORMATS):
+        for sf in reversed(_FMT):
             fmt = (f"CASE WHEN count(try_strptime({qc}, '{_FMT[sf]}')) = count({qc}) "
                    f"THEN '{sf.replace(chr(39), chr(39) * 2)}' ELSE {fmt} END")
         parts.append(
@@ -73,9 +77,9 @@ register("text_normalize",
     lambda s, d: CL.clean_text(table(s, d, "documents")))
 
 register("text_null_literal", with_("customer_nulls") +
-         f"SELECT c_custkey, {norm_sql(chr(39) + 'nan' + chr(39) if False else 'coalesce(c_mktsegment, ' + chr(39) + 'nan' + chr(39) + ')')} AS c_mktsegment FROM customer_nulls")(
-    lambda s, d: CL.clean_text(table(s, d, "customer_nulls").select("c_custkey", "c_mktsegment"),
-                               null_text="literal"))
+         f"SELECT c_custkey, {norm_sql('c_name')} AS c_name, c_nationkey, c_acctbal, "
+         + norm_sql("coalesce(c_mktsegment, 'nan')") + " AS c_mktsegment FROM customer_nulls")(
+    lambda s, d: CL.clean_text(table(s, d, "customer_nulls"), null_text="literal"))
 
 # A6 ---------------------------------------------------------------------------
 register("dedup_rows", with_("events_dups") + "SELECT DISTINCT * FROM events_dups")(
@@ -148,9 +152,15 @@ _FILL_SQL = ("coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY {k} ROWS BETW
              "first_value({c} IGNORE NULLS) OVER (ORDER BY {k} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
 register("ffill_bfill", with_("events_nulls") +
          f"SELECT event_id, {_FILL_SQL.format(c='ts', k='event_id')} AS ts, "
-         f"{r6sql(_FILL_SQL.format(c='value', k='event_id'))} AS value FROM events_nulls")(
-    lambda s, d: r6(CL.fill_forward_backward(table(s, d, "events_nulls").select("event_id", "ts", "value"),
-                                             ["ts", "value"], "event_id")))
+         f"{r6sql(_FILL_SQL.format(c='value', k='event_id'))} AS value, user_id, event_type, props FROM events_nulls")(
+    lambda s, d: r6(CL.fill_forward_backward(table(s, d, "events_nulls"), ["ts", "value"], "event_id")))
+# a text key whose values share a long prefix, and a hot first key
+_TWO = "last_value(value IGNORE NULLS) OVER (ORDER BY event_type, props, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_TWO_BACK = "first_value(value IGNORE NULLS) OVER (ORDER BY event_type, props, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+register("ffill_text_keys", with_("events_nulls") +
+         f"SELECT event_id, {r6sql(f'coalesce({_TWO}, {_TWO_BACK})')} AS value FROM events_nulls")(
+    lambda s, d: r6(CL.fill_forward_backward(table(s, d, "events_nulls"), ["value"],
+                                             ["event_type", "props", "event_id"]).select("event_id", "value")))
 
 
 # A11/A12 ----------------------------------------------------------------------
@@ -161,7 +171,7 @@ def _winsor_expr(x, clip):
     return v
 
 
-def _winsor_sql(src, key, columns, clip_cols=()):
+def _winsor_sql(src, rest, columns, clip_cols=()):
     qs = ", ".join(f"quantile_cont({_winsor_expr(c, c in clip_cols)}, 0.25) AS a_{c}, "
                    f"quantile_cont({_winsor_expr(c, c in clip_cols)}, 0.75) AS b_{c}" for c in columns)
     outs = []
@@ -169,14 +179,35 @@ def _winsor_sql(src, key, columns, clip_cols=()):
         v = _winsor_expr(c, c in clip_cols)
         lo, hi = f"(a_{c} - 1.5 * (b_{c} - a_{c}))", f"(b_{c} + 1.5 * (b_{c} - a_{c}))"
         outs.append(r6sql(f"CASE WHEN {v} < {lo} THEN {lo} WHEN {v} > {hi} THEN {hi} ELSE {v} END") + f" AS {c}")
-    return with_(src) + f", qq AS (SELECT {qs} FROM {src}) SELECT {key}, {', '.join(outs)} FROM {src}, qq"
-
-
-register("winsorize_iqr", _winsor_sql("events", "event_id", ["value"]))(
-    lambda s, d: r6(CL.winsorize(table(s, d, "events").select("event_id", "value"), columns=["value"])))
-register("clip_nonnegative", _winsor_sql("customer_negative", "c_custkey", ["amount"], ("amount",)))(
-    lambda s, d: r6(CL.winsorize(table(s, d, "customer_negative").select("c_custkey", "amount"),
-                                 columns=["amount"])))
+    return with_(src) + f", qq AS (SELECT {qs} FROM {src}) SELECT {rest}, {', '.join(outs)} FROM {src}, qq"
+
+
+register("winsorize_iqr", _winsor_sql("events", "ts, event_type, props", ["event_id", "user_id", "value"]))(
+    lambda s, d: r6(CL.winsorize(table(s, d, "events"))))
+register("clip_nonnegative", _winsor_sql("customer_negative", "c_name, c_mktsegment",
+                                         ["c_custkey", "c_nationkey", "amount"], ("amount",)))(
+    lambda s, d: r6(CL.winsorize(table(s, d, "customer_negative"))))
+
+# NaN is missing: the same results as with NULL in its place
+register("nan_impute", _impute_num_sql("customer_nulls", "c_custkey", "c_acctbal"))(
+    _impute_one("customer_nan", "c_custkey", "c_acctbal"))
+register("nan_winsorize", _winsor_sql("customer_nulls", "c_name, c_mktsegment",
+                                      ["c_custkey", "c_nationkey", "c_acctbal"]))(
+    lambda s, d: r6(CL.winsorize(table(s, d, "customer_nan"))))
+register("nan_schema_profile", with_("customer_nulls") +
+         "SELECT count(*) - count(c_acctbal) AS acct, count(*) - count(c_mktsegment) AS segment FROM customer_nulls")(
+    lambda s, d: P.profile_schema(table(s, d, "customer_nan")).agg(
+        F.max(F.when(F.col("column") == "c_acctbal", F.col("null_count"))).alias("acct"),
+        F.max(F.when(F.col("column") == "c_mktsegment", F.col("null_count"))).alias("segment")))
+register("nan_zscore", with_("customer_nulls") +
+         "SELECT c_custkey, " + r6sql("(c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER ()")
+         + " AS z FROM customer_nulls")(
+    lambda s, d: r6(FT.zscore(table(s, d, "customer_nan"), ["c_acctbal"]).select(
+        "c_custkey", F.nanvl("c_acctbal", F.lit(None).cast("double")).alias("z"))))
+# A7 through the plan that clean runs: the sparse column is gone, the rest is as it was
+register("drop_sparse_frame", with_("orders_sparse") +
+         "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority FROM orders_sparse")(
+    lambda s, d: CL.impute(table(s, d, "orders_sparse"), order_by="o_orderkey")[0])
 
 
 def _bounds_sql(src, columns, clip_cols=()):

@@ -6,7 +6,7 @@ import datetime as _dt
 from ..operators import profile as P
 from ..operators import query as QY
 from ..operators import target as TG
-from .catalog import r6, r6sql, register
+from .catalog import r6, r6sql, register, with_
 from .variants import table
 
 
@@ -38,19 +38,32 @@ register("query_topk", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_order
 register("query_pivot",
          "SELECT l_returnflag, " + r6sql("sum(l_quantity) FILTER (WHERE l_linestatus = 'F')") + " AS \"F\", "
          + r6sql("sum(l_quantity) FILTER (WHERE l_linestatus = 'O')") + " AS \"O\" FROM lineitem GROUP BY l_returnflag")(
-    _spec("lineitem", {"group_by": ["l_returnflag"], "pivot": {"column": "l_linestatus", "values": ["F", "O"]},
+    _spec("lineitem", {"group_by": ["l_returnflag"], "pivot": {"column": "l_linestatus"},
                        "aggregations": [["l_quantity", "sum", "qty"]]}))
 
+# minutes: the events leave many of them empty
 register("query_resample",
-         "SELECT date_trunc('day', ts) AS ts, count(*) AS n, " + r6sql("avg(value)")
-         + " AS avg_value FROM events GROUP BY date_trunc('day', ts)")(
-    _spec("events", {"resample": {"time": "ts", "unit": "day"},
-                     "aggregations": [["*", "count", "n"], ["value", "mean", "avg_value"]]}))
+         "WITH g AS (SELECT date_trunc('minute', ts) AS t, count(*) AS n, sum(user_id) AS users, avg(value) AS v "
+         "FROM events GROUP BY 1), p AS (SELECT unnest(generate_series(min(t), max(t), INTERVAL 1 MINUTE)) AS ts FROM g) "
+         "SELECT ts, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(users, 0) AS BIGINT) AS users, "
+         + r6sql("v") + " AS avg_value FROM p LEFT JOIN g ON ts = t")(
+    _spec("events", {"resample": {"time": "ts", "unit": "minute"},
+                     "aggregations": [["*", "count", "n"], ["user_id", "sum", "users"],
+                                      ["value", "mean", "avg_value"]]}))
 
 register("query_melt",
          "SELECT o_orderkey, 'o_totalprice' AS variable, " + r6sql("o_totalprice") + " AS value FROM orders "
          "UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS DOUBLE) FROM orders")(
     _spec("orders", {"melt": {"ids": ["o_orderkey"], "values": ["o_totalprice", "o_custkey"]}}))
+# text and numbers meet as text
+register("query_melt_mixed",
+         "SELECT o_orderkey, 'o_custkey' AS variable, CAST(o_custkey AS VARCHAR) AS value FROM orders "
+         "UNION ALL SELECT o_orderkey, 'o_orderstatus', o_orderstatus FROM orders")(
+    _spec("orders", {"melt": {"ids": ["o_orderkey"], "values": ["o_custkey", "o_orderstatus"]}}))
+register("query_groupby_null_group", with_("customer_nulls") +
+         "SELECT c_mktsegment, count(*) AS n, " + r6sql("median(c_acctbal)") + " AS med FROM customer_nulls GROUP BY 1")(
+    _spec("customer_nulls", {"group_by": ["c_mktsegment"], "aggregations": [
+        ["*", "count", "n"], ["c_acctbal", "median", "med"]]}))
 
 register("query_sql", "SELECT o_orderstatus, count(*) AS n, " + r6sql("sum(o_totalprice)")
          + " AS total FROM orders GROUP BY o_orderstatus")(
@@ -71,8 +84,9 @@ register("suggested_distribution",
     _suggested_distribution)
 
 register("suggested_groups",
-         "SELECT 'c_mktsegment' AS group_column, c_mktsegment AS group_value, count(*) AS n, "
-         + r6sql("avg(c_acctbal)") + " AS mean_target FROM customer GROUP BY c_mktsegment")(
+         " UNION ALL ".join(f"SELECT '{c}' AS group_column, {c} AS group_value, count(*) AS n, "
+                            + r6sql("avg(c_acctbal)") + f" AS mean_target FROM customer GROUP BY {c}"
+                            for c in ("c_name", "c_mktsegment")))(
     lambda s, d: r6(QY.suggested_groups(table(s, d, "customer"), "c_acctbal")))
 
 

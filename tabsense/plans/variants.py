@@ -20,6 +20,11 @@ VARIANTS: dict[str, str] = {
         "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, "
         "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment "
         "FROM customer"),
+    "customer_nan": (
+        "SELECT c_custkey, c_name, c_nationkey, "
+        "CASE WHEN c_custkey % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE c_acctbal END AS c_acctbal, "
+        "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment "
+        "FROM customer"),
     "events_nulls": (
         "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE ts END AS ts, user_id, "
         "event_type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value, props "
