@@ -52,22 +52,6 @@ def test_spec_json_roundtrip():
     assert QY.QuerySpec.from_json(spec.to_json()) == spec
 
 
-def test_stream_apply_matches_batch(spark, tmp_path):
-    from pyspark.sql import functions as F
-    from tabsense.operators import clean as CL
-    from tabsense.streaming import apply_clean
-    src = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").withColumn(
-        "c_acctbal", F.when(F.col("c_custkey") % 7 == 0, None).otherwise(F.col("c_acctbal")))
-    src.write.parquet(str(tmp_path / "in"))
-    fitted = CL.clean(src)
-    stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
-    q = (apply_clean(stream, fitted).writeStream.format("memory").queryName("tabsense_stream_check")
-         .trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    got = spark.table("tabsense_stream_check")
-    assert got.exceptAll(fitted.df).count() == 0 and got.count() == fitted.df.count()
-
-
 def test_area_running_total_text_x(spark):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
