@@ -4,7 +4,7 @@ as the next stage's input.
 A stage takes (spark, docs, sf_dir) and returns the documents that go on, with the
 columns doc_id, text, lang, source and n_chars; the last returns the pieces of the
 packed sequences. Defined cases are those of the operators: null or empty texts
-are not toxic, but fail the quality rules; rows without an id pass the
+score as texts without features, and fail the quality rules; rows without an id pass the
 near-duplicate stage; an empty table goes through as one; columns beyond those of
 ``documents`` are dropped by the first stage.
 """
