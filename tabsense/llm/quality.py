@@ -31,6 +31,7 @@ FLOORS = [0.16, 0.15, 0.15, 0.12]
 D = len(STATS)
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 STARTS = ["a", "b"]
+SALTS = 64  # parts of a group's rows in joins with its estimates
 
 
 def chi2_cdf(x: float, dof: int) -> float:
@@ -130,9 +131,14 @@ def _distance(t: str, factor: float = 1.0) -> list[tuple[str, Column]]:
     return [*steps, (f"d_{t}", total / factor)]
 
 
+def _salted(est: DataFrame) -> DataFrame:
+    """One copy of a group's estimates for each part of its rows."""
+    return est.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _with_distances(rows: DataFrame, est: DataFrame, starts: list[str],
                     factor: float = 1.0) -> DataFrame:
-    df = rows.join(est, "grp")
+    df = rows.join(_salted(est), ["grp", "salt"])
     for t in starts:
         for name, value in _distance(t, factor):
             df = df.withColumn(name, value)
@@ -157,14 +163,15 @@ def _estimates(agg: DataFrame, starts: list[str]) -> DataFrame:
 
 
 def mcd(rows: DataFrame, share: float = 0.75, steps: int = 4, accuracy: int = 1000) -> DataFrame:
-    """Minimum-covariance-determinant estimate per ``grp`` over columns x0..x3:
+    """Minimum-covariance-determinant estimate per ``grp`` over columns x0..x3 of
+    rows (grp, salt, x0..):
     one row per group with m_a0.. and l_a00.. of the start whose final scatter
     has the smaller determinant. The share-quantile of the distances comes from
     a bounded sketch per group."""
     med = rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, accuracy).alias(f"c{i}")
                                     for i, x in enumerate(STATS)])
     med = cut_lineage(med)
-    centred = rows.join(med, "grp")
+    centred = rows.join(_salted(med), ["grp", "salt"])
     for i, x in enumerate(STATS):
         centred = centred.withColumn(f"e{i}", (F.col(x) - F.col(f"c{i}")) / FLOORS[i])
     norm = F.greatest(reduce(lambda a, b: a + b, [F.col(f"e{i}") ** 2 for i in range(D)]),
@@ -184,10 +191,11 @@ def mcd(rows: DataFrame, share: float = 0.75, steps: int = 4, accuracy: int = 10
           for i, j in PAIRS])
     for _ in range(steps):
         est = cut_lineage(_factored(est, STARTS))
-        near = _with_distances(rows, est, STARTS).select("grp", *STATS, *[f"d_{t}" for t in STARTS])
+        near = _with_distances(rows, est, STARTS) \
+            .select("grp", "salt", *STATS, *[f"d_{t}" for t in STARTS])
         cut = near.groupBy("grp").agg(*[F.percentile_approx(f"d_{t}", share, accuracy)
                                         .alias(f"k_{t}") for t in STARTS])
-        inside = near.join(cut, "grp").groupBy("grp").agg(
+        inside = near.join(_salted(cut), ["grp", "salt"]).groupBy("grp").agg(
             *[c for t in STARTS for c in _moments(t, F.col(f"d_{t}") <= F.col(f"k_{t}"))])
         est = _estimates(inside, STARTS)
     est = cut_lineage(_factored(est, STARTS))
@@ -201,21 +209,25 @@ def mcd(rows: DataFrame, share: float = 0.75, steps: int = 4, accuracy: int = 10
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = 0.75,
             quantile: float = 0.9999, steps: int = 4) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the counts, base_failed, distance
-    (null where the base rule fails) and kept."""
-    keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"),
-                        F.to_json(F.struct(F.col("lang"), F.col("source"))).alias("grp"))
-    stats = text_counts(keyed, ["doc_id", "grp"], "_text")
+    """One row per row of ``docs``: doc_id, the counts, base_failed, text_hash,
+    distance (null where the base rule fails) and kept."""
+    body = F.col(f"`{text}`").cast("string")
+    keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("_text"),
+                        F.to_json(F.struct(F.col("lang"), F.col("source"))).alias("grp"),
+                        F.xxhash64(body).alias("text_hash"),
+                        F.pmod(F.xxhash64(F.lit("salt"), F.col(f"`{doc_id}`"), body),
+                               F.lit(SALTS)).cast("int").alias("salt"))
+    stats = text_counts(keyed, ["doc_id", "grp", "text_hash", "salt"], "_text")
     stats = stats.withColumn("base_failed", (F.col("n_words") < 10)
                              | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
     stats = cut_lineage(stats.select("*", *transformed()))
     good = stats.filter(~F.col("base_failed"))
-    est = mcd(good.select("grp", *STATS), share, steps)
+    est = mcd(good.select("grp", "salt", *STATS), share, steps)
     # makes the scatter of the inner share consistent with a normal distribution
     factor = share / chi2_cdf(chi2_quantile(share, D), D + 2)
     judged = _with_distances(good, est, ["a"], factor).withColumn("distance", F.col("d_a"))
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            "base_failed"]
+            "base_failed", "text_hash"]
     failed = stats.filter("base_failed").select(
         *cols, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return judged.select(*cols, "distance",
@@ -224,7 +236,9 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, columns unchanged. Rows with a
-    null doc_id are matched by the null-safe join as well."""
-    kept = quality(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs`` that the rules keep, columns unchanged. Rows are matched
+    by id (null is an id like others) and text."""
+    gone = quality(docs).filter("not kept") \
+        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id"))
+                     & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash")), "left_anti")

@@ -28,7 +28,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir)).drop("distance")
+    return quality(documents(spark, sf_dir)).drop("distance", "text_hash")
 
 
 @query
