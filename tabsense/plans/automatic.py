@@ -150,7 +150,7 @@ def run_pipeline(df: DataFrame, target: str | None = None, order_by=None, source
     # the cleaned frame feeds the re-profile, every transform fit and the output:
     # persist it once (its plan holds the dedup and, with an order key, the fill)
     clean_df = keep(cres.df)
-    vf_clean = keep(P.frequency_table(clean_df, layout="columns", text="hash"))
+    vf_clean = keep(P.frequency_table(clean_df, text="hash"))
     clean_summary = P.column_summary(clean_df, vf_clean).collect()
     clean_rows = clean_summary[0]["n_rows"] if clean_summary else 0
     audit.append((12, "Post-Cleaning Schema Re-inference",
