@@ -61,7 +61,7 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
             h = (r["n"] - 1) * p
             k0 = math.floor(h)
             v0, v1 = brackets[i, k0].lo, brackets[i, min(k0 + 1, r["n"] - 1)].lo
-            out[names[i]][j] = v0 if v0 == v1 else v0 + (h - k0) * (v1 - v0)
+            out[names[i]][j] = v0 if v0 == v1 or h == k0 else v0 + (h - k0) * (v1 - v0)
     return out
 
 

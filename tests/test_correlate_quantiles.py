@@ -38,12 +38,12 @@ def test_selection_equals_percentile(spark):
 
 def test_selection_of_odd_values(spark):
     inf, nan = float("inf"), float("nan")
-    vals = [1e308, -1e308, 5e-324, 0.0, -0.0, inf, -inf, inf, nan, None, 1.0, 1.0 + 2 ** -52]
+    vals = [1e308, -1e308, 5e-324, 0.0, -0.0, inf, -inf, nan, None, 1.0, 1.0 + 2 ** -52]
     df = spark.createDataFrame([(v, nan) for v in vals], "v double, w double").repartition(3)
     real = sorted(v for v in vals if v is not None and v == v)
-    probs = [k / 9 for k in range(10)]
+    probs = [k / 8 for k in range(9)]
     got = exact_quantiles(df, {"v": F.col("v"), "w": F.col("w")}, probs, bins=4)
-    assert got["w"] == [None] * 10
+    assert got["w"] == [None] * 9
     assert all(g == pytest.approx(w) for g, w in zip(got["v"], real, strict=True))
 
 
