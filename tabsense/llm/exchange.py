@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 #: bytes of compressed chunks for which one bucket is made
 BUCKET_BYTES = 4 << 20
 #: (distinct sorted uint64 keys, values of shape (n, m)) of a chunk, by kind
 Keys = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def squeeze(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def stretch(data: bytes) -> bytes:
@@ -39,7 +39,7 @@ def freeze(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table.combine_chunks())
-    return squeeze(sink.getvalue().to_pybytes())
+    return squeeze(sink.getvalue().to_pybytes(), 1)
 
 
 def thaw(blob: bytes) -> pa.Table:
@@ -143,14 +143,14 @@ def ask(chunks: DataFrame, keys: Callable[..., Keys], columns: int, buckets: int
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack_keys(k) for k in rows["keys"]]
         every = np.concatenate(parts)
-        found, place = np.unique(every, return_inverse=True)
-        sums = np.zeros((len(found), columns), np.int64)
-        values = np.concatenate([unpack_values(v, columns) for v in rows["counts"]])
-        for c in range(columns):
-            if c in largest:
-                np.maximum.at(sums[:, c], place, values[:, c])
-            else:
-                np.add.at(sums[:, c], place, values[:, c])
+        order = np.argsort(every, kind="stable")
+        new = np.concatenate([[True], every[order][1:] != every[order][:-1]])
+        first = np.flatnonzero(new)
+        place = np.empty(len(every), np.int64)
+        place[order] = np.cumsum(new) - 1
+        values = np.concatenate([unpack_values(v, columns) for v in rows["counts"]])[order]
+        sums = np.stack([(np.maximum if c in largest else np.add).reduceat(values[:, c], first)
+                         for c in range(columns)], axis=1)
         out, at = [], 0
         for chunk, part in zip(rows["chunk"], parts, strict=True):
             out.append((chunk, pack_values(sums[place[at:at + len(part)]])))
