@@ -114,7 +114,7 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     cuts = ids.filter("doc_id is not null").approxQuantile(
         "doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    bounds = np.array(sorted({int(c) for c in cuts}), np.int64)
+    bounds = np.array(sorted({min(int(c), 2 ** 63 - 1) for c in cuts}), np.int64)
     last = len(bounds)  # part 0 has the largest ids, part last + 1 the null ones
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
