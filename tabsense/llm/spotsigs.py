@@ -106,7 +106,7 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, " \
       "edited_fingerprint string, near_edited double, near_next double"
 
 
-def in_order(docs: DataFrame, parts: int) -> DataFrame:
+def in_order(docs: DataFrame, parts: int, tasks: int) -> DataFrame:
     """Rows (part, doc_id, text, own) sorted within partitions by descending id;
     each part of the id range ends with the first row of the next part (own =
     false), the last with the first row of all. Only one number per part passes
@@ -147,14 +147,15 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
                                       [*b.schema.names, "own"])
 
     return rows.mapInArrow(twice, "part int, doc_id long, text string, own boolean") \
-        .repartition(max(1, len(first)), "part") \
+        .repartition(max(1, min(len(first), tasks)), "part") \
         .sortWithinPartitions("part", F.desc("own"), F.desc_nulls_last("doc_id"), "text")
 
 
 def with_edits(docs: DataFrame, parts: int | None = None, chain: int = CHAIN) -> DataFrame:
     """Fingerprints of every text and of its edited text, and the likeness of its
     fingerprint to the edited one's and to the next document's."""
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 8 * tasks  # several small ranges per task even out
 
     def result(doc_id: int | None, text: str, own: np.ndarray, nxt: str, other: np.ndarray) -> tuple:
         new = edited(text, nxt)
@@ -181,7 +182,7 @@ def with_edits(docs: DataFrame, parts: int | None = None, chain: int = CHAIN) ->
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
                                   [x.split()[0] for x in OUT.split(", ")])
 
-    return in_order(docs, parts).mapInArrow(run, OUT)
+    return in_order(docs, parts, tasks).mapInArrow(run, OUT)
 
 
 # ---- similarity join -------------------------------------------------------
