@@ -15,8 +15,13 @@ def _linked_to_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or has one edge, to a centre."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("centre")) \
+        .unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("child"),
+                                  F.lit(1).alias("centre")))
+    sums = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("centre").alias("centre"))
+    return sums.filter("child + centre > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,10 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
     node reachable. Self-links and repeated edges do no harm; an empty table gives
     an empty one. Both steps keep the components and end in stars around them;
     the work per step is a sum or join over edges, never a group in one place."""
-    now = cut_lineage(edges.filter("u <> v").select("u", "v").distinct())
-    seen = None
-    while (mark := _fingerprint(now)) != seen:
-        seen = mark
+    now = cut_lineage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"),
+                                                    F.least("u", "v").alias("v")).distinct())
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _linked_to_least(both).filter("v > u and v <> m") \
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -6,9 +6,10 @@ Jaccard coefficient of 0.8 share a band with probability 1 - 3e-6. Within a band
 bucket all pairs are never listed: every class is compared with the bucket's
 smallest one. A comparison first checks the signatures (five standard deviations
 below the threshold are rejected), then the full sets. Buckets whose classes are
-then in one component are done. In the others, classes of different components
-are compared with further centres, a few rounds long, and what is still apart
-after that is compared outright, so no link inside a bucket is lost.
+then in one component are done. In the others, pairs of classes of different
+components are compared: outright once they are few (at most four per row of the
+buckets), before that with a centre of the bucket's largest component, round by
+round. So no link inside a bucket is lost.
 
 Defined cases: a null text, or one without words, has an empty set and is linked
 with nothing; rows with a null id are linked with nothing and kept; rows with
@@ -30,11 +31,11 @@ from .components import components
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
-STAR_ROUNDS = 3
+OUTRIGHT = 4  # pairs across components per row of a bucket that are compared at once
 CACHE = 500_000
 _RNG = np.random.default_rng(20_240_229)
-FACTOR = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFT = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64)
+FACTOR = _RNG.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+SHIFT = _RNG.integers(1, 1 << 32, HASHES, dtype=np.uint32)
 PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -73,12 +74,13 @@ def shingles(text: bytes, size: int, words: Words) -> np.ndarray:
 
 
 def signature(sets: np.ndarray) -> np.ndarray:
-    """Minima of the universal hashes x -> (a x + b mod 2**64) / 2**32."""
+    """Minima of the universal hashes x -> a x + b mod 2**32 of the folded shingles."""
     low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(sets), 2048):
-            part = sets[at:at + 2048, None] * FACTOR + SHIFT
-            low = np.minimum(low, (part.min(axis=0) >> np.uint64(32)).astype(np.uint32))
+    folded = (sets ^ (sets >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(folded), 512):  # a block stays in the processor's cache
+        part = folded[at:at + 512, None] * FACTOR
+        part += SHIFT
+        np.minimum(low, part.min(axis=0), out=low)
     return low
 
 
@@ -198,35 +200,43 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
                         .select(F.col("centre").alias("u"), F.col("node").alias("v")))
     links = check.links(tried)
     found = cut_lineage(components(links))
-    for k in range(STAR_ROUNDS + 1):
+    members = rows.count()
+    while True:
         apart = rows.select("bucket", "node", "n").join(found, "node", "left") \
             .withColumn("component", F.coalesce("component", "node"))
-        mixed = apart.groupBy("bucket").agg(
-            F.min("component").alias("a"), F.max("component").alias("b"),
-            F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node"), F.col("n").alias("m"),
-                           F.col("component").alias("of"))).alias("pick")).filter("a <> b")
-        open_ = cut_lineage(apart.join(mixed.select("bucket", "pick"), "bucket"))
-        if k < STAR_ROUNDS:
-            pairs = open_.filter("component <> pick.of").select(
-                F.col("pick.node").alias("centre"), "node", "n", F.col("pick.m").alias("m"))
-        else:
+        # buckets with several components, and how many pairs lie across these
+        sizes = apart.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.min(F.struct(
+            F.xxhash64("node"), F.col("node"), F.col("n").alias("m"))).alias("first"))
+        mixed = cut_lineage(sizes.groupBy("bucket").agg(
+            F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("k"),
+            F.max(F.struct("c", "first", F.col("component").alias("of"))).alias("pick"))
+            .filter("k > 1").select("bucket", "pick", ((F.col("all") * F.col("all") - F.col("own")) / 2)
+                                    .alias("pairs")))
+        across = mixed.agg(F.sum("pairs")).first()[0] or 0
+        if not across:
+            return found
+        open_ = apart.join(mixed.select("bucket", "pick"), "bucket")
+        outright = across <= OUTRIGHT * members
+        if outright:
             other = open_.select("bucket", F.col("node").alias("centre"), F.col("n").alias("m"),
                                  F.col("component").alias("of"))
             pairs = open_.select("bucket", "node", "n", "component").join(other, "bucket") \
                 .filter("component < of")
+        else:  # one member of the largest component meets those of the others
+            pairs = open_.filter("component <> pick.of").select(
+                F.col("pick.first.node").alias("centre"), "node", "n", F.col("pick.first.m").alias("m"))
         pairs = pairs.filter(fits).select(F.least("centre", "node").alias("u"),
                                           F.greatest("centre", "node").alias("v")).distinct()
         fresh = cut_lineage(pairs.join(tried, ["u", "v"], "left_anti"))
-        if fresh.isEmpty():
-            if k < STAR_ROUNDS:
-                continue
-            break
-        more = check.links(fresh)
+        more = check.links(fresh) if not fresh.isEmpty() else None
+        if more is not None and not more.isEmpty():
+            found = cut_lineage(components(more.unionByName(
+                found.select(F.col("node").alias("u"), F.col("component").alias("v")))))
+        if outright:
+            return found
+        if more is None or more.isEmpty():
+            members *= 4  # centres find nothing any more: allow more pairs outright
         tried = tried.unionByName(fresh)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = cut_lineage(components(links))
-    return found
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
