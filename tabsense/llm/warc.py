@@ -12,8 +12,8 @@ Which payloads occur twice is decided on their digests; only digests that do
 occur twice are joined back, so unique payloads need no partner and a hot payload
 can be split by Spark's skew join.
 
-Archives are written as text files of about ``archive_bytes`` by Spark into a
-shared folder, and are read back by parsing declared lengths.
+Archives are written by Spark as gzipped files of about ``archive_bytes`` (before
+compression) into a shared folder, and are read back by declared lengths.
 
 Defined cases: null html is an empty payload, null url an empty one, a null page
 id stays null; rows that tie for the smallest id of a payload are all responses;
@@ -22,6 +22,7 @@ an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -43,7 +44,7 @@ ARC_FIELDS = {
         "Location", "Offset", "Filename", "Archive-length"],
 }
 ARC_DATE = "20240101000000"
-UNSAFE = re.compile(r"[\x00-\x20\x7f\x85\xa0  ]")
+UNSAFE = re.compile("[\\x00-\\x20\\x7f\\x85\\xa0\\u2028\\u2029]")
 
 
 # ---- ARC -----------------------------------------------------------------
@@ -213,7 +214,8 @@ def write_archives(arcs: DataFrame, path: str, archive_bytes: int = 16 << 20) ->
     rows = arcs.select("page_id", "arc", revisited.alias("first_id")) \
         .mapInArrow(run, "archive int, value string")
     # a record ends with two line ends: one its own, one the writer's
-    rows.write.partitionBy("archive").option("lineSep", "\r\n").text(path)
+    rows.write.partitionBy("archive").option("lineSep", "\r\n") \
+        .option("compression", "gzip").text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -226,7 +228,7 @@ def read_archives(spark, path: str) -> DataFrame:
         for b in batches:
             for data in b[0]:
                 rows = []
-                for fields, block in warc_records(data.as_py()):
+                for fields, block in warc_records(gzip.decompress(data.as_py())):
                     name = fields["WARC-Record-ID"][10:-1]
                     declared = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     length, other = int(http_header(block)["Content-Length"]), None
@@ -245,7 +247,7 @@ def read_archives(spark, path: str) -> DataFrame:
 
     # the schema is given, so that an empty table's archive folder can be read too
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
-        .option("pathGlobFilter", "*.txt").schema(T.StructType([
+        .option("pathGlobFilter", "*.gz").schema(T.StructType([
             T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
             T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])).load(path)
     return files.select("content").mapInArrow(
