@@ -39,7 +39,7 @@ def freeze(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table.combine_chunks())
-    return squeeze(sink.getvalue().to_pybytes(), 1)
+    return squeeze(sink.getvalue().to_pybytes(), 6)
 
 
 def thaw(blob: bytes) -> pa.Table:
