@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tabsense.config import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["cut_lineage", "documents", "held_out_remainder", "pages", "pick",
+__all__ = ["cut_lineage", "documents", "held_out_remainder", "pages", "parts_for",
+           "pick",
            "scratch", "text_or_empty"]
 
 
@@ -36,6 +37,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def parts_for(rows: int, per_part: int) -> int:
+    """Partitions for a table of so many rows: small tables in steps that repeat
+    would otherwise leave one file per shuffle partition each time."""
+    return max(8, -(-rows // per_part))
+
+
 def held_out_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (null id: of '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -4,14 +4,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, parts_for
 
+EDGES = 2_000_000  # per partition
 
-def _linked_to_least(pairs: DataFrame) -> DataFrame:
+
+def _linked_to_least(pairs: DataFrame, parts: int) -> DataFrame:
     """Rows (u, v, m): m is the smallest of u and all its v. The minima are a
     table of their own, so the join may split the rows of a hub."""
     least = cut_lineage(pairs.groupBy("u").agg(F.min("v").alias("m"))
-                        .select("u", F.least("u", "m").alias("m")))
+                        .select("u", F.least("u", "m").alias("m")).coalesce(parts))
     return pairs.join(least, "u")
 
 
@@ -31,13 +33,16 @@ def components(edges: DataFrame) -> DataFrame:
     the work per step is a sum or join over edges, never a group in one place."""
     now = cut_lineage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"),
                                                     F.least("u", "v").alias("v")).distinct())
+    parts = parts_for(now.count(), EDGES)
     while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _linked_to_least(both).filter("v > u and v <> m") \
+        large = _linked_to_least(both, parts).filter("v > u and v <> m") \
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = cut_lineage(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-        small = _linked_to_least(down)
+        down = cut_lineage(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                           .coalesce(parts))
+        small = _linked_to_least(down, parts)
         now = cut_lineage(small.select("u", F.col("m").alias("v")).unionByName(
-            small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+            small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+            .coalesce(parts))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

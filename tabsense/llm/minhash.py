@@ -26,11 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_or_empty
+from .common import cut_lineage, parts_for, text_or_empty
 from .components import components
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
+PAIRS = 20_000  # pairs whose full sets one task compares at least
 OUTRIGHT = 4  # pairs across components per row of a bucket that are compared at once
 CACHE = 500_000
 _RNG = np.random.default_rng(20_240_229)
@@ -178,12 +179,14 @@ class Verifier:
                 keep = pa.array(keep, pa.bool_())
                 yield pa.record_batch([c.filter(keep) for c in b.columns[:2]], ["u", "v"])
 
-        likely = cut_lineage(self.by_signature(pairs))
+        parts = parts_for(pairs.count(), PAIRS)
+        likely = cut_lineage(self.by_signature(pairs).coalesce(parts))
         ends = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
-        sets = cut_lineage(self.sets(ends))
+        sets = cut_lineage(self.sets(ends).coalesce(parts))
         both = likely.join(sets.withColumnsRenamed({"node": "u", "s": "x"}), "u") \
             .join(sets.withColumnsRenamed({"node": "v", "s": "y"}), "v")
-        return cut_lineage(both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"))
+        return cut_lineage(both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+                           .coalesce(parts))
 
 
 def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -199,8 +202,9 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     tried = cut_lineage(first.join(size_of, "centre").filter(fits)
                         .select(F.col("centre").alias("u"), F.col("node").alias("v")))
     links = check.links(tried)
-    found = cut_lineage(components(links))
     members = rows.count()
+    parts = parts_for(members, 1_000_000)
+    found = cut_lineage(components(links).coalesce(parts))
     while True:
         apart = rows.select("bucket", "node", "n").join(found, "node", "left") \
             .withColumn("component", F.coalesce("component", "node"))
@@ -211,7 +215,7 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
             F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("k"),
             F.max(F.struct("c", "first", F.col("component").alias("of"))).alias("pick"))
             .filter("k > 1").select("bucket", "pick", ((F.col("all") * F.col("all") - F.col("own")) / 2)
-                                    .alias("pairs")))
+                                    .alias("pairs")).coalesce(parts))
         across = mixed.agg(F.sum("pairs")).first()[0] or 0
         if not across:
             return found
@@ -227,11 +231,11 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
                 F.col("pick.first.node").alias("centre"), "node", "n", F.col("pick.first.m").alias("m"))
         pairs = pairs.filter(fits).select(F.least("centre", "node").alias("u"),
                                           F.greatest("centre", "node").alias("v")).distinct()
-        fresh = cut_lineage(pairs.join(tried, ["u", "v"], "left_anti"))
+        fresh = cut_lineage(pairs.join(tried, ["u", "v"], "left_anti").coalesce(parts))
         more = check.links(fresh) if not fresh.isEmpty() else None
         if more is not None and not more.isEmpty():
             found = cut_lineage(components(more.unionByName(
-                found.select(F.col("node").alias("u"), F.col("component").alias("v")))))
+                found.select(F.col("node").alias("u"), F.col("component").alias("v")))).coalesce(parts))
         if outright:
             return found
         if more is None or more.isEmpty():
