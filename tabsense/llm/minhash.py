@@ -7,9 +7,9 @@ bucket all pairs are never listed: every class is compared with the bucket's
 smallest one. A comparison first checks the signatures (five standard deviations
 below the threshold are rejected), then the full sets. Buckets whose classes are
 then in one component are done. In the others, pairs of classes of different
-components are compared: outright once they are few (at most four per row of the
-buckets), before that with a centre of the bucket's largest component, round by
-round. So no link inside a bucket is lost.
+components are compared: outright once they are few (at most one per two rows of the
+buckets), before that with another centre of the bucket's largest component in
+each round. So no link inside a bucket is lost.
 
 Defined cases: a null text, or one without words, has an empty set and is linked
 with nothing; rows with a null id are linked with nothing and kept; rows with
@@ -19,6 +19,7 @@ other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .components import components
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 PAIRS = 20_000  # pairs whose full sets one task compares at least
-OUTRIGHT = 4  # pairs across components per row of a bucket that are compared at once
+OUTRIGHT = 0.5  # pairs across components per row of a bucket that are compared at once
 CACHE = 500_000
 _RNG = np.random.default_rng(20_240_229)
 FACTOR = _RNG.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -205,12 +206,12 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     members = rows.count()
     parts = parts_for(members, 1_000_000)
     found = cut_lineage(components(links).coalesce(parts))
-    while True:
+    for turn in count():
         apart = rows.select("bucket", "node", "n").join(found, "node", "left") \
             .withColumn("component", F.coalesce("component", "node"))
         # buckets with several components, and how many pairs lie across these
         sizes = apart.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.min(F.struct(
-            F.xxhash64("node"), F.col("node"), F.col("n").alias("m"))).alias("first"))
+            F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("n").alias("m"))).alias("first"))
         mixed = cut_lineage(sizes.groupBy("bucket").agg(
             F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("k"),
             F.max(F.struct("c", "first", F.col("component").alias("of"))).alias("pick"))
@@ -239,7 +240,7 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
         if outright:
             return found
         if more is None or more.isEmpty():
-            members *= 4  # centres find nothing any more: allow more pairs outright
+            members *= 2  # a centre found nothing: allow more pairs outright
         tried = tried.unionByName(fresh)
 
 
