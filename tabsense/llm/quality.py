@@ -1,12 +1,19 @@
 """Quality rules by robust multivariate outliers.
 
 Every document gets six counts and four transformed statistics. Per (language,
-source) the minimum-covariance-determinant estimate of their centre and scatter
-is found by concentration steps from two deterministic starts; documents whose
-Mahalanobis distance exceeds a chi-square quantile are rejected. Everything is
-DataFrame expressions: the text is read once, the steps run on a narrow table of
-statistics, groups are only ever aggregated (partial sums and bounded quantile
-sketches), so one group may hold any share of the rows.
+source) the regularised minimum-covariance-determinant estimate of their centre
+and scatter is found by concentration steps from two deterministic starts, until
+no determinant falls; documents whose Mahalanobis distance exceeds a chi-square
+quantile are rejected. Everything is DataFrame expressions: the text is read once,
+the steps run on a narrow table of statistics, groups are only ever aggregated
+(partial sums and bounded quantile sketches), so one group may hold any share of
+the rows.
+
+Most texts have no symbols and repeat nothing, so a group's robust scatter of
+three statistics is often zero. What regularises it are the sampling variances of
+the counts themselves (``variances``), not fixed widths: the group's median in the
+steps, and at least the document's own when it is judged, since one symbol among
+ten words tells less than a hundred among a thousand.
 
 Defined cases: a null or empty text has no words, fails the base rule and is not
 kept; null language or source is a group of its own; repeated rows count as
@@ -25,13 +32,11 @@ from .common import cut_lineage, pick, text_or_empty
 
 WINDOW = 5
 STATS = ["x0", "x1", "x2", "x3"]
-#: standard deviations added to the scatter's diagonal: differences well below
-#: them never make an outlier, and constant statistics stay invertible
-FLOORS = [0.16, 0.18, 0.15, 0.12]
 D = len(STATS)
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 STARTS = ["a", "b"]
 SALTS = 64  # parts of a group's rows in joins with its estimates
+FALL = 1e-6  # a log determinant that falls by less does not fall
 
 
 def chi2_cdf(x: float, dof: int) -> float:
@@ -100,25 +105,32 @@ def transformed() -> list[Column]:
     ]
 
 
+def variances() -> list[Column]:
+    """Sampling variance of each statistic in a text of this length: the root of a
+    count of independent events has variance 1/4. Events are words, symbols, lines
+    and windows said twice."""
+    words, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "n_lines"))
+    return [(0.25 / words).alias("r0"), (0.25 / words).alias("r1"),
+            (0.25 / lines).alias("r2"), (0.25 * 2 * WINDOW / words).alias("r3")]
 
 
 def _factored(est: DataFrame, starts: list[str]) -> DataFrame:
-    """Centre and Cholesky factor of scatter + floor per start; columns
-    m_<start><i> and l_<start><i><j>. Built column by column: each entry uses
-    the ones before it by name, so expressions stay short."""
+    """Cholesky factor of scatter + variances f<i> per start; columns
+    l_<start><i><j>. Built column by column: each entry uses the ones before it by
+    name, so expressions stay short."""
     for t in starts:
         for i in range(D):
             for j in range(i + 1):
-                rest = F.col(f"s_{t}{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
+                rest = F.col(f"s_{t}{i}{j}") + (F.col(f"f{i}") if i == j else 0.0)
                 for k in range(j):
                     rest = rest - F.col(f"l_{t}{i}{k}") * F.col(f"l_{t}{j}{k}")
-                value = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j \
+                value = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j \
                     else rest / F.col(f"l_{t}{j}{j}")
                 est = est.withColumn(f"l_{t}{i}{j}", value)
     return est
 
 
-def _distance(t: str, factor: float = 1.0) -> list[tuple[str, Column]]:
+def _distance(t: str) -> list[tuple[str, Column]]:
     """Forward substitution: named steps whose last is the squared distance."""
     steps, names = [], []
     for i in range(D):
@@ -128,7 +140,7 @@ def _distance(t: str, factor: float = 1.0) -> list[tuple[str, Column]]:
         steps.append((f"y_{t}{i}", rest / F.col(f"l_{t}{i}{i}")))
         names.append(f"y_{t}{i}")
     total = reduce(lambda a, b: a + b, [F.col(n) * F.col(n) for n in names])
-    return [*steps, (f"d_{t}", total / factor)]
+    return [*steps, (f"d_{t}", total)]
 
 
 def _salted(est: DataFrame) -> DataFrame:
@@ -136,11 +148,9 @@ def _salted(est: DataFrame) -> DataFrame:
     return est.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def _with_distances(rows: DataFrame, est: DataFrame, starts: list[str],
-                    factor: float = 1.0) -> DataFrame:
-    df = rows.join(_salted(est), ["grp", "salt"])
+def _with_distances(df: DataFrame, starts: list[str]) -> DataFrame:
     for t in starts:
-        for name, value in _distance(t, factor):
+        for name, value in _distance(t):
             df = df.withColumn(name, value)
     return df
 
@@ -152,63 +162,89 @@ def _moments(t: str, inside: Column) -> list[Column]:
                   for i, j in PAIRS]
 
 
-def _estimates(agg: DataFrame, starts: list[str]) -> DataFrame:
-    cols = [F.col("grp")]
+def _estimates(agg: DataFrame, starts: list[str], factor: float) -> DataFrame:
+    """Centre, scatter (times ``factor``), factor and log determinant g_<start>."""
+    cols = [F.col("grp"), *[F.col(f"f{i}") for i in range(D)]]
     for t in starts:
         n = F.col(f"n_{t}")
         cols += [(F.col(f"u_{t}{i}") / n).alias(f"m_{t}{i}") for i in range(D)]
-        cols += [(F.col(f"v_{t}{i}{j}") / n - F.col(f"u_{t}{i}") * F.col(f"u_{t}{j}") / n / n)
-                 .alias(f"s_{t}{i}{j}") for i, j in PAIRS]
-    return agg.select(*cols)
+        cols += [((F.col(f"v_{t}{i}{j}") / n - F.col(f"u_{t}{i}") * F.col(f"u_{t}{j}") / n / n)
+                  * factor).alias(f"s_{t}{i}{j}") for i, j in PAIRS]
+    est = _factored(agg.select(*cols), starts)
+    for t in starts:
+        est = est.withColumn(f"g_{t}", 2 * reduce(lambda a, b: a + b, [
+            F.log(F.col(f"l_{t}{i}{i}")) for i in range(D)]))
+    return est
 
 
-def mcd(rows: DataFrame, share: float = 0.75, steps: int = 4, accuracy: int = 1000) -> DataFrame:
-    """Minimum-covariance-determinant estimate per ``grp`` over columns x0..x3 of
-    rows (grp, salt, x0..):
-    one row per group with m_a0.. and l_a00.. of the start whose final scatter
-    has the smaller determinant. The share-quantile of the distances comes from
-    a bounded sketch per group."""
+def mcd(rows: DataFrame, share: float = 0.75, accuracy: int = 1000) -> DataFrame:
+    """Regularised minimum-covariance-determinant estimate per ``grp`` over columns
+    x0..x3 of rows (grp, salt, x0.., r0..): one row per group with centre m_a0..,
+    scatter s_a00.. and variances f0.. of the start whose final scatter + variances
+    has the smaller determinant. The share-quantile of the distances comes from a
+    bounded sketch per group. A start keeps its last estimate as soon as a step does
+    not lower its determinant; the steps end when all have."""
+    # makes the scatter of the inner share consistent with a normal distribution
+    factor = share / chi2_cdf(chi2_quantile(share, D), D + 2)
     med = rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, accuracy).alias(f"c{i}")
-                                    for i, x in enumerate(STATS)])
+                                    for i, x in enumerate(STATS)],
+                                  *[F.percentile_approx(f"r{i}", 0.5, accuracy).alias(f"f{i}")
+                                    for i in range(D)])
     med = cut_lineage(med)
     centred = rows.join(_salted(med), ["grp", "salt"])
     for i, x in enumerate(STATS):
-        centred = centred.withColumn(f"e{i}", (F.col(x) - F.col(f"c{i}")) / FLOORS[i])
+        centred = centred.withColumn(f"e{i}", (F.col(x) - F.col(f"c{i}")) / F.sqrt(f"f{i}"))
     norm = F.greatest(reduce(lambda a, b: a + b, [F.col(f"e{i}") ** 2 for i in range(D)]),
                       F.lit(1e-6))
     first = centred.withColumn("_q", norm).groupBy("grp").agg(
-        *[F.first(f"c{i}").alias(f"c{i}") for i in range(D)],
+        *[F.first(f"{c}{i}").alias(f"{c}{i}") for c in "cf" for i in range(D)],
         *[F.percentile_approx(F.abs(F.col(f"e{i}")), 0.5, accuracy).alias(f"w{i}")
           for i in range(D)],
         *[F.avg(F.col(f"e{i}") * F.col(f"e{j}") / F.col("_q")).alias(f"z{i}{j}")
           for i, j in PAIRS])
     # start a: medians and 1.4826 MAD; start b: medians and the sign covariance
     est = first.select(
-        "grp", *[F.col(f"c{i}").alias(f"m_{t}{i}") for t in STARTS for i in range(D)],
-        *[((F.col(f"w{i}") * 1.4826 * FLOORS[i]) ** 2 if i == j else F.lit(0.0))
+        "grp", *[f"f{i}" for i in range(D)],
+        *[F.col(f"c{i}").alias(f"m_{t}{i}") for t in STARTS for i in range(D)],
+        *[((F.col(f"w{i}") * 1.4826) ** 2 * F.col(f"f{i}") if i == j else F.lit(0.0))
           .alias(f"s_a{i}{j}") for i, j in PAIRS],
-        *[(F.col(f"z{i}{j}") * (D * FLOORS[i] * FLOORS[j])).alias(f"s_b{i}{j}")
+        *[(F.col(f"z{i}{j}") * D * F.sqrt(F.col(f"f{i}") * F.col(f"f{j}"))).alias(f"s_b{i}{j}")
           for i, j in PAIRS])
-    for _ in range(steps):
-        est = cut_lineage(_factored(est, STARTS))
-        near = _with_distances(rows, est, STARTS) \
-            .select("grp", "salt", *STATS, *[f"d_{t}" for t in STARTS])
+    est = _factored(est, STARTS)
+    # the starts are no scatter of any rows: the first step always counts
+    for t in STARTS:
+        est = est.withColumn(f"g_{t}", F.lit(math.inf)).withColumn(f"falls_{t}", F.lit(True))
+    est = cut_lineage(est)
+    parts = {t: [f"m_{t}{i}" for i in range(D)] + [f"{c}_{t}{i}{j}" for c in "sl" for i, j in PAIRS]
+             + [f"g_{t}"] for t in STARTS}
+    moving = reduce(lambda a, b: a | b, [F.col(f"falls_{t}") for t in STARTS])
+    while not est.filter(moving).isEmpty():
+        near = _with_distances(rows.join(_salted(est.filter(moving)), ["grp", "salt"]), STARTS) \
+            .select("grp", "salt", *STATS, *[f"f{i}" for i in range(D)],
+                    *[f"d_{t}" for t in STARTS])
         cut = near.groupBy("grp").agg(*[F.percentile_approx(f"d_{t}", share, accuracy)
                                         .alias(f"k_{t}") for t in STARTS])
         inside = near.join(_salted(cut), ["grp", "salt"]).groupBy("grp").agg(
+            *[F.first(f"f{i}").alias(f"f{i}") for i in range(D)],
             *[c for t in STARTS for c in _moments(t, F.col(f"d_{t}") <= F.col(f"k_{t}"))])
-        est = _estimates(inside, STARTS)
-    est = cut_lineage(_factored(est, STARTS))
-    det = {t: reduce(lambda a, b: a * b, [F.col(f"l_{t}{i}{i}") for i in range(D)])
-           for t in STARTS}
-    better = det["a"] <= det["b"]
-    names = [f"m_{{}}{i}" for i in range(D)] + [f"l_{{}}{i}{j}" for i, j in PAIRS]
-    return est.select("grp", *[F.when(better, F.col(n.format("a"))).otherwise(F.col(n.format("b")))
-                               .alias(n.format("a")) for n in names])
+        new = _estimates(inside, STARTS, factor)
+        new = new.select("grp", *[F.col(c).alias(f"new_{c}") for t in STARTS for c in parts[t]])
+        falls = {t: F.coalesce(F.col(f"new_g_{t}") < F.col(f"g_{t}") - FALL, F.lit(False))
+                 for t in STARTS}
+        est = cut_lineage(est.join(new, "grp", "left").select(
+            "grp", *[f"f{i}" for i in range(D)],
+            *[F.when(falls[t], F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
+              for t in STARTS for c in parts[t]],
+            *[falls[t].alias(f"falls_{t}") for t in STARTS]))
+    better = F.col("g_a") <= F.col("g_b")
+    names = [f"m_{{}}{i}" for i in range(D)] + [f"s_{{}}{i}{j}" for i, j in PAIRS]
+    return est.select("grp", *[f"f{i}" for i in range(D)],
+                      *[F.when(better, F.col(n.format("a"))).otherwise(F.col(n.format("b")))
+                        .alias(n.format("a")) for n in names])
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = 0.75,
-            quantile: float = 0.9999, steps: int = 4) -> DataFrame:
+            quantile: float = 0.9999) -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, base_failed, text_hash,
     distance (null where the base rule fails) and kept."""
     body = F.col(f"`{text}`").cast("string")
@@ -220,12 +256,14 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share:
     stats = text_counts(keyed, ["doc_id", "grp", "text_hash", "salt"], "_text")
     stats = stats.withColumn("base_failed", (F.col("n_words") < 10)
                              | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
-    stats = cut_lineage(stats.select("*", *transformed()))
+    stats = cut_lineage(stats.select("*", *transformed(), *variances()))
     good = stats.filter(~F.col("base_failed"))
-    est = mcd(good.select("grp", "salt", *STATS), share, steps)
-    # makes the scatter of the inner share consistent with a normal distribution
-    factor = share / chi2_cdf(chi2_quantile(share, D), D + 2)
-    judged = _with_distances(good, est, ["a"], factor).withColumn("distance", F.col("d_a"))
+    own = [f"r{i}" for i in range(D)]
+    est = mcd(good.select("grp", "salt", *STATS, *own), share)
+    judged = good.join(_salted(est), ["grp", "salt"])
+    for i, r in enumerate(own):
+        judged = judged.withColumn(f"f{i}", F.greatest(F.col(f"f{i}"), F.col(r)))
+    judged = _with_distances(_factored(judged, ["a"]), ["a"]).withColumn("distance", F.col("d_a"))
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "base_failed", "text_hash"]
     failed = stats.filter("base_failed").select(

@@ -46,6 +46,30 @@ def test_outliers_go_and_ordinary_texts_stay(spark):
     assert {r.doc_id for r in keep_good(docs).collect()} == {i for i, _ in plain}
 
 
+def test_labelled_texts(spark):
+    """Word tables and texts full of symbols, labelled bad, lie far from their groups'
+    own scatter; texts that repeat lines or passages, labelled good, do not."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = quality(docs).filter("not base_failed").join(labels, "doc_id").collect()
+    bad = [r.kept for r in rows if not r.quality]
+    good = [r.kept for r in rows if r.quality]
+    assert len(bad) > 200 and sum(bad) < 0.05 * len(bad)
+    assert len(good) > 3000 and sum(good) > 0.99 * len(good)
+
+
+def test_a_tight_group_and_a_short_text(spark):
+    """A group's own scatter decides, and one symbol in a short text does not."""
+    plain = [(k, " ".join(f"w{k}{j}" for j in range(100, 300))) for k in range(10, 90)]
+    short = [(1, " ".join(f"w1{j}" for j in range(1000, 1010)) + " $")]
+    odd = [(1000 + k, " ".join(f"w{k}{j}" + "|" * (j % 10 == 0) for j in range(100, 300)))
+           for k in range(10, 13)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in plain + short + odd],
+                                 "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality(docs).collect()}
+    assert all(got[i] for i, _ in plain + short) and not any(got[i] for i, _ in odd)
+
+
 def test_chi_square():
     assert abs(chi2_quantile(0.75, 4) - 5.385269) < 1e-5
     assert abs(chi2_cdf(5.385269, 4) - 0.75) < 1e-6
