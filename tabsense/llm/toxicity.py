@@ -3,8 +3,9 @@
 A noisy channel writes letters as look-alike digits and symbols, puts separators
 between them, spaces them out or repeats them. Words that show such marks become
 a lattice of readings, and Viterbi decoding under a character trigram model picks
-the likeliest. The model is counted over all texts; other words are taken as they
-are. Decoded words are kept in a table of bounded size.
+the likeliest, at any length. Where marks may also join words (gaps between longer
+pieces, runs of single signs) a second reading parts them, and the words of both
+count. The model is counted over all texts; other words are taken as they are. Decoded words are kept in a table of bounded size.
 
 The scorer learns from a bounded sample of labelled rows (``SAMPLE``; the rows
 with the smallest hashes of their ids): words and word beginnings that occur at
@@ -54,9 +55,13 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 GAP = set(".-_~^'`*,:;/\\")
 EDGE = ".,;:?()[]{}\"'|*#%&<>-_~^`"
 MARKED = re.compile(r"[0-9@$!|+€(*#%&.\-_~^'`,:;/\\]|(.)\1\1")
+#: a gap beside a piece of several signs: it may be inside a word or join two
+SIGN = r"[^\s.\-_~^'`*,:;/\\]"
+JOINT = re.compile(rf"(?<={SIGN}{{2}})[.\-_~^'`*,:;/\\](?={SIGN})"
+                   rf"|(?<={SIGN})[.\-_~^'`*,:;/\\](?={SIGN}{{2}})")
 HAS_LETTER = re.compile(r"[^\W\d_]")
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
-READ, DROP, KEEP, APART = log(0.3), log(0.2), log(1e-7), log(0.1)
+READ, DROP, KEEP, APART, SAME = log(0.3), log(0.2), log(1e-7), log(0.1), log(0.5)
 TWICE, OFTEN = log(0.03), log(0.5)  # a repeated letter of two, of more
 
 
@@ -102,7 +107,7 @@ class Decoder:
     def __init__(self, model: np.ndarray, beam: int = 48) -> None:
         self.model, self.beam = model, beam
 
-    def _steps(self, word: str) -> list[list[tuple[str, float]]]:
+    def _steps(self, word: str, apart: float) -> list[list[tuple[str, float]]]:
         """For each sign its readings (letters written, log channel probability)."""
         out = []
         for k, c in enumerate(word):
@@ -112,7 +117,7 @@ class Decoder:
                     run = c * 3 in word[max(0, k - 2):k + 2]
                     options.append(("", OFTEN if run else TWICE))
             elif c == " ":
-                options = [("", log(0.5)), (" ", APART)]
+                options = [("", SAME), (" ", apart)]
             else:
                 options = [(x, READ) for x in LOOKS.get(c, "")]
                 options.append((" ", KEEP))
@@ -121,12 +126,14 @@ class Decoder:
             out.append(options)
         return out
 
-    def decode(self, word: str) -> str:
-        """The likeliest reading of a lower-case word (blanks: words apart)."""
+    def decode(self, word: str, apart: float = APART) -> str:
+        """The likeliest reading of a lower-case word of any length (blanks: words
+        apart). A reading is a chain of (reading before, letter), shared as far as
+        readings agree: time and memory are linear."""
         model = self.model
-        best = {(0, 0): (0.0, "")}
-        for options in self._steps(word):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for options in self._steps(word, apart):
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (p, text) in best.items():
                 for letters, cost in options:
                     if not letters:
@@ -135,15 +142,30 @@ class Decoder:
                         state, q, new = (a, b), p + cost, text
                     else:
                         c = LETTER.get(letters, 0)
-                        state, q, new = (b, c), p + cost + model[a, b, c], text + letters
+                        state, q, new = (b, c), p + cost + model[a, b, c], (text, letters)
                     if state not in after or q > after[state][0]:
                         after[state] = (q, new)
             if len(after) > self.beam:
                 after = dict(sorted(after.items(), key=lambda x: -x[1][0])[:self.beam])
             best = after
         # the end of a word is a border
-        return max((p + (model[a, b, 0] if b else 0.0), text)
-                   for (a, b), (p, text) in best.items())[1].strip()
+        ends = [(p + (model[a, b, 0] if b else 0.0), text) for (a, b), (p, text) in best.items()]
+        top = max(p for p, _ in ends)
+        return max(written(text) for p, text in ends if p == top).strip()
+
+
+def written(chain: tuple | None) -> str:
+    """The letters of a chain (chain before, letter)."""
+    out = []
+    while chain is not None:
+        chain, letter = chain
+        out.append(letter)
+    return "".join(reversed(out))
+
+
+def both(first: list[str], second: list[str]) -> list[str]:
+    """The words of two readings; what both hold counts once."""
+    return first + list((Counter(second) - Counter(first)).elements())
 
 
 class Words(dict):
@@ -152,34 +174,41 @@ class Words(dict):
     def __init__(self, decoder: Decoder, make) -> None:
         self.decoder, self.make = decoder, make
 
-    def restored(self, token: str) -> str:
+    def restored(self, token: str) -> list[str]:
         word = token.rstrip(EDGE + "!$+").lstrip(EDGE)
-        if len(word) <= 40 and MARKED.search(word) and HAS_LETTER.search(word):
-            return self.decoder.decode(word)
-        return word
+        if not (MARKED.search(word) and HAS_LETTER.search(word)):
+            return word.split()
+        found = self.decoder.decode(word).split()
+        pieces = JOINT.split(word)
+        if len(pieces) == 1:
+            return found
+        return both(found, [w for p in pieces for w in (
+            self.decoder.decode(p).split() if HAS_LETTER.search(p) else [p])])
+
+    def spelled(self, run: str) -> list[str]:
+        """Words of a run of single signs, whose blanks do not tell where words end:
+        read as few words, and as the character model alone would part them."""
+        if not HAS_LETTER.search(run):
+            return [run]
+        return both(self.decoder.decode(run).split(), self.decoder.decode(run, SAME).split())
 
     def __missing__(self, token: str):
         if len(self) >= CACHE:
             self.clear()
-        found = self.make(self.restored(token).split())
+        found = self.make(self.restored(token))
         if len(token) <= 64:
             self[token] = found
         return found
 
     def of(self, text: str) -> list:
-        """One value per token of a text; runs of single signs are one token, cut
-        where they are longer than the decoder takes."""
+        """One value per token of a text; runs of single signs are one token."""
         text = text.lower()
         if SPACED.search(text) is None:
             return [self[w] for w in text.split()]
         out, at = [], 0
         for run in SPACED.finditer(text):
             out += [self[w] for w in text[at:run.start()].split()]
-            signs = run[0].split()
-            for k in range(0, len(signs), 32):
-                word = " ".join(signs[k:k + 32])
-                out.append(self.make(self.decoder.decode(word).split())
-                           if HAS_LETTER.search(word) else self.make([word]))
+            out.append(self.make(self.spelled(" ".join(run[0].split()))))
             at = run.end()
         return out + [self[w] for w in text[at:].split()]
 

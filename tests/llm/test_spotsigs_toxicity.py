@@ -77,6 +77,17 @@ def test_restoration(decoder):
         assert words.of(seen) == [[want]], seen
 
 
+def test_disguises_of_any_length(decoder):
+    words = X.Words(decoder, lambda w: w)
+    assert words.of("st" + "u" * 60 + "pid") == [["stupid"]]
+    assert words.of("s" + "." * 50 + "tupid") == [["stupid"]]
+    phrase = words.of("y0u.are-such_a.$tup1d.person.and-more.of_those.here")
+    assert len(phrase) == 1 and {"you", "stupid", "person", "here"} <= set(phrase[0])
+    run = words.of(" ".join("stupid" * 12))
+    assert len(run) == 1 and run[0].count("stupid") == 12
+    assert len(words.of("1d10t.m-r0n" * 3000)) == 1
+
+
 def test_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
