@@ -22,6 +22,7 @@ result; other columns, the language and source among them, are not read.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from math import log
@@ -54,7 +55,7 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
          "(": "c", "*": "aeiou", "#": "aeiou", "%": "aeiou", "&": "aeiou"}
 GAP = set(".-_~^'`*,:;/\\")
 EDGE = ".,;:?()[]{}\"'|*#%&<>-_~^`"
-MARKED = re.compile(r"[0-9@$!|+€(*#%&.\-_~^'`,:;/\\]|(.)\1\1")
+MARKED = re.compile(r"[0-9@$!|+€(*#%&.\-_~^'`,:;/\\]|(.)\1")
 #: a gap beside a piece of several signs: it may be inside a word or join two
 SIGN = r"[^\s.\-_~^'`*,:;/\\]"
 JOINT = re.compile(rf"(?<={SIGN}{{2}})[.\-_~^'`*,:;/\\](?={SIGN})"
@@ -110,8 +111,10 @@ class Decoder:
     def _steps(self, word: str, apart: float) -> list[list[tuple[str, float]]]:
         """For each sign its readings (letters written, log channel probability)."""
         out = []
+        looks = LOOKS if any(c in LETTER for c in word) else {}  # of letters in the list
         for k, c in enumerate(word):
-            if c in LETTER:
+            # letters outside the list, and their accents, stand for themselves
+            if c in LETTER or unicodedata.category(c)[0] in "LM":
                 options = [(c, 0.0)]
                 if k and word[k - 1] == c:
                     run = c * 3 in word[max(0, k - 2):k + 2]
@@ -119,7 +122,7 @@ class Decoder:
             elif c == " ":
                 options = [("", SAME), (" ", apart)]
             else:
-                options = [(x, READ) for x in LOOKS.get(c, "")]
+                options = [(x, READ) for x in looks.get(c, "")]
                 options.append((" ", KEEP))
                 if c in GAP:
                     options.append(("", DROP))
@@ -138,7 +141,7 @@ class Decoder:
                 for letters, cost in options:
                     if not letters:
                         state, q, new = (a, b), p + cost, text
-                    elif letters == " " and not b:
+                    elif letters == " " and (text is None or text[1] == " "):
                         state, q, new = (a, b), p + cost, text
                     else:
                         c = LETTER.get(letters, 0)

@@ -88,6 +88,14 @@ def test_disguises_of_any_length(decoder):
     assert len(words.of("1d10t.m-r0n" * 3000)) == 1
 
 
+def test_doubled_letters_and_other_alphabets(decoder):
+    words = X.Words(decoder, lambda w: w)
+    for seen, want in [("iiddiioott", "idiot"), ("ssttuuppiidd", "stupid"), ("stuupid", "stupid"),
+                       ("hello", "hello"), ("идиот-ка", "идиотка"), ("и.д.и.о.т", "идиот"),
+                       ("łotr's", "łotrs"), ("日本語!日本", "日本語 日本")]:
+        assert words.of(seen)[0][:len(want.split())] == want.split(), seen
+
+
 def test_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
