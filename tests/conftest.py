@@ -15,9 +15,3 @@ def spark():
     s = get_session("*", 8)
     yield s
 
-
-def rows(df, *cols):
-    """Sorted list of tuples (for order-insensitive comparison)."""
-    cols = cols or df.columns
-    return sorted([tuple(r[c] for c in cols) for r in df.collect()],
-                  key=lambda t: tuple((x is None, str(x)) for x in t))

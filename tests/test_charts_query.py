@@ -3,7 +3,7 @@ import pytest
 from tabsense.operators import charts as CH
 from tabsense.operators import query as QY
 
-from conftest import rows
+from table_rows import rows
 
 
 def test_histogram_max_in_last_bin_and_single_bin(spark):

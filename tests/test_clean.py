@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabsense.operators import clean as CL
 
-from conftest import rows
+from table_rows import rows
 
 
 def test_standardized_names_collisions_and_empty():

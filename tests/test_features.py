@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tabsense.operators import features as FT
 
-from conftest import rows
+from table_rows import rows
 
 
 def test_one_hot_drops_first_and_nulls_match_nothing(spark):

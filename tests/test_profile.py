@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabsense.operators import profile as P
 
-from conftest import rows
+from table_rows import rows
 
 
 def test_zero_rows(spark):

@@ -6,7 +6,7 @@ from tabsense.functions.text import ascii_strip, latin1_cell
 from tabsense.operators import report as RP
 from tabsense.operators.query import QueryLog, QuerySpec
 
-from conftest import rows
+from table_rows import rows
 
 
 def test_text_sanitisers(spark):
