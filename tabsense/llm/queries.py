@@ -13,6 +13,7 @@ from .packing import pack
 from .quality import quality
 from .spotsigs import with_edits
 from .suffix import dedup
+from .tokenfiles import token_files
 from .toxicity import scored
 from .urls import judge
 from .warc import pages_to_warc
@@ -74,3 +75,8 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(documents(spark, sf_dir))
