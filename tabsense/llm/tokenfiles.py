@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -42,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut_lineage, scratch, text_or_empty
+from .packing import _byte_letters
 
 MAGIC = b"TSPLANE1"
 HEAD = struct.Struct("<8sIIIIQQ")
@@ -164,23 +166,60 @@ class TokenFile:
 
 # ---- encoding ------------------------------------------------------------
 
+class PieceIds(dict):
+    """Match of the tokenizer's pattern -> its ids as little-endian 32-bit bytes."""
+
+    def __init__(self, coder) -> None:
+        self.model = coder.model
+        self.letters = dict(enumerate(_byte_letters()))
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        ids = array("I", [t.id for t in found]).tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
 class WordIds(dict):
     """Text without white space -> its ids as little-endian 32-bit bytes.
 
     The tokenizer drops white space, and neither its normalisation nor its split
-    reaches across a space, so a text's ids are those of its words."""
+    reaches across a space, so a text's ids are those of its words. Most new words are
+    known pieces put together: words of printable Latin-1, which its normalisation
+    only lower-cases, are split by the file's own pattern, and the library's model is
+    asked for pieces not met before. All other words go through the library whole."""
 
     def __init__(self, path: str) -> None:
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
+        about = json.loads(self.coder.to_str())
+        steps = [x["type"] for x in [*about["normalizer"]["normalizers"],
+                                     *about["pre_tokenizer"]["pretokenizers"]]]
+        split = about["pre_tokenizer"]["pretokenizers"][0]
+        if steps != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or not split["invert"] \
+                or split["behavior"] != "Removed":
+            raise ValueError(f"{path} keeps white space or splits in another way")
+        self.special = tuple(t["content"] for t in about["added_tokens"])
+        self.pieces = PieceIds(self.coder)
+        self.split = regex.compile(split["pattern"]["Regex"]).findall
+        self.plain = regex.compile("[!-~\u00a1-\u00ff]+").fullmatch
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
             self[""] = b""
-        ids = np.array(self.coder.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.plain(word) and not any(s in word for s in self.special):
+            ids = b"".join([self.pieces[p] for p in self.split(word.lower())])
+        else:
+            ids = array("I", self.coder.encode(word, add_special_tokens=False).ids).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids

@@ -52,6 +52,7 @@ def test_damage_is_found():
 
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.text(max_size=60), st.text("aB \n\t'sÉ́Σς<|>1.,-", max_size=60),
+                 st.text([chr(k) for k in range(1, 256)], max_size=60),
                  st.from_regex(r"( ?(<\|endoftext\|>|[A-Za-z']{1,9}|[0-9.!]{1,4})\s?){1,6}",
                                fullmatch=True)))
 def test_words_have_the_ids_of_the_text(coder, text):
