@@ -12,6 +12,7 @@ from .lm import score
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import quality
+from .repair import repair_digest
 from .spotsigs import with_edits
 from .suffix import dedup
 from .tokenfiles import token_files
@@ -127,3 +128,8 @@ ranked AS (
                                ORDER BY value DESC, encode(item))::INTEGER AS rank FROM items)
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
