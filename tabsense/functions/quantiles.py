@@ -2,30 +2,30 @@
 
 ``percentile`` is exact but, as a global aggregate, ships one value -> count
 map per input partition to a single final task. ``exact_quantiles`` selects the
-wanted order statistics instead: a bracket of values around each is cut into
-``BINS`` bins, one distributed aggregate counts the values per bin (partial
-aggregation per task, at most BINS rows per bracket, column and task), and the bin
-that holds the rank becomes the next bracket, with the smallest and largest value
-found in it. A bracket whose ends are equal is the answer; every pass divides the
-others by up to BINS, so a column of 10^11 distinct values takes about four. No
-sketch, no retry, no gathering of values; a value holding a third of the rows is
-one row of a bin. The same plan serves every size and width.
+wanted order statistics by radix instead (``radix``): at most six passes over the
+columns, whatever their values, each of which sends at most 4,096 counts per task and
+bracket. No sketch, no retry, no gathering of values; a value holding a third of the
+rows is one count. The same plan serves every size and width.
+
+``grouped_quantiles`` does the same per group while the groups fit a broadcast of
+checked size; beyond that, groups are many and a running count over their distinct
+values is cheaper than bins.
 """
 from __future__ import annotations
 
 import math
-import sys
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import agg_row, keep
+from .radix import select_columns, select_groups
 from .types import col
 
 ACCURACY = 10_000     # of the sketch that method="approx" reads
 BINS = 4096
-MAX_DOUBLE = sys.float_info.max
+GROUPS = 10_000          # most groups, and
+GROUP_BYTES = 16 << 20   # most bytes of their keys, that are broadcast
 
 
 def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
@@ -41,80 +41,9 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
         r = agg_row(df, [F.percentile_approx(xs[k], arr, ACCURACY).alias(f"q{i}")
                          for i, k in enumerate(names)])
         return {k: _floats(r[f"q{i}"], len(probs)) for i, k in enumerate(names)}
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("p"), xs[k].alias("v"))
-                                        for i, k in enumerate(names)]))).where(F.col("v").isNotNull())
-    # -0.0 and 0.0 are one value
-    long = long.withColumn("v", F.col("v") + F.lit(0.0))
-    base = {r["p"]: r for r in long.groupBy("p").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-    brackets: dict[tuple[int, int], _Bracket] = {}       # (column, rank) -> where it lies
-    for i, r in base.items():
-        for p in probs:
-            k0 = math.floor((r["n"] - 1) * p)
-            for k in (k0, min(k0 + 1, r["n"] - 1)):
-                brackets[i, k] = _Bracket(k, r["lo"], r["hi"])
-    while todo := {key: t for key, t in brackets.items() if t.lo != t.hi}:
-        _narrow(long, todo, len(names), bins)
-    out: dict[str, list] = {k: [None] * len(probs) for k in names}
-    for i, r in base.items():
-        for j, p in enumerate(probs):
-            h = (r["n"] - 1) * p
-            k0 = math.floor(h)
-            v0, v1 = brackets[i, k0].lo, brackets[i, min(k0 + 1, r["n"] - 1)].lo
-            out[names[i]][j] = v0 if v0 == v1 or h == k0 else v0 + (h - k0) * (v1 - v0)
-    return out
-
-
-@dataclass
-class _Bracket:
-    """The values lo..hi hold the wanted order statistic, at ``rank`` among them."""
-
-    rank: int
-    lo: float
-    hi: float
-
-
-def _narrow(long: DataFrame, todo: dict[tuple[int, int], _Bracket], width: int, bins: int) -> None:
-    """One pass over the values: count those inside each bracket per bin and keep
-    the bin that holds the rank. Brackets of one column sit in slots, so that the
-    plan's size follows the number of slots; their bounds are looked up by column."""
-    slots: dict[int, list[tuple[int, _Bracket]]] = {}
-    for (i, _), t in todo.items():
-        slots.setdefault(i, []).append(t)
-    deep = max(len(ts) for ts in slots.values())
-
-    def bound(slot: int, what) -> Column:
-        row = [float(what(slots[i][slot])) if len(slots.get(i, [])) > slot else None
-               for i in range(width)]
-        return F.element_at(F.array(*[F.lit(x).cast("double") for x in row]), F.col("p") + 1)
-
-    entries = []
-    for slot in range(deep):
-        lo, hi = (bound(slot, lambda t: t.lo), bound(slot, lambda t: t.hi))
-        # infinite bounds have bins of their own; halves keep the range finite
-        low = bound(slot, lambda t: max(t.lo, -MAX_DOUBLE) / 2)
-        span = bound(slot, lambda t: min(t.hi, MAX_DOUBLE) / 2 - max(t.lo, -MAX_DOUBLE) / 2)
-        inner = F.when(span > 0, F.least(F.floor((F.col("v") / 2 - low) / span * bins),
-                                         F.lit(bins - 1))).otherwise(F.when(
-                                             F.col("v") > lo, bins - 1).otherwise(0))
-        at = F.when(F.col("v") == float("inf"), bins).when(F.col("v") == float("-inf"), -1) \
-            .otherwise(inner).cast("int")
-        entries.append(F.when((F.col("v") >= lo) & (F.col("v") <= hi),
-                              F.struct(F.lit(slot).alias("s"), at.alias("b"))))
-    cells = long.select("p", "v", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull()))
-                        .alias("e")).groupBy("p", F.col("e.s").alias("s"), F.col("e.b").alias("b")) \
-        .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    # at most ``bins`` + 2 rows per (column, slot)
-    up = Window.partitionBy("p", "s").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cells.withColumn("upto", F.sum("c").over(up))
-    wanted = F.element_at(F.array(*[F.array(*[
-        F.lit(slots[i][s].rank if len(slots.get(i, [])) > s else -1).cast("bigint")
-        for s in range(deep)]) for i in range(width)]), F.col("p") + 1)[F.col("s")]
-    found = ranked.where((F.col("upto") - F.col("c") <= wanted) & (wanted < F.col("upto")))
-    for r in found.collect():                              # one row per bracket
-        t = slots[r["p"]][r["s"]]
-        t.rank -= r["upto"] - r["c"]
-        t.lo, t.hi = r["lo"], r["hi"]
+    got, _ = select_columns(df, [xs[k] for k in names], [float(p) for p in probs],
+                            max(1, int(math.log2(bins))))
+    return {k: v or [None] * len(probs) for k, v in zip(names, got, strict=True)}
 
 
 def _floats(v, n):
@@ -129,11 +58,42 @@ def value_counts(df: DataFrame, groups: list[str], value: Column) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("_c")))
 
 
+def few_groups(df: DataFrame, groups: list[str]) -> DataFrame | None:
+    """The distinct groups with numbers from 0 (column ``series``), or None if they are
+    too many or too wide to broadcast."""
+    met = keep(df.select(*[col(c) for c in groups]).distinct())
+    width = sum((F.coalesce(F.octet_length(col(c).cast("string")), F.lit(0)) + 8 for c in groups), F.lit(0))
+    size = met.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
+    if size["n"] > GROUPS or (size["bytes"] or 0) > GROUP_BYTES:
+        return None
+    # at most GROUPS rows: numbered in one task
+    return keep(met.withColumn("series", (F.row_number().over(Window.orderBy(*[col(c) for c in groups])) - 1)
+                               .cast("int")))
+
+
+def numbered(df: DataFrame, groups: list[str], value: Column, met: DataFrame) -> DataFrame:
+    """Rows (series, v) by broadcasting the numbers of ``few_groups``; null-safe."""
+    other = met.select(*[col(c).alias(f"_r{i}") for i, c in enumerate(groups)], "series")
+    on = [col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(groups)]
+    return df.select(*[col(c) for c in groups], value.cast("double").alias("v")) \
+        .join(F.broadcast(other), on).select("series", "v")
+
+
 def grouped_quantiles(df: DataFrame, groups: list[str], value: Column, probs: list[float],
-                      names: list[str] | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles of ``value`` per group, as a lazy frame
-    (group columns, one column per prob, and ``n``)."""
-    return quantiles_of_counts(value_counts(df, groups, value), groups, probs, names)
+                      names: list[str] | None = None, met: DataFrame | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``value`` per group with values (group
+    columns, one column per prob, and ``n``). ``met``: the groups, if already known."""
+    names = names or [f"q{i}" for i in range(len(probs))]
+    if met is None and groups:
+        met = few_groups(df, groups)
+    if met is None:
+        return quantiles_of_counts(value_counts(df, groups, value), groups, probs, names)
+    found, _ = select_groups(numbered(df, groups, value, met), met.count(), [float(p) for p in probs])
+    rows = [(i, *q, n) for i, (n, q) in found.items()]
+    of = df.sparkSession.createDataFrame(
+        rows, "series int, " + "".join(f"_q{k} double, " for k in range(len(probs))) + "n long")
+    return met.join(F.broadcast(of), "series").select(
+        *[col(c) for c in groups], *[F.col(f"_q{k}").alias(x) for k, x in enumerate(names)], "n")
 
 
 def quantiles_of_counts(vc: DataFrame, groups: list[str], probs: list[float],

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import NUMERIC, col, logical_types, normalize_missing
-from ..functions.quantiles import quantiles_of_counts, value_counts
+from ..functions.quantiles import (exact_quantiles, few_groups, grouped_quantiles,
+                                   quantiles_of_counts, value_counts)
 from ..config import cut_lineage
 from ..functions.windows import global_rank, running_sum
 
@@ -151,15 +152,26 @@ def histogram(df: DataFrame, x: str, y: str | None = None, color: str | None = N
 # H2 / H7 ----------------------------------------------------------------------
 def box(df: DataFrame, y: str, group: str | None = None) -> DataFrame:
     """q1, median, q3 (linear), whiskers (furthest values within 1.5 IQR of the
-    box), outlier count and n, per group."""
-    counts = value_counts(df, [group] if group else [], col(y))
-    qs = quantiles_of_counts(counts, [group] if group else [], [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    box), outlier count and n, per group. Quartiles are selected by radix and joined to
+    the rows by broadcast; only groups too many for that meet as value counts."""
+    groups = [group] if group else []
+    names, probs = ["q1", "median", "q3"], [0.25, 0.5, 0.75]
+    met = few_groups(df, groups) if group else None
+    if group and met is None:
+        rows = value_counts(df, groups, col(y))
+        qs = quantiles_of_counts(rows, groups, probs, names)
+    else:
+        value = F.nanvl(col(y).cast("double"), F.lit(None).cast("double"))
+        rows = df.select(*_groups(group), value.alias("_v"), F.lit(1).alias("_c")).where("_v is not null")
+        if group:
+            qs = F.broadcast(grouped_quantiles(df, groups, col(y), probs, names, met))
+        else:
+            got = exact_quantiles(df, {"y": col(y)}, probs)["y"]
+            j = rows.select("*", *[F.lit(q).cast("double").alias(n) for n, q in zip(names, got)])
     if group:
         # null-safe: the NULL group has a box like any other
         other = qs.drop("n").withColumnRenamed(group, "_group")
-        j = counts.join(other, col(group).eqNullSafe(F.col("_group"))).drop("_group")
-    else:
-        j = _attach(counts, qs.drop("n"))
+        j = rows.join(other, col(group).eqNullSafe(F.col("_group"))).drop("_group")
     lo = F.col("q1") - WHISKER * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + WHISKER * (F.col("q3") - F.col("q1"))
     v = F.col("_v")
