@@ -65,18 +65,20 @@ def flat(df: DataFrame, exclude_nested: bool = False) -> DataFrame:
         f"nested columns are not supported: {nested}; pass exclude_nested=True to skip them")
 
 
-def normalize_missing(df: DataFrame, exclude_nested: bool = False) -> DataFrame:
+def normalize_missing(df: DataFrame, exclude_nested: bool = False, exact: bool = False) -> DataFrame:
     """NaN -> NULL for float columns, decimal -> double, nested rejected.
 
     pandas has one missing-value concept; Spark keeps NaN and NULL apart, and
-    NaN poisons avg/percentile. Done once, as a pure projection."""
+    NaN poisons avg/percentile. Done once, as a pure projection. ``exact`` keeps
+    decimals as they are, for whatever asks which values are equal: doubles tell long
+    decimal keys apart only up to 2**53."""
     df = flat(df, exclude_nested)
     out = []
     for f in df.schema.fields:
         c = col(f.name)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             out.append(F.nanvl(c, F.lit(None).cast(f.dataType)).alias(f.name))
-        elif isinstance(f.dataType, T.DecimalType):
+        elif isinstance(f.dataType, T.DecimalType) and not exact:
             out.append(c.cast("double").alias(f.name))
         else:
             out.append(c)

@@ -151,7 +151,7 @@ def _dedup(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     aggregation collapses copies of a hot row inside each map task); the
     persisted result gives both counts and the deduplicated rows, so the input
     is read once."""
-    norm = normalize_missing(df)
+    norm = normalize_missing(df, exact=True)
     if not norm.columns:
         return norm, norm, 0
     n = "__tabsense_copies"
@@ -432,7 +432,7 @@ class CleanResult:
 def clean(df: DataFrame, order_by=None, null_text: str = "keep", quantiles: str = "auto",
           range_match: str = "substring") -> CleanResult:
     """Names -> dates/text -> duplicates -> missing values -> ranges/outliers."""
-    step = standardize_columns(normalize_missing(df))
+    step = standardize_columns(normalize_missing(df, exact=True))
     if order_by is not None:
         order = [order_by] if isinstance(order_by, str) else list(order_by)
         order = [standardized_names(df.columns)[df.columns.index(o)] if o in df.columns else o

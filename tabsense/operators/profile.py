@@ -55,8 +55,9 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None,
         x = col(c)
         if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             return x.cast("bigint"), null_d, null_s
-        if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
+        if isinstance(dt, (T.FloatType, T.DoubleType)):
             return null_l, x.cast("double"), null_s
+        # decimals print exactly, values of one scale in one way (value_key below)
         if text == "hash" and isinstance(dt, T.StringType):
             return (F.when(x.isNotNull(), F.xxhash64(x)), F.when(x.isNotNull(), F.hash(x).cast("double")),
                     null_s)
@@ -85,7 +86,7 @@ def column_summary(df: DataFrame, vf: DataFrame | None = None) -> DataFrame:
     to broadcast and to collect. Only counts are needed, so text values are
     grouped by hash (``frequency_table(text="hash")``)."""
     if vf is None:
-        df = normalize_missing(df, exclude_nested=False)
+        df = normalize_missing(df, exact=True)
         vf = frequency_table(df, text="hash")
     stats = vf.groupBy("position").agg(
         F.sum("cnt").alias("n_rows"),
@@ -128,7 +129,7 @@ def distinct_row_count(df: DataFrame) -> DataFrame:
 
     One aggregate over two 64-bit content hashes per row: rows themselves are not
     shuffled, copies of a hot row collapse inside each map task."""
-    norm = normalize_missing(df)
+    norm = normalize_missing(df, exact=True)
     if not norm.columns:
         return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
             "n_rows", F.when(F.col("n_rows") > 0, 1).otherwise(0).cast("bigint").alias("n_distinct"))
@@ -144,7 +145,7 @@ def health_components(df: DataFrame, vf: DataFrame | None = None) -> DataFrame:
 
     Two scans of the input (frequency table, row groups); their one-row results
     are combined by union + aggregate, never by a join."""
-    df = normalize_missing(df)
+    df = normalize_missing(df, exact=True)
     n_cols = len(df.columns)
     s = column_summary(df, vf)
     per_col = s.agg(

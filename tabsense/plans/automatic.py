@@ -96,7 +96,7 @@ class PipelineResult:
 def run_pipeline(df: DataFrame, target: str | None = None, order_by=None, source: str = "table",
                  null_text: str = "keep", quantiles: str = "exact") -> PipelineResult:
     audit = []
-    df = normalize_missing(df)
+    df = normalize_missing(df, exact=True)
     # one frequency table of the raw input feeds the filter, the health score,
     # the profile and the target choice; the filter only drops columns, so the
     # filtered table is a subset of it (positions renumbered)

@@ -33,6 +33,7 @@ SCHEMAS["orders_constant"] = SCHEMAS["orders"] + [("channel", C)]
 SCHEMAS["orders_dominant"] = SCHEMAS["orders"] + [("flag", C)]
 SCHEMAS["customer_negative"] = [("c_custkey", N), ("c_name", C), ("c_nationkey", N),
                                 ("amount", N), ("c_mktsegment", C)]
+SCHEMAS["orders_decimal"] = [("big_id", N), ("cust", N), ("o_orderstatus", C)]
 SCHEMAS["orders_text"] = [(c, C) for c, _ in SCHEMAS["orders"]]
 
 

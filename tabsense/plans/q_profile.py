@@ -201,3 +201,10 @@ register("drop_log", _rules_sql("events_dups", 'position, "column", rule, reason
 # P9 on long texts: exact top-k by hash (texts are not shuffled)
 register("value_counts_topk_text", _topk_sql("documents", ["text"], 5))(
     lambda s, d: P.top_values(table(s, d, "documents"), 5, ["text"]))
+
+# P1, P2-P5, F1-F4 on decimal keys beyond 2**53
+register("decimal_schema_profile", with_("orders_decimal") + O.profile_sql("orders_decimal", "orders_decimal"))(
+    lambda s, d: r6(P.profile_schema(table(s, d, "orders_decimal"))))
+register("decimal_health", _health_sql("orders_decimal"))(_health_query("orders_decimal"))
+register("decimal_filter", _rules_sql("orders_decimal", '"column", zero_variance, id_named, unique_text'))(
+    _rules_query("orders_decimal", '"column", zero_variance, id_named, unique_text'))

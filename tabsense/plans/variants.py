@@ -36,6 +36,11 @@ VARIANTS: dict[str, str] = {
     "orders_constant": "SELECT *, 'x' AS channel FROM orders",
     "orders_dominant": (
         "SELECT *, CASE WHEN o_orderkey % 25 = 0 THEN 'b' ELSE 'a' END AS flag FROM orders"),
+    # keys that agree in their first 19 digits, beyond what a double tells apart
+    "orders_decimal": (
+        "SELECT CAST(o_orderkey AS DECIMAL(20,0)) + CAST('90071992547409930000000' AS DECIMAL(30,0)) AS big_id, "
+        "CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_custkey AS DECIMAL(20,2)) END AS cust, "
+        "o_orderstatus FROM orders"),
     "orders_text": (
         "SELECT CAST(o_orderkey AS STRING) AS o_orderkey, CAST(o_custkey AS STRING) AS o_custkey, "
         "o_orderstatus, CAST(o_totalprice AS STRING) AS o_totalprice, "

@@ -8,8 +8,8 @@ from ..functions.types import col, normalize_missing
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A flat table with one kind of missing value (NaN becomes NULL)."""
-    return normalize_missing(spark.read.format(fmt).load(path))
+    """A flat table with one kind of missing value (NaN becomes NULL); decimals stay."""
+    return normalize_missing(spark.read.format(fmt).load(path), exact=True)
 
 
 def preview(df: DataFrame, n: int = 50, order_by: list[str] | str | None = None,

@@ -131,3 +131,20 @@ def test_text_topk_ties_above_one(spark):
     for k in (1, 2, 5, 12):
         assert rows(P.top_values(df, k, ["s"], text="hash")) == rows(P.top_values(df, k, ["s"], text="value"))
     assert TT.top_text(df, "s", 3) is not None
+
+
+def test_long_decimal_keys_are_told_apart(spark):
+    from decimal import Decimal
+
+    from tabsense.operators import clean as CL
+    from tabsense.operators import select as SL
+    df = spark.createDataFrame([(Decimal(2 ** 80 + k), k % 2) for k in range(5)], "key_id decimal(38,0), v int")
+    p = {r["column"]: r["cardinality"] for r in P.profile_schema(df).collect()}
+    assert p == {"key_id": 5, "v": 2}
+    h = P.health_components(df).first()
+    assert (h["duplicate_row_pct"], h["dominant_columns"], h["health_score"]) == (0.0, 0, 100.0)
+    assert SL.filter_features(df)[1] == {"key_id": "Detected as a primary key/ID by name ('key_id')."}
+    assert CL.remove_duplicates(df.drop("v"))[1] == 0
+    from tabsense.plans.automatic import run_pipeline
+    res = run_pipeline(df.withColumnRenamed("key_id", "key"), source="t")
+    assert res.filtered.columns == ["key", "v"]
