@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..config import agg_row
 from ..functions.types import col
+from .quoted import read_quoted
 
 # Candidate delimiters in preference order, NA tokens, sniff size.
 DELIMITERS = (",", ";", "\t", "|", " ")
@@ -112,18 +113,22 @@ def read_csv_auto(spark: SparkSession, path: str, delimiter: str | None = None,
 
     One pass over the whole file checks what the head suggested: a delimiter that
     some line does not have where others have it is an error only if no line fits;
-    quoted fields that run over line ends switch to multi-line reading (which cannot
-    split a file). Short rows are filled with NULL; rows with more fields than the
-    header raise, as their number and values would otherwise be lost."""
+    where a line has an odd number of quotes, records are cut by ``quoted``, which
+    reads ranges of a file in parallel all the same. Short rows are filled with NULL;
+    rows with more fields than the header raise, as their number and values would
+    otherwise be lost."""
     sep = delimiter or sniff_delimiter(read_head(spark, path))
     facts = _line_facts(spark, path, sep)
-    reader = (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8")
-              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-              .option("multiLine", bool(facts["odd"]))
-              .option("nullValue", "\u0000").option("emptyValue", ""))
-    names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, EXTRA]])
-    raw = reader.schema(schema).csv(path)
+    options = {"quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": ""}
+    reader = spark.read.options(**options).option("header", True).option("sep", sep) \
+        .option("encoding", "UTF-8").option("mode", "PERMISSIVE")
+    # the header's own names; it may hold a line end itself
+    names = reader.option("multiLine", bool(facts["odd"])).csv(path).columns
+    if facts["odd"]:
+        raw = read_quoted(spark, path, sep, len(names) + 1, options).toDF(*names, EXTRA)
+    else:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, EXTRA]])
+        raw = reader.option("multiLine", False).schema(schema).csv(path)
     # without an odd quote, no row can have more fields than a line has delimiters
     if facts["odd"] or (facts["most"] or 0) >= len(names):
         long_rows = raw.where(col(EXTRA).isNotNull()).count()
