@@ -261,7 +261,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document is its component's smallest id."""
-    gone = near_duplicates(docs, size, percent).filter("not kept") \
-        .select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """One row of each group of near copies: the one with the smallest id (rows without
+    id come last; among rows with one id, the smallest hash). Rows are told apart by
+    id and text, not by id alone: of repeated rows, with or without id, one stays, and
+    different texts under one id are documents of their own. Rows with an empty set
+    are linked with nothing and all stay."""
+    name = F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull(), text_or_empty())
+    named = docs.withColumn("_name", name)
+    rows = near_duplicates(named.select(F.col("_name").alias("doc_id"), "text"), size, percent)
+    found = cut_lineage(rows.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_name")).agg(
+        F.min("component_id").alias("component"), F.count("*").alias("copies")))
+    many = found.groupBy("component").agg(F.count("*").alias("members")).filter("members > 1")
+    members = cut_lineage(found.join(many, "component").select("_name", "component"))
+    first = named.select("_name", "doc_id").join(members, "_name").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "_name"))["_name"].alias("stays"))
+    gone = members.join(first, "component").filter("_name <> stays").select("_name")
+    again = found.filter("copies > 1").select("_name")
+    left = named.join(gone, "_name", "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    # copies of a row collapse inside each task before they meet
+    once = left.join(again, "_name", "left_anti").unionByName(
+        left.join(again, "_name", "left_semi").dropDuplicates(["_name"]))
+    return once.select(*docs.columns)

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from math import log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -362,10 +363,36 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + fields)
 
 
-def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+class Scorer:
+    """Scores of texts in one worker; the character model arrives by broadcast."""
+
+    def __init__(self, sent, chosen: dict[int, float], rest: float) -> None:
+        self.chosen, self.rest = chosen, rest
+        bases = {f >> 3 << 3 for f in chosen}
+        self.words = Words(Decoder(sent.value), lambda words: tuple(
+            int(f) for f in word_features(words) if int(f) in bases))
+
+    def of(self, text: str) -> float:
+        best = self.rest
+        for f, n in Counter([f for p in self.words.of(text) for f in p]).items():
+            for j in range(min(n, TIMES)):
+                best = max(best, self.chosen.get(f + j, 0.0))
+        return best
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic (columns doc_id, text, lang,
-    source, n_chars). A null text stays null."""
-    own = docs.withColumn("_text", F.col("text"))
-    return scored(own, labels, carry=("_text", "lang", "source", "n_chars")) \
-        .filter("predicted = 0").select("doc_id", F.col("_text").alias("text"), "lang", "source",
-                                        "n_chars")
+    source, n_chars). A null text stays null. Texts go to Python once and only the
+    scores come back."""
+    model = char_model(char_counts(docs))
+    chosen, rest = learn(docs, labels, model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # SIZE**3 numbers
+
+    @F.pandas_udf("double")
+    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(sent, chosen, rest)
+        for texts in batches:
+            yield pd.Series([scorer.of(t) for t in texts], dtype="float64")
+
+    return docs.select("doc_id", "text", "lang", "source", "n_chars") \
+        .filter(toxicity(text_or_empty()) < threshold)

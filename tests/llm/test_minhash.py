@@ -82,3 +82,17 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for u, v in edges if u != v for x in (u, v)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_one_copy_stays_with_or_without_ids(spark):
+    words = [f"w{k}" for k in range(80)]
+    text, near = " ".join(words), " ".join([*words[:79], "other"])
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(7, text), (7, text), (None, text), (None, text), (3, near), (None, other), (None, other),
+            (9, other + " x"), (5, "short"), (5, "short"), (5, "else"), (None, None), (None, ""), (None, "")]
+    for parts in (1, 4):
+        got = sorted(((r.doc_id, r.text) for r in one_of_each(frame(spark, rows, parts)).collect()), key=str)
+        assert got == sorted([(3, near), (9, other + " x"), (5, "short"), (5, "else"), (None, None),
+                              (None, ""), (None, "")], key=str)
+    only = [(None, text)] * 300 + [(None, near)] * 200
+    assert one_of_each(frame(spark, only)).count() == 1
