@@ -12,12 +12,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression, OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,14 +25,16 @@ from ..functions.types import BOOLEAN, NUMERIC, col, logical_types, normalize_mi
 from ..functions.windows import running_sum
 from .features import SIDE
 from .target import task_table
+from .trees import DecisionTree
 
 SEED = 42               # fixed values: split seed / share, forest size, iterations
 TRAIN_PCT = 80
 N_TREES = 100
 LOGREG_MAX_ITER = 1000
 TOP_FEATURES = 10
-# chosen for a distributed fit: each level of a tree and each boosting round is a pass
-# over the data, so depth 6 instead of unlimited and 20 rounds instead of 100
+# chosen for a distributed fit: each level of a forest and each boosting round is a pass
+# over the data, so depth 6 instead of unlimited and 20 rounds instead of 100; the single
+# tree has no depth limit
 TREE_DEPTH = 6
 BOOST_ROUNDS = 20
 
@@ -166,7 +167,8 @@ def leaderboard(metrics: DataFrame, task: str, model_order: list[str] | None = N
 FEATURES, LABEL = "_features", "_label"     # private names: never collide with user columns
 
 
-def _models(task: str, binary: bool):
+def _models(task: str, classes: int = 0):
+    binary = classes == 2
     io = {"featuresCol": FEATURES, "labelCol": LABEL}
     if task == "classification":
         gbt = GBTClassifier(seed=SEED, maxIter=BOOST_ROUNDS, **io)
@@ -174,14 +176,14 @@ def _models(task: str, binary: bool):
         return [
             ("Random Forest", RandomForestClassifier(numTrees=N_TREES, maxDepth=TREE_DEPTH, seed=SEED, **io)),
             ("Gradient-Boosted Trees", gbt if binary else OneVsRest(classifier=gbt, **io)),
-            ("Decision Tree", DecisionTreeClassifier(maxDepth=TREE_DEPTH, seed=SEED, **io)),
+            ("Decision Tree", DecisionTree(classes, **io)),
             ("Logistic Regression", LogisticRegression(maxIter=LOGREG_MAX_ITER, **io)),
             ("Linear SVC", svc if binary else OneVsRest(classifier=svc, **io)),
         ]
     return [
         ("Random Forest", RandomForestRegressor(numTrees=N_TREES, maxDepth=TREE_DEPTH, seed=SEED, **io)),
         ("Gradient-Boosted Trees", GBTRegressor(seed=SEED, maxIter=BOOST_ROUNDS, **io)),
-        ("Decision Tree", DecisionTreeRegressor(maxDepth=TREE_DEPTH, seed=SEED, **io)),
+        ("Decision Tree", DecisionTree(0, **io)),
         ("Linear Regression", LinearRegression(**io)),
         ("Huber Regression", LinearRegression(loss="huber", **io)),
     ]
@@ -193,7 +195,7 @@ def linear_fit(df: DataFrame, target: str, feature: str) -> DataFrame:
     data = normalize_missing(df).select(col(feature).cast("double").alias("x"),
                                         col(target).cast("double").alias(LABEL)).na.drop()
     ready = VectorAssembler(inputCols=["x"], outputCol=FEATURES).transform(data)
-    model = dict(_models("regression", False))["Linear Regression"].fit(ready)
+    model = dict(_models("regression"))["Linear Regression"].fit(ready)
     metrics = regression_metrics(model.transform(ready), LABEL, "prediction")
     (_, importance), = importances(model, [feature])
     return metrics.select(F.lit(float(model.intercept)).alias("intercept"),
@@ -254,10 +256,10 @@ def sweep(df: DataFrame, target: str, task: str | None = None, parallelism: int
     if task == "classification":
         idx = StringIndexer(inputCol=target, outputCol=LABEL, stringOrderType="alphabetAsc")
         prep = Pipeline(stages=[idx, assembler]).fit(data)
-        binary = len(prep.stages[0].labels) == 2
+        classes = len(prep.stages[0].labels)
     else:
         prep = Pipeline(stages=[assembler]).fit(data)
-        binary = False
+        classes = 0
     ready = prep.transform(data)
     if task != "classification":
         ready = ready.withColumn(LABEL, col(target).cast("double"))
@@ -267,7 +269,7 @@ def sweep(df: DataFrame, target: str, task: str | None = None, parallelism: int
         raise ValueError(f"a side of the split is empty: {sizes[0][0]} training, {sizes[1][0]} test rows")
     if task == "classification" and sizes[0][1] < len(prep.stages[0].labels):
         raise ValueError("the training side lacks a class")
-    models = _models(task, binary)
+    models, binary = _models(task, classes), classes == 2
 
     def fit_one(item):
         i, (name, est) = item
