@@ -20,7 +20,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import keep
+from ..config import agg_row, keep
 from ..functions.types import BOOLEAN, NUMERIC, col, logical_types, normalize_missing
 from ..functions.windows import running_sum
 from .features import SIDE
@@ -240,16 +240,17 @@ def sweep(df: DataFrame, target: str, task: str | None = None, parallelism: int
     data, feats = prepare_xy(normalize_missing(df), target)
     if SIDE not in data.columns:
         data = with_side(data)
+    # read by the aggregate, the indexer and both sides: split and prepared once
+    source = data = keep(data)
     # a missing feature is its training mean, and a flag says so: all five models accept it
-    means = data.where(F.col(SIDE)).agg(*[F.avg(col(c).cast("double")).alias(f"m{i}")
-                                          for i, c in enumerate(feats)],
-                                        *[F.count_if(col(c).isNull()).alias(f"z{i}")
-                                          for i, c in enumerate(feats)]).first() if feats else None
-    holes = data.agg(*[F.count_if(col(c).isNull()).alias(f"z{i}")
-                       for i, c in enumerate(feats)]).first() if feats else None
+    found = agg_row(data, [x for i, c in enumerate(feats) for x in (
+        F.avg(F.when(F.col(SIDE), col(c).cast("double"))).alias(f"m{i}"),
+        F.count_if(col(c).isNull()).alias(f"z{i}"))])
+    means = [found[f"m{i}"] or 0.0 for i in range(len(feats))]
+    holes = [found[f"z{i}"] for i in range(len(feats))]
     gaps = [c for i, c in enumerate(feats) if holes[i]]
     data = data.withColumns({f"{c}_missing": col(c).isNull().cast("int") for c in gaps})
-    data = data.withColumns({c: F.coalesce(col(c).cast("double"), F.lit(means[f"m{i}"] or 0.0))
+    data = data.withColumns({c: F.coalesce(col(c).cast("double"), F.lit(means[i]))
                              for i, c in enumerate(feats) if c in gaps})
     feats += [f"{c}_missing" for c in gaps]
     assembler = VectorAssembler(inputCols=feats, outputCol=FEATURES, handleInvalid="error")
@@ -265,6 +266,7 @@ def sweep(df: DataFrame, target: str, task: str | None = None, parallelism: int
         ready = ready.withColumn(LABEL, col(target).cast("double"))
     train, test = (keep(side) for side in split(ready.select(FEATURES, LABEL, SIDE)))
     sizes = [side.agg(F.count(F.lit(1)), F.count_distinct(LABEL)).first() for side in (train, test)]
+    source.unpersist()      # both sides are kept now
     if not sizes[0][0] or not sizes[1][0]:
         raise ValueError(f"a side of the split is empty: {sizes[0][0]} training, {sizes[1][0]} test rows")
     if task == "classification" and sizes[0][1] < len(prep.stages[0].labels):
