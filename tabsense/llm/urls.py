@@ -6,7 +6,10 @@ spreads from hosts in proportion to their allowed pages along links between
 hosts, distrust from hosts in proportion to their blocked pages against them
 (a host that links to blocked ones is suspect). Both are personalised PageRanks;
 a host is blocked where distrust exceeds ``threshold`` times trust. A host that
-neither reaches is allowed.
+neither reaches is allowed. Seeds are counts of pages and ranks are linear in them, so
+pages and hosts elsewhere change no verdict. Ranks only grow from step to step; steps
+end when no host is newly reached and no rank grows by more than a share ``tolerance``
+of itself, however large the table or small the seed.
 
 All of it is DataFrame expressions. Links are counted per pair of hosts before
 they are joined, so steps run on hosts, not pages. A host's hot in- or out-edges
@@ -28,7 +31,7 @@ from .common import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
-DAMPING, STEPS, TOLERANCE, SALTS = 0.85, 30, 1e-6, 32
+DAMPING, TOLERANCE, SALTS = 0.85, 1e-6, 32
 
 
 class Rule(NamedTuple):
@@ -85,7 +88,7 @@ def host_links(pages: DataFrame) -> DataFrame:
         .groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS,
+def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING,
            tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank (host, kind, rank) of seeds (host, kind, seed): kind
     ``trust`` follows links, ``distrust`` goes against them."""
@@ -100,16 +103,16 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps:
     rank = cut_lineage(start)
     if edges.isEmpty():
         return rank
-    for _ in range(steps):
+    grown = 1.0
+    while grown >= tolerance:
         flow = rank.join(edges, ["kind", "host"]).select(
             F.col("to").alias("host"), "kind", (F.col("rank") * F.col("w") * damping).alias("rank"))
         after = cut_lineage(start.unionByName(flow).groupBy("host", "kind")
                             .agg(F.sum("rank").alias("rank")))
-        moved = after.withColumnRenamed("rank", "now").join(rank, ["host", "kind"], "full") \
-            .agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0))))).first()[0]
+        share = 1 - F.coalesce(F.col("before"), F.lit(0.0)) / F.col("rank")
+        grown = after.join(rank.withColumnRenamed("rank", "before"), ["host", "kind"], "left") \
+            .filter("rank > 0").agg(F.max(share)).first()[0] or 0.0
         rank = after
-        if (moved or 0.0) < tolerance:
-            break
     return rank
 
 
@@ -119,9 +122,8 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, threshold: float = 1.0) -
         .select("page_id", "host", "path", "rule", "action")
     seeds = rows.filter("host <> '' and action is not null").groupBy("host", "action") \
         .agg(F.count("*").alias("n"))
-    total = F.lit(float(max(1, pages.count())))
     seeds = seeds.select("host", F.when(F.col("action") == "allow", "trust").otherwise("distrust")
-                         .alias("kind"), (F.col("n") / total).alias("seed"))
+                         .alias("kind"), F.col("n").cast("double").alias("seed"))
     rank = spread(host_links(pages), seeds)
     hosts = rank.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"),
