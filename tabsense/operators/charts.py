@@ -36,41 +36,51 @@ class ChartSpec:
     agg: str = "sum"
 
 
+@dataclass(frozen=True)
+class Needs:
+    """What a chart type plots: whether a value column is looked for when none is named,
+    and what stands in where there is none: ``wide`` takes all other numeric columns,
+    ``then`` is the type drawn when that fails too."""
+    value: bool = True
+    wide: bool = False
+    then: str | None = None
+
+
+# every type not listed plots a value if there is one and needs no stand-in
+NEEDS = {"histogram": Needs(value=False), "bar": Needs(then="histogram"),
+         "line": Needs(wide=True, then="histogram"), "area": Needs(wide=True, then="histogram")}
+
+
 def resolve_chart(df: DataFrame, chart_type: str | None, x: str | None = None,
                   y: str | None = None, color: str | None = None, z: str | None = None,
                   path: list[str] | None = None) -> ChartSpec:
-    """Chart-type resolution from the schema alone.
-
-    x defaults to the first column; y to the second for chart types that plot
-    a value (histogram: y only when given, so that it means a count);
-    bar without y -> histogram; line/area without y -> all other numeric
-    columns (wide form), or histogram when there are none; unknown type -> bar
-    of the first column by the first other numeric column, else histogram."""
-    cols = df.columns
+    """What to draw, from the schema alone: ``NEEDS`` says what each type wants. Names
+    that are no columns count as not given, but a wrong y is not replaced; x falls back
+    to the first column. A type that is none becomes a bar of the first column by the
+    first other numeric one, or its histogram."""
     kinds = logical_types(df)
-    t = (chart_type or "").lower()
-    cx = x if x in cols else cols[0]
-    if t == "histogram":
-        cy = y if y in cols else None
-    else:
-        cy = y if (y and y in cols) else (cols[1] if len(cols) > 1 and y is None else None)
-    ccolor = color if color in cols else None
-    nums = [c for c in cols if kinds[c] == NUMERIC]
-    if t in ("bar", "line", "area") and cy is None:
-        if t == "bar":
-            t = "histogram"
-        else:
-            wide = [c for c in nums if c != cx]
-            if wide:
-                return ChartSpec(t, cx, wide, ccolor)
-            t = "histogram"
-    if t not in CHART_TYPES:
-        fallback = [c for c in nums if c != cols[0]]
-        if fallback:
-            return ChartSpec("bar", cols[0], fallback[0])
-        return ChartSpec("histogram", cols[0])
-    return ChartSpec(t, cx, cy, ccolor, z if z in cols else None,
-                     [p for p in (path or []) if p in cols])
+    first, *others = df.columns
+
+    def known(name: str | None) -> str | None:
+        return name if name in kinds else None
+
+    def numeric_but(name: str) -> list[str]:
+        return [c for c, kind in kinds.items() if kind == NUMERIC and c != name]
+
+    asked = (chart_type or "").lower()
+    if asked not in CHART_TYPES:
+        value = next(iter(numeric_but(first)), None)
+        return ChartSpec("bar" if value else "histogram", first, value)
+    needs = NEEDS.get(asked, Needs())
+    spec = ChartSpec(asked, known(x) or first, known(y), known(color), known(z),
+                     [p for p in path or () if p in kinds])
+    if y is None and needs.value:
+        spec.y = next(iter(others), None)
+    if spec.y is None and needs.wide and (values := numeric_but(spec.x)):
+        return ChartSpec(asked, spec.x, values, spec.color)
+    if spec.y is None and needs.then:
+        spec.chart_type = needs.then
+    return spec
 
 
 def chart_data(df: DataFrame, spec: ChartSpec, bins: int = BINS) -> DataFrame:

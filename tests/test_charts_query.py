@@ -71,3 +71,16 @@ def test_every_chart_type_runs(spark, kind):
                             z="l_discount", path=["l_returnflag", "l_linestatus"])
     out = CH.chart_data(df, spec)
     assert out.count() > 0
+
+
+def test_resolve_chart_of_names_that_are_none(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0, "c")], "k string, x double, y double, s string")
+    words = spark.createDataFrame([("a", "b")], "k string, s string")
+    assert CH.resolve_chart(df, "line", "x", "no").y == ["y"]          # wide form
+    assert CH.resolve_chart(df, "area", "k", "no").y == ["x", "y"]
+    assert CH.resolve_chart(words, "area", "k", "no").chart_type == "histogram"
+    assert CH.resolve_chart(df, "bar", "no", "no") == CH.ChartSpec("histogram", "k", None)
+    assert CH.resolve_chart(df, "Scatter", "y", "no", "no").y is None
+    assert CH.resolve_chart(df, None) == CH.ChartSpec("bar", "k", "x")
+    assert CH.resolve_chart(words, "x") == CH.ChartSpec("histogram", "k")
+    assert CH.resolve_chart(df, "treemap", "k", "x", path=["s", "no"]).path == ["s"]
