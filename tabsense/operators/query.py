@@ -171,13 +171,23 @@ def _build(df: DataFrame, spec: QuerySpec) -> DataFrame:
     return out
 
 
+PIVOT_COLUMNS = 10_000
+
+
 def _pivot_values(df: DataFrame, p: dict) -> list:
-    """The pivot's columns: as given, or every value found (one distributed distinct;
-    each value is a column of the result)."""
+    """The pivot's columns: as given, or every value found (each is a column of the
+    result). The values are counted by a distributed aggregate first; more than
+    PIVOT_COLUMNS (``max_columns`` of the spec) are an error that says how many there
+    are, and no more than that many ever reach the driver."""
     if p.get("values") is not None:
         return list(p["values"])
-    c = col(p["column"])
-    return [r[0] for r in df.select(c).where(c.isNotNull()).distinct().orderBy(c).collect()]
+    c, most = col(p["column"]), int(p.get("max_columns", PIVOT_COLUMNS))
+    found = df.select(c).where(c.isNotNull()).distinct()
+    n = found.count()
+    if n > most:
+        raise QueryError(f"pivot column {p['column']} has {n} values, more than {most}: "
+                         "name the wanted ones or raise max_columns")
+    return [r[0] for r in found.orderBy(c).collect()]
 
 
 def _with_empty_periods(grouped: DataFrame, time: str, unit: str, spec: QuerySpec) -> DataFrame:

@@ -84,3 +84,15 @@ def test_resolve_chart_of_names_that_are_none(spark):
     assert CH.resolve_chart(df, None) == CH.ChartSpec("bar", "k", "x")
     assert CH.resolve_chart(words, "x") == CH.ChartSpec("histogram", "k")
     assert CH.resolve_chart(df, "treemap", "k", "x", path=["s", "no"]).path == ["s"]
+
+
+def test_pivot_counts_its_columns_first(spark):
+    df = spark.range(60).selectExpr("id % 2 AS g", "id % 12 AS p", "id AS v")
+    spec = {"group_by": ["g"], "pivot": {"column": "p", "max_columns": 12},
+            "aggregations": [["v", "sum", "s"]]}
+    assert len(QY.run_query(df, spec).columns) == 13
+    spec["pivot"]["max_columns"] = 11
+    with pytest.raises(QY.QueryError, match="12 values, more than 11"):
+        QY.run_query(df, spec)
+    spec["pivot"]["values"] = [1, 5]
+    assert len(QY.run_query(df, spec).columns) == 3
