@@ -253,6 +253,7 @@ register("clean_full", _CLEAN_SQL)(lambda s, d: r6(_clean_events(s, d).df))
 
 _PCT = "printf('%.1f', (count(*) - count({c})) * 100.0 / count(*))"
 _G1V = "(SELECT CASE WHEN var_pop(value) = 0 THEN NULL ELSE " + _g1_sql("value", "events_nulls") + " END FROM events_nulls)"
+# The decision texts, as in clean.py.
 _DECISION_SQL = (
     with_("events_nulls")
     + "SELECT 'Cleaning' AS phase, 'Modify/Drop ''ts''' AS column_action, 'Imputed ' || "
