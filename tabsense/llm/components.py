@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, parts_for
 
 EDGES = 2_000_000  # per partition
+FEW = 500_000  # edges whose minima (16 MB) are broadcast
 
 
-def _linked_to_least(pairs: DataFrame, parts: int) -> DataFrame:
-    """Rows (u, v, m): m is the smallest of u and all its v. The minima are a
-    table of their own, so the join may split the rows of a hub."""
-    least = cut_lineage(pairs.groupBy("u").agg(F.min("v").alias("m"))
-                        .select("u", F.least("u", "m").alias("m")).coalesce(parts))
-    return pairs.join(least, "u")
+def _linked_to_least(pairs: DataFrame, edges: int, parts: int) -> DataFrame:
+    """Rows (u, v, m): m is the smallest of u and all its v. The minima (at most two
+    rows an edge) are broadcast for few edges, else a table of their own, so that the
+    join may split the rows of a hub."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if edges <= FEW:
+        return pairs.join(F.broadcast(least), "u")
+    return pairs.join(cut_lineage(least.coalesce(parts)), "u")
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -33,14 +36,15 @@ def components(edges: DataFrame) -> DataFrame:
     the work per step is a sum or join over edges, never a group in one place."""
     now = cut_lineage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"),
                                                     F.least("u", "v").alias("v")).distinct())
-    parts = parts_for(now.count(), EDGES)
+    n_edges = now.count()
+    parts = parts_for(n_edges, EDGES)
     while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _linked_to_least(both, parts).filter("v > u and v <> m") \
+        large = _linked_to_least(both, n_edges, parts).filter("v > u and v <> m") \
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = cut_lineage(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                            .coalesce(parts))
-        small = _linked_to_least(down, parts)
+        small = _linked_to_least(down, n_edges, parts)
         now = cut_lineage(small.select("u", F.col("m").alias("v")).unionByName(
             small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
             .coalesce(parts))

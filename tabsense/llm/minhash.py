@@ -7,9 +7,11 @@ bucket all pairs are never listed: every class is compared with the bucket's
 smallest one. A comparison first checks the signatures (five standard deviations
 below the threshold are rejected), then the full sets. Buckets whose classes are
 then in one component are done. In the others, pairs of classes of different
-components are compared: outright once they are few (at most one per two rows of the
-buckets), before that with another centre of the bucket's largest component in
-each round. So no link inside a bucket is lost.
+components are compared: outright once they are few (at most four per class; four
+times as many after each round that finds nothing), before that with
+four more members of the bucket's largest component in each round. Outright, the
+classes outside a bucket's largest component meet its others, which is at most four
+times the pairs across components. So no link inside a bucket is lost.
 
 Defined cases: a null text, or one without words, has an empty set and is linked
 with nothing; rows with a null id are linked with nothing and kept; rows with
@@ -33,7 +35,9 @@ from .components import components
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 PAIRS = 20_000  # pairs whose full sets one task compares at least
-OUTRIGHT = 0.5  # pairs across components per row of a bucket that are compared at once
+OUTRIGHT = 4    # pairs across components per class that are compared at once
+CENTRES = 4     # members of a bucket's largest component that meet the others in a round
+ENDS = 1_000_000  # nodes (8 bytes each) that are broadcast
 CACHE = 500_000
 _RNG = np.random.default_rng(20_240_229)
 FACTOR = _RNG.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -127,6 +131,18 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("node", "n", "sig").mapInArrow(run, "bucket long, node long, n long")
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+
+
+def few_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of the given nodes. Up to ``ENDS`` nodes are broadcast, so that
+    signatures and texts of others are never shuffled."""
+    nodes = cut_lineage(nodes)
+    n = nodes.count()
+    return rows.join(F.broadcast(nodes) if n <= ENDS else nodes, "node", "left_semi")
+
+
 class Verifier:
     """Links among pairs of classes, by signatures and then by full sets."""
 
@@ -144,7 +160,7 @@ class Verifier:
                 keep = pa.array((x == y).sum(axis=1) >= least)
                 yield pa.record_batch([c.filter(keep) for c in b.columns[:2]], ["u", "v"])
 
-        sig = self.classes.select("node", "sig")
+        sig = few_of(self.classes.select("node", "sig"), ends_of(pairs))
         both = pairs.join(sig.withColumnsRenamed({"node": "u", "sig": "x"}), "u") \
             .join(sig.withColumnsRenamed({"node": "v", "sig": "y"}), "v")
         return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
@@ -163,7 +179,7 @@ class Verifier:
 
         rows = self.docs.select(F.col("doc_id").cast("long").alias("node"),
                                 text_or_empty().alias("text"))
-        return rows.join(nodes, "node", "left_semi").mapInArrow(run, "node long, s binary") \
+        return few_of(rows, nodes).mapInArrow(run, "node long, s binary") \
             .distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -182,8 +198,7 @@ class Verifier:
 
         parts = parts_for(pairs.count(), PAIRS)
         likely = cut_lineage(self.by_signature(pairs).coalesce(parts))
-        ends = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
-        sets = cut_lineage(self.sets(ends).coalesce(parts))
+        sets = cut_lineage(self.sets(ends_of(likely)))
         both = likely.join(sets.withColumnsRenamed({"node": "u", "s": "x"}), "u") \
             .join(sets.withColumnsRenamed({"node": "v", "s": "y"}), "v")
         return cut_lineage(both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
@@ -203,33 +218,36 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     tried = cut_lineage(first.join(size_of, "centre").filter(fits)
                         .select(F.col("centre").alias("u"), F.col("node").alias("v")))
     links = check.links(tried)
-    members = rows.count()
-    parts = parts_for(members, 1_000_000)
+    parts = parts_for(rows.count(), 1_000_000)
+    allowed = OUTRIGHT * classes.count()
     found = cut_lineage(components(links).coalesce(parts))
     for turn in count():
         apart = rows.select("bucket", "node", "n").join(found, "node", "left") \
             .withColumn("component", F.coalesce("component", "node"))
         # buckets with several components, and how many pairs lie across these
-        sizes = apart.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.min(F.struct(
-            F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("n").alias("m"))).alias("first"))
+        picks = [F.min(F.struct(F.xxhash64("node", F.lit(CENTRES * turn + k)), F.col("node"),
+                                F.col("n").alias("m"))).alias(f"pick{k}") for k in range(CENTRES)]
+        sizes = apart.groupBy("bucket", "component").agg(F.count("*").alias("c"), *picks)
+        firsts = F.array_distinct(F.array(*(F.struct(f"pick{k}.node", f"pick{k}.m")
+                                            for k in range(CENTRES))))
         mixed = cut_lineage(sizes.groupBy("bucket").agg(
             F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("k"),
-            F.max(F.struct("c", "first", F.col("component").alias("of"))).alias("pick"))
-            .filter("k > 1").select("bucket", "pick", ((F.col("all") * F.col("all") - F.col("own")) / 2)
-                                    .alias("pairs")).coalesce(parts))
+            F.max(F.struct("c", F.col("component").alias("of"), firsts.alias("firsts"))).alias("pick"))
+            .filter("k > 1").select("bucket", F.col("pick.of").alias("of"), F.col("pick.firsts").alias("firsts"),
+                                    ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"))
+            .coalesce(parts))
         across = mixed.agg(F.sum("pairs")).first()[0] or 0
         if not across:
             return found
-        open_ = apart.join(mixed.select("bucket", "pick"), "bucket")
-        outright = across <= OUTRIGHT * members
-        if outright:
-            other = open_.select("bucket", F.col("node").alias("centre"), F.col("n").alias("m"),
-                                 F.col("component").alias("of"))
-            pairs = open_.select("bucket", "node", "n", "component").join(other, "bucket") \
-                .filter("component < of")
-        else:  # one member of the largest component meets those of the others
-            pairs = open_.filter("component <> pick.of").select(
-                F.col("pick.first.node").alias("centre"), "node", "n", F.col("pick.first.m").alias("m"))
+        strays = apart.join(mixed, "bucket").filter("component <> of")
+        outright = across <= allowed
+        if outright:  # two strays meet once, by the order of their components
+            others = apart.select("bucket", F.col("node").alias("centre"), F.col("n").alias("m"),
+                                  F.col("component").alias("theirs"))
+            pairs = strays.join(others, "bucket").filter("theirs = of or component < theirs")
+        else:  # some members of the largest component meet those of the others
+            pairs = strays.select("node", "n", F.explode("firsts").alias("first")).select(
+                F.col("first.node").alias("centre"), "node", "n", F.col("first.m").alias("m"))
         pairs = pairs.filter(fits).select(F.least("centre", "node").alias("u"),
                                           F.greatest("centre", "node").alias("v")).distinct()
         fresh = cut_lineage(pairs.join(tried, ["u", "v"], "left_anti").coalesce(parts))
@@ -240,7 +258,7 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
         if outright:
             return found
         if more is None or more.isEmpty():
-            members *= 2  # a centre found nothing: allow more pairs outright
+            allowed *= 4  # the centres found nothing: allow more pairs outright
         tried = tried.unionByName(fresh)
 
 
