@@ -4,8 +4,8 @@ Documents with the same set of shingles form a class; one of each goes on. A
 class has 160 universal hash minima in 32 bands of five; pairs of sets with a
 Jaccard coefficient of 0.8 share a band with probability 1 - 3e-6. Within a band's
 bucket all pairs are never listed: every class is compared with the bucket's
-smallest one. A comparison first checks the signatures (five standard deviations
-below the threshold are rejected), then the full sets. Buckets whose classes are
+smallest one. A comparison first checks the signatures (a byte of each minimum; five
+standard deviations below the threshold are rejected), then the full sets. Buckets whose classes are
 then in one component are done. In the others, pairs of classes of different
 components are compared: outright once they are few (at most four per class; four
 times as many after each round that finds nothing), before that with
@@ -38,6 +38,7 @@ PAIRS = 20_000  # pairs whose full sets one task compares at least
 OUTRIGHT = 4    # pairs across components per class that are compared at once
 CENTRES = 4     # members of a bucket's largest component that meet the others in a round
 ENDS = 1_000_000  # nodes (8 bytes each) that are broadcast
+BRIEF = 100_000   # nodes whose brief signatures (160 bytes each) are broadcast
 CACHE = 500_000
 _RNG = np.random.default_rng(20_240_229)
 FACTOR = _RNG.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -135,11 +136,9 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
 
 
-def few_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of the given nodes. Up to ``ENDS`` nodes are broadcast, so that
+def few_of(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The rows of the given ``n`` nodes. Up to ``ENDS`` nodes are broadcast, so that
     signatures and texts of others are never shuffled."""
-    nodes = cut_lineage(nodes)
-    n = nodes.count()
     return rows.join(F.broadcast(nodes) if n <= ENDS else nodes, "node", "left_semi")
 
 
@@ -150,19 +149,32 @@ class Verifier:
         self.docs, self.classes, self.size, self.percent = docs, classes, size, percent
 
     def by_signature(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose signatures agree enough, by the low byte of each minimum:
+        different minima share it with probability 1/256."""
         t = self.percent / 100
+        t += (1 - t) / 256
         least = HASHES * (t - 5 * (t * (1 - t) / HASHES) ** 0.5)
 
+        def brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                low = [np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in b[1].to_pylist()]
+                yield pa.record_batch([b[0], pa.array(low, pa.binary())], ["node", "low"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, HASHES)
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, HASHES)
                         for c in b.columns[2:])
                 keep = pa.array((x == y).sum(axis=1) >= least)
                 yield pa.record_batch([c.filter(keep) for c in b.columns[:2]], ["u", "v"])
 
-        sig = few_of(self.classes.select("node", "sig"), ends_of(pairs))
-        both = pairs.join(sig.withColumnsRenamed({"node": "u", "sig": "x"}), "u") \
-            .join(sig.withColumnsRenamed({"node": "v", "sig": "y"}), "v")
+        nodes = cut_lineage(ends_of(pairs))
+        n = nodes.count()
+        low = few_of(self.classes.select("node", "sig"), nodes, n) \
+            .mapInArrow(brief, "node long, low binary")
+        if n <= BRIEF:
+            low = F.broadcast(low)
+        both = pairs.join(low.withColumnsRenamed({"node": "u", "low": "x"}), "u") \
+            .join(low.withColumnsRenamed({"node": "v", "low": "y"}), "v")
         return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
@@ -179,7 +191,8 @@ class Verifier:
 
         rows = self.docs.select(F.col("doc_id").cast("long").alias("node"),
                                 text_or_empty().alias("text"))
-        return few_of(rows, nodes).mapInArrow(run, "node long, s binary") \
+        nodes = cut_lineage(nodes)
+        return few_of(rows, nodes, nodes.count()).mapInArrow(run, "node long, s binary") \
             .distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
