@@ -6,12 +6,13 @@ Jaccard coefficient of 0.8 share a band with probability 1 - 3e-6. Within a band
 bucket all pairs are never listed: every class is compared with the bucket's
 smallest one. A comparison first checks the signatures (a byte of each minimum; five
 standard deviations below the threshold are rejected), then the full sets. Buckets whose classes are
-then in one component are done. In the others, pairs of classes of different
-components are compared: outright once they are few (at most four per class; four
-times as many after each round that finds nothing), before that with
-four more members of the bucket's largest component in each round. Outright, the
-classes outside a bucket's largest component meet its others, which is at most four
-times the pairs across components. So no link inside a bucket is lost.
+then in one component are done. In the others, the classes outside a bucket's largest
+component (strays) meet all its classes in blocks: chunks of bounded bytes, each pair of
+chunks in one task, where NumPy compares a stray's signature and then its full set
+with a whole chunk; only links leave the block, never pairs. So no link inside a
+bucket is lost. Blocks begin once the pairs to compare are at most 1,000 per class (four
+times as many after each round that finds nothing); before that, strays meet four
+more members of the bucket's largest component in each round.
 
 Defined cases: a null text, or one without words, has an empty set and is linked
 with nothing; rows with a null id are linked with nothing and kept; rows with
@@ -35,7 +36,8 @@ from .components import components
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 PAIRS = 20_000  # pairs whose full sets one task compares at least
-OUTRIGHT = 4    # pairs across components per class that are compared at once
+OUTRIGHT = 1_000  # pairs per class that are compared in blocks at once
+CHUNK = 4 << 20   # bytes of signatures and sets on either side of a block
 CENTRES = 4     # members of a bucket's largest component that meet the others in a round
 ENDS = 1_000_000  # nodes (8 bytes each) that are broadcast
 BRIEF = 100_000   # nodes whose brief signatures (160 bytes each) are broadcast
@@ -142,6 +144,69 @@ def few_of(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return rows.join(F.broadcast(nodes) if n <= ENDS else nodes, "node", "left_semi")
 
 
+def least_agreement(percent: int) -> float:
+    """How many of the minima's low bytes agree at least: five standard deviations below
+    what the threshold expects. Different minima share a byte with probability 1/256."""
+    t = percent / 100
+    t += (1 - t) / 256
+    return HASHES * (t - 5 * (t * (1 - t) / HASHES) ** 0.5)
+
+
+def brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a signature, becomes the low byte of each minimum."""
+    for b in batches:
+        low = [np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in b[-1].to_pylist()]
+        yield pa.record_batch([*b.columns[:-1], pa.array(low, pa.binary())], [*b.schema.names[:-1], "low"])
+
+
+class Block:
+    """Strays against the classes of one chunk of their bucket."""
+
+    def __init__(self, rows: pa.Table, percent: int) -> None:
+        self.percent, self.least = percent, least_agreement(percent)
+        self.node, self.component = (rows[c].to_numpy() for c in ("node", "component"))
+        self.top, stray = (rows[c].to_numpy() for c in ("top", "stray"))
+        self.strays, self.others = np.flatnonzero(stray), np.flatnonzero(~stray)
+        self.low = np.frombuffer(b"".join(rows["low"].to_pylist()), np.uint8).reshape(-1, HASHES)
+        self.sets = [np.frombuffer(x, np.uint64) for x in rows["s"].to_pylist()]
+        self.n = np.array([len(x) for x in self.sets], np.int64)
+
+    def shared(self, at: int, with_: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set ``at`` with those of ``with_`` (places in others)."""
+        mine = self.sets[at]
+        place = np.minimum(np.searchsorted(self.words, mine), len(self.words) - 1)
+        mark = np.zeros(len(self.words), np.uint8)
+        mark[place[self.words[place] == mine]] = 1
+        if len(with_) * 3000 > len(self.ids):
+            return np.add.reduceat(mark[self.ids], self.starts[:-1], dtype=np.int64)[with_]
+        return np.array([mark[self.ids[self.starts[k]:self.starts[k + 1]]].sum(dtype=np.int64)
+                         for k in with_], np.int64)
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Links that join components, one for each two that are not joined yet."""
+        if not len(self.strays) or not len(self.others):
+            return
+        self.words, self.ids = np.unique(np.concatenate([self.sets[k] for k in self.others]),
+                                         return_inverse=True)
+        self.starts = np.concatenate([[0], np.cumsum(self.n[self.others])])
+        label = np.unique(self.component, return_inverse=True)[1]
+        low, n, top, component = (x[self.others] for x in (self.low, self.n, self.top, self.component))
+        for at in self.strays:
+            mine = self.n[at]
+            # two strays meet once, by the order of their components
+            fits = (label[self.others] != label[at]) & (top | (component > self.component[at])) \
+                & (np.minimum(n, mine) * 100 >= np.maximum(n, mine) * self.percent)
+            near = np.flatnonzero(fits)
+            near = near[(low[near] == self.low[at]).sum(axis=1) >= self.least]
+            if not len(near):
+                continue
+            both = self.shared(at, near)
+            for k in self.others[near[100 * both >= self.percent * (mine + n[near] - both)]]:
+                if label[k] != label[at]:
+                    label[label == label[k]] = label[at]
+                    yield self.node[at], self.node[k]
+
+
 class Verifier:
     """Links among pairs of classes, by signatures and then by full sets."""
 
@@ -149,16 +214,8 @@ class Verifier:
         self.docs, self.classes, self.size, self.percent = docs, classes, size, percent
 
     def by_signature(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose signatures agree enough, by the low byte of each minimum:
-        different minima share it with probability 1/256."""
-        t = self.percent / 100
-        t += (1 - t) / 256
-        least = HASHES * (t - 5 * (t * (1 - t) / HASHES) ** 0.5)
-
-        def brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                low = [np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in b[1].to_pylist()]
-                yield pa.record_batch([b[0], pa.array(low, pa.binary())], ["node", "low"])
+        """Pairs whose signatures agree enough."""
+        least = least_agreement(self.percent)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -178,8 +235,8 @@ class Verifier:
         return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
-        """The full sets of the given classes; of rows with one id but different
-        texts, each set."""
+        """(node, key, s): the full sets of the given classes; of rows with one id but
+        different texts, each set."""
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +244,58 @@ class Verifier:
             for b in batches:
                 found = [shingles(t, size, words).tobytes()
                          for t in b[1].cast(pa.binary()).to_pylist()]
-                yield pa.record_batch([b[0], pa.array(found, pa.binary())], ["node", "s"])
+                keys = [xxhash.xxh3_128_digest(s) for s in found]
+                yield pa.record_batch([b[0], pa.array(keys, pa.binary()), pa.array(found, pa.binary())],
+                                      ["node", "key", "s"])
 
         rows = self.docs.select(F.col("doc_id").cast("long").alias("node"),
                                 text_or_empty().alias("text"))
         nodes = cut_lineage(nodes)
-        return few_of(rows, nodes, nodes.count()).mapInArrow(run, "node long, s binary") \
-            .distinct()
+        return few_of(rows, nodes, nodes.count()).mapInArrow(run, "node long, key binary, s binary") \
+            .dropDuplicates(["node", "key"])
+
+    def block_links(self, apart: DataFrame, mixed: DataFrame) -> DataFrame:
+        """(u, v): links across the components of the mixed buckets, as many as it takes
+        to join what is linked. Rows are dealt to chunks by their hash; each chunk
+        of strays meets each chunk of its bucket."""
+        percent = self.percent
+        key = ["bucket", "i", "j"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def compared(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if held and (pairs := list(Block(pa.Table.from_batches(held), percent).links())):
+                    u, v = zip(*pairs, strict=True)
+                    yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+            held, last = [], None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                place = np.stack([c.to_numpy() for c in b.columns[:3]])
+                cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1
+                for start, end in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                    if last != (now := tuple(place[:, start])):
+                        yield from compared(held)
+                        held, last = [], now
+                    held.append(b.slice(start, end - start))
+            yield from compared(held)
+
+        rows = apart.select("bucket", "node", "component").join(mixed, "bucket") \
+            .withColumn("top", F.col("component") == F.col("of"))
+        chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        mine = ["node", "component", "top"]
+        strays = rows.filter("not top").select("bucket", chunk("stray_chunks").alias("i"),
+                                               each("chunks").alias("j"), *mine, F.lit(True).alias("stray"))
+        others = rows.select("bucket", each("stray_chunks").alias("i"), chunk("chunks").alias("j"),
+                             *mine, F.lit(False).alias("stray"))
+        nodes = cut_lineage(rows.select("node").distinct())
+        low = few_of(self.classes.select("node", "key", "sig"), nodes, nodes.count()) \
+            .mapInArrow(brief, "node long, key binary, low binary")
+        known = cut_lineage(low.join(self.sets(nodes), ["node", "key"]).drop("key"))
+        return strays.unionByName(others).join(known, "node") \
+            .select(*key, *mine, "stray", "low", "s") \
+            .repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) whose sets are alike."""
@@ -211,7 +313,7 @@ class Verifier:
 
         parts = parts_for(pairs.count(), PAIRS)
         likely = cut_lineage(self.by_signature(pairs).coalesce(parts))
-        sets = cut_lineage(self.sets(ends_of(likely)))
+        sets = cut_lineage(self.sets(ends_of(likely)).drop("key"))
         both = likely.join(sets.withColumnsRenamed({"node": "u", "s": "x"}), "u") \
             .join(sets.withColumnsRenamed({"node": "v", "s": "y"}), "v")
         return cut_lineage(both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
@@ -237,42 +339,46 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     for turn in count():
         apart = rows.select("bucket", "node", "n").join(found, "node", "left") \
             .withColumn("component", F.coalesce("component", "node"))
-        # buckets with several components, and how many pairs lie across these
-        picks = [F.min(F.struct(F.xxhash64("node", F.lit(CENTRES * turn + k)), F.col("node"),
-                                F.col("n").alias("m"))).alias(f"pick{k}") for k in range(CENTRES)]
-        sizes = apart.groupBy("bucket", "component").agg(F.count("*").alias("c"), *picks)
-        firsts = F.array_distinct(F.array(*(F.struct(f"pick{k}.node", f"pick{k}.m")
-                                            for k in range(CENTRES))))
+        # buckets with several components, and how many pairs their strays would meet
+        sizes = apart.groupBy("bucket", "component").agg(
+            F.count("*").alias("c"), F.sum(8 * F.col("n") + HASHES + 64).alias("w"))
+        chunks = lambda w: F.ceil(w / F.lit(CHUNK))
         mixed = cut_lineage(sizes.groupBy("bucket").agg(
-            F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("k"),
-            F.max(F.struct("c", F.col("component").alias("of"), firsts.alias("firsts"))).alias("pick"))
-            .filter("k > 1").select("bucket", F.col("pick.of").alias("of"), F.col("pick.firsts").alias("firsts"),
-                                    ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"))
+            F.sum("c").alias("all"), F.sum("w").alias("w"), F.count("*").alias("k"),
+            F.max(F.struct("c", "component", "w")).alias("most"))
+            .filter("k > 1").select(
+                "bucket", F.col("most.component").alias("of"), chunks(F.col("w")).alias("chunks"),
+                chunks(F.col("w") - F.col("most.w")).alias("stray_chunks"),
+                ((F.col("all") - F.col("most.c")) * F.col("all")).alias("pairs"))
             .coalesce(parts))
         across = mixed.agg(F.sum("pairs")).first()[0] or 0
         if not across:
             return found
-        strays = apart.join(mixed, "bucket").filter("component <> of")
         outright = across <= allowed
-        if outright:  # two strays meet once, by the order of their components
-            others = apart.select("bucket", F.col("node").alias("centre"), F.col("n").alias("m"),
-                                  F.col("component").alias("theirs"))
-            pairs = strays.join(others, "bucket").filter("theirs = of or component < theirs")
+        if outright:
+            more = cut_lineage(check.block_links(apart, mixed.drop("pairs")))
         else:  # some members of the largest component meet those of the others
-            pairs = strays.select("node", "n", F.explode("firsts").alias("first")).select(
-                F.col("first.node").alias("centre"), "node", "n", F.col("first.m").alias("m"))
-        pairs = pairs.filter(fits).select(F.least("centre", "node").alias("u"),
-                                          F.greatest("centre", "node").alias("v")).distinct()
-        fresh = cut_lineage(pairs.join(tried, ["u", "v"], "left_anti").coalesce(parts))
-        more = check.links(fresh) if not fresh.isEmpty() else None
-        if more is not None and not more.isEmpty():
+            both = apart.join(mixed.select("bucket", "of"), "bucket")
+            picks = [F.min(F.struct(F.xxhash64("node", F.lit(CENTRES * turn + k)), F.col("node"),
+                                    F.col("n").alias("m"))).alias(f"pick{k}") for k in range(CENTRES)]
+            firsts = F.array_distinct(F.array(*(F.struct(f"pick{k}.node", f"pick{k}.m")
+                                                for k in range(CENTRES))))
+            centres = both.filter("component = of").groupBy("bucket").agg(*picks) \
+                .select("bucket", F.explode(firsts).alias("first"))
+            pairs = both.filter("component <> of").select("bucket", "node", "n").join(centres, "bucket") \
+                .select(F.col("first.node").alias("centre"), "node", "n", F.col("first.m").alias("m")) \
+                .filter(fits).select(F.least("centre", "node").alias("u"),
+                                     F.greatest("centre", "node").alias("v")).distinct()
+            fresh = cut_lineage(pairs.join(tried, ["u", "v"], "left_anti").coalesce(parts))
+            more = check.links(fresh)
+            tried = tried.unionByName(fresh)
+        if not more.isEmpty():
             found = cut_lineage(components(more.unionByName(
                 found.select(F.col("node").alias("u"), F.col("component").alias("v")))).coalesce(parts))
+        elif not outright:
+            allowed *= 4  # the centres found nothing: allow more pairs in blocks
         if outright:
             return found
-        if more is None or more.isEmpty():
-            allowed *= 4  # the centres found nothing: allow more pairs outright
-        tried = tried.unionByName(fresh)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

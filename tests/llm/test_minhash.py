@@ -2,6 +2,7 @@ import random
 
 from cases import frame, texts
 
+from tabsense.llm import minhash
 from tabsense.llm.components import components
 from tabsense.llm.minhash import near_duplicates, one_of_each
 
@@ -55,6 +56,34 @@ def test_families_like_brute_force(spark):
         assert sorted(map(repr, map(tuple, got))) == brute(rows, size, 80)
 
 
+def one_family(members=400, strays=12):
+    """A base with one changed word each, and strays that change a quarter of it; some
+    strays are near another stray only."""
+    rng = random.Random(17)
+    base = [f"w{k}" for k in range(70)]
+    rows = []
+    for k in range(members + strays):
+        words = list(base)
+        for _ in range(1 if k < members else 9 + k % 5):
+            words[rng.randrange(70)] = f"e{rng.randrange(10 ** 6)}"
+        rows.append((k, " ".join(words)))
+        if k >= members and k % 3 == 0:
+            words[rng.randrange(70)] = f"e{rng.randrange(10 ** 6)}"
+            rows.append((1000 + k, " ".join(words)))
+    return rows
+
+
+def test_strays_of_a_large_family_in_blocks_and_rounds(spark, monkeypatch):
+    rows = families(8) + [(5000 + i, t) for i, t in one_family()]
+    expected = brute(rows, 2, 80)
+    # whole buckets in one block; many small chunks; first rounds of centres, then blocks
+    for chunk, outright in ((4 << 20, 1_000), (4_000, 1_000), (20_000, 0.02)):
+        monkeypatch.setattr(minhash, "CHUNK", chunk)
+        monkeypatch.setattr(minhash, "OUTRIGHT", outright)
+        got = near_duplicates(frame(spark, rows, 3), 2, 80).collect()
+        assert sorted(map(repr, map(tuple, got))) == expected
+
+
 def test_edge_cases(spark):
     got = near_duplicates(frame(spark), 2, 80).collect()
     assert sorted(map(repr, map(tuple, got))) == brute(texts(), 2, 80)
