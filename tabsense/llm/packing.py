@@ -8,7 +8,8 @@ partition's end are merged, whole, with those of neighbouring partitions: groups
 of ``fan_in`` partitions, so a task merges at most fan_in * open_windows rows of
 (window, fill) and never sees tokens.
 
-Memory per task: one batch of texts, the open windows' fills and the tokenizer.
+Memory per task: one batch of texts, the open windows' fills, the tokenizer and a
+table of pieces of bounded size, which ends with the task.
 
 Defined cases: a null or empty text is the end id alone; null ids stay null;
 repeated rows are packed each; an empty table gives an empty result; other
@@ -159,6 +160,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW,
                                  zlib.crc32(ids[4 * start:4 * (start + length)]), len(ids) // 4,
                                  part << 33 | number, offset, part, False))
             yield _batch(rows)
+        coder.clear()  # the worker stays for other tasks: it keeps the tokenizer, not the pieces
         yield _batch([(None, 0, fill, 0, 0, part << 33 | number, 0, part, True)
                       for number, fill in packer.fill.items()])
 
