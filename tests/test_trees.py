@@ -91,6 +91,26 @@ def test_rows_meet_large_subtrees_by_node(spark):
     assert len(model.top.splits) >= 8
 
 
+def test_passes_grow_with_levels_not_with_nodes(spark, monkeypatch):
+    """A level of many large nodes is one pass, and a row meets only its path's splits."""
+    rng = np.random.default_rng(8)
+    x, y = rng.permutation(4000).reshape(-1, 2).astype(float), rng.integers(0, 2, 2000).astype(float)
+    passes, one = [], T._histograms
+    monkeypatch.setattr(T, "_histograms", lambda *a: passes.append(len(a[2])) or one(*a))
+    top = T.DecisionTree(2, "f", "label", small_rows=6, borders=40).fit(frame(spark, x, y)).top
+    level = {0: 1}
+    for node in sorted(top.splits):
+        level.update(dict.fromkeys(top.splits[node][2:], level[node] + 1))
+    assert max(passes) > 64 and len(passes) <= max(level.values())
+    at = top.router()(x)
+    for row, node in zip(x[:50], at[:50], strict=True):
+        here = 0
+        while here in top.splits:
+            feature, threshold, left, right = top.splits[here]
+            here = left if row[feature] <= threshold else right
+        assert here == node
+
+
 def test_large_nodes_that_cannot_be_split(spark):
     """Equal rows beyond a task's size, and values that share one bin."""
     x = np.array([[1.0, 5.0]] * 300 + [[2.0, 5.0 + k * 1e-9] for k in range(20)] + [[3.0, 5.0]] * 5)
