@@ -72,6 +72,32 @@ def test_sweep_with_missing_features_and_empty_sides(spark):
         ML.sweep(df.limit(1), "label", task="classification")
 
 
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_forest_in_groups_of_trees(spark, monkeypatch, classes):
+    """At most BAG_CELLS counts are kept; the groups add up to one forest of N_TREES."""
+    from pyspark.ml.feature import VectorAssembler
+    rnd = random.Random(6)
+    data = [(rnd.random(), rnd.random()) for _ in range(400)]
+    df = spark.createDataFrame([(a, b, float(int(a * classes) if classes else a)) for a, b in data],
+                               "a double, b double, y double")
+    ready = VectorAssembler(inputCols=["a", "b"], outputCol=ML.FEATURES).transform(df).withColumnRenamed("y", ML.LABEL)
+    monkeypatch.setattr(ML, "BAG_CELLS", 400 * 40)
+    forest = dict(ML._models("classification" if classes else "regression", classes, 400))["Random Forest"]
+    model = forest.fit(ready)
+    assert [m.getNumTrees for m in model.models] == [34, 33, 33]
+    got = model.transform(ready).collect()
+    assert len(got) == 400 and model.featureImportances[0] > 0.8
+    assert sum(model.featureImportances) == pytest.approx(1.0)
+    wrong = [abs(r["prediction"] - r[ML.LABEL]) for r in got]
+    assert sum(wrong) / 400 < 0.05
+    if classes:
+        assert all(sum(r["rawPrediction"]) == pytest.approx(100) and len(r["rawPrediction"]) == classes for r in got)
+    else:
+        parts = [m.transform(ready).select("prediction").collect() for m in model.models]
+        assert all(r["prediction"] == pytest.approx((34 * a[0] + 33 * b[0] + 33 * c[0]) / 100)
+                   for r, a, b, c in zip(got, *parts, strict=True))
+
+
 def test_csv_of_real_files(spark, tmp_path):
     p = tmp_path / "f.csv"
     p.write_text('id,seat,text,at\n1,12D,"hello\nworld",2024-01-02T00:00:00.000\n'
