@@ -170,14 +170,16 @@ class PieceIds(dict):
     """Match of the tokenizer's pattern -> its ids as little-endian 32-bit bytes."""
 
     def __init__(self, coder) -> None:
-        self.model = coder.model
+        self.tokenize = coder.model.tokenize
         self.letters = dict(enumerate(_byte_letters()))
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        ids = array("I", [t.id for t in found]).tobytes()
+        # signs of ASCII stand for themselves; white space is no part of a piece
+        signs = piece if piece.isascii() and piece.isprintable() \
+            else piece.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.tokenize(signs)]).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -189,8 +191,9 @@ class WordIds(dict):
     The tokenizer drops white space, and neither its normalisation nor its split
     reaches across a space, so a text's ids are those of its words. Most new words are
     known pieces put together: words of printable Latin-1, which its normalisation
-    only lower-cases, are split by the file's own pattern, and the library's model is
-    asked for pieces not met before. All other words go through the library whole."""
+    only lower-cases, are split by the file's own pattern, all new ones of a text at
+    once, and the library's model is asked for pieces not met before. All other words
+    go through the library whole."""
 
     def __init__(self, path: str) -> None:
         import json
@@ -208,26 +211,41 @@ class WordIds(dict):
             raise ValueError(f"{path} keeps white space or splits in another way")
         self.special = tuple(t["content"] for t in about["added_tokens"])
         self.pieces = PieceIds(self.coder)
-        self.split = regex.compile(split["pattern"]["Regex"]).findall
-        self.plain = regex.compile("[!-~\u00a1-\u00ff]+").fullmatch
+        self.split = regex.compile(split["pattern"]["Regex"] + "| ").findall  # and blanks
+        self.plain = regex.compile("[ -~\u00a1-\u00ff]*").fullmatch
         self[""] = b""
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-            self[""] = b""
-        if self.plain(word) and not any(s in word for s in self.special):
-            ids = b"".join([self.pieces[p] for p in self.split(word.lower())])
-        else:
-            ids = array("I", self.coder.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        joined = " ".join(words)
+        if not self.plain(joined) or any(s in joined for s in self.special):
+            if len(words) > 1:
+                return [self.ids_of([w])[0] for w in words]
+            return [array("I", self.coder.encode(joined, add_special_tokens=False).ids).tobytes()]
+        out, held = [], []
+        for piece in self.split(joined.lower()):
+            if piece == " ":
+                out.append(b"".join(held))
+                held = []
+            else:
+                held.append(self.pieces[piece])
+        return [*out, b"".join(held)]
 
     def encode(self, text: str) -> bytes:
         for c in "\n\r\t":
             text = text.replace(c, " ")
-        return b"".join([self[w] for w in text.split(" ")])
+        words = text.split(" ")
+        found = list(map(self.get, words))
+        if None in found:
+            new = list({w: None for w, ids in zip(words, found, strict=True) if ids is None})
+            got = dict(zip(new, self.ids_of(new), strict=True))
+            found = [got[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            if len(self) + len(new) > CACHE:
+                self.clear()
+                self[""] = b""
+            if len(new) < CACHE:
+                self.update((w, ids) for w, ids in got.items() if len(w) <= 64)
+        return b"".join(found)
 
 
 @lru_cache(maxsize=1)

@@ -60,6 +60,29 @@ def test_words_have_the_ids_of_the_text(coder, text):
     assert ids == coder.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_of_a_text_are_split_at_once(coder):
+    """Known ones not at all; words that the pattern alone cannot split go by themselves."""
+    words, calls = tf.WordIds(P.path("word_bpe_49k.json")), []
+    split = words.split
+    words.split = lambda x: calls.append(x) or split(x)
+    first = " ".join(f"word{k}'s, Ünd{k % 7}--" for k in range(200))
+    for text, times in ((first, 1), (first, 0), ("one  word0's,\n ÜND1-- two one ", 1),
+                        ("x<|endoftext|>y three e\u0301tude \x85 four", 2), ("", 0), ("  ", 0)):
+        calls.clear()
+        got = np.frombuffer(words.encode(text), "<u4").tolist()
+        assert got == coder.encode(text, add_special_tokens=False).ids and len(calls) == times
+
+
+def test_words_kept_are_bounded(coder, monkeypatch):
+    monkeypatch.setattr(tf, "CACHE", 20)
+    words = tf.WordIds(P.path("word_bpe_49k.json"))
+    for k in range(0, 90, 7):
+        text = " ".join(f"w{j}" for j in range(k, 2 * k + 3)) + " w1 w1"
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == \
+            coder.encode(text, add_special_tokens=False).ids
+        assert len(words) <= 21 and len(words.pieces) <= 20
+
+
 def expected(coder, rows):
     out, start = [], 0
     for doc_id, text in rows:
