@@ -28,13 +28,12 @@ from collections.abc import Iterator
 from math import log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, held_out_remainder, text_or_empty
+from .common import crc_mod, held_out_remainder, release, text_or_empty
 
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -388,11 +387,16 @@ def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     chosen, rest = learn(docs, labels, model)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SIZE**3 numbers
 
-    @F.pandas_udf("double")
-    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent, chosen, rest)
-        for texts in batches:
-            yield pd.Series([scorer.of(t) for t in texts], dtype="float64")
+        try:
+            for texts in batches:
+                # one text at a time: a batch never stands beside its copy
+                yield pa.array([scorer.of(t.as_py()) for t in texts], pa.float64())
+        finally:
+            scorer.words.clear()
+            release()
 
     return docs.select("doc_id", "text", "lang", "source", "n_chars") \
         .filter(toxicity(text_or_empty()) < threshold)

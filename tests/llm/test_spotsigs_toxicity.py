@@ -1,5 +1,7 @@
 import hashlib
+import os
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -118,3 +120,19 @@ def test_edge_cases(spark):
     stage = X.not_toxic(frame(spark), labels.withColumn("toxic", (labels.doc_id == 100).cast("int")))
     assert stage.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert stage.filter("text is null").count() == 2
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_release_gives_freed_memory_back():
+    from tabsense.llm.common import release
+
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    parts = [b"x" * 2000 for _ in range(60_000)]
+    last = parts[-1]  # what lies above the freed ones keeps them from being returned
+    del parts
+    before = held()
+    release()
+    assert len(last) == 2000 and held() < before - 50
