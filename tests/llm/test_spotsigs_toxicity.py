@@ -130,7 +130,7 @@ def test_release_gives_freed_memory_back():
         with open("/proc/self/statm") as f:
             return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
 
-    parts = [b"x" * 2000 for _ in range(60_000)]
+    parts = [bytes(2000) for _ in range(60_000)]
     last = parts[-1]  # what lies above the freed ones keeps them from being returned
     del parts
     before = held()
