@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, parts_for, text_or_empty
+from .common import cut_lineage, parts_for, releasing, text_or_empty
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -117,7 +117,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                                   ["doc_id", "n_shingles", "key", "sig"])
 
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")) \
-        .mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary")
+        .mapInArrow(releasing(run), "doc_id long, n_shingles long, key binary, sig binary")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ class Verifier:
         rows = self.docs.select(F.col("doc_id").cast("long").alias("node"),
                                 text_or_empty().alias("text"))
         nodes = cut_lineage(nodes)
-        return few_of(rows, nodes, nodes.count()).mapInArrow(run, "node long, key binary, s binary") \
+        return few_of(rows, nodes, nodes.count()).mapInArrow(releasing(run), "node long, key binary, s binary") \
             .dropDuplicates(["node", "key"])
 
     def block_links(self, apart: DataFrame, mixed: DataFrame) -> DataFrame:
