@@ -1,7 +1,8 @@
 """How far the sources of a language lie apart in their words.
 
 Texts are counted by task into (lang, source, term) sums, so a hot source is added up
-before it is shuffled. A language keeps the terms of enough of its documents. Kept
+before it is shuffled. The sums of a language are dealt to buckets of terms, by hash and as
+columns; a bucket adds them up and keeps the terms of enough documents. Kept
 terms are dealt to slices by their hash, and numbered within a slice; a group
 (lang, source) becomes one sorted array of (term id, count) per slice, of bounded
 length. For each unordered pair of a language's groups, and each slice, a task gets
@@ -12,7 +13,8 @@ is the same both ways, so a pair is merged once and reported for both of its gro
 All arithmetic is exact: 64-bit integers below 2**53 tokens a language (long division in
 base 1,000), decimals of 38 digits where Spark computes.
 
-Memory per task: the terms met so far (at most ``HELD``), or two arrays of one slice.
+Memory per task: the terms met so far (at most ``HELD``), one bucket's sums (their
+number grows with the text), or two arrays of one slice.
 The result has a row per ordered pair of sources, as asked; a pair's terms never leave
 its tasks.
 
@@ -24,15 +26,18 @@ not read.
 """
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, releasing
 from .exchange import pack_keys, pack_values, unpack_keys, unpack_values
 
 LEAST_DOCS = 10      # documents of a language that must hold a kept term
@@ -40,6 +45,8 @@ TOP = 10             # ranks of part ``term``
 SCALE = 1_000_000_000
 SLICE_TERMS = 50_000
 HELD = 400_000       # (group, term) sums that a task holds before it sends them
+BUCKET_BYTES = 32 << 20  # bytes of text for which there is one bucket of terms
+SUMS = ["source", "term", "n", "docs"]
 CHUNK = 256          # sought ids between two gallops
 #: bytes of a text -> letters in lower case, everything that is in no term -> space
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
@@ -57,38 +64,62 @@ class Sums:
     """Occurrences and documents of each term of each group."""
 
     def __init__(self) -> None:
-        self.held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        self.held: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
         self.size = 0
 
     def add(self, group: tuple[str, str], text: bytes) -> None:
-        of = self.held.setdefault(group, {})
-        before = len(of)
-        counts: dict[bytes, int] = {}
-        for t in terms(text):
-            counts[t] = counts.get(t, 0) + 1
-        for t, n in counts.items():
-            found = of.get(t)
-            if found is None:
-                of[t] = [n, 1]
-            else:
-                found[0] += n
-                found[1] += 1
-        self.size += len(of) - before
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        """One batch per group; its first row, without a term, says that it occurs."""
-        for (lang, source), of in self.held.items():
-            n = len(of) + 1
-            sums = np.array([[0, 0], *of.values()], np.int64)
-            yield pa.record_batch([
-                pa.array([lang] * n), pa.array([source] * n),
-                pa.array([None, *of], pa.binary()).cast(pa.string()),
-                pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["lang", "source", "term", "n", "docs"])
+        n, docs = self.held.setdefault(group, (Counter(), Counter()))
+        before = len(n)
+        found = terms(text)
+        n.update(found)
+        docs.update(set(found))
+        self.size += len(n) - before
+
+    def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """One row per language and bucket: its sums, by source and term."""
+        parts: dict[tuple[str, int], list[pa.RecordBatch]] = {}
+        for (lang, source), (n, docs) in self.held.items():
+            bucket = np.fromiter(map(crc32, n), np.int64, len(n)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            sums = pa.record_batch([
+                pa.repeat(source, len(n)), pa.array(list(n), pa.binary()).cast(pa.string()),
+                pa.array(list(n.values()), pa.int64()),
+                pa.array([*map(docs.__getitem__, n)], pa.int64())], SUMS).take(pa.array(order))
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                parts.setdefault((lang, k), []).append(sums.slice(edges[k], edges[k + 1] - edges[k]))
+        for (lang, k), found in parts.items():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, found[0].schema) as out:
+                out.write_table(pa.Table.from_batches(found).combine_chunks())
+            yield pa.record_batch([pa.array([lang]), pa.array([k], pa.int32()),
+                                   pa.array([sink.getvalue().to_pybytes()])], ["lang", "bucket", "sums"])
         self.held, self.size = {}, 0
 
 
-def group_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs; a row without a term per group."""
+def added(sums: pa.Table, least_docs: int) -> pa.Table:
+    """source, term, n, lang_n and first (true once a term) of the terms that enough
+    documents hold, from all sums of a bucket of a language."""
+    codes = pc.dictionary_encode(sums["term"].combine_chunks())
+    code = codes.indices.to_numpy()
+    size = len(codes.dictionary)
+    docs, lang_n = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    np.add.at(docs, code, sums["docs"].to_numpy())
+    np.add.at(lang_n, code, sums["n"].to_numpy())
+    kept = docs[code] >= least_docs
+    by = pa.table({"source": sums["source"].filter(kept), "code": code[kept],
+                   "n": sums["n"].filter(kept)}) \
+        .group_by(["code", "source"]).aggregate([("n", "sum")]).sort_by("code")
+    code = by["code"].to_numpy()
+    return pa.table({"source": by["source"], "term": codes.dictionary.take(pa.array(code)),
+                     "n": by["n_sum"], "lang_n": lang_n[code],
+                     "first": np.diff(code, prepend=-1) != 0})
+
+
+def kept_counts(docs: DataFrame, least_docs: int, buckets: int) -> DataFrame:
+    """lang, source, term, n (occurrences), lang_n (in the language) and first (true
+    once per lang and term) of the terms that at least so many documents hold. A task
+    sends its sums by buckets of terms, so a bucket has all there is of its terms."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
         for b in batches:
@@ -96,13 +127,18 @@ def group_counts(docs: DataFrame) -> DataFrame:
             for lang, source, text in zip(b[0].to_pylist(), b[1].to_pylist(), texts, strict=True):
                 sums.add((lang, source), text.as_py())
                 if sums.size >= HELD:
-                    yield from sums.rows()
-        yield from sums.rows()
+                    yield from sums.rows(buckets)
+        yield from sums.rows(buckets)
 
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    return docs.select(*named).mapInArrow(
-        run, "lang string, source string, term string, n long, docs long") \
-        .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    def add(rows: pa.Table) -> pa.Table:
+        found = added(pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all()
+                                        for x in rows["sums"]]), least_docs)
+        return found.add_column(0, "lang", pa.repeat(rows["lang"][0], found.num_rows))
+
+    return docs.select("lang", "source", "text") \
+        .mapInArrow(releasing(run), "lang string, bucket int, sums binary") \
+        .groupBy("lang", "bucket").applyInArrow(
+            add, "lang string, source string, term string, n long, lang_n long, first boolean")
 
 
 # ---- exact prices --------------------------------------------------------
@@ -217,11 +253,12 @@ def _pair_values(groups: DataFrame, arrays: DataFrame, slices: DataFrame) -> Dat
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP,
                slice_terms: int = SLICE_TERMS) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value, rank."""
-    counts = cut_lineage(group_counts(docs))
-    met = counts.filter("term is not null")
-    kept = cut_lineage(met.groupBy("lang", "term")
-                       .agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-                       .filter(F.col("docs") >= least_docs).drop("docs"))
+    docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+                         for c in ("lang", "source", "text")])
+    found = cut_lineage(docs.groupBy("lang", "source").agg(F.sum(F.octet_length("text")).alias("size")))
+    size = found.agg(F.sum("size")).first()[0] or 0
+    met = cut_lineage(kept_counts(docs, least_docs, -(-size // BUCKET_BYTES) or 1))
+    kept = met.filter("first").select("lang", "term", "lang_n")
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
     most = langs.agg(F.max("kept")).first()[0] or 0
     n_slices = -(-most // slice_terms) or 1
@@ -232,7 +269,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP,
     slices = cut_lineage(slices.join(langs.select("lang", "kept"), "lang"))
     held = cut_lineage(met.select("lang", "source", "term", "n").join(numbered, ["lang", "term"]))
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = cut_lineage(counts.filter("term is null").select("lang", "source")
+    groups = cut_lineage(found.select("lang", "source")
                          .join(totals, ["lang", "source"], "left")
                          .withColumn("total", F.coalesce("total", F.lit(0))))
 

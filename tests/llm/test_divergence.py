@@ -95,3 +95,33 @@ def test_whole_table_and_sql(spark):
     assert result(queries.QUERIES["op11_divergence"](spark, sf)) == want
     rows = con.execute("select text, lang, source from documents").fetchall()
     assert want == expected(rows)
+
+
+def test_sums_are_sent_by_bucket_and_added():
+    import pyarrow as pa
+
+    rows = [(f"w{k % 7} w{k % 7} v{k} Café", s) for k in range(20) for s in ("a", "b")]
+    sent = []
+    for some in (rows[:15], rows[15:]):
+        sums = dv.Sums()
+        for text, source in some:
+            sums.add(("en", source), text.encode())
+        out = list(sums.rows(4))
+        # a row per bucket, not one per source and term
+        assert len(out) <= 4 and all(b.num_rows == 1 for b in out)
+        sent += out
+    got, n, lang = [], defaultdict(Counter), Counter()
+    for bucket in range(4):
+        parts = [pa.ipc.open_stream(b["sums"][0].as_buffer()).read_all()
+                 for b in sent if b["bucket"][0].as_py() == bucket]
+        if parts:
+            got += dv.added(pa.concat_tables(parts), 4).to_pylist()
+    docs = Counter()
+    for text, source in rows:
+        found = TERM.findall(text.translate(LOWER))
+        n[source].update(found)
+        lang.update(found)
+        docs.update(set(found))
+    want = {(s, t): (k, lang[t]) for s in n for t, k in n[s].items() if docs[t] >= 4}
+    assert {(r["source"], r["term"]): (r["n"], r["lang_n"]) for r in got} == want
+    assert Counter(r["term"] for r in got if r["first"]) == dict.fromkeys({t for _, t in want}, 1)
