@@ -73,6 +73,22 @@ def test_suffix_order(spark):
     assert len({r for _, r in suffixes}) == len({tuple(s) for s, _ in suffixes})
 
 
+def test_suffixes_are_sorted_by_all_phrases_of_their_prefix(spark, monkeypatch):
+    """Periodic texts have dense anchors: some prefixes hold more than three phrases, and
+    those within shared passages more than nine."""
+    rng = random.Random(9)
+    shared = ["".join(rng.choices("abcdefgh", k=500)), "abcdefg" * 90, "x" * 700,
+              "".join(rng.choices("ab", k=30)) * 25]
+    rows = [(k, "".join(rng.choices("abcdefgh", k=60)) + shared[k % 4] + str(k)) for k in range(12)]
+    depths, sort = [], suffix.suffix_ranks
+    monkeypatch.setattr(suffix, "suffix_ranks",
+                        lambda strings, depth, *a: depths.append(depth) or sort(strings, depth, *a))
+    assert got(dedup(frame(spark, rows))) == brute(rows, 400)
+    p = suffix.Phrases([t.encode() for _, t in rows], 400, 128)
+    most = suffix.segments_of(p, 0, np.unique(p.names[p.names > 0]), 400, 128)[1]
+    assert most > 27 and depths[0] == 2 and 3 ** max(depths) >= most
+
+
 def test_stage_keeps_columns_and_whole_characters(spark):
     rows = [(1, "é" * 300 + "a"), (2, "b" + "é" * 300), (3, "short")]
     out = {r.doc_id: r for r in without_repeats(frame(spark, rows)).collect()}
